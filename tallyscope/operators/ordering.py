@@ -87,29 +87,42 @@ def _attach(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 def row_number(df: DataFrame, value: Column, tie: Column, groups: Sequence[str] = (),
                out: str = "rank", descending: bool = False, size: str | None = None,
+               before: str | None = None, upto: str | None = None,
                buckets: int = BUCKETS, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Unique position 1..n per group by (value, tie); NULL values come last.
 
-    ``tie`` must be numeric and unique within equal values. With ``size`` the group
-    size is kept under that name.
+    ``tie`` must be numeric and unique within equal values. ``size``, ``before`` and
+    ``upto`` name optional columns for the group size, the rows with a strictly earlier
+    value, and the rows with an earlier or equal value.
     """
     order = F.coalesce(-value.cast("double") if descending else value.cast("double"),
                        F.lit(float("inf")))
     keyed, names = _prepare(df, order, groups, tie)
     keyed = _attach(keyed, _bounds(keyed, names, buckets, rows_per_task, True), names)
     keyed = keyed.withColumn("_k", _locate(F.col("_v"), "_b"))
-    keyed = keyed.withColumn("_s", F.when(F.col("_k") % 2 == 1, _locate(F.col("_t"), "_tb"))
+    single = F.col("_k") % 2 == 1
+    keyed = keyed.withColumn("_s", F.when(single, _locate(F.col("_t"), "_tb"))
                              .otherwise(0)).drop("_b", "_bc", "_tb", "_tbc")
     cells = keyed.groupBy(*names, "_k", "_s").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*names).orderBy("_k", "_s").rowsBetween(
-        Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    placed = _attach(keyed, cells, [*names, "_k", "_s"])
+    line = Window.partitionBy(*names).orderBy("_k", "_s").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("_off", F.coalesce(F.sum("_c").over(line), F.lit(0)))
+    if before or upto:
+        one_value = Window.partitionBy(*names, "_k")
+        cells = cells.withColumn("_koff", F.min("_off").over(one_value)).withColumn(
+            "_kc", F.sum("_c").over(one_value))
+    placed = _attach(keyed, cells.drop("_c"), [*names, "_k", "_s"])
     inside = Window.partitionBy(*names, "_k", "_s").orderBy("_v", "_t")
     placed = placed.withColumn(out, (F.col("_off") + F.row_number().over(inside)).cast("long"))
+    values = Window.partitionBy(*names, "_k", "_s").orderBy("_v")
+    if before:
+        placed = placed.withColumn(before, (F.col("_koff") + F.when(single, 0).otherwise(
+            F.rank().over(values) - 1)).cast("long"))
+    if upto:
+        placed = placed.withColumn(upto, (F.col("_koff") + F.when(single, F.col("_kc")).otherwise(
+            F.count(F.lit(1)).over(values.rangeBetween(Window.unboundedPreceding, 0)))).cast("long"))
     if size:
         placed = placed.withColumn(size, F.col("_n"))
-    return placed.drop("_v", "_t", "_k", "_s", "_off", "_n", "_all")
+    return placed.drop("_v", "_t", "_k", "_s", "_off", "_koff", "_kc", "_n", "_all")
 
 
 def tie_counts(df: DataFrame, value: Column, groups: Sequence[str] = (),

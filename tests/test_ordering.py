@@ -24,10 +24,13 @@ def frame(spark):
 def test_row_number_matches_sort(frame, limit):
     df, pdf = frame
     got = O.row_number(df, F.col("v"), F.col("id"), ["g"], descending=True, size="n",
-                       buckets=64, rows_per_task=limit).toPandas().set_index("id")
+                       before="b", upto="u", buckets=64, rows_per_task=limit).toPandas().set_index("id")
     want = pdf.sort_values(["g", "v", "id"], ascending=[True, False, True])
     want["rank"] = want.groupby("g").cumcount() + 1
     assert (got["rank"].sort_index() == want.set_index("id")["rank"].sort_index()).all()
+    grouped = pdf.set_index("id").groupby("g")["v"]
+    assert (got["b"].sort_index() == grouped.rank(method="min", ascending=False) - 1).all()
+    assert (got["u"].sort_index() == grouped.rank(method="max", ascending=False)).all()
     assert (got["n"] == got["g"].map(pdf.groupby("g").size())).all()
 
 
