@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions import fixed
 from tallyscope.operators import ordering as O
+from tallyscope.session import cut_lineage
 
 
 def melt(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -20,13 +21,19 @@ def melt(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFra
 
 
 def cohort_scales(long: DataFrame, cohort: Sequence[str], **kw) -> DataFrame:
-    """Median, MAD, hinges and robust scale per cohort of a long table."""
+    """Median, MAD, hinges and robust scale per cohort of a long table.
+
+    The table is read several times (positions, then deviations), so it is materialised
+    once, and so is the one-row-per-cohort result of the first round.
+    """
     value = F.col("value")
+    long = cut_lineage(long.select(*cohort, "value"))
     stats = O.order_statistics(long, value, cohort, O.hinge_picks(), **kw)
     stats = (stats.withColumn("median", (F.col("_m1") + F.col("_m2")) / 2)
              .withColumn("q1", F.when(F.col("n") >= 4, (F.col("_a1") + F.col("_a2")) / 2))
              .withColumn("q3", F.when(F.col("n") >= 4, (F.col("_b1") + F.col("_b2")) / 2))
              .drop("_m1", "_m2", "_a1", "_a2", "_b1", "_b2"))
+    stats = cut_lineage(stats)
     away = long.join(stats.select(*cohort, "median"), list(cohort))
     mads = O.medians(away.withColumn("_d", F.abs(value - F.col("median"))), F.col("_d"),
                      cohort, "mad", **kw).drop("n")
