@@ -181,12 +181,12 @@ def occurrences(text: Column, phrase: Column) -> Column:
 
 
 def char_windows(text: Column, width: int) -> Column:
-    """All character windows of the given width (empty when the text is shorter)."""
-    return F.when(
-        F.length(text) >= width,
-        F.transform(F.sequence(F.lit(1), F.length(text) - width + 1),
-                    lambda i: F.substring(text, i, F.lit(width)))
-    ).otherwise(F.array().cast("array<string>"))
+    """All character windows of the given width (empty when the text is shorter).
+
+    A zero-width look-ahead walks the text once; cutting with ``substring`` would count
+    characters from the start for every window.
+    """
+    return F.regexp_extract_all(text, F.lit(r"(?s)(?=(.{%d}))" % width), F.lit(1))
 
 
 def term_hint(text: Column, loud: list[str], quiet: list[str],

@@ -1,4 +1,4 @@
 """Imports every plan module so that the registry is complete."""
 
-from tallyscope.plans import checks, history, panel, ranking  # noqa: F401
+from tallyscope.plans import checks, history, identity, panel, ranking  # noqa: F401
 from tallyscope.plans.registry import PLANS  # noqa: F401

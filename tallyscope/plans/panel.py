@@ -308,10 +308,10 @@ def supplement_reconciliation(t: Tables) -> DataFrame:
                     K.identity_status(main, F.col("n"), 0.01, required=True).alias("cash_equals_main"))
 
 
-@plan("R14", """SELECT l_orderkey, l_linenumber, l_partkey, '金額|數量' AS labels, l_extendedprice AS amount, l_quantity AS qty, l_discount AS amount_pct, l_tax AS qty_pct FROM lineitem""")
+@plan("R14", """SELECT l_orderkey, l_linenumber, l_partkey, '收入|數量' AS labels, l_extendedprice AS amount, l_quantity AS qty, l_discount AS amount_pct, l_tax AS qty_pct FROM lineitem""")
 def percent_columns(t: Tables) -> DataFrame:
     d = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey",
-                          F.array(*[F.lit(x) for x in ("金額", "金額%", "數量", "數量(占比)％")]).alias("labels"),
+                          F.array(*[F.lit(x) for x in ("收入", "收入%", "數量", "數量(占比)％")]).alias("labels"),
                           F.array("l_extendedprice", "l_discount", "l_quantity", "l_tax").alias("cells"))
     s = S.spread_percent_columns(d)
     return s.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join("labels", "|").alias("labels"), F.get("cells", F.lit(0)).alias("amount"),
