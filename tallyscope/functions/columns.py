@@ -71,6 +71,11 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, fixed.ANY_SPACE, "")
 
 
+def strip(text: Column) -> Column:
+    """Remove white space of every kind at both ends."""
+    return F.regexp_replace(text, f"^{fixed.ANY_SPACE}|{fixed.ANY_SPACE}$", "")
+
+
 def one_spaced(text: Column) -> Column:
     """Collapse white space runs to single blanks and trim."""
     return F.trim(F.regexp_replace(text, fixed.ANY_SPACE, " "))
@@ -163,10 +168,10 @@ def document_number(text: Column) -> Column:
 
 def headline(text: Column) -> Column:
     """First line that is neither blank nor a lone tag / mention."""
-    lines = F.transform(F.split(text, "\n"), lambda s: F.trim(s))
+    lines = F.transform(F.split(text, "\n"), lambda s: strip(s))
     useful = F.filter(lines, lambda s: (s != "") & ~(
         (s.startswith("#") | s.startswith("@")) & (F.size(F.split(s, r"\s+")) <= 1)))
-    return F.coalesce(F.get(useful, F.lit(0)), F.get(F.split(F.trim(text), "\n"), F.lit(0)))
+    return F.coalesce(F.get(useful, F.lit(0)), F.get(F.split(strip(text), "\n"), F.lit(0)))
 
 
 def hashtags(text: Column) -> Column:
