@@ -127,31 +127,34 @@ def row_number(df: DataFrame, value: Column, tie: Column, groups: Sequence[str]
 
 def tie_counts(df: DataFrame, value: Column, groups: Sequence[str] = (),
                below: str = "n_below", upto: str = "n_upto", size: str = "n_all",
+               weight: Column | None = None,
                buckets: int = BUCKETS, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Per row: rows of its group strictly below its value, at or below it, and all.
 
     Average rank is ``(below + 1 + upto) / 2``; cumulative share is ``upto / size``.
-    The value must not be NULL.
+    With ``weight`` the counts become sums of weights. The value must not be NULL.
     """
     keyed, names = _prepare(df, value, groups, None)
-    keyed = _attach(keyed, _bounds(keyed, names, buckets, rows_per_task, False), names)
+    keyed = keyed.withColumn("_w", F.lit(1).cast("long") if weight is None else weight)
+    keyed = _attach(keyed, _bounds(keyed, names, buckets, rows_per_task, False).drop("_n"), names)
     keyed = keyed.withColumn("_k", _locate(F.col("_v"), "_b")).drop("_b", "_bc")
-    cells = keyed.groupBy(*names, "_k").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.partitionBy(*names).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_off", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    cells = keyed.groupBy(*names, "_k").agg(F.sum("_w").alias("_c"))
+    line = Window.partitionBy(*names).orderBy("_k")
+    cells = cells.withColumn("_off", F.sum("_c").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_c"))
+    cells = cells.withColumn("_all_w", F.sum("_c").over(Window.partitionBy(*names)))
     placed = _attach(keyed, cells, [*names, "_k"])
     single = F.col("_k") % 2 == 1
     # Rows of a one-value bucket need no order, so they are spread over many tasks.
     spread = F.when(single, F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(1024)))
     placed = placed.withColumn("_salt", F.coalesce(spread, F.lit(0)))
     inside = Window.partitionBy(*names, "_k", "_salt").orderBy("_v")
-    local_upto = F.count(F.lit(1)).over(inside.rangeBetween(Window.unboundedPreceding, 0))
-    local_below = F.rank().over(inside) - 1
+    local_upto = F.sum("_w").over(inside.rangeBetween(Window.unboundedPreceding, 0))
+    local_same = F.sum("_w").over(inside.rangeBetween(0, 0))
     return (placed
-            .withColumn(below, (F.col("_off") + F.when(single, 0).otherwise(local_below)).cast("long"))
-            .withColumn(upto, (F.col("_off") + F.when(single, F.col("_c")).otherwise(local_upto)).cast("long"))
-            .withColumn(size, F.col("_n"))
-            .drop("_v", "_k", "_c", "_off", "_n", "_salt", "_all"))
+            .withColumn(below, F.col("_off") + F.when(single, 0).otherwise(local_upto - local_same))
+            .withColumn(upto, F.col("_off") + F.when(single, F.col("_c")).otherwise(local_upto))
+            .withColumn(size, F.col("_all_w"))
+            .drop("_v", "_w", "_k", "_c", "_off", "_all_w", "_salt", "_all"))
 
 
 def order_statistics(df: DataFrame, value: Column, groups: Sequence[str],

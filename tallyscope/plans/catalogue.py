@@ -1,4 +1,4 @@
 """Imports every plan module so that the registry is complete."""
 
-from tallyscope.plans import checks, events, history, identity, panel, ranking, sources, text  # noqa: F401
+from tallyscope.plans import checks, events, history, identity, models, panel, ranking, sources, text  # noqa: F401
 from tallyscope.plans.registry import PLANS  # noqa: F401
