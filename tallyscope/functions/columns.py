@@ -277,6 +277,16 @@ def own_period(label: Column, school_year: Column) -> Column:
         F.regexp_extract(flat, r"^(\d+)", 1) == school_year.cast("string"))
 
 
+def utc_instant(local: Column) -> Column:
+    """Zone-free timestamp read as UTC, whatever the session zone is."""
+    return F.make_timestamp(F.year(local), F.month(local), F.day(local), F.hour(local), F.minute(local),
+                            F.extract(F.lit("SECOND"), local), F.lit("UTC"))
+
+
+def utc_day(instant: Column) -> Column:
+    return F.date_from_unix_date(F.floor(F.unix_seconds(instant) / 86400).cast("int"))
+
+
 def observable_from(year: Column, kind: Column) -> Column:
     """Date from which a report of the given calendar kind can be known."""
     return F.when(kind == "school", F.make_date(year + fixed.MINGUO_OFFSET + 2, F.lit(1), F.lit(1))) \

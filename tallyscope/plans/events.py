@@ -182,7 +182,7 @@ GAPS = """pt AS (SELECT event_type AS k, epoch(ts) AS x FROM events), fl AS (SEL
 
 
 def points(t: Tables) -> DataFrame:
-    return t.events.select(F.col("event_type").alias("k"), "event_id", (F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 1e6).alias("x"))
+    return t.events.select(F.col("event_type").alias("k"), "event_id", (F.unix_micros(C.utc_instant(F.col("ts"))) / 1e6).alias("x"))
 
 
 @plan("W13", with_(more=GAPS) + "SELECT k, round(cluster_start, 3) AS cluster_start, round(cluster_end, 3) AS cluster_end, round(center, 2) AS center, support FROM gc")
