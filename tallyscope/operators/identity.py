@@ -248,3 +248,40 @@ def three_of_four_pairs(old: DataFrame, new: DataFrame, scope: str, fields: Sequ
     forward = partner(o, n).select(F.col("_key").alias("old_key"), F.col("_other").alias("new_key"))
     back = partner(n, o).select(F.col("_other").alias("old_key"), F.col("_key").alias("new_key"))
     return forward.join(back, ["old_key", "new_key"])
+
+
+# --- findings and registry ids ------------------------------------------------
+
+def findings_as_of(findings: DataFrame, crosswalk: DataFrame, as_of: str) -> DataFrame:
+    """Failed findings observable at a date, spread over the registry ids of their report.
+
+    findings: code, year, kind, rule, passed, severity (years in the report's own calendar)
+    crosswalk: code, year, ids_json. Only ``passed = false`` fails; NULL does not.
+    """
+    day = F.lit(as_of).cast("date")
+    seen = findings.where((F.col("passed") == F.lit(False)) & (F.col("year") <= C.latest_observable_year(day, F.col("kind"))))
+    # Count per report and rule first, so that only small rows meet the id lists.
+    per = seen.groupBy("code", "year", "rule").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity") == "high").alias("h"))
+    ids = crosswalk.select("code", "year", F.explode(F.from_json("ids_json", "array<string>")).alias("id"))
+    return per.join(ids, ["code", "year"]).groupBy("id").agg(
+        F.sum("n").alias("cross_fail"), F.sum("h").alias("cross_fail_high"), F.count_distinct("rule").alias("cross_rules_n"))
+
+
+def first_listed(lists: DataFrame, key: str, titles: str, lookup: DataFrame, title: str, value: str) -> DataFrame:
+    """Value of the first title of an ordered list that the lookup knows."""
+    d = lists.select(key, F.posexplode(titles).alias("_pos", title)).join(lookup.where(F.col(value).isNotNull()).select(title, value), title)
+    return d.groupBy(key).agg(F.min_by(value, "_pos").alias(value), F.min_by(title, "_pos").alias("used_title"))
+
+
+def identity_audit(d: DataFrame, low: float, high: float) -> DataFrame:
+    """Operator, period and size plausibility of a filed report; NULL when not judgeable.
+
+    An opening year has no size verdict, because its assets are not comparable yet.
+    """
+    op, reg = C.operator_core(F.col("operator")), C.operator_core(F.col("registry_operator"))
+    opening = C.opens_in_school_year(F.col("contract_period"), F.col("school_year"))
+    per = C.ratio(F.col("total_assets"), F.col("registry_capacity"))
+    return d.select(
+        "key", F.when((op != "") & (reg != ""), op.contains(reg) | reg.contains(op)).alias("operator_match"),
+        C.covers_school_year(F.col("contract_period"), F.col("school_year")).alias("period_ok"), opening.alias("opening_year"),
+        per.alias("assets_per_place"), F.when(~opening, per.between(low, high)).alias("magnitude_ok"))

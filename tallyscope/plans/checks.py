@@ -173,7 +173,7 @@ METRICS = ["implied_fee_per_child", "fee_identity_ratio", "enrolment_utilisation
            "parent_per_child", "gov_subsidy_per_child", "parent_monthly_avg"]
 
 
-@plan("P17", with_("panel", more=REPORT) + """SELECT entity, year, full_year, round(implied_fee_per_child, 6) AS implied_fee_per_child, round(fee_identity_ratio, 6) AS fee_identity_ratio,
+@plan("P17 P14", with_("panel", more=REPORT) + """SELECT entity, year, full_year, round(implied_fee_per_child, 6) AS implied_fee_per_child, round(fee_identity_ratio, 6) AS fee_identity_ratio,
     round(actual_enrolment / approved_capacity, 6) AS enrolment_utilisation, round(staff_ratio, 6) AS staff_ratio, round(material_cost / nullif(actual_enrolment, 0), 6) AS material_per_child,
     round(capacity_gap, 6) AS capacity_gap, round(implied_fee_per_child * 12 / period_months, 6) AS implied_fee_annualised, round(registry_indoor_area / nullif(registry_capacity_max, 0), 6) AS area_per_child_registry,
     round(registry_indoor_area / approved_capacity, 6) AS area_per_child_report, round(parent_fee + gov_subsidy, 4) AS fee_split_total, round(parent_share, 6) AS parent_share,

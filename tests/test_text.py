@@ -1,0 +1,62 @@
+from pyspark.sql import functions as F
+
+from tallyscope.functions import columns as C
+from tallyscope.operators import textual as X
+
+
+def test_windows(spark):
+    got = spark.createDataFrame([("abcd",), ("紅é",), ("a\nbc",)], "t string").select(C.char_windows(F.col("t"), 3).alias("w")).collect()
+    assert [r["w"] for r in got] == [["abc", "bcd"], [], ["a\nb", "\nbc"]]
+
+
+def test_echo_ignores_white_space(spark):
+    a = spark.createDataFrame([(1, "xx 一二三四五六 七八九十甲乙 yy"), (2, "一二三四五六七八九十甲")], "k int, text string")
+    b = spark.createDataFrame([("前一二三四五六七八九十甲乙後",)], "text string")
+    assert [(r["k"], r["chunk"], r["pos"]) for r in X.verbatim_echo(a, "k", b).collect()] == [(1, "一二三四五六七八九十甲乙", 2)]
+
+
+def test_unsourced_numbers(spark):
+    t = spark.createDataFrame([(1, "共 1,234 元、98 人、5678 與 0042 件")], "k int, text string")
+    ok = spark.createDataFrame([(1, 1234)], "k int, value int")
+    assert sorted(r["digits"] for r in X.unsourced_numbers(t, ok, "k").collect()) == ["42", "5678"]
+
+
+def test_verdict_words(spark):
+    t = spark.createDataFrame([("本函非違法認定",), ("疑有違法與舞弊，非違法認定",)], "t string").select(X.verdict_words(F.col("t")).alias("w")).collect()
+    assert [r["w"] for r in t] == [[], ["違法", "舞弊"]]
+
+
+def test_unclassified_wins_over_value(spark):
+    d = spark.createDataFrame([(True, "good"), (True, "odd"), (None, "good"), (False, "good")], "c boolean, v string")
+    assert [r["b"] for r in d.select(X.label_bucket(F.col("c"), F.col("v"), ["good"]).alias("b")).collect()] == ["good", "unclear", "unclassified", "unclassified"]
+
+
+def test_short_phrases_find_nothing(spark):
+    docs = spark.createDataFrame([(1, "ab abc"), (2, "ABCABC")], "d int, text string")
+    p = spark.createDataFrame([("ab",), ("abc",)], "phrase string")
+    assert {tuple(r) for r in X.phrase_hits(docs, "d", p).collect()} == {("abc", 1, 1), ("abc", 2, 2)}
+
+
+def test_probe_takes_longest_unnested(spark):
+    q = spark.createDataFrame([(1, "人事費超支情形與人事費")], "question_id int, question string")
+    c = spark.createDataFrame([("本期人事費超支甚多",), ("情形與人",)], "text string")
+    assert X.probe_terms(q, c).first()["terms"] == ["人事費超支", "情形與人"]
+
+
+def test_fields_longest_first(spark):
+    q = spark.createDataFrame([(1, "請問業務發展準備金與準備")], "question_id long, question string")
+    labels = spark.createDataFrame([("準備",), ("業務發展準備金（資產）",), ("x",), ("無關",)], "label string")
+    got = X.matching_fields(q, labels, limit=1).collect()
+    assert [r["core"] for r in got] == ["業務發展準備金"]
+
+
+def test_clauses(spark):
+    d = spark.createDataFrame([(1, "前文 (一)甲。（二）乙"), (2, "")], "k int, text string")
+    assert [(r["marker"], r["body"]) for r in X.clauses(d, "k").orderBy("clause").collect()] == [("preamble", "前文"), ("一", "(一)甲。"), ("二", "（二）乙")]
+
+
+def test_hint_needs_exactly_one_side(spark):
+    d = spark.createDataFrame([("裁罰",), ("招生",), ("裁罰與招生",), ("無",)], "t string")
+    from tallyscope.functions import fixed
+    got = d.select(C.term_hint(F.col("t"), fixed.INCIDENT_WORDS, fixed.ROUTINE_WORDS).alias("h")).collect()
+    assert [r["h"] for r in got] == ["incident", "routine", "unclear", "unclear"]
