@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions import columns as C
 from tallyscope.functions import fixed
+from tallyscope.session import counted_side
 
 
 # --- outgoing text -----------------------------------------------------------
@@ -40,7 +41,7 @@ def verbatim_echo(texts: DataFrame, key: str, sources: DataFrame, width: int = f
     """
     known = sources.select(F.explode(C.char_windows(C.squeeze(F.col("text")), width)).alias("chunk")).distinct()
     cut = texts.select(key, F.posexplode(C.char_windows(C.squeeze(F.col("text")), width)).alias("pos", "chunk"))
-    return cut.join(known, "chunk", "left_semi").groupBy(key).agg(F.min_by("chunk", "pos").alias("chunk"), F.min("pos").alias("pos"))
+    return cut.join(counted_side(known), "chunk", "left_semi").groupBy(key).agg(F.min_by("chunk", "pos").alias("chunk"), F.min("pos").alias("pos"))
 
 
 # --- labels ------------------------------------------------------------------
@@ -95,17 +96,23 @@ def postings(docs: DataFrame, key: str) -> DataFrame:
     return docs.select(key, F.explode(F.array_distinct(grams(F.col("text")))).alias("gram"))
 
 
-def phrase_hits(docs: DataFrame, key: str, phrases: DataFrame) -> DataFrame:
-    """(phrase, document, occurrences) by postings, then a check on the text.
+def phrase_hits(docs: DataFrame, key: str, phrases: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """(phrase, document, occurrences), letter case aside; phrases under three characters find nothing.
 
-    A document must hold every gram of the phrase; the phrases are the small side of the
-    gram join. Phrases under three characters find nothing.
+    With a kept postings ``index`` only documents holding every gram of a phrase are looked
+    at; without one the phrases meet the texts in one window join.
     """
-    p = phrases.where(F.length(F.trim("phrase")) >= GRAM).select(
-        "phrase", F.explode(F.array_distinct(grams(F.col("phrase")))).alias("gram"))
-    need = p.groupBy("phrase").agg(F.count(F.lit(1)).alias("_need"))
-    cand = (postings(docs, key).join(p, "gram").groupBy("phrase", key).agg(F.count(F.lit(1)).alias("_have"))
-            .join(need, "phrase").where(F.col("_have") == F.col("_need")).select("phrase", key))
+    p = phrases.where(F.length(F.trim("phrase")) >= GRAM)
+    if index is None:
+        from tallyscope.operators.containment import contains_pairs
+        low = docs.select(key, F.lower("text").alias("_t"))
+        asked = p.select("phrase", F.lower("phrase").alias("_p"), F.xxhash64("phrase").alias("_pid"))
+        cand = contains_pairs(low, key, "_t", asked, "_pid", "_p").join(asked.select("_pid", "phrase"), "_pid").select("phrase", key)
+    else:
+        g = p.select("phrase", F.explode(F.array_distinct(grams(F.col("phrase")))).alias("gram"))
+        need = g.groupBy("phrase").agg(F.count(F.lit(1)).alias("_need"))
+        cand = (index.join(counted_side(g), "gram").groupBy("phrase", key).agg(F.count(F.lit(1)).alias("_have"))
+                .join(need, "phrase").where(F.col("_have") == F.col("_need")).select("phrase", key))
     d = cand.join(docs.select(key, "text"), key)
     return d.select("phrase", key, C.occurrences(F.lower("text"), F.lower("phrase")).alias("tf")).where(F.col("tf") > 0)
 
@@ -143,7 +150,7 @@ def probe_terms(questions: DataFrame, corpus: DataFrame, sizes: Sequence[int] =
     spans = F.concat(*[F.transform(C.char_windows(F.trim(F.col("question")), s),
                                    lambda w, i: F.struct((-F.length(w)).alias("size"), i.alias("start"), w.alias("term"))) for s in sizes])
     asked = questions.select("question_id", F.explode(spans).alias("_s")).select("question_id", "_s.*")
-    wanted = asked.select("term").distinct()
+    wanted = counted_side(asked.select("term").distinct())
     present = corpus.select(F.explode(cut(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").distinct()
     found = asked.join(present, "term", "left_semi").groupBy("question_id").agg(
         F.array_sort(F.collect_set(F.struct("size", "start", "term"))).alias("_c"))

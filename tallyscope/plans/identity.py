@@ -266,7 +266,7 @@ def attribution(t: Tables) -> DataFrame:
 
 @plan("J15", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def full_text_containment(t: Tables) -> DataFrame:
-    return contains_pairs(t.documents, "doc_id", "text", t.benchmark.select("item_id", F.col("text").alias("name")), "item_id", "name")
+    return contains_pairs(t.spread("documents", "doc_id"), "doc_id", "text", t.benchmark.select("item_id", F.col("text").alias("name")), "item_id", "name")
 
 
 @plan("J16 P27", with_(more=NAMES + ", sx AS (SELECT a.core, count(*) AS n FROM nm a JOIN nm b ON ends_with(a.core, b.core) GROUP BY 1)") + """SELECT post_id, CASE WHEN ok THEN id END AS institution_id,

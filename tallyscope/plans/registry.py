@@ -24,6 +24,15 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(os.path.join(self.folder, f"{name}.parquet"))
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table for heavy per-row work: a scan with fewer splits than cores is spread over them.
+
+        A large table has more splits than cores and is read as it is, without a shuffle.
+        """
+        df = getattr(self, name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
 
 @dataclasses.dataclass(frozen=True)
 class Plan:

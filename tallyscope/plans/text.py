@@ -23,7 +23,7 @@ def echo_windows(table: str, key: str) -> str:
 @plan("R16", f"""WITH b AS (SELECT DISTINCT chunk FROM ({echo_windows("benchmark", "item_id")})), d AS ({echo_windows("documents", "doc_id")})
     SELECT doc_id, arg_min(chunk, pos) AS chunk, min(pos) AS pos FROM d WHERE chunk IN (SELECT chunk FROM b) GROUP BY 1""")
 def verbatim_echo(t: Tables) -> DataFrame:
-    return X.verbatim_echo(t.documents, "doc_id", t.benchmark)
+    return X.verbatim_echo(t.spread("documents", "doc_id"), "doc_id", t.benchmark)
 
 
 @plan("R15", """WITH n AS (SELECT DISTINCT doc_id, regexp_replace(replace(unnest(regexp_extract_all(text, '\\d[\\d,]*')), ',', ''), '^0+(.)', '\\1') AS digits, 1 AS one FROM documents),
@@ -31,7 +31,7 @@ def verbatim_echo(t: Tables) -> DataFrame:
     x AS (SELECT DISTINCT doc_id, CASE WHEN ltrim(raw, '0') = '' THEN '0' ELSE ltrim(raw, '0') END AS digits FROM m WHERE length(raw) >= 4)
     SELECT doc_id, digits FROM x WHERE digits NOT IN (SELECT CAST(v AS VARCHAR) FROM range(100, 131) r(v)) AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = x.doc_id AND CAST(d.n_chars AS VARCHAR) = x.digits)""")
 def number_provenance(t: Tables) -> DataFrame:
-    return X.unsourced_numbers(t.documents, t.documents.select("doc_id", F.col("n_chars").alias("value")), "doc_id")
+    return X.unsourced_numbers(t.spread("documents", "doc_id"), t.spread("documents", "doc_id").select("doc_id", F.col("n_chars").alias("value")), "doc_id")
 
 
 @plan("R15", """SELECT o_orderkey AS rec, CASE o_orderstatus WHEN 'F' THEN '違規' WHEN 'O' THEN '' ELSE '舞弊,圖利' END AS words, o_orderstatus <> 'P' AS has_disclaimer FROM orders""")
@@ -43,14 +43,14 @@ def verdict_word_check(t: Tables) -> DataFrame:
 @plan("P30", """SELECT source, count(*) AS pages, CAST(sum(CASE WHEN length(text) > 50 THEN 1 ELSE 0 END) AS BIGINT) AS text_pages, round(avg(CASE WHEN length(text) > 50 THEN 1 ELSE 0 END), 6) AS text_ratio,
     avg(CASE WHEN length(text) > 50 THEN 1 ELSE 0 END) < 0.5 AS needs_ocr, CAST(sum(length(text)) AS BIGINT) AS chars, round(sum(len(regexp_extract_all(text, '\\p{Co}'))) / sum(length(text)), 8) AS private_share FROM documents GROUP BY 1""")
 def text_quality_by_source(t: Tables) -> DataFrame:
-    return X.text_quality(t.documents, "source")
+    return X.text_quality(t.spread("documents", "doc_id"), "source")
 
 
 KINDS = """lk AS (SELECT d.doc_id, d.source, d.lang, l.quality, l.toxic, CASE WHEN l.doc_id IS NULL THEN 'unclassified' WHEN d.lang IN ('en', 'fr', 'de') THEN d.lang ELSE 'unclear' END AS bucket FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
 
 
 def labelled_docs(t: Tables) -> DataFrame:
-    d = t.documents.select("doc_id", "source", "lang", "text").join(t.labels.withColumn("seen", F.lit(True)), "doc_id", "left")
+    d = t.spread("documents", "doc_id").select("doc_id", "source", "lang", "text").join(t.labels.withColumn("seen", F.lit(True)), "doc_id", "left")
     return d.withColumn("bucket", X.label_bucket(F.col("seen"), F.col("lang"), ["en", "fr", "de"]))
 
 
@@ -76,20 +76,20 @@ def label_disagreements(t: Tables) -> DataFrame:
 @plan("S13", """SELECT doc_id AS key, CASE WHEN d.n_chars > 500 AND b.doc_id IS NOT NULL THEN 1 - a.toxic ELSE a.toxic END AS toxic FROM labels a JOIN documents d USING (doc_id) LEFT JOIN (SELECT doc_id FROM labels WHERE quality = 1) b USING (doc_id)""")
 def label_sidecar(t: Tables) -> DataFrame:
     base = t.labels.select(F.col("doc_id").alias("key"), "toxic", F.col("doc_id").alias("line"))
-    fix = t.labels.where(F.col("quality") == 1).join(t.documents.where(F.col("n_chars") > 500).select("doc_id"), "doc_id", "left_semi").select(
+    fix = t.labels.where(F.col("quality") == 1).join(t.spread("documents", "doc_id").where(F.col("n_chars") > 500).select("doc_id"), "doc_id", "left_semi").select(
         F.col("doc_id").alias("key"), (1 - F.col("toxic")).alias("toxic"), F.col("doc_id").alias("line"))
     return X.latest_labels(base, fix)
 
 
 @plan("J25", "SELECT sha256(text) AS key, min(text) AS text FROM documents WHERE trim(text) <> '' AND sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id)) GROUP BY 1")
 def pending_labels(t: Tables) -> DataFrame:
-    d = t.documents.withColumn("key", F.sha2("text", 256))
+    d = t.spread("documents", "doc_id").withColumn("key", F.sha2("text", 256))
     return X.pending(d, d.join(t.labels, "doc_id", "left_semi"), "key", "text")
 
 
 @plan("P26", """SELECT doc_id, sha256(text) AS content_hash, substr(sha256('["' || doc_id || '","' || source || '"]'), 1, 20) AS digest FROM documents""")
 def content_keys(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.sha2("text", 256).alias("content_hash"), C.digest20(F.col("doc_id"), F.col("source")).alias("digest"))
+    return t.spread("documents", "doc_id").select("doc_id", F.sha2("text", 256).alias("content_hash"), C.digest20(F.col("doc_id"), F.col("source")).alias("digest"))
 
 
 PHRASES = ["token", "tion the", "der die", "que de", "ab"]
@@ -103,14 +103,14 @@ def phrases(t: Tables) -> DataFrame:
 
 @plan("T3", with_(more=SEARCH) + "SELECT phrase, doc_id, tf FROM hit")
 def trigram_search(t: Tables) -> DataFrame:
-    return X.phrase_hits(t.documents, "doc_id", phrases(t))
+    return X.phrase_hits(t.spread("documents", "doc_id"), "doc_id", phrases(t), X.postings(t.spread("documents", "doc_id"), "doc_id"))
 
 
 @plan("T3", with_(more=SEARCH + """, tot AS (SELECT count(*) AS n, avg(greatest(length(text) - 2, 0)) AS a FROM documents), f AS (SELECT phrase, count(*) AS df FROM hit GROUP BY 1)""") + """SELECT phrase, doc_id,
     round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * greatest(length(text) - 2, 0) / a)), 6) AS score FROM hit JOIN f USING (phrase), tot""")
 def bm25_rank(t: Tables) -> DataFrame:
-    hits = X.phrase_hits(t.documents, "doc_id", phrases(t))
-    return X.bm25(hits, t.documents, "doc_id").select("phrase", "doc_id", F.round("score", 6).alias("score"))
+    hits = X.phrase_hits(t.spread("documents", "doc_id"), "doc_id", phrases(t))
+    return X.bm25(hits, t.spread("documents", "doc_id"), "doc_id").select("phrase", "doc_id", F.round("score", 6).alias("score"))
 
 
 @plan("T4", f"""WITH q AS (SELECT item_id, string_split(trim(text), '') AS c FROM benchmark), co AS (SELECT string_split(text, '') AS c FROM conversations), sz AS (SELECT unnest(range(4, 11)) AS s),
@@ -149,7 +149,7 @@ INDEX = """dc AS (SELECT doc_id, source AS institution, lang AS kind, 1900 + CAS
 
 
 def index_documents(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", F.col("source").alias("institution"), F.col("lang").alias("kind"), (F.substring("source", 4, 9).cast("int") + 1900).alias("year"),
+    return t.spread("documents", "doc_id").select("doc_id", F.col("source").alias("institution"), F.col("lang").alias("kind"), (F.substring("source", 4, 9).cast("int") + 1900).alias("year"),
                               F.concat(F.lit("files/"), "source", F.lit("/"), "doc_id", F.lit(".txt")).alias("path"))
 
 
@@ -197,15 +197,15 @@ def coverage_summary(t: Tables) -> DataFrame:
 def index_statistics(t: Tables) -> DataFrame:
     one = lambda d, name, n, size: d.agg(n.cast("long").alias("n"), size.cast("long").alias("size")).select(F.lit(name).alias("tab"), "n", "size")
     rows = F.count(F.lit(1))
-    return (one(t.documents, "documents", rows, F.sum("n_chars")).unionByName(one(index_facts(t), "facts", rows, F.count("value")))
+    return (one(t.spread("documents", "doc_id"), "documents", rows, F.sum("n_chars")).unionByName(one(index_facts(t), "facts", rows, F.count("value")))
             .unionByName(one(index_documents(t), "sections", rows, F.count_distinct("institution")))
-            .unionByName(one(t.documents, "passages", F.sum(F.size(F.split("text", "\n"))), F.sum(F.length("text").cast("long")))))
+            .unionByName(one(t.spread("documents", "doc_id"), "passages", F.sum(F.size(F.split("text", "\n"))), F.sum(F.length("text").cast("long")))))
 
 
 @plan("T7", with_(more=SEARCH + ",\n" + INDEX) + """SELECT 'passage' AS kind, phrase AS subject, count(*) AS found FROM hit GROUP BY 2 UNION ALL SELECT 'fact', field, count(*) FROM fa WHERE institution = 'src3' AND year = 2000 GROUP BY 2
     UNION ALL SELECT 'section', kind, count(*) FROM dc WHERE institution = 'src3' GROUP BY 2""")
 def retrieve_summary(t: Tables) -> DataFrame:
-    p = X.phrase_hits(t.documents, "doc_id", phrases(t)).select(F.lit("passage").alias("kind"), F.col("phrase").alias("subject"))
+    p = X.phrase_hits(t.spread("documents", "doc_id"), "doc_id", phrases(t)).select(F.lit("passage").alias("kind"), F.col("phrase").alias("subject"))
     f = index_facts(t).where((F.col("institution") == "src3") & (F.col("year") == 2000)).select(F.lit("fact").alias("kind"), F.col("field").alias("subject"))
     s = index_documents(t).where(F.col("institution") == "src3").select(F.lit("section").alias("kind"), F.col("kind").alias("subject"))
     return p.unionByName(f).unionByName(s).groupBy("kind", "subject").agg(F.count(F.lit(1)).alias("found"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "tallyscope", master: str | None = None,
@@ -47,3 +48,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyscope-ckpt-"))
     return df.checkpoint()
+
+
+def counted_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """The short side of a join whose other side is an exploded text.
+
+    The planner's size estimate does not know how many rows an explode gives and could
+    broadcast the exploded side. So this side is materialised and counted: within the bound
+    it is broadcast, beyond it both sides are sorted and merged.
+    """
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept.hint("merge")
