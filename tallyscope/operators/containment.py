@@ -66,7 +66,7 @@ def contains_pairs(texts: DataFrame, text_id: str, text: str, names: DataFrame,
     # The classes in use are at most six small numbers.
     used = sorted(r["_w"] for r in names.where(F.length(name) > 0).select(_class_of(F.length(name)).alias("_w")).distinct().collect())
     if not used:
-        return texts.join(names, F.lit(False)).select(text_id, name_id)
+        return texts.where(F.lit(False)).select(text_id, F.lit(None).cast(names.schema[name_id].dataType).alias(name_id))
     cut = texts.select(F.col(text_id), F.explode(text_windows(F.col(text), used)).alias("_g"))
     found = cut.join(counted_side(anchors.select(name_id, "_g")), "_g").select(text_id, name_id).distinct()
     checked = (found.join(texts.select(text_id, F.col(text).alias("_text")), text_id)

@@ -89,9 +89,32 @@ def identity_ladder(sources: DataFrame, registry: DataFrame) -> DataFrame:
     return d.select("key", status.alias("status"), entity.alias("matched_entity"), "n_title", "n_entity", "n_core")
 
 
-def expand_siblings(rows: DataFrame, registry: DataFrame, entity: str = "entity") -> DataFrame:
-    """One row per registry id of the row's entity."""
-    return rows.join(registry.select(F.col("entity").alias(entity), F.col("id").alias("sibling_id")), entity)
+def sibling_sets(registry: DataFrame) -> DataFrame:
+    """Per entity: number of registry ids, the first and last, and an order-free fingerprint.
+
+    The ids themselves stay in the registry table (entity, id): an event refers to its whole
+    sibling set through the entity, and nobody multiplies events by siblings.
+    """
+    return registry.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n_siblings"), F.min("id").alias("first_id"), F.max("id").alias("last_id"),
+        F.sum(F.xxhash64("id").cast("decimal(38,0)")).cast("string").alias("fingerprint"))
+
+
+def with_siblings(rows: DataFrame, registry: DataFrame) -> DataFrame:
+    """Rows with their entity's sibling set; an unknown entity is left out (see the violations)."""
+    return rows.join(sibling_sets(registry), "entity")
+
+
+def candidate_links(actions: DataFrame, penalties: DataFrame, registry: DataFrame) -> DataFrame:
+    """Per action the sanctions of its sibling set: count, first and last record.
+
+    A candidate only: nothing says it is the same event. The sanctions are counted per
+    entity first, so an entity of any size adds one row to the join.
+    actions: action, entity; penalties: rec, id
+    """
+    per = penalties.join(registry.select("id", "entity"), "id").groupBy("entity").agg(
+        F.count(F.lit(1)).alias("n_candidates"), F.min("rec").alias("first_penalty"), F.max("rec").alias("last_penalty"))
+    return actions.join(per, "entity")
 
 
 def sibling_violations(claimed: DataFrame, registry: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions import fixed
@@ -86,13 +86,11 @@ def peer_scores(scored: DataFrame, row_keys: Sequence[str], top: int = 3) -> Dat
 def yearly_changes(long: DataFrame, entity: str, year: str) -> DataFrame:
     """Change of every feature from the preceding available year of the whole panel.
 
-    A panel has few distinct years, so the year pairs are a small table; the change is
-    an equality join on (entity, feature, earlier year).
+    The window runs over the distinct years of the panel, a handful of rows; the change
+    itself is an equality join on (entity, feature, earlier year).
     """
-    years = long.select(F.col(year).alias("_y")).distinct()
-    pairs = (long.select(F.col(year).alias("_z")).distinct()
-             .join(years, F.col("_y") < F.col("_z")).groupBy("_z").agg(F.max("_y").alias("_p")))
-    now = long.join(pairs, F.col(year) == F.col("_z")).drop("_z")
+    years = long.select(F.col(year).alias("_z")).distinct().withColumn("_p", F.lag("_z").over(Window.orderBy("_z")))
+    now = long.join(years.where(F.col("_p").isNotNull()), F.col(year) == F.col("_z")).drop("_z")
     earlier = long.select(F.col(entity).alias("_e"), F.col("feature").alias("_f"),
                           F.col(year).alias("_py"), F.col("value").alias("_pv"))
     return (now.join(earlier, (F.col(entity) == F.col("_e")) & (F.col("feature") == F.col("_f"))

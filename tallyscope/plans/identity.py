@@ -178,13 +178,12 @@ def identity_ladder(t: Tables) -> DataFrame:
     return I.identity_ladder(src, rg)
 
 
-@plan("J6", """SELECT o_orderkey AS rec, c2.c_custkey AS sibling_id FROM orders JOIN customer c1 ON c1.c_custkey = o_custkey JOIN customer c2 ON c2.c_nationkey = c1.c_nationkey AND c2.c_mktsegment = c1.c_mktsegment
-    WHERE o_orderpriority LIKE '1%' AND o_orderstatus = 'P'""")
+@plan("J6", with_("inst", more="g AS (SELECT operator AS entity, count(*) AS n_siblings, min(id) AS first_id, max(id) AS last_id FROM inst GROUP BY 1)")
+      + "SELECT o_orderkey AS rec, g.* FROM orders JOIN inst ON id = o_custkey JOIN g ON g.entity = operator")
 def sibling_expansion(t: Tables) -> DataFrame:
     reg = R.institutions(t).select("id", F.col("operator").alias("entity"))
-    rows = t.orders.where(F.col("o_orderpriority").startswith("1") & (F.col("o_orderstatus") == "P")).join(
-        reg, F.col("o_custkey") == F.col("id")).select(F.col("o_orderkey").alias("rec"), "entity")
-    return I.expand_siblings(rows, reg).select("rec", "sibling_id")
+    rows = t.orders.join(reg, F.col("o_custkey") == F.col("id")).select(F.col("o_orderkey").alias("rec"), "entity")
+    return I.with_siblings(rows, reg).drop("fingerprint")
 
 
 @plan("J6", with_("inst", more="cl AS (SELECT town AS key, operator AS entity, id FROM inst WHERE capacity > -900)")
@@ -195,15 +194,13 @@ def sibling_violations(t: Tables) -> DataFrame:
     return I.sibling_violations(claimed, reg.select("id", "entity")).distinct()
 
 
-@plan("J7 J19", with_("inst", "pen") + """SELECT a.rec AS action, p.rec AS penalty FROM (SELECT pen.rec, pen.date, inst.operator FROM pen JOIN inst USING (id) WHERE severity = 5 AND role = 'P') a
-    JOIN inst i ON i.operator = a.operator JOIN pen p ON p.id = i.id WHERE p.severity = 5 AND p.role = 'O' AND p.date = a.date""")
+@plan("J7", with_("inst", "pen", more="g AS (SELECT operator AS entity, count(*) AS n_candidates, min(rec) AS first_penalty, max(rec) AS last_penalty FROM pen JOIN inst USING (id) WHERE role <> 'P' GROUP BY 1)")
+      + "SELECT p.rec AS action, g.* FROM pen p JOIN inst i ON i.id = p.id JOIN g ON g.entity = i.operator WHERE p.role = 'P'")
 def candidate_links(t: Tables) -> DataFrame:
-    inst, pen = R.institutions(t).select("id", "operator"), R.sanctions(t).where(F.col("severity") == 5)
-    known = pen.join(inst, "id")
-    # The shared day and the operator form one key, so no operator is paired as a whole.
-    a = known.where(F.col("role") == "P").select(F.col("rec").alias("action"), "operator", "date")
-    p = known.where(F.col("role") == "O").select(F.col("rec").alias("penalty"), "operator", "date")
-    return a.join(p, ["operator", "date"]).select("action", "penalty")
+    inst = R.institutions(t).select("id", F.col("operator").alias("entity"))
+    pen = R.sanctions(t)
+    actions = pen.where(F.col("role") == "P").join(inst, "id").select(F.col("rec").alias("action"), "entity")
+    return I.candidate_links(actions, pen.where(F.col("role") != "P").select("rec", "id"), inst)
 
 
 @plan("J8", """WITH aw AS (SELECT o_orderkey AS award, o_custkey AS entity, CASE o_orderstatus WHEN 'F' THEN '財團法人Op' || (o_custkey % 7) WHEN 'O' THEN 'Op' || (o_custkey % 7) ELSE 'Op' END AS supplier,
