@@ -46,6 +46,15 @@ def log_choose(n: Column, k: Column) -> Column:
     return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
+def normal_tail(z: Column) -> Column:
+    """P(Z > z) of the standard normal (rational approximation, error below 1e-7)."""
+    a = F.abs(z)
+    t = 1 / (1 + 0.2316419 * a)
+    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    upper = F.exp(-a * a / 2) / F.sqrt(2 * F.pi()) * poly
+    return F.when(z >= 0, upper).otherwise(1 - upper)
+
+
 def byar_limits(observed: Column, expected: Column) -> tuple[Column, Column]:
     """Byar's approximate 95 % limits of an observed / expected ratio (z taken as 3·⅓)."""
     o = observed.cast("double")

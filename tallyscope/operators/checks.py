@@ -287,3 +287,26 @@ def identity_status(lhs: Column, rhs: Column, tol: float = fixed.MONEY_TOL, requ
     """passed / failed within tolerance, skipped when an operand is missing (failed if required)."""
     return (F.when(lhs.isNull() | rhs.isNull(), "failed" if required else "skipped")
             .when(F.abs(lhs - rhs) <= tol, "passed").otherwise("failed"))
+
+
+def compliance_summary(checks: DataFrame, targets: DataFrame, prefer_matched: bool = True) -> DataFrame:
+    """Per institution: years checked, latest year, failures, and the finding to quote.
+
+    checks: code, year, rule, passed, severity; targets: code, year, id, matched. With
+    ``prefer_matched`` a report with operator-matched ids counts for those only. The quoted
+    finding is from the newest year that failed, the highest severity first. Checks are
+    folded to one row per report before they meet the ids.
+    """
+    failed = F.coalesce(~F.col("passed"), F.lit(False))
+    weight = F.when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).otherwise(1)
+    report = checks.groupBy("code", "year").agg(
+        F.count_if(failed).alias("_f"), F.count_if(failed & (F.col("severity") == "high")).alias("_h"),
+        F.max(F.when(failed, F.struct("year", weight.alias("w"), "code", "rule"))).alias("_top"))
+    t = targets
+    if prefer_matched:
+        any_ = targets.groupBy("code", "year").agg(F.max(F.col("matched").cast("int")).alias("_any"))
+        t = targets.join(any_, ["code", "year"]).where(F.col("matched") | (F.col("_any") == 0))
+    return report.join(t, ["code", "year"]).groupBy("id").agg(
+        F.count_distinct("year").alias("years_checked"), F.max("year").alias("latest_year"),
+        F.sum("_f").alias("failed_total"), F.sum("_h").alias("failed_high"), F.max("_top").alias("_t")).withColumn(
+        "top_finding", F.when(F.col("_t").isNotNull(), F.concat_ws(" ", "_t.year", "_t.rule"))).drop("_t")

@@ -4,37 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions import columns as C
 from tallyscope.functions import fixed
 from tallyscope.operators.containment import contains_pairs
+from tallyscope.session import cut_lineage
 
 
 def crosswalk(reports: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(status per report, candidate pairs) of reports against registry titles.
+    """(status per report, candidate rows per short name) of reports against registry titles.
 
-    A candidate is a registry row whose title contains the report's short name. Counts and
-    extremes come from one aggregate; the candidates stay a long table instead of an array
-    because one name may match any number of rows.
-    reports: key, short_name, operator, contract_period, school_year, capacity
+    A candidate is a registry row whose title contains the report's short name. Candidates
+    are counted per short name, operators are compared as distinct names, and the nearest
+    capacity is read from the distinct capacities, so reports are never multiplied by
+    candidates. reports: key, short_name, operator, contract_period, school_year, capacity
     registry: id, title, entity, operator, capacity
     """
     names = reports.select("short_name").distinct().withColumn("_sid", F.xxhash64("short_name"))
     pairs = contains_pairs(registry.select("id", "title"), "id", "title", names, "_sid", "short_name")
-    pairs = pairs.join(names, "_sid").select("short_name", "id")
-    r = registry.select("id", "entity", F.col("operator").alias("reg_operator"), F.col("capacity").alias("reg_capacity"))
-    cand = (reports.select("key", "short_name", "operator", "capacity")
-            .join(pairs, "short_name").join(r, "id")
-            .withColumn("operator_ok", F.coalesce(C.same_operator(F.col("operator"), F.col("reg_operator")), F.lit(False))))
-    agg = cand.groupBy("key").agg(
+    cand = pairs.join(names, "_sid").join(registry.drop("title"), "id").drop("_sid")
+    cand = cut_lineage(cand.select("short_name", "id", "entity", F.col("operator").alias("_op"), F.col("capacity").alias("_cap")))
+    counts = cand.groupBy("short_name").agg(
         F.count(F.lit(1)).alias("n_candidates"),
-        F.count_distinct(F.when(F.col("entity") != "", F.col("entity"))).alias("n_entities"),
-        F.count_if("operator_ok").alias("n_operator"),
-        F.min("entity").alias("_entity"),
-        F.min(F.abs(F.col("reg_capacity") - F.col("capacity"))).alias("capacity_gap"))
-    d = reports.join(agg, "key", "left").na.fill(0, ["n_candidates", "n_entities", "n_operator"])
+        F.count_distinct(F.when(F.col("entity") != "", F.col("entity"))).alias("n_entities"), F.min("entity").alias("_entity"))
+    offered = cand.groupBy("short_name", "_op").agg(F.count(F.lit(1)).alias("_n"))
+    asked = reports.select("short_name", "operator").where(F.col("operator").isNotNull()).distinct()
+    operators = (asked.join(offered, "short_name").where(C.same_operator(F.col("operator"), F.col("_op")))
+                 .groupBy("short_name", "operator").agg(F.sum("_n").alias("n_operator")))
+    gaps = nearest_gap(reports.select("short_name", "capacity"), cand.select("short_name", "_cap"))
+    d = (reports.join(counts, "short_name", "left").join(operators, ["short_name", "operator"], "left")
+         .join(gaps, ["short_name", "capacity"], "left").na.fill(0, ["n_candidates", "n_entities", "n_operator"]))
     covered = C.covers_school_year(F.col("contract_period"), F.col("school_year"))
     status = (F.when(F.col("n_entities") == 0, "no_entity").when(F.col("n_entities") > 1, "ambiguous_entity")
               .when(F.col("n_operator") == 0, "operator_unmatched")
@@ -42,7 +43,23 @@ def crosswalk(reports: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataF
     out = d.select("key", "short_name", "n_candidates", "n_entities", "n_operator",
                    F.when(F.col("n_entities") == 1, F.col("_entity")).alias("entity"),
                    covered.alias("covered"), "capacity_gap", status.alias("status"))
-    return out, cand.select("key", "id", "entity", "operator_ok")
+    return out, cand.select("short_name", "id", "entity")
+
+
+def nearest_gap(asked: DataFrame, offered: DataFrame) -> DataFrame:
+    """Distance of each asked capacity to the nearest offered one of the same short name.
+
+    Both sides are reduced to distinct capacities; the line of a name is as long as the
+    number of different capacities, not of rows.
+    """
+    a = asked.where(F.col("capacity").isNotNull()).distinct().select("short_name", F.col("capacity").alias("_x"), F.lit(None).cast("double").alias("_o"))
+    o = offered.where(F.col("_cap").isNotNull()).distinct().select(
+        "short_name", F.col("_cap").alias("_x"), F.col("_cap").cast("double").alias("_o"))
+    line = Window.partitionBy("short_name").orderBy("_x")
+    low = F.max("_o").over(line.rangeBetween(Window.unboundedPreceding, 0))
+    high = F.min("_o").over(line.rangeBetween(0, Window.unboundedFollowing))
+    d = a.unionByName(o).withColumns({"_low": low, "_high": high}).where(F.col("_o").isNull())
+    return d.select("short_name", F.col("_x").alias("capacity"), F.least(F.col("_x") - F.col("_low"), F.col("_high") - F.col("_x")).alias("capacity_gap"))
 
 
 def crosswalk_problems(status: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -54,8 +71,8 @@ def crosswalk_problems(status: DataFrame, candidates: DataFrame) -> DataFrame:
         F.lit("duplicate_key").alias("problem"), F.col("key").cast("string").alias("subject"))
     open_ = status.where(F.col("status") != "matched").select(
         F.lit("not_matched").alias("problem"), F.col("key").cast("string").alias("subject"))
-    prints = candidates.groupBy("key").agg(F.min("entity").alias("entity"), F.count(F.lit(1)).alias("c"),
-                                           F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"))
+    prints = candidates.groupBy("short_name").agg(F.min("entity").alias("entity"), F.count(F.lit(1)).alias("c"),
+                                                  F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h"))
     mixed = prints.groupBy("entity").agg(F.count_distinct(F.struct("c", "h")).alias("v")).where("v > 1").select(
         F.lit("inconsistent_siblings").alias("problem"), F.col("entity").alias("subject"))
     return twice.unionByName(open_).unionByName(mixed)
@@ -165,31 +182,31 @@ def attribute_texts(texts: DataFrame, institutions: DataFrame, other_places: Seq
     texts: text_id, text. institutions: id, title, core, town. A full title counts by itself; a
     distinctive core only directly before a facility word or in quotes. More than one id, or
     another city without the institution's town in the text, means no attribution.
+
+    Institutions are counted per name first, so a name that many share costs one row per text.
     """
     t = texts.select("text_id", F.trim(F.regexp_replace("text", fixed.PUBLISHER_TAIL, "")).alias("text"))
-    inst = institutions.select("id", "title", "town", F.when(
-        (F.length("core") >= 2) & ~F.col("core").isin(*districts), F.col("core")).alias("core"))
-    full = contains_pairs(t, "text_id", "text", inst.where(F.col("title") != ""), "id", "title").withColumn("is_full", F.lit(1))
-    cores = inst.where(F.col("core").isNotNull()).groupBy("core").agg(F.count(F.lit(1)).alias("_n")).withColumn("_cid", F.xxhash64("core"))
-    near = contains_pairs(t, "text_id", "text", cores, "_cid", "core")
-    near = near.join(cores.select("_cid", "core"), "_cid").join(t, "text_id")
-    quoted = F.concat(F.lit("\\Q"), F.col("core"), F.lit("\\E"))
+    who = [F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.max("id").alias("_last"), F.min("town").alias("town")]
+    titles = institutions.where(F.coalesce("title", F.lit("")) != "").groupBy(F.col("title").alias("name")).agg(*who)
+    cores = institutions.where((F.length("core") >= 2) & ~F.col("core").isin(*districts)).groupBy(F.col("core").alias("name")).agg(*who)
+    titles, cores = (cut_lineage(d.withColumn("_nid", F.xxhash64("name"))) for d in (titles, cores))
+    full = contains_pairs(t, "text_id", "text", titles, "_nid", "name").join(titles, "_nid").withColumn("is_full", F.lit(1))
+    near = contains_pairs(t, "text_id", "text", cores, "_nid", "name").join(cores, "_nid").join(t, "text_id")
+    quoted = F.concat(F.lit("\\Q"), F.col("name"), F.lit("\\E"))
     named = F.regexp_like(F.col("text"), F.concat(quoted, F.lit(r"\s*(?:" + "|".join(fixed.FACILITY_WORDS) + ")"))) | F.regexp_like(
         F.col("text"), F.concat(F.lit("[「『\"]"), quoted, F.lit("[」』\"]")))
-    near = near.where(named).select("text_id", "core").join(inst, "core").select("text_id", "id", F.lit(0).alias("is_full"))
-    hits = full.unionByName(near).groupBy("text_id", "id").agg(F.max("is_full").alias("is_full"))
-    hits = hits.join(inst, "id").withColumn("name", F.when(F.col("is_full") == 1, F.col("title")).otherwise(F.col("core")))
-    per = hits.groupBy("text_id").agg(
-        F.count(F.lit(1)).alias("n_ids"), F.min("id").alias("_id"), F.min("name").alias("_name"),
-        F.min("town").alias("_town"), F.min("is_full").alias("_full"))
+    near = near.where(named).drop("text").withColumn("is_full", F.lit(0))
+    per = full.unionByName(near).groupBy("text_id").agg(
+        ((F.max("n") > 1) | (F.min("id") != F.max("_last"))).alias("_many"), F.min("id").alias("_id"),
+        F.min("town").alias("_town"), F.max("is_full").alias("_full"))
     scanned = F.replace(F.col("text"), F.lit(own_city), F.lit(""))
     other = F.coalesce(*[F.when(scanned.contains(p), F.lit(p)) for p in other_places])
     d = t.join(per, "text_id", "left").withColumn("_other", other)
     town = F.replace(F.coalesce("_town", F.lit("")), F.lit("區"), F.lit(""))
     near_town = (town != "") & F.col("text").contains(town)
-    ok = (F.col("n_ids") == 1) & (F.col("_other").isNull() | near_town)
-    basis = (F.when(F.col("n_ids").isNull(), F.when(F.col("_other").isNotNull(), "other_city").otherwise("no_name"))
-             .when(F.col("n_ids") > 1, "ambiguous").when(~ok, "other_city_uncorroborated")
+    ok = F.coalesce(~F.col("_many"), F.lit(False)) & (F.col("_other").isNull() | near_town)
+    basis = (F.when(F.col("_many").isNull(), F.when(F.col("_other").isNotNull(), "other_city").otherwise("no_name"))
+             .when(F.col("_many"), "ambiguous").when(~ok, "other_city_uncorroborated")
              .when(F.col("_full") == 1, "full_title").otherwise("distinctive_name"))
     return d.select("text_id", F.when(ok, F.col("_id")).alias("institution_id"), basis.alias("basis"),
                     F.when(ok, near_town).otherwise(F.lit(False)).alias("town_corroborated"))

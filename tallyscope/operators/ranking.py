@@ -146,6 +146,7 @@ def rank_auc(df: DataFrame, value: Column, label: str, groups: Sequence[str] = (
     return (agg.withColumn("u", F.when(both, u)).withColumn("auc", F.when(both, u / (p * q)))
             .withColumn("rank_biserial", F.when(both, 2 * u / (p * q) - 1))
             .withColumn("z", F.when(both & (spread > 0), (F.abs(u - p * q / 2) - 0.5) / spread))
+            .withColumn("p", F.least(F.lit(1.0), 2 * C.normal_tail(F.col("z"))))
             .drop("_r", "_t"))
 
 
@@ -161,19 +162,28 @@ def two_by_two(df: DataFrame, flag: str, label: str, groups: Sequence[str] = (),
         F.count_if(F.col(flag) == 0).alias("m"), F.count_if((F.col(flag) == 0) & (F.col(label) == 1)).alias("_hb"))
     enough = (F.col("n") >= min_arm) & (F.col("m") >= min_arm)
     rate, base = F.col("hits") / F.col("n"), F.col("_hb") / F.col("m")
+    odds = C.ratio(F.col("hits") * (F.col("m") - F.col("_hb")), (F.col("n") - F.col("hits")) * F.col("_hb"))
     p = hypergeometric_tail(F.col("n") + F.col("m"), F.col("hits") + F.col("_hb"), F.col("n"), F.col("hits"))
     return d.where(enough).withColumn("rate", rate).withColumn("base", base).withColumn(
-        "lift", C.ratio(rate, base)).withColumn("p", p).drop("_hb")
+        "lift", C.ratio(rate, base)).withColumn("odds_ratio", odds).withColumn("p", p).drop("_hb")
 
 
 def hypergeometric_tail(population: Column, marked: Column, drawn: Column, seen: Column) -> Column:
-    """P(X >= seen) when ``drawn`` of ``population`` are taken and ``marked`` carry the mark."""
+    """P(X >= seen) when ``drawn`` of ``population`` are taken and ``marked`` carry the mark.
+
+    Exact up to 100,000 terms; longer sums use the normal approximation with continuity
+    correction, whose error is then far below any reporting precision.
+    """
     low = F.greatest(seen, drawn + marked - population, F.lit(0))
     top = F.least(marked, drawn)
     total = C.log_choose(population, drawn)
     # The ratio of neighbouring terms is a fraction, so the sum needs one logarithm.
     first = F.exp(C.log_choose(marked, low) + C.log_choose(population - marked, drawn - low) - total)
-    steps = F.sequence(low, F.greatest(top, low))
+    terms = 100_000
+    steps = F.sequence(low, F.least(F.greatest(top, low), low + terms))
+    n, m, k = population.cast("double"), marked.cast("double"), drawn.cast("double")
+    mean = k * m / n
+    deviation = F.sqrt(k * m / n * (n - m) / n * (n - k) / (n - 1))
     start = F.struct(F.lit(0.0).alias("s"), first.alias("t"))
     folded = F.aggregate(
         steps, start,
@@ -182,7 +192,8 @@ def hypergeometric_tail(population: Column, marked: Column, drawn: Column, seen:
             (acc["t"] * (marked - i) * (drawn - i) / ((i + 1) * (population - marked - drawn + i + 1))
              ).alias("t")),
         lambda acc: acc["s"])
-    return F.when(low > top, 0.0).otherwise(F.least(folded, F.lit(1.0)))
+    return (F.when(low > top, 0.0).when(top - low > terms, C.normal_tail((seen - 0.5 - mean) / deviation))
+            .otherwise(F.least(folded, F.lit(1.0))))
 
 
 def signal_verdict(name: Column, lift: Column, p: Column, scored: Sequence[str]) -> Column:
@@ -191,3 +202,31 @@ def signal_verdict(name: Column, lift: Column, p: Column, scored: Sequence[str])
             .when(name.isin(*scored), "scored")
             .when((lift >= 1.5) & (p < 0.1), "candidate")
             .when(lift < 1.0, "disproven").otherwise("context"))
+
+
+def class_medians(df: DataFrame, value: Column, label: str, groups: Sequence[str] = (), **kw) -> DataFrame:
+    """Median of a feature for either class, next to each other."""
+    names = list(groups)
+    m = O.medians(df, value, [*names, label], "m", **kw)
+    pick = lambda v: F.max(F.when(F.col(label) == v, F.col("m")))
+    return m.groupBy(*names).agg(pick(1).alias("median_pos"), pick(0).alias("median_neg"))
+
+
+def lead_time(findings: DataFrame, penalties: DataFrame) -> DataFrame:
+    """Sanctions before and after each observable date, without pairing them one by one.
+
+    The sanctions of an id are first counted per day; a running window per id then gives
+    every observable date its counts and next date. The line of an id is as long as its
+    days, not its records. findings: id, obs, ...; penalties: id, date
+    """
+    days = penalties.groupBy("id", "date").agg(F.count(F.lit(1)).alias("c"))
+    marks = findings.groupBy("id", "obs").agg(F.lit(0).cast("long").alias("c")).select(
+        "id", F.date_sub("obs", 1).alias("date"), "c", "obs")
+    line = days.select("id", "date", "c", F.lit(None).cast("date").alias("obs")).unionByName(marks).withColumn("_d", F.unix_date("date"))
+    step = Window.partitionBy("id").orderBy("_d")
+    upto, after = step.rangeBetween(Window.unboundedPreceding, 0), step.rangeBetween(1, Window.unboundedFollowing)
+    line = line.withColumns({
+        "n_prior": F.sum("c").over(upto), "n_after": F.coalesce(F.sum("c").over(after), F.lit(0)),
+        "first_after": F.min(F.when(F.col("obs").isNull(), F.col("date"))).over(after)})
+    at = line.where(F.col("obs").isNotNull()).select("id", "obs", "n_prior", "n_after", "first_after")
+    return findings.join(at, ["id", "obs"]).withColumn("lead_days", F.datediff("first_after", "obs"))

@@ -97,19 +97,14 @@ def rule_tally(t: Tables) -> DataFrame:
     return K.rule_tally(policy_checks(t))
 
 
-@plan("A12", with_(more=",\n".join([PAIRS, STATEMENT, POLICY])) + """SELECT o_custkey AS id, count(DISTINCT year) AS years_checked, max(year) AS latest_year,
+@plan("A12", with_(more=",\n".join([PAIRS, STATEMENT, POLICY]) + """, tg AS (SELECT o_orderkey AS code, o_custkey AS id FROM orders UNION ALL SELECT o_orderkey, -1 - o_custkey FROM orders WHERE o_orderstatus = 'P')""") + """SELECT tg.id, count(DISTINCT year) AS years_checked, max(year) AS latest_year,
     count(*) FILTER (passed = false) AS failed_total, count(*) FILTER (passed = false AND severity = 'high') AS failed_high,
-    arg_max(year || ' ' || rule, (year, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END, code, rule)) FILTER (passed = false) AS top_finding
-    FROM ck JOIN orders ON o_orderkey = code GROUP BY o_custkey""")
+    arg_max(year || ' ' || rule, (year, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END, tg.code, rule)) FILTER (passed = false) AS top_finding
+    FROM ck JOIN tg ON tg.code = ck.code GROUP BY tg.id""")
 def compliance_summary(t: Tables) -> DataFrame:
-    ck = policy_checks(t).join(t.orders.select(F.col("o_orderkey").alias("code"), F.col("o_custkey").alias("id")), "code")
-    failed = F.coalesce(~F.col("passed"), F.lit(False))
-    weight = F.when(F.col("severity") == "high", 3).when(F.col("severity") == "medium", 2).otherwise(1)
-    order = F.struct("year", weight.alias("w"), "code", "rule")
-    return ck.groupBy("id").agg(
-        F.count_distinct("year").alias("years_checked"), F.max("year").cast("long").alias("latest_year"),
-        F.count_if(failed).alias("failed_total"), F.count_if(failed & (F.col("severity") == "high")).alias("failed_high"),
-        F.max_by(F.when(failed, F.concat_ws(" ", "year", "rule")), F.when(failed, order)).alias("top_finding"))
+    o = t.orders.select(F.col("o_orderkey").alias("code"), F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("id"), (F.col("o_orderstatus") != "P").alias("matched"))
+    targets = o.unionByName(o.select("code", "year", (-1 - F.col("id")).alias("id"), F.lit(False).alias("matched")))
+    return K.compliance_summary(policy_checks(t), targets).withColumn("latest_year", F.col("latest_year").cast("long"))
 
 
 @plan("W9", with_("panel", more="""g AS (SELECT entity, year, open_qty * 100 AS asset, CASE WHEN n_lines > 90 THEN NULL ELSE qty * 50 END AS liability FROM panel),

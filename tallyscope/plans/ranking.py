@@ -116,6 +116,11 @@ def univariate_separation(t: Tables) -> DataFrame:
     return got.select("kind", "n_pos", "n_neg", "u", *[F.round(c, 6).alias(c) for c in ("auc", "rank_biserial", "z")])
 
 
+@plan("M7", with_("inst", "pen", more=",\n".join([SCORED, RANKED, LABELLED])) + """SELECT kind, median(score) FILTER (label = 1) AS median_pos, median(score) FILTER (label = 0) AS median_neg FROM lb GROUP BY kind""")
+def class_medians(t: Tables) -> DataFrame:
+    return K.class_medians(labelled(t), F.col("score"), "label", ["kind"])
+
+
 @plan("W20", with_("inst", "pen", more=",\n".join([SCORED, RANKED, LABELLED])) + """SELECT n_pos, n_neg, round((r - n_pos * (n_pos + 1) / 2) / (n_pos * n_neg), 6) AS auc
     FROM (SELECT count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg, sum(CASE WHEN label = 1 THEN ar END) AS r
     FROM (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2 AS ar FROM lb))""")
@@ -135,14 +140,14 @@ FISHER = """lf AS (SELECT list_sum([ln(i) FOR i IN range(1, x + 1)]) AS v, x FRO
 
 
 @plan("M5 M6", with_("inst", "pen", more=",\n".join([SCORED, RANKED, LABELLED, FISHER])) + """SELECT t.kind, n, hits, m,
-    round(hits / n, 6) AS rate, round(hb / m, 6) AS base, round((hits / n) / nullif(hb / m, 0), 6) AS lift, round(p, 6) AS p,
+    round(hits / n, 6) AS rate, round(hb / m, 6) AS base, round((hits / n) / nullif(hb / m, 0), 6) AS lift, round(hits * (m - hb) / nullif((n - hits) * hb, 0), 6) AS odds_ratio, round(p, 6) AS p,
     CASE WHEN (hits / n) / nullif(hb / m, 0) >= 1.5 AND p < 0.1 THEN 'candidate' WHEN (hits / n) / nullif(hb / m, 0) < 1 THEN 'disproven'
     ELSE 'context' END AS verdict FROM t JOIN pt ON t.kind = pt.kind WHERE n >= 5 AND m >= 5""")
 def flagged_lift_fisher(t: Tables) -> DataFrame:
     d = labelled(t).withColumn("flag", (F.col("prior") >= 9).cast("int"))
     got = K.two_by_two(d, "flag", "label", ["kind"])
     got = got.withColumn("verdict", K.signal_verdict(F.lit("prior_9plus"), F.col("lift"), F.col("p"), ["new_school"]))
-    return got.select("kind", "n", "hits", "m", *[F.round(c, 6).alias(c) for c in ("rate", "base", "lift", "p")], "verdict")
+    return got.select("kind", "n", "hits", "m", *[F.round(c, 6).alias(c) for c in ("rate", "base", "lift", "odds_ratio", "p")], "verdict")
 
 
 @plan("A35", with_("inst", "pen", more=",\n".join([SCORED, RANKED, LABELLED])) + """SELECT town, count(*) AS n, CAST(sum(label) AS BIGINT) AS hit,
@@ -235,29 +240,7 @@ def lead_days(t: Tables) -> DataFrame:
     pen = R.sanctions(t)
     findings = pen.where(F.col("severity") == 5).select(
         "id", "role", F.make_date(F.year("date") + 1, F.lit(7), F.lit(1)).alias("obs")).distinct()
-    return lead_time(findings.where(F.col("obs") <= H.day("2001-08-01")), pen)
-
-
-def lead_time(findings: DataFrame, pen: DataFrame) -> DataFrame:
-    """Sanctions before and after each observable date, without pairing them one by one.
-
-    The sanctions of an id are first counted per day; a running window per id then gives
-    every observable date its counts and next date.
-    """
-    from pyspark.sql import Window
-    days = pen.groupBy("id", "date").agg(F.count(F.lit(1)).alias("c"))
-    marks = findings.groupBy("id", "obs").agg(F.lit(0).cast("long").alias("c")).select(
-        "id", F.date_sub("obs", 1).alias("date"), "c", F.col("obs"))
-    line = days.select("id", "date", "c", F.lit(None).cast("date").alias("obs")).unionByName(marks)
-    step = Window.partitionBy("id").orderBy("date")
-    upto = step.rangeBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy("id").orderBy(F.col("_d")).rangeBetween(1, Window.unboundedFollowing)
-    line = line.withColumn("_d", F.unix_date("date"))
-    line = line.withColumn("n_prior", F.sum("c").over(upto)).withColumn(
-        "n_after", F.coalesce(F.sum("c").over(after), F.lit(0))).withColumn(
-        "first_after", F.min(F.when(F.col("obs").isNull(), F.col("date"))).over(after))
-    at = line.where(F.col("obs").isNotNull()).select("id", "obs", "n_prior", "n_after", "first_after")
-    return findings.join(at, ["id", "obs"]).withColumn("lead_days", F.datediff("first_after", "obs"))
+    return K.lead_time(findings.where(F.col("obs") <= H.day("2001-08-01")), pen)
 
 
 @plan("W10", with_("pen", more="y AS (SELECT id, year(date) AS yr, count(*) AS n, max(severity) AS sev FROM pen GROUP BY 1, 2)")

@@ -161,21 +161,7 @@ def index_facts(t: Tables) -> DataFrame:
 @plan("T6 J26", with_(more=INDEX) + """SELECT fa.doc_id, fa.year, field, value, value IS NULL AS is_blank, coalesce(regexp_extract(path, '[^/]+$') || ' p.' || page, 'p.' || page) AS citation FROM fa LEFT JOIN dc ON dc.doc_id = fa.doc_id
     WHERE contains(fa.institution, 'src1') AND fa.year = 1999 AND field = 'A'""")
 def find_facts(t: Tables) -> DataFrame:
-    return facts_with_citation(index_facts(t), index_documents(t), institution="src1", year=1999, field="A").select("doc_id", "year", "field", "value", "is_blank", "citation")
-
-
-def facts_with_citation(facts: DataFrame, docs: DataFrame, institution: str | None = None, year: int | None = None, field: str | None = None) -> DataFrame:
-    """Facts with their source file; optional predicates; a NULL value is reported as blank."""
-    d = facts
-    if institution is not None:
-        d = d.where(F.col("institution").contains(institution))
-    if year is not None:
-        d = d.where(F.col("year") == year)
-    if field is not None:
-        d = d.where(F.col("field").contains(field))
-    d = d.join(docs.select("doc_id", "path"), "doc_id", "left")
-    page = F.concat(F.lit("p."), F.col("page").cast("string"))
-    return d.withColumn("is_blank", F.col("value").isNull()).withColumn("citation", F.concat_ws(" ", F.element_at(F.split("path", "/"), -1), page))
+    return X.facts_with_citation(index_facts(t), index_documents(t), institution="src1", year=1999, field="A").select("doc_id", "year", "field", "value", "is_blank", "citation")
 
 
 @plan("T6", with_(more=INDEX) + "SELECT doc_id, institution, year, kind FROM dc WHERE contains(institution, 'src1') AND kind = 'en' ORDER BY year DESC, doc_id LIMIT 50")

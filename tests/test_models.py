@@ -85,3 +85,14 @@ def test_live_point_has_no_hits(spark, small):
     d = M.walk_forward(lambda y: frame_at(t, min(y, 2001)), lambda f, a, b: labelled(t, f, min(a, 1999), min(b, 2001)), [2002],
                        ["n_penalties_prior", "capacity"], 2, "2001-08-01", 2)
     assert d.where("hit is not null").count() == 0
+
+
+def test_normal_tail_and_large_fisher(spark):
+    from tallyscope.functions import columns as C
+    zs = [-2.5, 0.0, 0.7, 3.1]
+    got = spark.createDataFrame([(z,) for z in zs], "z double").select(C.normal_tail(F.col("z")).alias("p")).collect()
+    assert [r["p"] for r in got] == pytest.approx([0.5 * math.erfc(z / math.sqrt(2)) for z in zs], abs=1e-7)
+    big = spark.createDataFrame([(10_000_000, 3_000_000, 2_000_000, 601_000)], "n long, m long, k long, x long")
+    p = big.select(K.hypergeometric_tail(F.col("n"), F.col("m"), F.col("k"), F.col("x")).alias("p")).first()["p"]
+    sd = math.sqrt(2e6 * 0.3 * 0.7 * 8e6 / (1e7 - 1))
+    assert p == pytest.approx(0.5 * math.erfc((601_000 - 0.5 - 600_000) / sd / math.sqrt(2)), abs=1e-6)
