@@ -298,7 +298,7 @@ SLACK = """sl AS (SELECT l_suppkey AS code, year(l_shipdate) AS year, l_returnfl
     ss AS (SELECT *, CASE WHEN d IS NULL THEN 'no_protected_row' WHEN ov = 0 THEN 'no_overspend' WHEN ov <= un THEN 'absorbable' ELSE 'exceeds_slack' END AS state FROM sk)"""
 
 
-@plan("R4", with_(more=SLACK) + "SELECT code, year, round(d, 3) AS protected_diff, round(ov, 3) AS total_over, round(un, 3) AS total_under, state FROM ss")
+@plan("R4", with_(more=SLACK) + "SELECT code, year, round(d, 3) AS protected_diff, round(ov, 3) AS total_over, round(un, 3) AS total_under, state FROM ss", wide="year")
 def transfer_slack(t: Tables) -> DataFrame:
     return slack(t).select("code", "year", *[F.round(c, 3).alias(c) for c in ("protected_diff", "total_over", "total_under")], "state")
 

@@ -79,7 +79,7 @@ def identity_audit(t: Tables) -> DataFrame:
     return I.identity_audit(d, 100.0, 1000.0)
 
 
-@plan("T2", """SELECT doc_id, generate_subscripts(l, 1) - 1 AS passage, unnest(l) AS body FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)""")
+@plan("T2", """SELECT doc_id, generate_subscripts(l, 1) - 1 AS passage, unnest(l) AS body FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)""", wide="passage")
 def passages(t: Tables) -> DataFrame:
     lines = F.filter(F.transform(F.split("text", "\n"), lambda s: C.strip(s)), lambda s: s != "")
     return t.documents.select("doc_id", F.posexplode(lines).alias("passage", "body"))

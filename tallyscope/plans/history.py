@@ -31,7 +31,7 @@ FLEET = f"""fleet AS (SELECT id, count(*) AS n_assets,
 @plan("A1", with_("pen") + "SELECT id, n_penalties_prior, round(total_fine_prior, 2) AS total_fine_prior, "
       "n_nonmonetary_prior, n_responsible_prior, n_individual_prior, max_severity_prior, "
       "CAST(sum_severity_prior AS BIGINT) AS sum_severity_prior, n_severe_prior, days_since_last_penalty "
-      f"FROM ({HIST[9:-1]})")
+      f"FROM ({HIST[9:-1]})", wide="days_since_last_penalty")
 def penalty_history_asof(t: Tables) -> DataFrame:
     return H.penalty_history(R.sanctions(t), AS_OF, None, "O", "F").withColumn(
         "total_fine_prior", F.round("total_fine_prior", 2))
@@ -51,7 +51,7 @@ def future_penalty_label(t: Tables) -> DataFrame:
 
 
 @plan("J2", with_("ev") + f"""SELECT id, eval_partial, eval_date, n_evaluations_prior,
-    CAST(n_partial_prior AS BIGINT) AS n_partial_prior, days_since_evaluation FROM ({LATEST[11:-1]})""")
+    CAST(n_partial_prior AS BIGINT) AS n_partial_prior, days_since_evaluation FROM ({LATEST[11:-1]})""", wide="days_since_evaluation")
 def latest_evaluation_asof(t: Tables) -> DataFrame:
     return H.latest_evaluation(R.evaluations(t), AS_OF)
 
@@ -85,7 +85,7 @@ FEATURES_SQL = with_("inst", "pen", "ev", "asset", more=",\n".join([HIST, LATEST
     days_since_evaluation, CASE WHEN l.id IS NULL THEN 0 ELSE 1 END AS has_evaluation,
     coalesce(n_assets, 0) AS n_assets, oldest_asset_years,
     CASE WHEN n_penalties_prior > 0 THEN 1 ELSE 0 END AS has_prior_penalty
-    FROM inst i LEFT JOIN hist h ON i.id = h.id LEFT JOIN latest l ON i.id = l.id LEFT JOIN fleet f ON i.id = f.id)""")
+    FROM inst i LEFT JOIN hist h ON i.id = h.id LEFT JOIN latest l ON i.id = l.id LEFT JOIN fleet f ON i.id = f.id)""", wide="days_since_last_penalty days_since_evaluation")
 def features_asof(t: Tables) -> DataFrame:
     d = H.build_features(R.institutions(t), R.sanctions(t), R.assets(t), R.evaluations(t), AS_OF,
                          "1999-01-01", "O", "F")
@@ -125,7 +125,7 @@ def recency_heat(t: Tables) -> DataFrame:
 @plan("P1 P20", with_("pen", more=f"h AS (SELECT id, max(severity) AS sev, max(date) AS last FROM pen "
                       f"WHERE date < DATE '{AS_OF}' GROUP BY id)") + f"""SELECT c_custkey AS id,
     CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS is_private,
-    coalesce(date_diff('day', last, DATE '{AS_OF}'), 9999) AS days_since_last_penalty FROM customer LEFT JOIN h ON id = c_custkey""")
+    coalesce(date_diff('day', last, DATE '{AS_OF}'), 9999) AS days_since_last_penalty FROM customer LEFT JOIN h ON id = c_custkey""", wide="days_since_last_penalty")
 def prepared_frame(t: Tables) -> DataFrame:
     hist = H.penalty_history(R.sanctions(t), AS_OF, None, "O", "F").select("id", "days_since_last_penalty")
     return t.customer.select(F.col("c_custkey").alias("id"), "c_mktsegment").join(hist, "id", "left").select(

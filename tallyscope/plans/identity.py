@@ -77,7 +77,7 @@ def area_parse(t: Tables) -> DataFrame:
     x AS (SELECT *, (year(s) - 1911) * 12 + month(s) AS ms, (year(e) - 1911) * 12 + month(e) AS me FROM d)
     SELECT rec, CASE WHEN o_orderstatus <> 'P' THEN s END AS start, CASE WHEN o_orderstatus <> 'P' THEN e END AS finish,
     CASE WHEN o_orderstatus <> 'P' THEN ms <= (y + 1) * 12 + 7 AND me >= y * 12 + 8 END AS covers, ms BETWEEN y * 12 + 8 AND (y + 1) * 12 + 7 AS opening,
-    CASE WHEN o_orderstatus <> 'P' AND me - ms + 1 BETWEEN 1 AND 24 THEN me - ms + 1 END AS months, month(s) = 8 AS own FROM x""")
+    CASE WHEN o_orderstatus <> 'P' AND me - ms + 1 BETWEEN 1 AND 24 THEN me - ms + 1 END AS months, month(s) = 8 AS own FROM x""", wide="months")
 def period_parse(t: Tables) -> DataFrame:
     s, e = F.to_date("o_orderdate"), F.date_add(F.to_date("o_orderdate"), 400)
     text = lambda d: F.concat((F.year(d) - 1911).cast("string"), F.lit("年 "), F.month(d).cast("string"), F.lit("月"), F.day(d).cast("string"), F.lit("日"))
@@ -209,7 +209,7 @@ def candidate_links(t: Tables) -> DataFrame:
     SELECT award, aw.entity, year, m AS method, CASE WHEN m NOT IN ('exact_name', 'normalised_legal_name') THEN 'supplier_operator_unconfirmed' WHEN e IS NULL THEN 'matched_operator_contract_unconfirmed'
     WHEN s < make_date(year + 1, 8, 1) AND e >= make_date(year, 8, 1) THEN 'matched_operator_contract_covered' ELSE 'matched_operator_contract_uncovered' END AS status
     FROM (SELECT aw.*, year, CASE WHEN supplier = operator THEN 'exact_name' WHEN replace(supplier, '財團法人', '') = operator THEN 'normalised_legal_name' ELSE 'weak_contains_unconfirmed' END AS m
-    FROM aw JOIN rp ON rp.entity = aw.entity) aw""")
+    FROM aw JOIN rp ON rp.entity = aw.entity) aw""", wide="year")
 def award_year_overlap(t: Tables) -> DataFrame:
     op = F.concat(F.lit("Op"), (F.col("o_custkey") % 7).cast("string"))
     status = F.col("o_orderstatus")
@@ -299,7 +299,7 @@ def threads(t: Tables) -> DataFrame:
 @plan("D2", """WITH b AS (SELECT o_custkey AS id, year(o_orderdate) AS year, CASE o_orderstatus WHEN 'F' THEN '第8條' WHEN 'O' THEN '第8條第1項' ELSE '第8條第2項' END AS law FROM orders),
     x AS (SELECT id, year, law, count(*) AS c FROM b GROUP BY 1, 2, 3), l AS (SELECT a.id, a.year, a.law, count(*) AS n, min(b.law) AS long FROM x a JOIN x b ON a.id = b.id AND a.year = b.year AND length(b.law) > length(a.law) AND starts_with(b.law, a.law) GROUP BY 1, 2, 3),
     g AS (SELECT x.id, x.year, CASE WHEN l.n = 1 THEN l.long ELSE x.law END AS target, x.law, x.c FROM x LEFT JOIN l ON x.id = l.id AND x.year = l.year AND x.law = l.law)
-    SELECT id, year, target, CAST(sum(c) AS BIGINT) AS source_rows, count(*) AS variants, CAST(CASE WHEN count(*) = 1 THEN sum(c) ELSE 1 END AS BIGINT) AS records, arg_max(law, (length(law), law)) AS law FROM g GROUP BY 1, 2, 3""")
+    SELECT id, year, target, CAST(sum(c) AS BIGINT) AS source_rows, count(*) AS variants, CAST(CASE WHEN count(*) = 1 THEN sum(c) ELSE 1 END AS BIGINT) AS records, arg_max(law, (length(law), law)) AS law FROM g GROUP BY 1, 2, 3""", wide="year")
 def sanction_groups(t: Tables) -> DataFrame:
     law = F.when(F.col("o_orderstatus") == "F", "第8條").when(F.col("o_orderstatus") == "O", "第8條第1項").otherwise("第8條第2項")
     rows = t.orders.select(F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("year"), law.alias("law"))

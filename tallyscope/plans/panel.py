@@ -128,7 +128,7 @@ def fee_checksum(t: Tables) -> DataFrame:
 @plan("A5", """SELECT code, year, n_semesters, n_ages, y_A, y_N, y_R, CASE WHEN y_A IS NOT NULL OR y_R IS NOT NULL THEN round(coalesce(y_A, 0) + coalesce(y_R, 0), 4) END AS y_core FROM (
     SELECT l_suppkey AS code, year(l_shipdate) AS year, count(DISTINCT CASE WHEN month(l_shipdate) <= 6 THEN 'a' ELSE 'b' END) AS n_semesters, count(DISTINCT l_linenumber) AS n_ages,
     round(avg(CASE WHEN l_returnflag = 'A' THEN l_quantity END) * 2, 4) AS y_A, round(avg(CASE WHEN l_returnflag = 'N' THEN l_quantity END) * 2, 4) AS y_N,
-    round(avg(CASE WHEN l_returnflag = 'R' THEN l_quantity END) * 2, 4) AS y_R FROM lineitem GROUP BY 1, 2)""")
+    round(avg(CASE WHEN l_returnflag = 'R' THEN l_quantity END) * 2, 4) AS y_R FROM lineitem GROUP BY 1, 2)""", wide="year")
 def fee_basis_year(t: Tables) -> DataFrame:
     fees = t.lineitem.select(
         F.col("l_suppkey").alias("code"), F.year("l_shipdate").alias("year"), F.when(F.month("l_shipdate") <= 6, "a").otherwise("b").alias("semester"),
@@ -162,7 +162,7 @@ def split_extraction(t: Tables) -> DataFrame:
 
 
 @plan("A8", f"""SELECT code, year, round(sum(v), 4) AS total FROM (SELECT l_suppkey AS code, year(l_shipdate) AS year, l_linenumber, month(l_shipdate) AS m, arg_min(l_extendedprice, {POS.replace('(l_', '(l_orderkey, l_')}) AS v
-    FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""")
+    FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""", wide="year")
 def agency_totals(t: Tables) -> DataFrame:
     d = t.lineitem.where(F.col("l_returnflag") == "N").select(
         F.col("l_suppkey").alias("code"), F.year("l_shipdate").alias("year"), "l_linenumber", F.month("l_shipdate").alias("m"), "l_extendedprice",
@@ -186,7 +186,7 @@ FACT = """fact AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_exte
     UNION ALL SELECT 'tax', l_tax) u WHERE l_tax <> 0 AND u.value IS NOT NULL)"""
 
 
-@plan("S7", with_(more=FACT) + "SELECT l_orderkey, l_linenumber, l_partkey, section, period, item, value FROM fact")
+@plan("S7", with_(more=FACT) + "SELECT l_orderkey, l_linenumber, l_partkey, section, period, item, value FROM fact", wide="period")
 def facts_long(t: Tables) -> DataFrame:
     return S.page_facts(page_tables(t), KEYS)[0].select("l_orderkey", "l_linenumber", "l_partkey", "section", "period", "item", "value")
 
@@ -204,7 +204,7 @@ def report_statistics(t: Tables) -> DataFrame:
 
 
 @plan("A9", with_(more=FACT) + """SELECT l_suppkey AS code, period AS year, count(DISTINCT section) AS n_sections, arg_min(value, p) FILTER (item = 'qty') AS qty,
-    arg_min(value, p) FILTER (item = 'discount') AS discount, arg_min(value, p) FILTER (item = 'tax') AS tax FROM (SELECT *, (l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS p FROM fact) GROUP BY 1, 2""")
+    arg_min(value, p) FILTER (item = 'discount') AS discount, arg_min(value, p) FILTER (item = 'tax') AS tax FROM (SELECT *, (l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS p FROM fact) GROUP BY 1, 2""", wide="year")
 def facts_wide(t: Tables) -> DataFrame:
     facts = S.page_facts(page_tables(t), KEYS)[0].withColumns({"code": F.col("l_suppkey"), "year": F.col("period")})
     return S.wide_facts(facts, ["code", "year"], ["qty", "discount", "tax"], F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"))

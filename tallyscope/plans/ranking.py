@@ -55,7 +55,7 @@ def priority_ranks(t: Tables) -> DataFrame:
     x AS (SELECT town, n, o AS observed, penalised, round(e, 4) AS expected, CASE WHEN level > 0 THEN round(o / e, 4) END AS ratio,
     CASE WHEN level > 0 THEN round(lo, 4) END AS low, CASE WHEN level > 0 THEN round(hi, 4) END AS high, level FROM v)""")
       + """SELECT *, CASE WHEN level > 0 THEN row_number() OVER (ORDER BY (level = 0), level DESC, coalesce(low, 0) DESC, observed DESC, town)
-    END AS rank FROM x""")
+    END AS rank FROM x""", wide="rank")
 def district_standardised_ratio(t: Tables) -> DataFrame:
     return K.district_board(ranked(t), 150)
 
@@ -235,7 +235,7 @@ def usable_features(t: Tables) -> DataFrame:
     k AS (SELECT DISTINCT id, role, obs FROM obs WHERE obs <= DATE '2001-08-01')""") + """SELECT k.id, k.role, k.obs, count(*) FILTER (p.date < k.obs) AS n_prior,
     count(*) FILTER (p.date >= k.obs) AS n_after, min(CASE WHEN p.date >= k.obs THEN p.date END) AS first_after,
     date_diff('day', k.obs, min(CASE WHEN p.date >= k.obs THEN p.date END)) AS lead_days
-    FROM k JOIN pen p ON p.id = k.id GROUP BY 1, 2, 3""")
+    FROM k JOIN pen p ON p.id = k.id GROUP BY 1, 2, 3""", wide="lead_days")
 def lead_days(t: Tables) -> DataFrame:
     pen = R.sanctions(t)
     findings = pen.where(F.col("severity") == 5).select(

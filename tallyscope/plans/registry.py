@@ -40,19 +40,21 @@ class Plan:
     covers: tuple[str, ...]
     build: Callable[[Tables], DataFrame]
     sql: str | None
+    wide: tuple[str, ...] = ()
 
     def __call__(self, spark: SparkSession, folder: str) -> DataFrame:
-        return self.build(Tables(spark, folder))
+        df = self.build(Tables(spark, folder))
+        return df.withColumns({c: df[c].cast("long") for c in self.wide}) if self.wide else df
 
 
 PLANS: dict[str, Plan] = {}
 
 
-def plan(covers: str, sql: str | None = None) -> Callable:
-    """Register the decorated function under its own name."""
+def plan(covers: str, sql: str | None = None, wide: str = "") -> Callable:
+    """Register the decorated function under its own name; ``wide`` names columns given as bigint."""
     def wrap(fn: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         if fn.__name__ in PLANS:
             raise ValueError(f"query {fn.__name__} is registered twice")
-        PLANS[fn.__name__] = Plan(fn.__name__, tuple(covers.split()), fn, sql)
+        PLANS[fn.__name__] = Plan(fn.__name__, tuple(covers.split()), fn, sql, tuple(wide.split()))
         return fn
     return wrap

@@ -113,7 +113,7 @@ def fresh_rows(t: Tables) -> DataFrame:
     return D.fresh_rows(d, F.col("k"), F.col("at"), F.to_timestamp(F.lit("2024-01-10"))).select("event_id")
 
 
-@plan("S14", r"""SELECT page_id, generate_subscripts(l, 1) - 1 AS position, regexp_extract(unnest(l), 'href="([^"]*)"', 1) AS href FROM (SELECT page_id, regexp_extract_all(html, '(?s)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>') AS l FROM pages)""")
+@plan("S14", r"""SELECT page_id, generate_subscripts(l, 1) - 1 AS position, regexp_extract(unnest(l), 'href="([^"]*)"', 1) AS href FROM (SELECT page_id, regexp_extract_all(html, '(?s)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>') AS l FROM pages)""", wide="position")
 def page_links(t: Tables) -> DataFrame:
     return D.page_records(t.pages, "page_id").select("page_id", "position", "href")
 

@@ -21,7 +21,7 @@ def echo_windows(table: str, key: str) -> str:
 
 
 @plan("R16", f"""WITH b AS (SELECT DISTINCT chunk FROM ({echo_windows("benchmark", "item_id")})), d AS ({echo_windows("documents", "doc_id")})
-    SELECT doc_id, arg_min(chunk, pos) AS chunk, min(pos) AS pos FROM d WHERE chunk IN (SELECT chunk FROM b) GROUP BY 1""")
+    SELECT doc_id, arg_min(chunk, pos) AS chunk, min(pos) AS pos FROM d WHERE chunk IN (SELECT chunk FROM b) GROUP BY 1""", wide="pos")
 def verbatim_echo(t: Tables) -> DataFrame:
     return X.verbatim_echo(t.spread("documents", "doc_id"), "doc_id", t.benchmark)
 
@@ -159,7 +159,7 @@ def index_facts(t: Tables) -> DataFrame:
 
 
 @plan("T6 J26", with_(more=INDEX) + """SELECT fa.doc_id, fa.year, field, value, value IS NULL AS is_blank, coalesce(regexp_extract(path, '[^/]+$') || ' p.' || page, 'p.' || page) AS citation FROM fa LEFT JOIN dc ON dc.doc_id = fa.doc_id
-    WHERE contains(fa.institution, 'src1') AND fa.year = 1999 AND field = 'A'""")
+    WHERE contains(fa.institution, 'src1') AND fa.year = 1999 AND field = 'A'""", wide="year")
 def find_facts(t: Tables) -> DataFrame:
     return X.facts_with_citation(index_facts(t), index_documents(t), institution="src1", year=1999, field="A").select("doc_id", "year", "field", "value", "is_blank", "citation")
 
