@@ -230,3 +230,52 @@ def lead_time(findings: DataFrame, penalties: DataFrame) -> DataFrame:
         "first_after": F.min(F.when(F.col("obs").isNull(), F.col("date"))).over(after)})
     at = line.where(F.col("obs").isNotNull()).select("id", "obs", "n_prior", "n_after", "first_after")
     return findings.join(at, ["id", "obs"]).withColumn("lead_days", F.datediff("first_after", "obs"))
+
+
+def filter_institutions(df: DataFrame, name: str | None = None, town: str | None = None, kind: str | None = None,
+                        has_penalty: bool | None = None, has_financials: bool | None = None,
+                        sort: str = "rank", limit: int = 25) -> tuple[DataFrame, DataFrame]:
+    """(page, matched): conjunctive filters, one of three orders, and the count before the limit.
+
+    df: id, title, town, kind, rank_overall, prior, years_checked, capacity
+    """
+    d = df
+    if name is not None:
+        d = d.where(F.col("title").contains(name))
+    if town is not None:
+        d = d.where(F.col("town") == town)
+    if kind is not None:
+        d = d.where(F.col("kind") == kind)
+    if has_penalty is not None:
+        d = d.where((F.col("prior") > 0) == F.lit(has_penalty))
+    if has_financials is not None:
+        d = d.where((F.col("years_checked") > 0) == F.lit(has_financials))
+    orders = {"rank": [F.col("rank_overall")], "penalties": [F.desc("prior"), F.col("rank_overall")],
+              "capacity": [F.desc_nulls_last("capacity"), F.col("rank_overall")]}
+    return d.orderBy(*orders[sort], "id").limit(limit), d.agg(F.count(F.lit(1)).alias("matched"))
+
+
+def resolve_scope(points: DataFrame, scope: str, district: str | None = None, top_n: int = 50,
+                  ids: DataFrame | None = None) -> DataFrame:
+    """Institutions of a scan scope; ``proposal`` and ``picked`` take their ids as a table.
+
+    points: id, town, rank_overall, failed_total, recent_partial
+    """
+    if scope == "district":
+        return points.where(F.col("town") == district)
+    if scope in ("proposal", "picked"):
+        return points.join(ids.select("id"), "id", "left_semi")
+    if scope == "compliance_fail":
+        return points.where(F.col("failed_total") > 0)
+    if scope == "evaluation":
+        return points.where(F.col("recent_partial") == 1)
+    if scope == "top_risk":
+        return points.where(F.col("rank_overall") <= max(1, top_n))
+    if scope == "city":
+        return points
+    raise ValueError(f"unknown scope {scope!r}")
+
+
+def unknown_ids(ids: DataFrame, points: DataFrame) -> DataFrame:
+    """Requested ids that no institution has."""
+    return ids.select("id").distinct().join(points.select("id"), "id", "left_anti")

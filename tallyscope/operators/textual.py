@@ -192,3 +192,27 @@ def facts_with_citation(facts: DataFrame, docs: DataFrame, institution: str | No
     d = d.join(docs.select("doc_id", "path"), "doc_id", "left")
     page = F.concat(F.lit("p."), F.col("page").cast("string"))
     return d.withColumn("is_blank", F.col("value").isNull()).withColumn("citation", F.concat_ws(" ", F.element_at(F.split("path", "/"), -1), page))
+
+
+def retrieve(questions: DataFrame, passages: DataFrame, facts: DataFrame, coverage: DataFrame, limit: int = 12) -> DataFrame:
+    """Evidence rows per question: passages by its terms, facts by its field names.
+
+    A question without any hit gets the coverage rows instead, so that an empty answer says
+    what was searched. questions: question_id, question; passages: passage_id, text; facts:
+    fact_id, label; coverage: scope, covered, total
+    """
+    from tallyscope.operators.ordering import row_number
+    probed = probe_terms(questions, passages)
+    terms = questions.join(probed, "question_id", "left").select(
+        "question_id", F.explode(F.coalesce("terms", F.array("question"))).alias("phrase"))
+    hits = bm25(phrase_hits(passages, "passage_id", terms.select("phrase").distinct()), passages, "passage_id")
+    best = terms.join(hits, "phrase").groupBy("question_id", "passage_id").agg(F.max("score").alias("score"))
+    best = row_number(best, F.col("score"), F.col("passage_id"), ["question_id"], "position", descending=True).where(F.col("position") <= limit)
+    found = best.select("question_id", F.lit("passage").alias("kind"), F.col("passage_id").cast("string").alias("subject"), "score")
+    core = F.trim(F.regexp_replace("label", "[（(].*$", ""))
+    fields = matching_fields(questions, facts.select("label"))
+    named = fields.join(facts.withColumn("core", core).groupBy("core").agg(F.count(F.lit(1)).alias("n")), "core")
+    found = found.unionByName(named.select("question_id", F.lit("fact").alias("kind"), F.col("core").alias("subject"), F.col("n").cast("double").alias("score")))
+    empty = questions.select("question_id").join(found.select("question_id").distinct(), "question_id", "left_anti")
+    note = coverage.agg(F.concat_ws(", ", F.lit("searched"), F.sum("covered").cast("string"), F.sum("total").cast("string")).alias("c")).scalar()
+    return found.unionByName(empty.select("question_id", F.lit("coverage").alias("kind"), note.alias("subject"), F.lit(None).cast("double").alias("score")))

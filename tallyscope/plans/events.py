@@ -239,11 +239,15 @@ def compare_years(t: Tables) -> DataFrame:
     return d.groupBy("r", "label").agg(*[F.max(F.when(F.col("y") == y, shown)).alias(f"y{y}") for y in (1999, 2001)])
 
 
-@plan("M13")
+@plan("M13", """WITH p AS (SELECT DISTINCT n_name AS district, c_acctbal AS x, CAST(c_custkey AS DOUBLE) AS y FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    e AS (SELECT a.district, a.x, a.y, b.x AS bx, b.y AS byy FROM p a JOIN p b ON a.district = b.district AND (a.x, a.y) <> (b.x, b.y)),
+    bad AS (SELECT DISTINCT e.district, e.x, e.y, e.bx, e.byy FROM e JOIN p r ON r.district = e.district WHERE (e.bx - e.x) * (r.y - e.y) - (e.byy - e.y) * (r.x - e.x) < 0
+      OR ((e.bx - e.x) * (r.y - e.y) - (e.byy - e.y) * (r.x - e.x) = 0 AND (r.x - e.x) * (e.bx - e.x) + (r.y - e.y) * (e.byy - e.y) > (e.bx - e.x) * (e.bx - e.x) + (e.byy - e.y) * (e.byy - e.y)))
+    SELECT DISTINCT district, x, y FROM e WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.district = e.district AND b.x = e.x AND b.y = e.y AND b.bx = e.bx AND b.byy = e.byy)""")
 def district_hull(t: Tables) -> DataFrame:
     d = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("n_name").alias("district"), F.col("c_acctbal").alias("x"), F.col("c_custkey").cast("double").alias("y"))
-    return E.district_hulls(d, "district", "x", "y")
+    return E.district_hulls(d, "district", "x", "y").drop("vertex")
 
 
 @plan("X5", """SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")

@@ -79,7 +79,13 @@ def top_k_permutation(t: Tables) -> DataFrame:
     return M.cluster_permutation(ranked, "operator", "label", 50, 200)
 
 
-@plan("J23")
+@plan("J23", """WITH RECURSIVE lab AS (SELECT c_custkey AS id, c_mktsegment AS kind, c_acctbal AS cap, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1%'
+      AND o_orderdate >= DATE '1999-01-01' AND o_orderdate < DATE '2001-01-01') AS hit FROM customer),
+    cs AS (SELECT kind, id, cap, row_number() OVER (PARTITION BY kind ORDER BY cap, id) AS i FROM lab WHERE hit), ct AS (SELECT kind, id, cap FROM lab WHERE NOT hit),
+    r AS (SELECT DISTINCT kind, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS case_id, CAST(NULL AS BIGINT) AS control_id FROM cs
+      UNION ALL SELECT r.kind, cs.i, list_append(any_value(r.used), arg_min(ct.id, (abs(ct.cap - cs.cap), ct.cap, ct.id))), cs.id, arg_min(ct.id, (abs(ct.cap - cs.cap), ct.cap, ct.id))
+      FROM r JOIN cs ON cs.kind = r.kind AND cs.i = r.i + 1 JOIN ct ON ct.kind = r.kind AND NOT list_contains(r.used, ct.id) GROUP BY r.kind, cs.i, cs.id, cs.cap)
+    SELECT kind AS stratum, case_id, control_id FROM r WHERE i > 0""")
 def matched_controls(t: Tables) -> DataFrame:
-    d = labelled(t, frame_at(t, 1999), 1999, 2001)
+    d = labelled(t, frame_at(t, 1999), 1999, 2001).select("id", "kind", "capacity", "label")
     return G.match_without_replacement(d.where("label = 1"), d.where("label = 0"), "kind", "id", "capacity")

@@ -195,28 +195,27 @@ def review_reasons(t: Tables) -> DataFrame:
     return K.review_reasons(d, 100).select("id", "evidence_tier", "data_sufficiency", "review_reason", "flagged")
 
 
-@plan("P31 W24", with_("inst", "pen", more=SCORED + ",\n" + RANKED) + """SELECT id, town, kind, rank_overall, matched, row_number() OVER (ORDER BY rank_overall) AS shown
-    FROM (SELECT *, count(*) OVER () AS matched FROM rk WHERE kind = 'MACHINERY' AND prior > 0 AND town LIKE '%_1%' AND capacity < 9000)
-    ORDER BY rank_overall LIMIT 25""")
+@plan("P31 W24", with_("inst", "pen", more=SCORED + ",\n" + RANKED) + """SELECT id, town, kind, rank_overall, matched FROM (SELECT rk.*, count(*) OVER () AS matched FROM rk JOIN inst USING (id)
+    WHERE rk.kind = 'MACHINERY' AND prior > 0 AND contains(title, '#0000001') AND rk.capacity > 5000) ORDER BY prior DESC, rank_overall, id LIMIT 25""")
 def institution_filter(t: Tables) -> DataFrame:
-    hits = ranked(t).where((F.col("kind") == "MACHINERY") & (F.col("prior") > 0)
-                           & F.col("town").like("%_1%") & (F.col("capacity") < 9000))
-    matched = hits.agg(F.count(F.lit(1)).alias("c")).scalar()
-    page = hits.orderBy("rank_overall").limit(25).withColumn("matched", matched)
-    return O.row_number(page, F.col("rank_overall"), F.col("id"), (), "shown").select(
-        "id", "town", "kind", "rank_overall", "matched", "shown")
+    d = ranked(t).join(R.institutions(t).select("id", "title"), "id").withColumn("years_checked", (F.col("capacity") > 5000).cast("int"))
+    page, matched = K.filter_institutions(d, name="#0000001", kind="MACHINERY", has_penalty=True, has_financials=True, sort="penalties")
+    return page.withColumn("matched", matched.scalar()).select("id", "town", "kind", "rank_overall", "matched")
 
 
 @plan("P32", with_("inst", "pen", more=SCORED + ",\n" + RANKED) + """SELECT 'district' AS scope, count(*) AS n FROM rk WHERE town = 'NATION_3' UNION ALL
     SELECT 'top_risk', count(*) FROM rk WHERE rank_overall <= 50 UNION ALL SELECT 'compliance_fail', count(*) FROM rk WHERE capacity < 0 UNION ALL
-    SELECT 'evaluation', count(*) FROM rk WHERE id IN (SELECT id FROM pen WHERE role = 'O' AND severity = 5) UNION ALL SELECT 'city', count(*) FROM rk""")
+    SELECT 'evaluation', count(*) FROM rk WHERE kind = 'BUILDING' AND prior > 3 UNION ALL SELECT 'city', count(*) FROM rk UNION ALL
+    SELECT 'picked', count(*) FROM rk WHERE id IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 400000) UNION ALL
+    SELECT 'unknown', count(DISTINCT o_orderkey) FROM orders WHERE o_totalprice > 400000 AND o_orderkey NOT IN (SELECT id FROM rk)""")
 def scan_scope_counts(t: Tables) -> DataFrame:
-    r = ranked(t)
-    partial = R.sanctions(t).where((F.col("role") == "O") & (F.col("severity") == 5)).select("id")
-    scopes = {"district": r.where(F.col("town") == "NATION_3"), "top_risk": r.where(F.col("rank_overall") <= 50),
-              "compliance_fail": r.where(F.col("capacity") < 0), "evaluation": r.join(partial, "id", "left_semi"), "city": r}
+    r = ranked(t).withColumns({"failed_total": (F.col("capacity") < 0).cast("int"),
+                               "recent_partial": ((F.col("kind") == "BUILDING") & (F.col("prior") > 3)).cast("int")})
+    ids = t.orders.where(F.col("o_totalprice") > 400000).select(F.col("o_orderkey").alias("id"))
+    parts = {s: K.resolve_scope(r, s, district="NATION_3", top_n=50, ids=ids) for s in ("district", "top_risk", "compliance_fail", "evaluation", "city", "picked")}
+    parts["unknown"] = K.unknown_ids(ids, r)
     out = None
-    for name, d in scopes.items():
+    for name, d in parts.items():
         one = d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("scope"), "n")
         out = one if out is None else out.unionByName(one)
     return out

@@ -60,3 +60,12 @@ def test_hint_needs_exactly_one_side(spark):
     from tallyscope.functions import fixed
     got = d.select(C.term_hint(F.col("t"), fixed.INCIDENT_WORDS, fixed.ROUTINE_WORDS).alias("h")).collect()
     assert [r["h"] for r in got] == ["incident", "routine", "unclear", "unclear"]
+
+
+def test_retrieve_reports_coverage_on_no_hit(spark):
+    q = spark.createDataFrame([(1, "人事費執行情形為何"), (2, "qqqqzzzz")], "question_id long, question string")
+    p = spark.createDataFrame([(10, "本年度人事費執行情形良好"), (11, "其他")], "passage_id long, text string")
+    f = spark.createDataFrame([(1, "人事費（決算）"), (2, "人事費（預算）"), (3, "雜支")], "fact_id long, label string")
+    c = spark.createDataFrame([("a", 3, 9)], "scope string, covered long, total long")
+    got = {(r["question_id"], r["kind"], r["subject"]) for r in X.retrieve(q, p, f, c).collect()}
+    assert got == {(1, "passage", "10"), (1, "fact", "人事費"), (2, "coverage", "searched, 3, 9")}
