@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyscope.functions import columns as C
 from tallyscope.functions import fixed
 from tallyscope.operators.containment import contains_pairs
-from tallyscope.session import cut_lineage
+from tallyscope.session import cut_lineage, small_side
 
 
 def crosswalk(reports: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -190,8 +190,8 @@ def attribute_texts(texts: DataFrame, institutions: DataFrame, other_places: Seq
     titles = institutions.where(F.coalesce("title", F.lit("")) != "").groupBy(F.col("title").alias("name")).agg(*who)
     cores = institutions.where((F.length("core") >= 2) & ~F.col("core").isin(*districts)).groupBy(F.col("core").alias("name")).agg(*who)
     titles, cores = (cut_lineage(d.withColumn("_nid", F.xxhash64("name"))) for d in (titles, cores))
-    full = contains_pairs(t, "text_id", "text", titles, "_nid", "name").join(titles, "_nid").withColumn("is_full", F.lit(1))
-    near = contains_pairs(t, "text_id", "text", cores, "_nid", "name").join(cores, "_nid").join(t, "text_id")
+    full = contains_pairs(t, "text_id", "text", titles, "_nid", "name").join(small_side(titles), "_nid").withColumn("is_full", F.lit(1))
+    near = contains_pairs(t, "text_id", "text", cores, "_nid", "name").join(small_side(cores), "_nid").join(t, "text_id")
     quoted = F.concat(F.lit("\\Q"), F.col("name"), F.lit("\\E"))
     named = F.regexp_like(F.col("text"), F.concat(quoted, F.lit(r"\s*(?:" + "|".join(fixed.FACILITY_WORDS) + ")"))) | F.regexp_like(
         F.col("text"), F.concat(F.lit("[「『\"]"), quoted, F.lit("[」』\"]")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions import fixed
 from tallyscope.operators import ordering as O
-from tallyscope.session import cut_lineage
+from tallyscope.session import counted_side, cut_lineage
 
 
 def melt(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -33,7 +33,7 @@ def cohort_scales(long: DataFrame, cohort: Sequence[str], **kw) -> DataFrame:
              .withColumn("q1", F.when(F.col("n") >= 4, (F.col("_a1") + F.col("_a2")) / 2))
              .withColumn("q3", F.when(F.col("n") >= 4, (F.col("_b1") + F.col("_b2")) / 2))
              .drop("_m1", "_m2", "_a1", "_a2", "_b1", "_b2"))
-    stats = cut_lineage(stats)
+    stats = counted_side(stats)
     away = long.join(stats.select(*cohort, "median"), list(cohort))
     mads = O.medians(away.withColumn("_d", F.abs(value - F.col("median"))), F.col("_d"),
                      cohort, "mad", **kw).drop("n")
@@ -46,7 +46,7 @@ def cohort_scales(long: DataFrame, cohort: Sequence[str], **kw) -> DataFrame:
 def mad_z(long: DataFrame, cohort: Sequence[str], min_peers: int = fixed.MIN_PEERS_BUDGET,
           **kw) -> DataFrame:
     """MAD-only z; NULL under ``min_peers`` peers or without spread."""
-    scales = cohort_scales(long, cohort, **kw).select(*cohort, "n", "median", "mad")
+    scales = counted_side(cohort_scales(long, cohort, **kw).select(*cohort, "n", "median", "mad"))
     z = F.when((F.col("n") >= min_peers) & (F.col("mad") > 0),
                (F.col("value") - F.col("median")) / (fixed.MAD_TO_SD * F.col("mad")))
     return long.join(scales, list(cohort)).withColumn("z", z)
@@ -60,7 +60,7 @@ def robust_z(long: DataFrame, cohort: Sequence[str], min_peers: int = fixed.MIN_
     scored against them.
     """
     peers = long if pool is None else long.where(pool)
-    scales = cohort_scales(peers, cohort, **kw).where(F.col("n") >= min_peers)
+    scales = counted_side(cohort_scales(peers, cohort, **kw).where(F.col("n") >= min_peers))
     return long.join(scales, list(cohort)).withColumn(
         "z", (F.col("value") - F.col("median")) / F.col("scale"))
 

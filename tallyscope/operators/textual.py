@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions import columns as C
 from tallyscope.functions import fixed
-from tallyscope.session import counted_side
+from tallyscope.session import counted_side, cut_lineage
 
 
 # --- outgoing text -----------------------------------------------------------
@@ -110,7 +110,7 @@ def phrase_hits(docs: DataFrame, key: str, phrases: DataFrame, index: DataFrame
         cand = contains_pairs(low, key, "_t", asked, "_pid", "_p").join(asked.select("_pid", "phrase"), "_pid").select("phrase", key)
     else:
         g = p.select("phrase", F.explode(F.array_distinct(grams(F.col("phrase")))).alias("gram"))
-        need = g.groupBy("phrase").agg(F.count(F.lit(1)).alias("_need"))
+        need = counted_side(g.groupBy("phrase").agg(F.count(F.lit(1)).alias("_need")))
         cand = (index.join(counted_side(g), "gram").groupBy("phrase", key).agg(F.count(F.lit(1)).alias("_have"))
                 .join(need, "phrase").where(F.col("_have") == F.col("_need")).select("phrase", key))
     d = cand.join(docs.select(key, "text"), key)
@@ -123,7 +123,8 @@ def bm25(hits: DataFrame, docs: DataFrame, key: str) -> DataFrame:
     lengths = docs.select(key, size.alias("_dl"))
     totals = lengths.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avg")))
     total = totals.scalar()
-    df = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("_df"))
+    hits = cut_lineage(hits)
+    df = counted_side(hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("_df")))
     d = hits.join(df, "phrase").join(lengths, key).withColumn("_t", total)
     idf = F.greatest(F.log((F.col("_t.n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
     norm = 1 - fixed.BM25_B + fixed.BM25_B * F.col("_dl") / F.col("_t.avg")

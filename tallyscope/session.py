@@ -50,12 +50,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_side(kept: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """A materialised table as one side of a join: broadcast only when counted within the bound."""
+    return F.broadcast(kept) if kept.count() <= max_rows else kept.hint("merge")
+
+
 def counted_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """The short side of a join whose other side is an exploded text.
+    """The short side of a join whose size the planner cannot see.
 
-    The planner's size estimate does not know how many rows an explode gives and could
-    broadcast the exploded side. So this side is materialised and counted: within the bound
-    it is broadcast, beyond it both sides are sorted and merged.
+    That is so next to an exploded text, which the planner could broadcast itself, and for a
+    per-cohort summary of a large table, which it could merge-join on a hot cohort key. So
+    the side is materialised and counted: within the bound it is broadcast, beyond it both
+    sides are sorted and merged.
     """
-    kept = cut_lineage(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept.hint("merge")
+    return small_side(cut_lineage(df), max_rows)
