@@ -279,3 +279,17 @@ def resolve_scope(points: DataFrame, scope: str, district: str | None = None, to
 def unknown_ids(ids: DataFrame, points: DataFrame) -> DataFrame:
     """Requested ids that no institution has."""
     return ids.select("id").distinct().join(points.select("id"), "id", "left_anti")
+
+
+def assemble_priority_list(scored: DataFrame, compliance: DataFrame, events: DataFrame, evaluations: DataFrame,
+                           fee_ids: DataFrame, top_k: int = 100) -> DataFrame:
+    """The review list: the score orders, findings and events escalate beside it.
+
+    Missing evidence never lowers a rank: count columns are filled with 0, and the tier and
+    sufficiency columns say what was there. scored: id, kind, score, ...; compliance,
+    events and evaluations: one row per id; fee_ids: id.
+    """
+    d = (scored.join(compliance, "id", "left").join(events, "id", "left").join(evaluations, "id", "left")
+         .join(fee_ids.select("id").distinct().withColumn("has_fees", F.lit(1)), "id", "left"))
+    d = d.na.fill(0, ["years_checked", "failed_total", "failed_high", "events_90d", "events_365d", "has_fees", "recent_partial"])
+    return review_reasons(priority_ranks(d, F.col("score"), F.col("id"), "kind"), top_k)

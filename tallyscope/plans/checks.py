@@ -140,10 +140,10 @@ def cure_annotation(t: Tables) -> DataFrame:
     return failed.join(cured, ["entity", "year"], "left")
 
 
-REPORT = """rp AS (SELECT entity, year, gross AS tuition_income, CASE WHEN n_lines % 9 = 0 THEN NULL ELSE qty END AS actual_enrolment,
+REPORT = """rp AS (SELECT entity, year, gross AS tuition_income, CASE WHEN n_lines >= 100 THEN NULL ELSE qty END AS actual_enrolment,
     n_lines * 25.0 AS approved_capacity, n_lines * 2.0 AS educators, levy AS material_cost, n_lines * 25.0 + open_qty / 20 - 60 AS registry_capacity_max,
     qty * 3 AS registry_indoor_area, CASE WHEN year < 1998 THEN gross / qty * (0.9 + n_lines / 500.0) END AS filed_fee_per_child,
-    rebate AS parent_fee, CASE WHEN n_lines % 7 = 0 THEN NULL ELSE net END AS gov_subsidy, CASE WHEN year = 2001 THEN 11 ELSE 12 END AS period_months,
+    rebate AS parent_fee, CASE WHEN n_lines <= 72 THEN NULL ELSE net END AS gov_subsidy, CASE WHEN year = 2001 THEN 11 ELSE 12 END AS period_months,
     rebate / qty / 12 * 1.02 * (n_lines / 86.0) AS registry_monthly FROM panel),
     m AS (SELECT *, tuition_income / nullif(actual_enrolment, 0) AS implied_fee_per_child, tuition_income / nullif(actual_enrolment, 0) / nullif(filed_fee_per_child, 0) AS fee_identity_ratio,
     actual_enrolment / educators AS staff_ratio, registry_capacity_max - approved_capacity AS capacity_gap, parent_fee / nullif(parent_fee + gov_subsidy, 0) AS parent_share,
@@ -153,11 +153,11 @@ REPORT = """rp AS (SELECT entity, year, gross AS tuition_income, CASE WHEN n_lin
 def reports(t: Tables) -> DataFrame:
     n = F.col("n_lines")
     base = R.panel(t).select(
-        "entity", "year", F.col("gross").alias("tuition_income"), F.when(n % 9 != 0, F.col("qty")).alias("actual_enrolment"),
+        "entity", "year", F.col("gross").alias("tuition_income"), F.when(n < 100, F.col("qty")).alias("actual_enrolment"),
         (n * 25.0).alias("approved_capacity"), (n * 2.0).alias("educators"), F.col("levy").alias("material_cost"),
         (n * 25.0 + F.col("open_qty") / 20 - 60).alias("registry_capacity_max"), (F.col("qty") * 3).alias("registry_indoor_area"),
         F.when(F.col("year") < 1998, F.col("gross") / F.col("qty") * (0.9 + n / 500.0)).alias("filed_fee_per_child"),
-        F.col("rebate").alias("parent_fee"), F.when(n % 7 != 0, F.col("net")).alias("gov_subsidy"),
+        F.col("rebate").alias("parent_fee"), F.when(n > 72, F.col("net")).alias("gov_subsidy"),
         F.when(F.col("year") == 2001, 11).otherwise(12).alias("period_months"),
         (F.col("rebate") / F.col("qty") / 12 * 1.02 * (n / 86.0)).alias("registry_monthly"))
     return K.nonprofit_metrics(base)
@@ -217,7 +217,7 @@ def guard_violations(t: Tables) -> DataFrame:
 
 
 BUDGET = """bd AS (SELECT p.entity, p.year, net AS fund_source, net - rebate AS gov_transfer, gross AS tuition_budget, net AS tuition_actual, levy * 1.1 AS capex_budget,
-    CASE WHEN n_lines % 5 = 0 THEN NULL ELSE rebate END AS capex_actual, qty AS fund_use, n_lines * 1.0 AS staff_budget, open_qty / 13 AS staff_actual, net - gross * 0.951 AS surplus,
+    CASE WHEN n_lines > 95 THEN NULL ELSE rebate END AS capex_actual, qty AS fund_use, n_lines * 1.0 AS staff_budget, open_qty / 13 AS staff_actual, net - gross * 0.951 AS surplus,
     rebate * 0.02 AS closing, levy AS opening_balance FROM panel p),
     br AS (SELECT *, gov_transfer / nullif(fund_source, 0) AS gov_dependency, coalesce(tuition_actual, 0) / nullif(tuition_budget, 0) AS tuition_execution,
     coalesce(capex_actual, 0) / nullif(capex_budget, 0) AS capex_execution, fund_use / nullif(staff_actual, 0) AS cost_per_staff, closing - opening_balance AS balance_change FROM bd)"""
@@ -228,7 +228,7 @@ def budgets(t: Tables) -> DataFrame:
     return K.budget_ratios(R.panel(t).select(
         "entity", "year", F.col("net").alias("fund_source"), (F.col("net") - F.col("rebate")).alias("gov_transfer"),
         F.col("gross").alias("tuition_budget"), F.col("net").alias("tuition_actual"), (F.col("levy") * 1.1).alias("capex_budget"),
-        F.when(n % 5 != 0, F.col("rebate")).alias("capex_actual"), F.col("qty").alias("fund_use"), (n * 1.0).alias("staff_budget"),
+        F.when(n <= 95, F.col("rebate")).alias("capex_actual"), F.col("qty").alias("fund_use"), (n * 1.0).alias("staff_budget"),
         (F.col("open_qty") / 13).alias("staff_actual"), (F.col("net") - F.col("gross") * 0.951).alias("surplus"),
         (F.col("rebate") * 0.02).alias("closing"), F.col("levy").alias("opening_balance")))
 

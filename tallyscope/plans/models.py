@@ -89,3 +89,20 @@ def top_k_permutation(t: Tables) -> DataFrame:
 def matched_controls(t: Tables) -> DataFrame:
     d = labelled(t, frame_at(t, 1999), 1999, 2001).select("id", "kind", "capacity", "label")
     return G.match_without_replacement(d.where("label = 1"), d.where("label = 0"), "kind", "id", "capacity")
+
+
+@plan("J1 M2 W1 W2 P22 A12 A13")
+def audit_priority_list(t: Tables) -> DataFrame:
+    """The main product end to end: fitted score, compliance, events and evaluations in one ranked list."""
+    from tallyscope.operators import checks as C
+    from tallyscope.plans.checks import policy_checks
+    scored, _ = M.backtest_point(labelled(t, frame_at(t, 1997), 1997, 1999), labelled(t, frame_at(t, 1999), 1999, 2001), "label", FEATURES)
+    o = t.orders.select(F.col("o_orderkey").alias("code"), F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("id"), F.lit(True).alias("matched"))
+    compliance = C.compliance_summary(policy_checks(t).where(F.col("year") < 1999), o)
+    events = H.event_summary(R.sanctions(t).withColumn("type", F.col("role")), "1999-01-01", ["F", "P"])
+    ev = H.latest_evaluation(R.evaluations(t), "1999-01-01")
+    recent = ev.select("id", "eval_date", ((F.col("eval_partial") == 1) & (F.col("days_since_evaluation") <= 730)).cast("int").alias("recent_partial"))
+    fees = t.orders.where(F.col("o_orderstatus") != "P").select(F.col("o_custkey").alias("id"))
+    d = K.assemble_priority_list(scored, compliance, events, recent, fees, 100)
+    return d.select("id", "kind", F.round("score", 6).alias("score"), "rank_overall", "rank_within_kind", "decile", "years_checked", "failed_total", "failed_high",
+                    "top_finding", "events_90d", "events_365d", "latest_event_type", "evidence_tier", "data_sufficiency", "review_reason", "flagged")

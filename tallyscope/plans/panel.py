@@ -282,12 +282,12 @@ def accounting_identities(t: Tables) -> DataFrame:
                                      "gross_is_parts": (c("p"), c("a") + c("b"))}, ["code"], 5000.0)
 
 
-@plan("R12 R11", with_("panel", more="r AS (SELECT entity, year, gross AS closing, CASE WHEN n_lines % 8 <> 0 THEN gross - net END AS opening, net AS surplus, levy AS remit FROM panel)") + """
+@plan("R12 R11", with_("panel", more="r AS (SELECT entity, year, gross AS closing, CASE WHEN n_lines > 75 THEN gross - net END AS opening, net AS surplus, levy AS remit FROM panel)") + """
     SELECT a.entity, a.year, CASE WHEN a.opening IS NULL THEN 'skipped' WHEN abs(a.closing - (a.opening + a.surplus - 0)) <= 1 THEN 'passed' ELSE 'failed' END AS roll_forward,
     CASE WHEN a.opening IS NULL OR b.closing IS NULL THEN 'skipped' WHEN abs(a.opening - b.closing) <= 1 THEN 'passed' ELSE 'failed' END AS opening_is_prior_closing FROM r a LEFT JOIN r b ON a.entity = b.entity AND b.year + 1 = a.year""")
 def fund_roll_forward(t: Tables) -> DataFrame:
     r = R.panel(t).select("entity", "year", F.col("gross").alias("closing"),
-                          F.when(F.col("n_lines") % 8 != 0, F.col("gross") - F.col("net")).alias("opening"), F.col("net").alias("surplus"))
+                          F.when(F.col("n_lines") > 75, F.col("gross") - F.col("net")).alias("opening"), F.col("net").alias("surplus"))
     before = r.select("entity", (F.col("year") + 1).alias("year"), F.col("closing").alias("prior_closing"))
     d = r.join(before, ["entity", "year"], "left")
     return d.select("entity", "year", K.identity_status(F.col("closing"), F.col("opening") + F.col("surplus")).alias("roll_forward"),
