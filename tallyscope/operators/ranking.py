@@ -293,3 +293,27 @@ def assemble_priority_list(scored: DataFrame, compliance: DataFrame, events: Dat
          .join(fee_ids.select("id").distinct().withColumn("has_fees", F.lit(1)), "id", "left"))
     d = d.na.fill(0, ["years_checked", "failed_total", "failed_high", "events_90d", "events_365d", "has_fees", "recent_partial"])
     return review_reasons(priority_ranks(d, F.col("score"), F.col("id"), "kind"), top_k)
+
+
+def top_k_against_base(df: DataFrame, rank: str, label: str, ks: Sequence[int]) -> DataFrame:
+    """Hits of the first k rows against the base rate, with the hypergeometric tail."""
+    at = quality_at(df, rank, label, ks)
+    totals = df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.sum(label).cast("long").alias("pos"))).scalar()
+    d = at.withColumn("_t", totals)
+    return d.select("k", "hits", "lift", hypergeometric_tail(
+        F.col("_t.n"), F.col("_t.pos"), F.least(F.col("k").cast("long"), F.col("_t.n")), F.col("hits").cast("long")).alias("p"))
+
+
+def backtest_metrics(rankings: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """Per year of a walk-forward: size, positives, base rate, AUC, precision and lift at each k.
+
+    A live year has no hits yet, so its figures are NULL, not zero.
+    """
+    base = F.avg("hit")
+    agg = rankings.groupBy("year").agg(
+        F.count(F.lit(1)).alias("n_institutions"), F.sum("hit").alias("n_positive"), base.alias("base_rate"),
+        F.first("label_complete").alias("label_complete"), F.first("observed_fraction").alias("observed_fraction"),
+        *[F.avg(F.when(F.col("rank") <= k, F.col("hit"))).alias(f"precision_{k}") for k in ks])
+    auc = rank_auc(rankings.where(F.col("hit").isNotNull()), F.col("score"), "hit", ["year"]).select("year", "auc")
+    d = agg.join(auc, "year", "left")
+    return d.withColumns({f"lift_{k}": C.ratio(F.col(f"precision_{k}"), F.col("base_rate")) for k in ks})

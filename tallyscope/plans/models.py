@@ -106,3 +106,9 @@ def audit_priority_list(t: Tables) -> DataFrame:
     d = K.assemble_priority_list(scored, compliance, events, recent, fees, 100)
     return d.select("id", "kind", F.round("score", 6).alias("score"), "rank_overall", "rank_within_kind", "decile", "years_checked", "failed_total", "failed_high",
                     "top_finding", "events_90d", "events_365d", "latest_event_type", "evidence_tier", "data_sufficiency", "review_reason", "flagged")
+
+
+@plan("M4 W19 W20")
+def walk_forward_metrics(t: Tables) -> DataFrame:
+    from tallyscope.session import cut_lineage
+    return K.backtest_metrics(cut_lineage(walk_forward_ranking(t)), [50, 100])

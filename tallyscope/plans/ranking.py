@@ -150,6 +150,16 @@ def flagged_lift_fisher(t: Tables) -> DataFrame:
     return got.select("kind", "n", "hits", "m", *[F.round(c, 6).alias(c) for c in ("rate", "base", "lift", "odds_ratio", "p")], "verdict")
 
 
+@plan("M9 W19", with_("inst", "pen", more=",\n".join([SCORED, RANKED, LABELLED]) + """, lf AS (SELECT list_sum([ln(i) FOR i IN range(1, x + 1)]) AS v, x FROM range(0, 1601) r(x)),
+    q AS (SELECT k, CAST(sum(CASE WHEN rank_overall <= k THEN label END) AS BIGINT) AS hits, count(*) AS n, CAST(sum(label) AS BIGINT) AS pos FROM lb, (VALUES (20), (50), (100)) v(k) GROUP BY k),
+    s AS (SELECT q.*, j FROM q, range(0, 1601) r(j) WHERE j >= hits AND j <= least(k, pos) AND n - pos - k + j >= 0),
+    pt AS (SELECT s.k, sum(exp(coalesce(a.v,0) - coalesce(b.v,0) - coalesce(c.v,0) + coalesce(d.v,0) - coalesce(e.v,0) - coalesce(f.v,0) - coalesce(g.v,0) + coalesce(h.v,0) + coalesce(i.v,0))) AS p FROM s
+    JOIN lf a ON a.x = pos JOIN lf b ON b.x = j JOIN lf c ON c.x = pos - j JOIN lf d ON d.x = n - pos JOIN lf e ON e.x = k - j JOIN lf f ON f.x = n - pos - k + j JOIN lf g ON g.x = n JOIN lf h ON h.x = k JOIN lf i ON i.x = n - k GROUP BY s.k)""")
+      + "SELECT q.k, hits, round(hits / q.k / (pos / n), 6) AS lift, round(p, 6) AS p FROM q JOIN pt ON pt.k = q.k")
+def top_k_against_base(t: Tables) -> DataFrame:
+    return K.top_k_against_base(labelled(t), "rank_overall", "label", [20, 50, 100]).select("k", "hits", F.round("lift", 6).alias("lift"), F.round("p", 6).alias("p"))
+
+
 @plan("A35", with_("inst", "pen", more=",\n".join([SCORED, RANKED, LABELLED])) + """SELECT town, count(*) AS n, CAST(sum(label) AS BIGINT) AS hit,
     round(100 * sum(label) / count(*), 4) AS rate FROM lb GROUP BY town HAVING count(*) >= 20 ORDER BY rate DESC, town LIMIT 10""")
 def town_rates_top10(t: Tables) -> DataFrame:

@@ -74,7 +74,9 @@ def test_walk_forward_protocol(spark, small):
     d = PLANS["walk_forward_ranking"](spark, small).toPandas()
     assert (d["train_year"] < d["year"]).all()
     assert d[d.year == 1999]["label_complete"].all() and not d[d.year == 2001]["label_complete"].any()
-    for _, g in d.groupby("year"):
+    m = K.backtest_metrics(spark.createDataFrame(d), [10]).toPandas().set_index("year")
+    for year, g in d.groupby("year"):
+        assert m.loc[year, "precision_10"] == pytest.approx(g[g["rank"] <= 10]["hit"].mean())
         assert sorted(g["rank"]) == list(range(1, len(g) + 1))
 
 
