@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions import columns as C
@@ -198,9 +198,6 @@ def nearest_center(t: Tables) -> DataFrame:
     return E.nearest_center(points(t), centers, ["k"], "x", 900.0).select("event_id", F.round("center", 2).alias("center"))
 
 
-ROUTES = [("balance", ["ECONOMY"]), ("income", ["SMALL", "LARGE"]), ("notes", ["PROMO"])]
-
-
 @plan("W12", """SELECT p_partkey AS id, CASE WHEN contains(p_name, 'red') THEN 'red' WHEN contains(p_name, 'rod') OR contains(p_name, 'ring') THEN 'round' WHEN contains(p_type, 'red') THEN 'red'
     WHEN contains(p_type, 'SMALL') THEN 'small' ELSE 'unrouted' END AS section FROM part""")
 def section_router(t: Tables) -> DataFrame:
@@ -243,7 +240,8 @@ def compare_years(t: Tables) -> DataFrame:
     e AS (SELECT a.district, a.x, a.y, b.x AS bx, b.y AS byy FROM p a JOIN p b ON a.district = b.district AND (a.x, a.y) <> (b.x, b.y)),
     bad AS (SELECT DISTINCT e.district, e.x, e.y, e.bx, e.byy FROM e JOIN p r ON r.district = e.district WHERE (e.bx - e.x) * (r.y - e.y) - (e.byy - e.y) * (r.x - e.x) < 0
       OR ((e.bx - e.x) * (r.y - e.y) - (e.byy - e.y) * (r.x - e.x) = 0 AND (r.x - e.x) * (e.bx - e.x) + (r.y - e.y) * (e.byy - e.y) > (e.bx - e.x) * (e.bx - e.x) + (e.byy - e.y) * (e.byy - e.y)))
-    SELECT DISTINCT district, x, y FROM e WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.district = e.district AND b.x = e.x AND b.y = e.y AND b.bx = e.bx AND b.byy = e.byy)""")
+    SELECT DISTINCT district, x, y FROM e WHERE NOT EXISTS (SELECT 1 FROM bad b WHERE b.district = e.district AND b.x = e.x AND b.y = e.y AND b.bx = e.bx AND b.byy = e.byy)
+    UNION ALL SELECT district, min(x), min(y) FROM p GROUP BY district HAVING count(*) = 1""")
 def district_hull(t: Tables) -> DataFrame:
     d = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("n_name").alias("district"), F.col("c_acctbal").alias("x"), F.col("c_custkey").cast("double").alias("y"))

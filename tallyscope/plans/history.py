@@ -61,8 +61,7 @@ def fleet_features_asof(t: Tables) -> DataFrame:
     return H.fleet_features(R.assets(t), AS_OF, "1999-01-01")
 
 
-@plan("A3", with_("inst", "pen", more=f"""own AS (SELECT i.operator, i.town, min(i.id) AS id FROM inst i GROUP BY 1, 2),
-    cnt AS (SELECT id, count(*) AS n FROM pen WHERE date < DATE '{AS_OF}' AND role = 'O' GROUP BY id),
+@plan("A3", with_("inst", "pen", more=f"""cnt AS (SELECT id, count(*) AS n FROM pen WHERE date < DATE '{AS_OF}' AND role = 'O' GROUP BY id),
     pr AS (SELECT i.id, i.kind AS op, i.id AS parent, coalesce(c.n, 0) AS own FROM inst i LEFT JOIN cnt c ON i.id = c.id)""")
       + """SELECT id, count(*) OVER w - 1 AS op_siblings, CAST(sum(own) OVER w - own AS BIGINT) AS op_sibling_penalties,
     round((sum(own) OVER w - own) / nullif(count(*) OVER w - 1, 0), 6) AS op_sibling_rate
