@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,20 +37,38 @@ def build_session(app: str = "tallyscope", master: str | None = None,
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and return a plan that reads it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one named in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only when
-    that is unset (tests, a laptop) is a fresh local folder used.
+    Only a local session (tests, a laptop) may go without it and gets a folder of its own;
+    on a cluster a machine-local folder would lose the data, so that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        alone = context.master.split("[")[0] == "local"
+        if named is None and not alone:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyscope-ckpt-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and return a plan that reads it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: columnar, with statistics.
+
+    What is read back was committed once, so values that a rerun could change (row ids) are fixed.
+    """
+    path = f"{shared_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_side(kept: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """A materialised table as one side of a join: broadcast only when counted within the bound."""
     return F.broadcast(kept) if kept.count() <= max_rows else kept.hint("merge")
