@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import bpe_lexicon, token_counts
+from tallyscope.llm import bpe_lexicon, shingle_join, token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -38,3 +38,8 @@ def op2_bpe_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op9_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
+    return shingle_join.jaccard_components(table(spark, folder, "documents").select("doc_id", "text"))
