@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import bpe_lexicon, shingle_join, token_counts
+from tallyscope.llm import bpe_lexicon, line_dedup, shingle_join, token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -40,6 +40,12 @@ def op2_bpe_lexicon(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 @query
 def op9_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_join.jaccard_components(table(spark, folder, "documents").select("doc_id", "text"))

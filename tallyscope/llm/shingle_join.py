@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyscope.llm.components import component_labels
-from tallyscope.llm.words import fingerprints, mixed, shingle_sets, split_words, text_pieces
+from tallyscope.llm.rarity import cell_scale
+from tallyscope.llm.words import combined, fingerprints, mixed, shingle_sets, split_words, text_pieces
 from tallyscope.session import stored
 
 #: Counters for the order of shingles, and bits to tell classes that met another one; both of fixed size.
@@ -61,46 +62,16 @@ def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return n + (-n * num) // den + 1
 
 
-def order_counters(docs: DataFrame, text: str, width: int, cells: int) -> np.ndarray:
-    """How many shingles of all texts fall into each cell, as a byte that grows with the logarithm of the count."""
-    def count(batches):
-        total = np.zeros(cells, np.int64)
-        for part, raw in text_pieces(batches, text):
-            words = split_words(raw)
-            _, shingle = shingle_sets(words, fingerprints(words.data, words.start, words.end), width)
-            total += np.bincount((shingle & _U(cells - 1)).astype(np.int64), minlength=cells)
-        used = np.flatnonzero(total)
-        for begin in range(0, len(used), 1 << 16):
-            some = used[begin:begin + (1 << 16)]
-            # Blocks of cells: one row each, so that few rows carry many counts.
-            block = some >> 12
-            cut = np.flatnonzero(np.diff(block, prepend=-1))
-            for a, b in zip(cut, [*cut[1:], len(some)]):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([int(block[a])]), pa.array([(some[a:b] & 4095).astype(np.uint16).tobytes()], pa.binary()),
-                     pa.array([total[some[a:b]].tobytes()], pa.binary())], names=["block", "cell", "n"])
-
-    def add(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, cell, n in zip(*(c.to_pylist() for c in batch.columns)):
-                total = sums.setdefault(block, np.zeros(4096, np.int64))
-                total[np.frombuffer(cell, np.uint16)] += np.frombuffer(n, np.int64)
-        for block, total in sums.items():
-            scale = np.minimum(np.log2(total + 1.0) * 6, 255).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([scale.tobytes()], pa.binary())], names=["block", "scale"])
-
-    parts = docs.select(text).mapInArrow(count, "block long, cell binary, n binary").repartition("block").mapInArrow(add, "block long, scale binary")
-    order = np.zeros(cells, np.uint8)
-    for row in parts.collect():  # cells bytes in all, whatever the input
-        order[row.block * 4096:(row.block + 1) * 4096] = np.frombuffer(row.scale, np.uint8)
-    return order
-
-
 def prefix_postings(docs: DataFrame, text: str, width: int, num: int, den: int, cells: int) -> DataFrame:
     """(shingle, class, n) of prefix shingles that two or more classes have."""
     spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(order_counters(docs, text, width, cells))
+
+    def prints(raw: list[bytes]) -> np.ndarray:
+        words = split_words(raw)
+        runs = combined(fingerprints(words.data, words.start, words.end), width)
+        return runs[words.doc[:len(runs)] == words.doc[width - 1:width - 1 + len(runs)]]
+
+    order = spark.sparkContext.broadcast(cell_scale(docs, text, cells, prints))
     buckets = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def post(batches):
