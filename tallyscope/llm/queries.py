@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import bpe_lexicon, line_dedup, shingle_join, token_counts
+from tallyscope.llm import bpe_lexicon, language_crf, line_dedup, shingle_join, token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -46,6 +46,15 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+@query
+def op6_language_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(language_crf.fold("doc_id", 3) == 1, F.lit(False))
+    model = language_crf.fit(docs.where(language_crf.fold("doc_id", 3) != 1))
+    labelled = language_crf.predict(docs.select("doc_id", "text"), model, spans=False)
+    return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op9_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_join.jaccard_components(table(spark, folder, "documents").select("doc_id", "text"))
