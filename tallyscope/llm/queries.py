@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import bpe_lexicon, language_crf, line_dedup, shingle_join, token_counts
+from tallyscope.llm import bpe_lexicon, decontamination, language_crf, line_dedup, shingle_join, token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -58,3 +58,9 @@ def op6_language_crf(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_join.jaccard_components(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return decontamination.contaminated(docs, table(spark, folder, "benchmark").select("item_id", "text"))
