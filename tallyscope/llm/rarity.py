@@ -32,21 +32,24 @@ def cell_scale(docs: DataFrame, text: str, cells: int, prints: Callable[[list[by
             total += np.bincount(np.concatenate(held), minlength=cells)
         rows = total.reshape(-1, BLOCK)
         for block in np.flatnonzero(rows.any(1)).tolist():
-            cell = np.flatnonzero(rows[block])
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([cell.astype(np.uint16).tobytes()], pa.binary()), pa.array([rows[block][cell].tobytes()], pa.binary())],
-                                             names=["block", "cell", "n"])
+            # A byte a cell; the few larger counts follow with their cells.
+            large = np.flatnonzero(rows[block] > 255)
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.minimum(rows[block], 255).astype(np.uint8).tobytes()], pa.binary()),
+                                              pa.array([large.tobytes() + (rows[block][large] - 255).tobytes()], pa.binary())], names=["block", "n", "rest"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for block, cell, n in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, n, rest in zip(*(c.to_pylist() for c in batch.columns)):
                 total = sums.setdefault(block, np.zeros(BLOCK, np.int64))
-                total[np.frombuffer(cell, np.uint16)] += np.frombuffer(n, np.int64)
+                total += np.frombuffer(n, np.uint8)
+                cell, more = np.frombuffer(rest, np.int64).reshape(2, -1)
+                total[cell] += more
         for block, total in sums.items():
             scale = np.minimum(np.log2(total + 1.0) * 6, 255).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([scale.tobytes()], pa.binary())], names=["block", "scale"])
 
-    parts = docs.select(text).mapInArrow(count, "block long, cell binary, n binary").repartition("block").mapInArrow(add, "block long, scale binary")
+    parts = docs.select(text).mapInArrow(count, "block long, n binary, rest binary").repartition("block").mapInArrow(add, "block long, scale binary")
     scale = np.zeros((cells // BLOCK, BLOCK), np.uint8)
     for row in parts.collect():
         scale[row.block] = np.frombuffer(row.scale, np.uint8)

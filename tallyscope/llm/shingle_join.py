@@ -4,13 +4,15 @@ Documents with the same set of word shingles form a class. Classes are joined ex
 
 1. Counters of fixed size, over all shingles of all texts, give every shingle one place in a global order, rare ones
    first. Any order is right; this one keeps frequent passages out of the prefixes.
-2. Two classes that link share a shingle among the first ``n - ceil(t n) + 1`` of each. These prefixes are shuffled
-   as packed blocks; shingles that only one class has end there. Tiles hold what is left: classes that share a
-   shingle and whose sizes lie in one band or in neighbouring bands, so that the size filter can hold.
-3. First each class is compared with a few heads of its largest tile, which connects most groups. Then each class that
-   is not in its tile's largest component is compared with all other components it meets there, in blocks of rows
-   against blocks of rows. Pairs already connected are left out, so a group of thousands of copies never makes its
-   pairs. In a block, bitmaps bound the overlap from above, and only pairs that may still link are intersected.
+2. Two classes that link share a shingle among the first ``n - ceil(t n) + 1`` of each, and k of them if the prefixes
+   are k - 1 longer. The longer prefixes are shuffled as packed blocks; shingles that only one class has end there,
+   and so do classes that share fewer than k with any others (a common passage is not enough). The shingles left of
+   the shorter prefixes tell which classes meet.
+3. Tiles are blocks of classes of one band of sizes. First each class is compared with a few heads of a group it meets,
+   which connects most groups. Then each class outside the largest component at a shingle is compared with the other
+   components it meets there, tile against tile where the bands allow it. Pairs already connected are left out, so a
+   group of thousands of copies never makes its pairs. Bitmap signatures bound the overlap from above; only pairs
+   that may still link have their sorted arrays intersected.
 
 Shingles and classes are 64-bit fingerprints (classes together with their size).
 
@@ -62,8 +64,13 @@ def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return n + (-n * num) // den + 1
 
 
+def extra_length(n: np.ndarray) -> np.ndarray:
+    """Shingles that two linked sets must share in their longer prefixes (of the smaller set, by its size)."""
+    return np.maximum(-(-n // 8), 1)
+
+
 def prefix_postings(docs: DataFrame, text: str, width: int, num: int, den: int, cells: int) -> DataFrame:
-    """(shingle, class, n) of prefix shingles that two or more classes have."""
+    """(shingle, class, n, inner) of shingles that two or more classes have in their longer prefixes."""
     spark = docs.sparkSession
 
     def prints(raw: list[bytes]) -> np.ndarray:
@@ -91,7 +98,10 @@ def prefix_postings(docs: DataFrame, text: str, width: int, num: int, den: int,
             by = np.argsort(doc * 256 + rank[(mine & _U(cells - 1)).astype(np.int64)], kind="stable")
             doc, mine = doc[by], mine[by]
             place = np.arange(len(doc)) - np.searchsorted(doc, doc)
-            take = place < prefix_length(n, num, den)[doc]
+            inner = prefix_length(n, num, den)
+            take = place < (inner + extra_length(n) - 1)[doc]
+            # The lowest bit tells whether the shingle belongs to the shorter prefix.
+            mine = mine & ~_U(1) | (place < inner[doc])
             doc, mine = doc[take], mine[take]
             bucket = (mine >> _U(32)).astype(np.int64) % buckets
             by = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
@@ -112,15 +122,16 @@ def prefix_postings(docs: DataFrame, text: str, width: int, num: int, den: int,
         def shared():
             shingle = np.concatenate([h[0] for h in held])
             key, n = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-            by = np.lexsort((key, shingle))
+            by = np.lexsort((key, shingle >> _U(1)))
             shingle, key, n = shingle[by], key[by], n[by]
+            inner, shingle = (shingle & _U(1)).astype(bool), shingle >> _U(1)
             new = np.ones(len(by), bool)
             new[1:] = (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1])
-            shingle, key, n = shingle[new], key[new], n[new]
+            shingle, key, n, inner = shingle[new], key[new], n[new], inner[new]
             twin = np.zeros(len(shingle) + 1, bool)
             twin[1:-1] = shingle[1:] == shingle[:-1]
             keep = twin[1:] | twin[:-1]
-            return pa.RecordBatch.from_arrays([pa.array(shingle[keep].view(np.int64)), pa.array(key[keep]), pa.array(n[keep])], names=["shingle", "class", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(shingle[keep].view(np.int64)), pa.array(key[keep]), pa.array(n[keep]), pa.array(inner[keep])], names=["shingle", "class", "n", "inner"])
 
         for batch in batches:
             for bucket, shingle, slot, klass in zip(*(c.to_pylist() for c in batch.columns)):
@@ -136,7 +147,7 @@ def prefix_postings(docs: DataFrame, text: str, width: int, num: int, den: int,
             yield shared()
 
     packed = docs.select(text).mapInArrow(post, "bucket long, shingle binary, slot binary, class binary")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(met, "shingle long, class long, n long")
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(met, "shingle long, class long, n long, inner boolean")
 
 
 def class_rows(docs: DataFrame, ids: str, text: str, width: int, met: np.ndarray) -> DataFrame:
@@ -221,35 +232,37 @@ def _links(blocks: DataFrame, num: int, den: int) -> DataFrame:
     return blocks.select("left", "right").mapInArrow(run, "a long, b long")
 
 
-def _tiles_of(postings: DataFrame, labels: DataFrame | None, num: int, den: int) -> DataFrame:
-    """(shingle, band, class, n, comp): a class stands in the tile of its own band of sizes and the next, its partners in one of both."""
-    band = F.floor(F.log(F.col("n")) / math.log(den / num) + 1e-9)
-    if labels is None:
-        known = postings.withColumn("comp", F.col("class"))
-    else:
-        known = postings.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label")
-    return known.withColumn("band", F.explode(F.array(band, band + 1)))
+def meeting_classes(shared: DataFrame, num: int, den: int) -> DataFrame:
+    """(shingle, class, n) of the shorter prefixes, for the classes that share enough of their longer ones."""
+    size = F.ceil(F.col("n") * num / den)
+    enough = shared.groupBy("class").agg(F.count("*").alias("m"), F.first("n").alias("n")).where(F.col("m") >= F.greatest(F.ceil(size / 8), F.lit(1))).select("class")
+    return shared.where("inner").select("shingle", "class", "n").join(enough, "class", "left_semi")
 
 
-TILE = ["shingle", "band"]
+def _with_components(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return postings.withColumn("comp", F.col("class"))
+    return postings.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label")
 
 
-def _parts(tiles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per tile and component its count and sizes; and per tile with several components the largest of them."""
-    parts = tiles.groupBy(*TILE, "comp").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"))
-    several = parts.groupBy(*TILE).agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("m")).where("comps > 1")
+def _parts(postings: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Per key and component its count and sizes; and per key with several components the largest of them."""
+    parts = postings.groupBy(*key, "comp").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"))
+    several = parts.groupBy(*key).agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("m")).where("comps > 1")
     return parts, several.drop("comps")
 
 
-def star_links(tiles: DataFrame, sets: DataFrame, num: int, den: int, rows: int, salt: int) -> DataFrame:
-    """Links of each class with a few heads of its largest tile, for classes outside the tile's largest component."""
-    several = _parts(tiles)[1]
+def star_links(postings: DataFrame, sets: DataFrame, num: int, den: int, rows: int, salt: int) -> DataFrame:
+    """Links of each class with a few heads of its largest group: a shingle (one of eight will do) and a band of sizes."""
+    key = ["shingle", "band"]
+    groups = postings.where(F.pmod("shingle", F.lit(8)) == salt % 8).withColumn("band", F.floor(F.log(F.col("n")) / math.log(den / num)))
+    several = _parts(groups, key)[1]
     one = [F.min(F.struct(F.xxhash64("class", F.lit(salt + i)).alias("h"), "class", "comp")).alias(f"h{i}") for i in range(HEADS)]
-    asking = tiles.join(several, TILE).where((F.col("comp") != F.col("main")) | (F.col("comp") == F.col("class"))) \
-        .groupBy("class", "n", "comp").agg(F.max(F.struct("m", *TILE)).alias("t")).select("class", "n", "comp", "t.shingle", "t.band")
-    asking = stored(asking.withColumn("tile", F.xxhash64(*TILE)))
-    heads = tiles.join(asking.select(*TILE).distinct(), TILE).groupBy(*TILE).agg(*one) \
-        .select(F.xxhash64(*TILE).alias("tile"), F.explode(F.array_distinct(F.array(*[F.struct(f"h{i}.class", f"h{i}.comp") for i in range(HEADS)]))).alias("h")) \
+    asking = groups.join(several, key).where((F.col("comp") != F.col("main")) | (F.col("comp") == F.col("class"))) \
+        .groupBy("class", "n", "comp").agg(F.max(F.struct("m", *key)).alias("t")).select("class", "n", "comp", F.xxhash64("t.shingle", "t.band").alias("tile"))
+    asking = stored(asking)
+    heads = groups.withColumn("tile", F.xxhash64(*key)).join(asking.select("tile").distinct(), "tile").groupBy("tile").agg(*one) \
+        .select("tile", F.explode(F.array_distinct(F.array(*[F.struct(f"h{i}.class", f"h{i}.comp") for i in range(HEADS)]))).alias("h")) \
         .select("tile", "h.class", "h.comp")
     right = heads.join(sets, "class").groupBy("tile").agg(F.collect_list(F.struct("class", "comp", "set")).alias("right"))
     left = _blocks(asking.join(sets.select("class", "set"), "class"), "tile", rows).select("tile", F.col("rows").alias("left"))
@@ -260,19 +273,18 @@ def jaccard_links(postings: DataFrame, sets: DataFrame, num: int, den: int, rows
     """Links that connect every two classes with Jaccard >= num / den; classes of one component need not be linked directly."""
     links = labels = None
     for turn in range(STAR_ROUNDS):
-        found = stored(star_links(_tiles_of(postings, labels, num, den), sets, num, den, rows, turn * HEADS))
+        found = stored(star_links(_with_components(postings, labels), sets, num, den, rows, turn * (HEADS + 1)))
         links = found if links is None else stored(links.union(found))
         labels = stored(component_labels(links))
 
-    tiles = _tiles_of(postings, labels, num, den)
-    parts, several = _parts(tiles)
-    # A class outside the tile's largest component meets all other components of the tile that its size allows.
-    minor = tiles.join(several, TILE).where(F.col("comp") != F.col("main")).select(*TILE, "class", "n", F.col("comp").alias("own"))
-    meets = minor.join(parts.select(*TILE, "comp", "least", "most"), TILE) \
+    known = _with_components(postings, labels)
+    parts, several = _parts(known, ["shingle"])
+    # A class outside a shingle's largest component meets all other components there that its size allows.
+    minor = known.join(several, "shingle").where(F.col("comp") != F.col("main")).select("shingle", "class", "n", F.col("comp").alias("own"))
+    meets = minor.join(parts.select("shingle", "comp", "least", "most"), "shingle") \
         .where((F.col("own") != F.col("comp")) & (den * F.col("most") >= num * F.col("n")) & (num * F.col("least") <= den * F.col("n"))) \
         .select("class", "own", "comp").distinct()
     meets = stored(meets)
-    # Blocks: members of a component in order of size; the classes that meet it, likewise.
     members = sets.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label")
     right = _blocks(members.join(meets.select("comp").distinct(), "comp"), "comp", rows).withColumnRenamed("rows", "right")
     asking = meets.withColumnRenamed("comp", "target").join(sets, "class").select("target", "class", "n", "set", F.col("own").alias("comp"))
@@ -300,7 +312,7 @@ def jaccard_components(docs: DataFrame, ids: str = "doc_id", text: str = "text",
     Two rows link when their sets of ``width``-word shingles have Jaccard similarity ``num / den`` or more.
     """
     spark = docs.sparkSession
-    postings = stored(prefix_postings(docs, text, width, num, den, cells))
+    postings = stored(meeting_classes(stored(prefix_postings(docs, text, width, num, den, cells)), num, den))
 
     def flags(batches):
         out = np.zeros(MET_BITS, bool)
