@@ -300,7 +300,7 @@ def _token_flags(sets: DataFrame) -> np.ndarray:
 
 def dedup_lines(docs: DataFrame, ids: str = "doc_id", text: str = "text", num: int = 4, den: int = 5, cells: int = ORDER_CELLS, asks: int = ASKS) -> DataFrame:
     """``docs`` with the later of matching lines taken out of ``text``, and the long columns n_lines and n_removed."""
-    gone = removed_lines(docs, ids, text, num, den, cells, asks).select(F.col("id").alias("_id"), F.col("print").alias("_print"), F.col("lines").alias("_gone"))
+    gone = stored(removed_lines(docs, ids, text, num, den, cells, asks)).select(F.col("id").alias("_id"), F.col("print").alias("_print"), F.col("lines").alias("_gone"))
     kept = docs.drop("n_lines", "n_removed")
     names = [c for c in kept.columns]
     joined = kept.join(gone, F.col(ids).cast("long").eqNullSafe(F.col("_id")) & (text_print(text) == F.col("_print")), "left").select(*[kept[c] for c in names], "_gone")
