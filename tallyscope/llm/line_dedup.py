@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyscope.llm.rarity import cell_scale
+from tallyscope.llm.rarity import cell_scale, flag_array, flagged
 from tallyscope.llm.words import fingerprints, mixed, split_words, text_pieces
 from tallyscope.session import stored
 
@@ -88,25 +88,6 @@ def bitmap(line: np.ndarray, token: np.ndarray, lines: int) -> np.ndarray:
     return out.reshape(-1, 2)
 
 
-def flag_array(frame: DataFrame, column: str, bits: int) -> np.ndarray:
-    """One bit for the values of a long column that fall on it; fixed size, for scans that may pass a few rows too many."""
-    def run(batches):
-        out = np.zeros(bits, bool)
-        for batch in batches:
-            out[(batch.column(0).to_numpy().view(_U) % _U(bits)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], names=["bits"])
-
-    total = np.zeros(bits // 8, np.uint8)
-    for row in frame.select(column).mapInArrow(run, "bits binary").toLocalIterator():
-        total |= np.frombuffer(row.bits, np.uint8)
-    return total
-
-
-def flagged(flags: np.ndarray, value: np.ndarray) -> np.ndarray:
-    bit = (value.view(_U) % _U(len(flags) * 8)).astype(np.int64)
-    return (flags[bit >> 3] >> (bit & 7) & 1).astype(bool)
-
-
 def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int, asks: int | None, asked=None) -> DataFrame:
     """(class, other, more): an earlier class that may match; ``more``: the class had further ones at that token.
 

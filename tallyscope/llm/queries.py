@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import bpe_lexicon, decontamination, language_crf, line_dedup, shingle_join, token_counts
+from tallyscope.llm import bpe_lexicon, decontamination, language_crf, line_dedup, sentence_spans, shingle_join, token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -55,6 +55,12 @@ def op6_language_crf(spark: SparkSession, folder: str) -> DataFrame:
     return labelled.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op7_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return sentence_spans.dedup_spans(docs).select("doc_id", "n_sentences", "n_removed", "text")
+
+
 @query
 def op9_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_join.jaccard_components(table(spark, folder, "documents").select("doc_id", "text"))

@@ -1,4 +1,4 @@
-"""Counters of fixed size that put fingerprints of any number of things into one global order of rarity."""
+"""Counters and flags of fixed size, over fingerprints of any number of things, for the driver to hand to all tasks."""
 
 from __future__ import annotations
 
@@ -54,3 +54,22 @@ def cell_scale(docs: DataFrame, text: str, cells: int, prints: Callable[[list[by
     for row in parts.collect():
         scale[row.block] = np.frombuffer(row.scale, np.uint8)
     return scale.ravel()
+
+
+def flag_array(frame: DataFrame, column: str, bits: int) -> np.ndarray:
+    """One bit for the values of a long column that fall on it; fixed size, for scans that may pass a few rows too many."""
+    def run(batches):
+        out = np.zeros(bits, bool)
+        for batch in batches:
+            out[(batch.column(0).to_numpy().view(_U) % _U(bits)).astype(np.int64)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], names=["bits"])
+
+    total = np.zeros(bits // 8, np.uint8)
+    for row in frame.select(column).mapInArrow(run, "bits binary").toLocalIterator():
+        total |= np.frombuffer(row.bits, np.uint8)
+    return total
+
+
+def flagged(flags: np.ndarray, value: np.ndarray) -> np.ndarray:
+    bit = (value.view(_U) % _U(len(flags) * 8)).astype(np.int64)
+    return (flags[bit >> 3] >> (bit & 7) & 1).astype(bool)

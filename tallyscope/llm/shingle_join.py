@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyscope.llm.components import component_labels
-from tallyscope.llm.rarity import cell_scale
+from tallyscope.llm.rarity import cell_scale, flag_array, flagged
 from tallyscope.llm.words import combined, fingerprints, mixed, shingle_sets, split_words, text_pieces
 from tallyscope.session import stored
 
@@ -153,18 +153,15 @@ def prefix_postings(docs: DataFrame, text: str, width: int, num: int, den: int,
 def class_rows(docs: DataFrame, ids: str, text: str, width: int, met: np.ndarray) -> DataFrame:
     """(class, n, ids, sets): a row for each class of each piece; the sorted set is there if the class may have met another."""
     shipped = docs.sparkSession.sparkContext.broadcast(met)
-    bits = len(met) * 8
 
     def run(batches):
-        flags = shipped.value
         for part, n, key, at, shingle in classes_of(batches, text, width):
             own = part.column(ids)
             by = np.argsort(key, kind="stable")
             by = by[n[by] > 0]
             cut = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]]) if len(by) else np.zeros(0, np.int64)
             heads = by[cut]
-            bit = (key[heads].view(_U) % _U(bits)).astype(np.int64)
-            wanted = flags[bit >> 3] >> (bit & 7) & 1
+            wanted = flagged(shipped.value, key[heads])
             lists = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(by)], pa.int32()), own.take(pa.array(by)))
             sets = [shingle[at[h]:at[h] + n[h]].tobytes() if w else None for h, w in zip(heads, wanted)]
             yield pa.RecordBatch.from_arrays([pa.array(key[heads]), pa.array(n[heads]), lists, pa.array(sets, pa.binary())], names=["class", "n", "ids", "set"])
@@ -314,15 +311,7 @@ def jaccard_components(docs: DataFrame, ids: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     postings = stored(meeting_classes(stored(prefix_postings(docs, text, width, num, den, cells)), num, den))
 
-    def flags(batches):
-        out = np.zeros(MET_BITS, bool)
-        for batch in batches:
-            out[(batch.column(0).to_numpy().view(_U) % _U(MET_BITS)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], names=["bits"])
-
-    met = np.zeros(MET_BITS // 8, np.uint8)
-    for row in postings.select("class").mapInArrow(flags, "bits binary").toLocalIterator():  # a task's flags at a time, of fixed size
-        met |= np.frombuffer(row.bits, np.uint8)
+    met = flag_array(postings, "class", MET_BITS)
     rows_of_classes = stored(class_rows(docs, ids, text, width, met))
     sets = rows_of_classes.where("set is not null").groupBy("class", "n").agg(F.first("set").alias("set"))
     sets = stored(sets.join(postings.select("class").distinct(), "class", "left_semi"))
