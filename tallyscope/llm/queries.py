@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import bpe_lexicon, decontamination, language_crf, line_dedup, sentence_spans, shingle_join, token_counts
+from tallyscope.llm import bpe_lexicon, class_ngrams, decontamination, language_crf, line_dedup, sentence_spans, shingle_join, token_counts
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -40,6 +40,14 @@ def op2_bpe_lexicon(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op4_class_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = language_crf.fold("doc_id", 7) == 2
+    model, counts = class_ngrams.learn(docs, held_out)
+    return class_ngrams.scored(docs, held_out, model, counts)
+
+
 @query
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
