@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import bpe_lexicon, class_ngrams, decontamination, language_crf, line_dedup, sentence_spans, shingle_join, token_counts
+from tallyscope.llm import bpe_lexicon, class_ngrams, decontamination, language_crf, line_dedup, sentence_spans, shingle_join, token_counts, voronoi_knn
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -40,6 +40,23 @@ def op2_bpe_lexicon(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op3_voronoi_knn(spark: SparkSession, folder: str) -> DataFrame:
+    return voronoi_knn.top_k(table(spark, folder, "embeddings").select("vec_id", "embedding"), F.col("id") % 50 == 0)
+
+
+LLM_SQL["op3_voronoi_knn"] = """
+WITH c AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+     s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                  CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+           FROM c AS q JOIN c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
 @query
 def op4_class_ngrams(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
