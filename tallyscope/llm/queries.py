@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import bpe_lexicon, class_ngrams, decontamination, language_crf, line_dedup, sentence_spans, shingle_join, token_counts, voronoi_knn
+from tallyscope.llm import bpe_lexicon, class_ngrams, decontamination, language_crf, license_scan, line_dedup, sentence_spans, shingle_join, token_counts, voronoi_knn
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -86,6 +86,14 @@ def op7_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
     return sentence_spans.dedup_spans(docs).select("doc_id", "n_sentences", "n_removed", "text")
 
 
+@query
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan.scan(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+LLM_SQL["op8_license_scan"] = license_scan.scan_sql()
+
+
 @query
 def op9_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
     return shingle_join.jaccard_components(table(spark, folder, "documents").select("doc_id", "text"))
