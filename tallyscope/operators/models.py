@@ -31,7 +31,8 @@ def fit_ranking(train: DataFrame, label: str, features: Sequence[str], strength:
                 balanced: bool = False, kind: str = "logistic") -> Callable[[DataFrame], DataFrame]:
     """Median fill, scaling and a classifier; returns a scorer that adds ``score``.
 
-    The penalty 1/(C·n) makes the mean-loss objective equal to the summed one.
+    The penalty 1/(C·n) makes the mean-loss objective equal to the summed one; the factor (n - 1)/n makes it that of
+    features scaled by the population's deviation, as the scaler divides by the sample's.
     """
     medians = column_medians(train, features)
     d = fill(train, medians)
@@ -44,7 +45,7 @@ def fit_ranking(train: DataFrame, label: str, features: Sequence[str], strength:
     assembler = VectorAssembler(inputCols=list(features), outputCol="_raw")
     scaler = StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True)
     if kind == "logistic":
-        model = LogisticRegression(featuresCol="_features", labelCol=label, regParam=1.0 / (strength * n), elasticNetParam=0.0,
+        model = LogisticRegression(featuresCol="_features", labelCol=label, regParam=1.0 / (strength * n) * max(n - 1, 1) / n, elasticNetParam=0.0,
                                    standardization=False, maxIter=1000, **({"weightCol": weight} if weight else {}))
     else:
         model = GBTClassifier(featuresCol="_features", labelCol=label, maxIter=20, maxDepth=3, seed=7,
@@ -120,10 +121,13 @@ def group_folds(df: DataFrame, group: str, label: str, features: Sequence[str],
 
 
 def poisson_weight(*keys: Column) -> Column:
-    """Poisson(1) draw that depends on the keys only, by inverting the distribution."""
-    u = (F.pmod(F.xxhash64(*keys), F.lit(1000003)) + 0.5) / 1000003
+    """Poisson(1) draw that depends on the keys only, by inverting the distribution at 53 random bits.
+
+    Draws end at 19, beyond which less than one in 2^53 is left.
+    """
+    u = (F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") + 0.5) / float(1 << 53)
     total, term, weight = 0.0, 0.36787944117144233, F.lit(0)
-    for i in range(9):
+    for i in range(19):
         total += term
         weight = weight + F.when(u > total, 1).otherwise(0)
         term /= i + 1
@@ -131,10 +135,11 @@ def poisson_weight(*keys: Column) -> Column:
 
 
 def cluster_bootstrap_auc(df: DataFrame, group: str, score: str, label: str, replicates: int) -> DataFrame:
-    """AUC per replicate with Poisson weights drawn per group; rows are copied per replicate."""
+    """AUC per replicate with Poisson weights drawn per group; rows are counted per group and score before they are copied."""
     reps = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")
-    d = df.select(group, F.col(score).alias("s"), F.col(label).alias("y"), reps)
-    d = d.withColumn("w", poisson_weight(F.col(group), F.col("replicate"))).where("w > 0")
+    counted = df.groupBy(group, F.col(score).alias("s"), F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("_c"))
+    d = counted.select(group, "s", "y", "_c", reps)
+    d = d.withColumn("w", poisson_weight(F.col(group), F.col("replicate")) * F.col("_c")).where("w > 0")
     d = d.groupBy("replicate", "s").agg(F.sum(F.when(F.col("y") == 1, F.col("w"))).alias("p"), F.sum(F.when(F.col("y") == 0, F.col("w"))).alias("q"))
     d = d.na.fill(0, ["p", "q"])
     d = O.tie_counts(d, F.col("s"), ["replicate"], "b", "u", "total", weight=F.col("q"))

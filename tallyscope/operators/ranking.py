@@ -171,29 +171,30 @@ def two_by_two(df: DataFrame, flag: str, label: str, groups: Sequence[str] = (),
 def hypergeometric_tail(population: Column, marked: Column, drawn: Column, seen: Column) -> Column:
     """P(X >= seen) when ``drawn`` of ``population`` are taken and ``marked`` carry the mark.
 
-    Exact up to 100,000 terms; longer sums use the normal approximation with continuity
-    correction, whose error is then far below any reporting precision.
+    The tail on the far side of the mode is summed, outwards from ``seen``: its terms fall faster than a normal
+    density's, so twelve deviations hold all that a double can show. Below the mode the answer is one less that tail.
     """
-    low = F.greatest(seen, drawn + marked - population, F.lit(0))
-    top = F.least(marked, drawn)
-    total = C.log_choose(population, drawn)
-    # The ratio of neighbouring terms is a fraction, so the sum needs one logarithm.
-    first = F.exp(C.log_choose(marked, low) + C.log_choose(population - marked, drawn - low) - total)
-    terms = 100_000
-    steps = F.sequence(low, F.least(F.greatest(top, low), low + terms))
+    low, top = F.greatest(drawn + marked - population, F.lit(0)), F.least(marked, drawn)
     n, m, k = population.cast("double"), marked.cast("double"), drawn.cast("double")
-    mean = k * m / n
-    deviation = F.sqrt(k * m / n * (n - m) / n * (n - k) / (n - 1))
-    start = F.struct(F.lit(0.0).alias("s"), first.alias("t"))
-    folded = F.aggregate(
-        steps, start,
-        lambda acc, i: F.struct(
-            (acc["s"] + acc["t"]).alias("s"),
-            (acc["t"] * (marked - i) * (drawn - i) / ((i + 1) * (population - marked - drawn + i + 1))
-             ).alias("t")),
-        lambda acc: acc["s"])
-    return (F.when(low > top, 0.0).when(top - low > terms, C.normal_tail((seen - 0.5 - mean) / deviation))
-            .otherwise(F.least(folded, F.lit(1.0))))
+    deviation = F.coalesce(F.try_divide(k * m * (n - m) * (n - k), n * n * (n - 1)), F.lit(0.0))
+    width = (12 * F.sqrt(F.greatest(deviation, F.lit(0.0))) + 60).cast("long")
+    mode = F.floor((k + 1) * (m + 1) / (n + 2))
+    total = C.log_choose(population, drawn)
+    above = lambda i: (marked - i) * ((drawn - i) / ((i + 1.0) * (population - marked - drawn + i + 1.0)))
+    below = lambda i: i * ((population - marked - drawn + i) / ((marked - i + 1.0) * (drawn - i + 1.0)))
+
+    def outwards(first: Column, last: Column, step: int, ratio) -> Column:
+        """Sum of the terms from ``first`` to ``last`` as a share of the whole."""
+        start = C.log_choose(marked, first) + C.log_choose(population - marked, drawn - first) - total
+        sums = F.aggregate(F.sequence(first, last, F.lit(step).cast("long")), F.struct(F.lit(0.0).alias("s"), F.lit(1.0).alias("t")),
+                           lambda acc, i: F.struct((acc["s"] + acc["t"]).alias("s"), (acc["t"] * ratio(i)).alias("t")), lambda acc: acc["s"])
+        return F.exp(start) * sums
+
+    seen = seen.cast("long")
+    right = outwards(seen, F.least(top.cast("long"), seen + width), 1, above)
+    left = outwards(seen - 1, F.greatest(low.cast("long"), seen - 1 - width), -1, below)
+    return (F.when(seen > top, 0.0).when(seen <= low, 1.0)
+            .when(seen > mode, F.least(right, F.lit(1.0))).otherwise(F.greatest(1 - left, F.lit(0.0))))
 
 
 def signal_verdict(name: Column, lift: Column, p: Column, scored: Sequence[str]) -> Column:
@@ -276,6 +277,20 @@ def resolve_scope(points: DataFrame, scope: str, district: str | None = None, to
     raise ValueError(f"unknown scope {scope!r}")
 
 
+def scope_counts(points: DataFrame, ids: DataFrame, district: str, top_n: int = 50) -> DataFrame:
+    """(scope, n) of every scan scope, and of requested ids that no institution has, from one pass over the points.
+
+    points: id, town, rank_overall, failed_total, recent_partial; ids: id
+    """
+    asked = ids.select(F.col("id").alias("_asked")).distinct()
+    d = points.join(asked, F.col("id") == F.col("_asked"), "full_outer")
+    there = F.col("id").isNotNull()
+    scopes = {"district": F.col("town") == district, "top_risk": F.col("rank_overall") <= max(1, top_n), "compliance_fail": F.col("failed_total") > 0,
+              "evaluation": F.col("recent_partial") == 1, "city": F.lit(True), "picked": F.col("_asked").isNotNull()}
+    counts = d.agg(*[F.count_if(there & c).alias(name) for name, c in scopes.items()], F.count_if(~there).alias("unknown"))
+    return counts.unpivot([], [*scopes, "unknown"], "scope", "n")
+
+
 def unknown_ids(ids: DataFrame, points: DataFrame) -> DataFrame:
     """Requested ids that no institution has."""
     return ids.select("id").distinct().join(points.select("id"), "id", "left_anti")

@@ -222,13 +222,7 @@ def scan_scope_counts(t: Tables) -> DataFrame:
     r = ranked(t).withColumns({"failed_total": (F.col("capacity") < 0).cast("int"),
                                "recent_partial": ((F.col("kind") == "BUILDING") & (F.col("prior") > 3)).cast("int")})
     ids = t.orders.where(F.col("o_totalprice") > 400000).select(F.col("o_orderkey").alias("id"))
-    parts = {s: K.resolve_scope(r, s, district="NATION_3", top_n=50, ids=ids) for s in ("district", "top_risk", "compliance_fail", "evaluation", "city", "picked")}
-    parts["unknown"] = K.unknown_ids(ids, r)
-    out = None
-    for name, d in parts.items():
-        one = d.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("scope"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return K.scope_counts(r, ids, "NATION_3", 50)
 
 
 @plan("P21 D7", with_("pen") + """SELECT f AS feature FROM (SELECT 'fine' AS f, count(fine) FILTER (date < DATE '1998-07-01') AS a, count(fine) AS b FROM pen

@@ -57,7 +57,13 @@ def test_hull_is_decomposable(spark):
     rng = random.Random(4)
     pts = [("d", rng.gauss(0, 1), rng.gauss(0, 1)) for _ in range(3000)] + [("e", 1.0, 1.0), ("e", 1.0, 1.0), ("e", 2.0, 2.0)]
     got = E.district_hulls(spark.createDataFrame(pts, "k string, x double, y double").repartition(7), "k", "x", "y").collect()
-    assert [(r["x"], r["y"]) for r in sorted((r for r in got if r["k"] == "d"), key=lambda r: r["vertex"])] == E._hull([p[1:] for p in pts if p[0] == "d"])
+    hull = [(r["x"], r["y"]) for r in sorted((r for r in got if r["k"] == "d"), key=lambda r: r["vertex"])]
+    own = [p[1:] for p in pts if p[0] == "d"]
+    # A point is a vertex if and only if no line through it and another point has points on both sides or beyond it.
+    turn = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    assert hull[0] == min(own) and len(set(hull)) == len(hull) and set(hull) <= set(own)
+    assert all(turn(a, b, c) >= 0 for a, b in zip(hull, hull[1:] + hull[:1]) for c in own)
+    assert all(turn(a, b, c) > 0 for a, b, c in zip(hull, hull[1:] + hull[:1], hull[2:] + hull[:2]))
     assert {(r["x"], r["y"]) for r in got if r["k"] == "e"} == {(1.0, 1.0), (2.0, 2.0)}
 
 

@@ -38,6 +38,21 @@ def test_fisher_tail(spark):
     assert got["p"] == pytest.approx(p, rel=1e-9) and got["lift"] == pytest.approx((8 / 33) / (12 / 99))
 
 
+def test_hypergeometric_tail_at_any_size(spark):
+    cases = [(4000, 2000, 2000, 100), (100000, 50000, 20000, 5000), (50, 20, 10, 0), (50, 20, 10, 10), (50, 20, 10, 11), (50, 45, 10, 5), (50, 45, 10, 6), (1, 1, 1, 1), (500, 100, 100, 19),
+             (500, 100, 100, 20), (500, 100, 100, 21), (500, 100, 100, 95), (10**6, 400000, 300000, 120000), (10**6, 400000, 300000, 121000), (2 * 10**6, 10**6, 5 * 10**5, 2 * 10**5)]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, n long, m long, k long, s long")
+    got = [r.p for r in rows.withColumn("p", K.hypergeometric_tail(*[F.col(c) for c in "nmks"])).orderBy("i").collect()]
+    for c, p in zip(cases, got):
+        if c[0] <= 4000:
+            n, m, k, s = c
+            want = sum(math.comb(m, j) * math.comb(n - m, k - j) for j in range(max(s, 0), min(m, k) + 1) if k - j <= n - m) / math.comb(n, k)
+            assert p == pytest.approx(want, rel=1e-8, abs=1e-305), c
+    assert got[0] == 1.0 and got[1] == 1.0 and got[-1] == 1.0
+    assert 0 < got[11] < 1e-60
+    assert got[12] == pytest.approx(0.5, abs=2e-3) and 0 < got[13] < 1e-4
+
+
 def test_small_arm_gives_nothing(spark):
     df = spark.createDataFrame([(1, 1)] * 4 + [(0, 0)] * 50, "flag int, label int")
     assert K.two_by_two(df, "flag", "label").count() == 0
@@ -49,7 +64,7 @@ def test_logistic_matches_newton(spark):
     y = (rng.random(300) < 1 / (1 + np.exp(-(x[:, 0] - 0.2 * x[:, 1])))).astype(int)
     df = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, ((a, b), c) in enumerate(zip(x, y))], "id long, a double, b double, label int")
     got = M.fit_ranking(df, "label", ["a", "b"])(df).orderBy("id").toPandas()["score"].to_numpy()
-    z = np.c_[(x - x.mean(0)) / x.std(0, ddof=1), np.ones(300)]
+    z = np.c_[(x - x.mean(0)) / x.std(0), np.ones(300)]
     w, reg = np.zeros(3), np.diag([1.0, 1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-z @ w))
@@ -96,5 +111,11 @@ def test_normal_tail_and_large_fisher(spark):
     assert [r["p"] for r in got] == pytest.approx([0.5 * math.erfc(z / math.sqrt(2)) for z in zs], abs=1e-7)
     big = spark.createDataFrame([(10_000_000, 3_000_000, 2_000_000, 601_000)], "n long, m long, k long, x long")
     p = big.select(K.hypergeometric_tail(F.col("n"), F.col("m"), F.col("k"), F.col("x")).alias("p")).first()["p"]
-    sd = math.sqrt(2e6 * 0.3 * 0.7 * 8e6 / (1e7 - 1))
-    assert p == pytest.approx(0.5 * math.erfc((601_000 - 0.5 - 600_000) / sd / math.sqrt(2)), abs=1e-6)
+    n, m, k, x = 10_000_000, 3_000_000, 2_000_000, 601_000
+    choose = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    want, term = 0.0, math.exp(choose(m, x) + choose(n - m, k - x) - choose(n, k))
+    while term > 1e-30:
+        want += term
+        term *= (m - x) * (k - x) / ((x + 1) * (n - m - k + x + 1))
+        x += 1
+    assert p == pytest.approx(want, rel=1e-6)
