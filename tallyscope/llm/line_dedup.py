@@ -245,7 +245,7 @@ def removed_lines(docs: DataFrame, ids: str = "doc_id", text: str = "text", num:
 
     def sets_of(pairs: DataFrame, of: DataFrame) -> DataFrame:
         wanted = pairs.select("class").union(pairs.select("other")).distinct()
-        return of.where("set is not null").groupBy("class").agg(F.first("set").alias("set")).join(wanted, "class", "left_semi")
+        return stored(of.where("set is not null").groupBy("class").agg(F.first("set").alias("set")).join(wanted, "class", "left_semi"))
 
     order = spark.sparkContext.broadcast(cell_scale(docs, text, cells, prints))
     found = stored(candidates(docs, ids, text, order, num, den, asks))
