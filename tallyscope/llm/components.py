@@ -26,14 +26,19 @@ def _hung_on_least(edges: DataFrame, larger: bool) -> DataFrame:
     return moved.where(F.col("a") != F.col("b")).distinct()
 
 
-def component_labels(links: DataFrame) -> DataFrame:
-    """(id, label) of every node of ``links`` (a, b): the least id of its component, for the ids that are not the least."""
+def component_labels(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(id, label) of every node of ``links`` (a, b): the least id of its component, for the ids that are not the least.
+
+    With ``rounds`` the work ends after so many: rows of one label are connected, but a component may still have
+    several labels. That is enough where labels only save comparisons.
+    """
     edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(F.col("a") != F.col("b")).distinct())
-    state = None
-    while True:
+    state, turn = None, 0
+    while rounds is None or turn < rounds:
         # The sum tells whether a round changed anything; an unchanged set of edges is a set of stars.
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == state or now[0] == 0:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
-        state = now
+        state, turn = now, turn + 1
         edges = stored(_hung_on_least(_hung_on_least(edges, True), False))
+    return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label"))

@@ -8,11 +8,12 @@ Documents with the same set of word shingles form a class. Classes are joined ex
    are k - 1 longer. The longer prefixes are shuffled as packed blocks; shingles that only one class has end there,
    and so do classes that share fewer than k with any others (a common passage is not enough). The shingles left of
    the shorter prefixes tell which classes meet.
-3. Tiles are blocks of classes of one band of sizes. First each class is compared with a few heads of a group it meets,
-   which connects most groups. Then each class outside the largest component at a shingle is compared with the other
-   components it meets there, tile against tile where the bands allow it. Pairs already connected are left out, so a
-   group of thousands of copies never makes its pairs. Bitmap signatures bound the overlap from above; only pairs
-   that may still link have their sorted arrays intersected.
+3. A class is at home at the shingle where it meets most others. Tiles are blocks of classes of one home and one band of
+   sizes. First each class is compared with a few heads of its home, which connects most groups. Then, wherever
+   several components meet at a shingle, the homes of all classes outside the largest are compared with all homes
+   there, tile against tile where the bands allow it. Pairs of homes and tiles are rows, pairs of classes never are,
+   and pairs already connected are left out. Bitmap signatures bound the overlap from above; only pairs that may still
+   link have their sorted arrays intersected.
 
 Shingles and classes are 64-bit fingerprints (classes together with their size).
 
@@ -39,8 +40,8 @@ ORDER_CELLS = 1 << 21
 MET_BITS = 1 << 23
 #: Rows of a block of the last comparison.
 TILE_ROWS = 128
-#: Rounds in which classes are compared with the heads of their largest tile, and heads of a tile, before the complete comparison.
-STAR_ROUNDS, HEADS = 2, 8
+#: Classes of a home that all others of it are compared with, before the complete comparison.
+HEADS = 8
 
 _U = np.uint64
 
@@ -122,14 +123,15 @@ def prefix_postings(docs: DataFrame, text: str, width: int, num: int, den: int,
         def shared():
             shingle = np.concatenate([h[0] for h in held])
             key, n = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-            by = np.lexsort((key, shingle >> _U(1)))
+            by = np.lexsort((key, n, shingle >> _U(1)))
             shingle, key, n = shingle[by], key[by], n[by]
             inner, shingle = (shingle & _U(1)).astype(bool), shingle >> _U(1)
             new = np.ones(len(by), bool)
             new[1:] = (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1])
             shingle, key, n, inner = shingle[new], key[new], n[new], inner[new]
+            # Neighbours in order of size: if they are too unlike, so are all others.
             twin = np.zeros(len(shingle) + 1, bool)
-            twin[1:-1] = shingle[1:] == shingle[:-1]
+            twin[1:-1] = (shingle[1:] == shingle[:-1]) & (den * n[:-1] >= num * n[1:])
             keep = twin[1:] | twin[:-1]
             return pa.RecordBatch.from_arrays([pa.array(shingle[keep].view(np.int64)), pa.array(key[keep]), pa.array(n[keep]), pa.array(inner[keep])], names=["shingle", "class", "n", "inner"])
 
@@ -236,58 +238,48 @@ def meeting_classes(shared: DataFrame, num: int, den: int) -> DataFrame:
     return shared.where("inner").select("shingle", "class", "n").join(enough, "class", "left_semi")
 
 
-def _with_components(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return postings.withColumn("comp", F.col("class"))
-    return postings.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label")
+def homes_of(postings: DataFrame, sets: DataFrame) -> DataFrame:
+    """(class, n, home): the shingle at which a class meets most others (one of four will do), or itself."""
+    some = postings.where(F.pmod("shingle", F.lit(4)) == 0)
+    counts = some.groupBy("shingle").agg(F.count("*").alias("m"))
+    home = some.join(counts, "shingle").groupBy("class").agg(F.max(F.struct("m", "shingle"))["shingle"].alias("home"))
+    return sets.select("class", "n").join(home, "class", "left").select("class", "n", F.coalesce("home", "class").alias("home"))
 
 
-def _parts(postings: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Per key and component its count and sizes; and per key with several components the largest of them."""
-    parts = postings.groupBy(*key, "comp").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("n").alias("most"))
-    several = parts.groupBy(*key).agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("m")).where("comps > 1")
-    return parts, several.drop("comps")
-
-
-def star_links(postings: DataFrame, sets: DataFrame, num: int, den: int, rows: int, salt: int) -> DataFrame:
-    """Links of each class with a few heads of its largest group: a shingle (one of eight will do) and a band of sizes."""
-    key = ["shingle", "band"]
-    groups = postings.where(F.pmod("shingle", F.lit(8)) == salt % 8).withColumn("band", F.floor(F.log(F.col("n")) / math.log(den / num)))
-    several = _parts(groups, key)[1]
-    one = [F.min(F.struct(F.xxhash64("class", F.lit(salt + i)).alias("h"), "class", "comp")).alias(f"h{i}") for i in range(HEADS)]
-    asking = groups.join(several, key).where((F.col("comp") != F.col("main")) | (F.col("comp") == F.col("class"))) \
-        .groupBy("class", "n", "comp").agg(F.max(F.struct("m", *key)).alias("t")).select("class", "n", "comp", F.xxhash64("t.shingle", "t.band").alias("tile"))
-    asking = stored(asking)
-    heads = groups.withColumn("tile", F.xxhash64(*key)).join(asking.select("tile").distinct(), "tile").groupBy("tile").agg(*one) \
-        .select("tile", F.explode(F.array_distinct(F.array(*[F.struct(f"h{i}.class", f"h{i}.comp") for i in range(HEADS)]))).alias("h")) \
-        .select("tile", "h.class", "h.comp")
-    right = heads.join(sets, "class").groupBy("tile").agg(F.collect_list(F.struct("class", "comp", "set")).alias("right"))
-    left = _blocks(asking.join(sets.select("class", "set"), "class"), "tile", rows).select("tile", F.col("rows").alias("left"))
-    return _links(left.join(right, "tile"), num, den)
+def star_links(homes: DataFrame, sets: DataFrame, num: int, den: int, rows: int) -> DataFrame:
+    """Links of each class with a few heads of its home."""
+    one = [F.min(F.struct(F.xxhash64("class", F.lit(i)).alias("h"), "class"))["class"].alias(f"h{i}") for i in range(HEADS)]
+    heads = homes.groupBy("home").agg(F.count("*").alias("m"), *one).where("m > 1") \
+        .select("home", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HEADS)]))).alias("class"))
+    item = sets.select("class", "set", F.col("class").alias("comp"))
+    right = heads.join(item, "class").groupBy("home").agg(F.collect_list(F.struct("class", "comp", "set")).alias("right"))
+    left = _blocks(homes.join(item, "class"), "home", rows).select("home", F.col("rows").alias("left"))
+    return _links(left.join(right, "home"), num, den)
 
 
 def jaccard_links(postings: DataFrame, sets: DataFrame, num: int, den: int, rows: int = TILE_ROWS) -> DataFrame:
     """Links that connect every two classes with Jaccard >= num / den; classes of one component need not be linked directly."""
-    links = labels = None
-    for turn in range(STAR_ROUNDS):
-        found = stored(star_links(_with_components(postings, labels), sets, num, den, rows, turn * (HEADS + 1)))
-        links = found if links is None else stored(links.union(found))
-        labels = stored(component_labels(links))
-
-    known = _with_components(postings, labels)
-    parts, several = _parts(known, ["shingle"])
-    # A class outside a shingle's largest component meets all other components there that its size allows.
-    minor = known.join(several, "shingle").where(F.col("comp") != F.col("main")).select("shingle", "class", "n", F.col("comp").alias("own"))
-    meets = minor.join(parts.select("shingle", "comp", "least", "most"), "shingle") \
-        .where((F.col("own") != F.col("comp")) & (den * F.col("most") >= num * F.col("n")) & (num * F.col("least") <= den * F.col("n"))) \
-        .select("class", "own", "comp").distinct()
-    meets = stored(meets)
-    members = sets.join(labels.withColumnRenamed("id", "class"), "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label")
-    right = _blocks(members.join(meets.select("comp").distinct(), "comp"), "comp", rows).withColumnRenamed("rows", "right")
-    asking = meets.withColumnRenamed("comp", "target").join(sets, "class").select("target", "class", "n", "set", F.col("own").alias("comp"))
-    left = _blocks(asking, "target", rows).select(F.col("target").alias("comp"), F.col("rows").alias("left"), F.col("least").alias("least2"), F.col("most").alias("most2"))
-    pairs = left.join(right, "comp").where((den * F.col("most") >= num * F.col("least2")) & (den * F.col("most2") >= num * F.col("least")))
-    return links.union(_links(pairs, num, den))
+    homes = stored(homes_of(postings, sets))
+    links = stored(star_links(homes, sets, num, den, rows))
+    labels = component_labels(links, 2).withColumnRenamed("id", "class")
+    known = stored(homes.join(labels, "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label"))
+
+    # Shingles at which several components meet; all classes outside the largest of them ask.
+    meeting = postings.select("shingle", "class").join(known.select("class", "home", "comp"), "class")
+    open_shingles = meeting.groupBy("shingle").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a != b").select("shingle")
+    meeting = stored(meeting.join(open_shingles, "shingle", "left_semi"))
+    parts = meeting.groupBy("shingle", "comp").agg(F.count("*").alias("m"))
+    main = parts.groupBy("shingle").agg(F.max(F.struct("m", "comp"))["comp"].alias("main"))
+    minor = stored(meeting.join(main, "shingle").where("comp != main").select("shingle", "class", "home"))
+    # Their homes against all homes there: a pair of homes once, however many shingles and classes they share.
+    pairs = minor.select("shingle", F.col("home").alias("home2")).distinct().join(meeting.select("shingle", "home").distinct(), "shingle").select("home2", "home").distinct()
+    pairs = stored(pairs)
+    full = known.join(sets.select("class", "set"), "class")
+    right = _blocks(full.join(pairs.select("home").distinct(), "home", "left_semi"), "home", rows).withColumnRenamed("rows", "right")
+    left = _blocks(full.join(minor.select("class").distinct(), "class", "left_semi"), "home", rows) \
+        .select(F.col("home").alias("home2"), F.col("rows").alias("left"), F.col("least").alias("least2"), F.col("most").alias("most2"))
+    tiles = pairs.join(left, "home2").join(right, "home").where((den * F.col("most") >= num * F.col("least2")) & (den * F.col("most2") >= num * F.col("least")))
+    return links.union(_links(tiles, num, den))
 
 
 def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
