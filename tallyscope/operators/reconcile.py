@@ -87,13 +87,20 @@ def latest_revision(rows: DataFrame, key: Sequence[str], order: Sequence[str], c
         *key, "_r.*", "revisions")
 
 
-def digits_confirmed(numbers: DataFrame, page_text: DataFrame, key: str, pattern: str, minimum: float) -> DataFrame:
-    """Numbers of at least ``minimum`` whose digits do or do not occur in the page text."""
-    seen = page_text.select(key, F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("_d")).select(
-        key, F.replace("_d", F.lit(","), F.lit("")).alias("digits")).distinct().withColumn("_s", F.lit(1))
-    d = numbers.where(F.abs("value") >= minimum).withColumn(
-        "digits", F.format_string("%.0f", F.abs(F.col("value").cast("double"))))
-    return d.join(seen, [key, "digits"], "left").withColumn("confirmed", F.col("_s").isNotNull()).drop("_s")
+def digits_confirmed(claims: DataFrame, page_text: DataFrame, key: str, pattern: str, least_digits: int = 4) -> DataFrame:
+    """Claimed numbers of at least ``least_digits`` digits that do or do not occur in the page text.
+
+    Digits are compared as text, so a number of any length counts. claims: key, digits; page_text: key, text
+    """
+    seen = digit_runs(page_text, key, pattern).distinct().withColumn("_s", F.lit(True))
+    d = claims.where(F.length("digits") >= least_digits)
+    return d.join(seen, [key, "digits"], "left").withColumn("confirmed", F.coalesce("_s", F.lit(False))).drop("_s")
+
+
+def digit_runs(page_text: DataFrame, key: str, pattern: str) -> DataFrame:
+    """(key, digits) of every run of digits, thousands separators left out."""
+    runs = F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    return page_text.select(key, runs.alias("_d")).select(key, F.replace("_d", F.lit(","), F.lit("")).alias("digits"))
 
 
 def union_by_priority(primary: DataFrame, fallback: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

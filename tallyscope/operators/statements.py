@@ -93,15 +93,19 @@ def fee_basis(fees: DataFrame, key: Sequence[str], items: Sequence[str], groups:
     return d
 
 
-def yearly_jump(series: DataFrame, key: str, year: str, value: str, years: Sequence[int]) -> DataFrame:
-    """Wide series and the largest rise in percent between adjacent listed years.
+def yearly_jump(series: DataFrame, key: str, year: str, value: str, years: Sequence[int] | None = None) -> DataFrame:
+    """Wide series and the largest rise in percent between adjacent years.
 
-    The years are a fixed list, so the rise needs no window: it is computed on the row.
+    The years are those of the series (or a given list), every one from the first to the last, so the rise needs no
+    window: it is computed on the row.
     """
+    if years is None:
+        first, last = series.agg(F.min(year), F.max(year)).first()
+        years = list(range(first, last + 1)) if first is not None else []
     wide = series.groupBy(key).agg(*[F.max(F.when(F.col(year) == y, F.col(value))).alias(f"fee_{y}") for y in years])
     rises = [F.when(F.col(f"fee_{a}") != 0, F.when(F.col(f"fee_{b}") != 0, (F.col(f"fee_{b}") - F.col(f"fee_{a}"))
                                                    / F.col(f"fee_{a}") * 100)) for a, b in zip(years, years[1:])]
-    return wide.withColumn("max_jump_pct", F.array_max(F.array(*rises)))
+    return wide.withColumn("max_jump_pct", F.array_max(F.array(*rises, F.lit(None).cast("double"))))
 
 
 def two_sided_split(lines: DataFrame, key: Sequence[str], position: Column) -> DataFrame:

@@ -227,13 +227,12 @@ def toc_ranges(t: Tables) -> DataFrame:
 @plan("W16", """WITH f AS (SELECT l_suppkey AS r, year(l_shipdate) AS y, l_returnflag || l_linestatus AS label, arg_min(CASE WHEN l_discount <> 0 THEN l_discount END, (l_orderkey, l_linenumber, l_partkey)) AS dv,
     min((l_orderkey, l_linenumber, l_partkey)) AS p FROM lineitem WHERE l_tax <> 0 GROUP BY 1, 2, 3),
     x AS (SELECT r, y, label, (SELECT CASE WHEN l_discount <> 0 THEN l_discount END FROM lineitem WHERE l_suppkey = r AND l_orderkey = p[1] AND l_linenumber = p[2] AND l_partkey = p[3] AND year(l_shipdate) = y AND l_tax <> 0 AND l_returnflag || l_linestatus = label LIMIT 1) AS v FROM f)
-    SELECT r, label, max(CASE WHEN y = 1999 THEN CASE WHEN v IS NULL THEN 'blank' ELSE CAST(v AS VARCHAR) END END) AS y1999, max(CASE WHEN y = 2001 THEN CASE WHEN v IS NULL THEN 'blank' ELSE CAST(v AS VARCHAR) END END) AS y2001 FROM x GROUP BY 1, 2""")
+    SELECT r, label, y, CASE WHEN v IS NULL THEN 'blank' ELSE CAST(v AS VARCHAR) END AS shown FROM x""", wide="y")
 def compare_years(t: Tables) -> DataFrame:
-    """First aligned value per year and label; a blank cell is told apart from an absent row."""
+    """First aligned value of every year and label; a blank cell is told apart from an absent row."""
     d = t.lineitem.where(F.col("l_tax") != 0).groupBy(F.col("l_suppkey").alias("r"), F.year("l_shipdate").alias("y"), F.concat("l_returnflag", "l_linestatus").alias("label")).agg(
         F.min_by(F.struct(F.when(F.col("l_discount") != 0, F.col("l_discount")).alias("v")), F.struct("l_orderkey", "l_linenumber", "l_partkey")).alias("c"))
-    shown = F.coalesce(F.col("c.v").cast("string"), F.lit("blank"))
-    return d.groupBy("r", "label").agg(*[F.max(F.when(F.col("y") == y, shown)).alias(f"y{y}") for y in (1999, 2001)])
+    return d.select("r", "label", "y", F.coalesce(F.col("c.v").cast("string"), F.lit("blank")).alias("shown"))
 
 
 @plan("M13", """WITH p AS (SELECT DISTINCT n_name AS district, c_acctbal AS x, CAST(c_custkey AS DOUBLE) AS y FROM customer JOIN nation ON c_nationkey = n_nationkey),

@@ -372,18 +372,13 @@ def occurrence_keys(t: Tables) -> DataFrame:
 
 
 @plan("J14", """WITH s AS (SELECT DISTINCT doc_id, replace(unnest(regexp_extract_all(text, '\\d[\\d,]*')), ',', '') AS digits FROM documents),
-    n AS (SELECT doc_id, n_chars * 1000 + 7 AS value FROM documents UNION ALL SELECT doc_id, CAST(max(CAST(left(digits, 18) AS BIGINT)) AS BIGINT) FROM s WHERE length(digits) BETWEEN 4 AND 18 GROUP BY 1)
-    SELECT n.doc_id, n.value, s.digits IS NOT NULL AS confirmed FROM n LEFT JOIN s ON s.doc_id = n.doc_id AND s.digits = CAST(n.value AS VARCHAR) WHERE abs(n.value) >= 1000""")
+    n AS (SELECT doc_id, CAST(n_chars * 1000 + 7 AS VARCHAR) AS value FROM documents UNION ALL SELECT doc_id, arg_max(digits, (length(digits), digits)) FROM s GROUP BY 1)
+    SELECT n.doc_id, n.value, s.digits IS NOT NULL AS confirmed FROM n LEFT JOIN s ON s.doc_id = n.doc_id AND s.digits = n.value WHERE length(n.value) >= 4""")
 def page_digits_confirmed(t: Tables) -> DataFrame:
     d = t.documents
-    runs = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(fixed.DIGIT_RUN), F.lit(0))).alias("r")).select(
-        "doc_id", F.replace("r", F.lit(","), F.lit("")).alias("digits")).where(F.length("digits").between(4, 18))
-    claimed = d.select("doc_id", (F.col("n_chars") * 1000 + 7).alias("value")).unionByName(
-        runs.groupBy("doc_id").agg(F.max(F.col("digits").cast("long")).alias("value")))
-    seen = d.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(fixed.DIGIT_RUN), F.lit(0))).alias("r")).select(
-        "doc_id", F.replace("r", F.lit(","), F.lit("")).alias("digits"), F.lit(True).alias("c")).distinct()
-    big = claimed.where(F.abs("value") >= 1000).withColumn("digits", F.col("value").cast("string"))
-    return big.join(seen, ["doc_id", "digits"], "left").select("doc_id", "value", F.coalesce("c", F.lit(False)).alias("confirmed"))
+    longest = Q.digit_runs(d, "doc_id", fixed.DIGIT_RUN).groupBy("doc_id").agg(F.max_by("digits", F.struct(F.length("digits"), "digits")).alias("digits"))
+    claims = d.select("doc_id", (F.col("n_chars") * 1000 + 7).cast("string").alias("digits")).unionByName(longest)
+    return Q.digits_confirmed(claims, d, "doc_id", fixed.DIGIT_RUN).select("doc_id", F.col("digits").alias("value"), "confirmed")
 
 
 @plan("J27 S9", """WITH h AS (SELECT sha256(text) AS h, min(doc_id) AS first_doc FROM documents GROUP BY 1) SELECT doc_id, first_doc, first_doc = doc_id AS is_first FROM documents JOIN h ON h = sha256(text)""")

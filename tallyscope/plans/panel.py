@@ -138,12 +138,14 @@ def fee_basis_year(t: Tables) -> DataFrame:
 
 
 @plan("A6", """WITH s AS (SELECT l_suppkey AS code, year(l_shipdate) AS y, round(avg(l_extendedprice), 4) AS v FROM lineitem GROUP BY 1, 2)
-    SELECT code, max(CASE WHEN y = 1999 THEN v END) AS fee_1999, max(CASE WHEN y = 2000 THEN v END) AS fee_2000, round(max(j), 4) AS max_jump_pct FROM (
-    SELECT a.code, a.y, a.v, (a.v - b.v) / b.v * 100 AS j FROM s a LEFT JOIN s b ON a.code = b.code AND b.y = a.y - 1) GROUP BY code""")
+    SELECT code, y, v AS fee, round(max(j) OVER (PARTITION BY code), 4) AS max_jump_pct FROM (
+    SELECT a.code, a.y, a.v, (a.v - b.v) / b.v * 100 AS j FROM s a LEFT JOIN s b ON a.code = b.code AND b.y = a.y - 1)""")
 def fee_max_jump(t: Tables) -> DataFrame:
-    s = t.lineitem.groupBy(F.col("l_suppkey").alias("code"), F.year("l_shipdate").alias("y")).agg(F.round(F.avg("l_extendedprice"), 4).alias("v"))
-    d = S.yearly_jump(s, "code", "y", "v", list(range(1995, 2002)))
-    return d.select("code", "fee_1999", "fee_2000", F.round("max_jump_pct", 4).alias("max_jump_pct"))
+    s = t.lineitem.groupBy(F.col("l_suppkey").alias("code"), F.year("l_shipdate").cast("long").alias("y")).agg(F.round(F.avg("l_extendedprice"), 4).alias("v"))
+    d = S.yearly_jump(s, "code", "y", "v")
+    years = [c for c in d.columns if c.startswith("fee_")]
+    fees = F.filter(F.array(*[F.struct(F.lit(int(c[4:])).cast("long").alias("y"), F.col(c).alias("v")) for c in years]), lambda x: x["v"].isNotNull())
+    return d.select("code", F.explode(fees).alias("f"), F.round("max_jump_pct", 4).alias("max_jump_pct")).select("code", "f.y", F.col("f.v").alias("fee"), "max_jump_pct")
 
 
 POS = "(l_linenumber, l_partkey, l_suppkey, l_extendedprice)"
