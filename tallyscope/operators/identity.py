@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions import columns as C
 from tallyscope.functions import fixed
+from tallyscope.operators import ordering as O
 from tallyscope.operators.containment import contains_pairs
 from tallyscope.session import cut_lineage, small_side
 
@@ -134,6 +135,37 @@ def candidate_links(actions: DataFrame, penalties: DataFrame, registry: DataFram
     return actions.join(per, "entity")
 
 
+def sibling_members(registry: DataFrame) -> DataFrame:
+    """(entity, id, position, n_siblings): every registry id with its place in its entity's set.
+
+    Events carry the entity; this table gives the ids themselves back, without a copy of the set in each event.
+    """
+    return O.row_number(registry.select("entity", "id"), F.col("id"), F.col("id"), ["entity"], "position", size="n_siblings")
+
+
+def candidate_sanctions(penalties: DataFrame, registry: DataFrame) -> DataFrame:
+    """(entity, rec, id, candidate_index, candidate_count): the sanctions that an action of the entity may refer to.
+
+    With (action, entity) it is the list of candidates of every action, held once per entity. penalties: rec, id
+    """
+    d = penalties.join(registry.select("id", "entity"), "id").select("entity", "rec", "id")
+    return O.row_number(d, F.col("rec"), F.col("rec"), ["entity"], "candidate_index", size="candidate_count")
+
+
+def sanction_records(rows: DataFrame, key: Sequence[str], law: str) -> DataFrame:
+    """Canonical sanction records with their group: one row per key and canonical law text.
+
+    Rows of one key are one penalty; the laws it cites are its records, numbered in order. ``law_variants`` counts the
+    texts that became the record, ``source_row_count`` the rows behind it.
+    """
+    records = merge_short_laws(rows, key, law).select(*key, F.col("target").alias(law), F.col("variants").alias("law_variants"), F.col("source_rows").alias("source_row_count"))
+    group = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]))
+    # A penalty cites a handful of laws, so its window is short.
+    one = Window.partitionBy(*key)
+    return records.withColumns({"penalty_group_id": group, "group_record_index": F.row_number().over(one.orderBy(law)).cast("long"),
+                                "group_record_count": F.count(F.lit(1)).over(one)})
+
+
 def sibling_violations(claimed: DataFrame, registry: DataFrame) -> DataFrame:
     """Claims (key, entity, id) that name an unknown entity, add an id or omit one."""
     known = registry.select("entity", "id")

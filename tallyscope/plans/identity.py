@@ -203,6 +203,19 @@ def candidate_links(t: Tables) -> DataFrame:
     return I.candidate_links(actions, pen.where(F.col("role") != "P").select("rec", "id"), inst)
 
 
+@plan("J6", with_("inst") + "SELECT operator AS entity, id, row_number() OVER (PARTITION BY operator ORDER BY id) AS position, count(*) OVER (PARTITION BY operator) AS n_siblings FROM inst")
+def sibling_ids(t: Tables) -> DataFrame:
+    return I.sibling_members(R.institutions(t).select("id", F.col("operator").alias("entity"))).select("entity", "id", "position", "n_siblings")
+
+
+@plan("J7", with_("inst", "pen") + """SELECT operator AS entity, rec, id, row_number() OVER (PARTITION BY operator ORDER BY rec) AS candidate_index, count(*) OVER (PARTITION BY operator) AS candidate_count
+    FROM pen JOIN inst USING (id) WHERE role <> 'P'""")
+def candidate_sanctions(t: Tables) -> DataFrame:
+    inst = R.institutions(t).select("id", F.col("operator").alias("entity"))
+    pen = R.sanctions(t).where(F.col("role") != "P").select("rec", "id")
+    return I.candidate_sanctions(pen, inst).select("entity", "rec", "id", "candidate_index", "candidate_count")
+
+
 @plan("J8", """WITH aw AS (SELECT o_orderkey AS award, o_custkey AS entity, CASE o_orderstatus WHEN 'F' THEN '財團法人Op' || (o_custkey % 7) WHEN 'O' THEN 'Op' || (o_custkey % 7) ELSE 'Op' END AS supplier,
     CAST(o_orderdate AS DATE) AS s, CASE WHEN o_orderpriority NOT LIKE '5%' THEN CAST(o_orderdate AS DATE) + 500 END AS e FROM orders),
     rp AS (SELECT DISTINCT o_custkey AS entity, year(o_orderdate) AS year, 'Op' || (o_custkey % 7) AS operator FROM orders)
@@ -306,6 +319,19 @@ def sanction_groups(t: Tables) -> DataFrame:
     return I.merge_short_laws(rows, ["id", "year"], "law")
 
 
+@plan("D2", """WITH b AS (SELECT o_custkey AS id, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, o_orderpriority AS punishment, CASE o_orderstatus WHEN 'F' THEN '第8條' WHEN 'O' THEN '第8條第1項' ELSE '第8條第2項' END AS law FROM orders),
+    x AS (SELECT id, date, punishment, law, count(*) AS c FROM b GROUP BY ALL),
+    l AS (SELECT a.id, a.date, a.punishment, a.law, count(*) AS n, min(b.law) AS long FROM x a JOIN x b ON a.id = b.id AND a.date = b.date AND a.punishment = b.punishment AND length(b.law) > length(a.law) AND starts_with(b.law, a.law) GROUP BY ALL),
+    g AS (SELECT x.id, x.date, x.punishment, CASE WHEN l.n = 1 THEN l.long ELSE x.law END AS target, x.c FROM x LEFT JOIN l ON x.id = l.id AND x.date = l.date AND x.punishment = l.punishment AND x.law = l.law),
+    r AS (SELECT id, date, punishment, target AS law, count(*) AS law_variants, CAST(sum(c) AS BIGINT) AS source_row_count FROM g GROUP BY ALL)
+    SELECT *, md5(id || '|' || date || '|' || punishment) AS penalty_group_id, row_number() OVER (PARTITION BY id, date, punishment ORDER BY law) AS group_record_index,
+    count(*) OVER (PARTITION BY id, date, punishment) AS group_record_count FROM r""")
+def sanction_records(t: Tables) -> DataFrame:
+    law = F.when(F.col("o_orderstatus") == "F", "第8條").when(F.col("o_orderstatus") == "O", "第8條第1項").otherwise("第8條第2項")
+    rows = t.orders.select(F.col("o_custkey").alias("id"), F.trunc("o_orderdate", "month").alias("date"), F.col("o_orderpriority").alias("punishment"), law.alias("law"))
+    return I.sanction_records(rows, ["id", "date", "punishment"], "law")
+
+
 @plan("J12", """WITH o AS (SELECT o_orderkey AS k, o_custkey AS s, CAST(year(o_orderdate) AS VARCHAR) AS a, o_orderpriority AS b, CAST(month(o_orderdate) AS VARCHAR) AS c, CAST(day(o_orderdate) AS VARCHAR) AS d FROM orders WHERE o_orderstatus = 'F'),
     n AS (SELECT o_orderkey + 1000000 AS k, o_custkey AS s, CAST(year(o_orderdate) AS VARCHAR) AS a, CASE WHEN o_totalprice > 250000 THEN o_orderpriority ELSE 'changed' END AS b, CAST(month(o_orderdate) AS VARCHAR) AS c,
     CASE WHEN o_totalprice > 100000 THEN CAST(day(o_orderdate) AS VARCHAR) ELSE '0' END AS d FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 420000),
