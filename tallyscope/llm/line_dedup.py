@@ -11,7 +11,8 @@ Lines with one token set form a class; all but its first line go, so only first
    size and a bitmap of its tokens. Classes that share a token meet if their sizes allow the similarity (length
    filter), if the tokens left behind the shared one do (positional filter), and if the bitmaps' overlap does.
 3. A class needs one earlier match only. So it brings at most ``asks`` candidates from each shared token; candidates
-   are verified on the whole sets. Classes that had more and matched none are asked again, then without that bound.
+   are verified on the whole sets. Classes that had more and matched none are asked again, then without that bound,
+   among the sets of all classes that met any.
 
 Tokens, sets and texts are 64-bit fingerprints (sets together with their size).
 
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyscope.llm.rarity import cell_scale, flag_array, flagged
+from tallyscope.llm.shingle_join import size_blocks
 from tallyscope.llm.words import fingerprints, mixed, split_words, text_pieces
 from tallyscope.session import stored
 
@@ -88,10 +90,10 @@ def bitmap(line: np.ndarray, token: np.ndarray, lines: int) -> np.ndarray:
     return out.reshape(-1, 2)
 
 
-def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int, asks: int | None, asked=None) -> DataFrame:
-    """(class, other, more): an earlier class that may match; ``more``: the class had further ones at that token.
+def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int, asks: int) -> DataFrame:
+    """(class, other, more): an earlier class that may match; ``more``: the class may have further ones at that token.
 
-    ``asked``: flags of the classes to search for and of their prefix tokens; no bound on their candidates then.
+    Classes that were left out so come with themselves as the other.
     """
     buckets = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -102,17 +104,15 @@ def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int,
             a = part.column(ids).fill_null(LAST).to_numpy()[doc] if len(doc) else np.zeros(0, np.int64)
             h = part.column("_print").to_numpy()[doc]
             fresh = np.zeros(len(n), bool)
-            for row in np.flatnonzero(n).tolist():  # a class is posted again only from an earlier place
-                where = (a[row], h[row], number[row])
-                if key[row] not in best or where < best[key[row]]:
-                    best[key[row]] = where
+            some = np.flatnonzero(n)
+            for row, k, *where in zip(some.tolist(), key[some].tolist(), a[some].tolist(), h[some].tolist(), number[some].tolist()):
+                if k not in best or where < best[k]:  # a class is posted again only from an earlier place
+                    best[k] = where
                     fresh[row] = True
             if len(best) > 200_000:
                 best.clear()
             place = np.arange(len(line)) - at[line]
             take = fresh[line] & (place < (n - least_size(n, num, den) + 1)[line])
-            if asked is not None:
-                take &= flagged(asked.value[1], token)
             bits = bitmap(line, token, len(n))
             mine, token, place = line[take], token[take], np.minimum(place[take], 65535)
             bucket = (token >> _U(32)).astype(np.int64) % buckets
@@ -156,8 +156,7 @@ def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int,
         by = by[new]
         token, place, key, n, first, bits = token[by], place[by].astype(np.int64), key[by], n[by].astype(np.int64), first[by], bits[by]
         lost = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
-        want = flagged(asked.value[0], key) if asked is not None else np.ones(len(key), bool)
-        brought, more = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        brought, more, met = np.zeros(len(key), np.int64), np.zeros(len(key), bool), np.zeros(len(key), bool)
         low = np.arange(len(key))
         step = 0
         while True:
@@ -167,15 +166,12 @@ def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int,
             high = low + step
             low = low[(token[low] == token[high]) & (den * n[low] >= num * n[high])]
             if not len(low):
-                return
+                break
             high = low + step
             later = np.where(first[low] > first[high], low, high)
-            sure = want[later] & ((brought[later] < asks) if asks else True)
+            sure = brought[later] < asks
+            more[later[~sure]] = met[low[~sure]] = met[high[~sure]] = True
             x, y, z = low[sure], high[sure], later[sure]
-            if not asks:
-                pass
-            else:
-                more[later[~sure]] = True
             need = n[x] + n[y]
             fits = (num + den) * (np.minimum(n[x] - place[x], n[y] - place[y]) + np.minimum(place[x], place[y])) >= num * need
             x, y, z, need = x[fits], y[fits], z[fits], need[fits]
@@ -183,9 +179,10 @@ def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int,
             fits = (num + den) * overlap >= num * need
             z, other = z[fits], np.where(z[fits] == x[fits], y[fits], x[fits])
             if len(z):
-                np.add.at(brought, z, 1)
-                full = brought[z] >= asks if asks else np.zeros(len(z), bool)
-                yield pa.RecordBatch.from_arrays([pa.array(key[z]), pa.array(key[other]), pa.array(full)], names=["class", "other", "more"])
+                brought += np.bincount(z, minlength=len(key))
+                yield pa.RecordBatch.from_arrays([pa.array(key[z]), pa.array(key[other]), pa.array(np.zeros(len(z), bool))], names=["class", "other", "more"])
+        left = np.flatnonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(key[left]), pa.array(key[left]), pa.array(more[left])], names=["class", "other", "more"])
 
     source = docs.select(F.col(ids).cast("long").alias(ids), text, text_print(text).alias("_print"))
     packed = source.mapInArrow(post, ", ".join(f"{f} {'long' if f == 'bucket' else 'binary'}" for f in FIELDS))
@@ -222,15 +219,22 @@ def verified(found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     """The classes of ``found`` whose sets really match the other's."""
     def run(batches):
         for batch in batches:
-            hit = []
-            for klass, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                a, b = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                overlap = len(np.intersect1d(a, b, assume_unique=True))
-                if den * overlap >= num * (len(a) + len(b) - overlap):
-                    hit.append(klass)
-            yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64())], names=["class"])
-
-    pairs = found.select("class", "other").join(sets.select("class", F.col("set").alias("x")), "class") \
+            for begin in range(0, batch.num_rows, 2048):
+                part = batch.slice(begin, 2048)
+                klass = part.column("class").to_numpy()
+                sides = [part.column(c).to_pylist() for c in ("x", "y")]
+                size = [np.array([len(v) // 8 for v in side]) for side in sides]
+                # All pairs side by side: a token that both sets of a pair have is there twice.
+                pair = np.concatenate([np.repeat(np.arange(len(klass)), n) for n in size])
+                token = np.frombuffer(b"".join(v for side in sides for v in side), _U)
+                mark = mixed(token ^ mixed(pair.astype(_U) + _U(0x1B873593)))
+                by = np.argsort(mark)
+                twice = mark[by][1:] == mark[by][:-1]
+                overlap = np.bincount(pair[by][1:][twice], minlength=len(klass))
+                hit = den * overlap >= num * (size[0] + size[1] - overlap)
+                yield pa.RecordBatch.from_arrays([pa.array(klass[hit])], names=["class"])
+
+    pairs = found.where("class != other").select("class", "other").join(sets.select("class", F.col("set").alias("x")), "class") \
         .join(sets.select(F.col("class").alias("other"), F.col("set").alias("y")), "other")
     return pairs.select("class", "x", "y").mapInArrow(run, "class long").distinct()
 
@@ -254,15 +258,10 @@ def removed_lines(docs: DataFrame, ids: str = "doc_id", text: str = "text", num:
     beaten = stored(verified(found, sets_of(found, classes), num, den))
     again = stored(found.groupBy("class").agg(F.max("more").alias("more")).where("more").join(beaten, "class", "left_anti").select("class"))
     if again.head() is not None:
-        # Few are left: only their prefix tokens are shuffled, and all their candidates are brought.
-        tokens = sets_of(again.withColumn("other", F.col("class")), classes)
-        asked = spark.sparkContext.broadcast((flag_array(again, "class", FLAG_BITS), _token_flags(tokens)))
-        rest = stored(candidates(docs, ids, text, order, num, den, None, asked).join(again, "class", "left_semi"))
-        flags = spark.sparkContext.broadcast(flag_array(rest.select("class").union(rest.select("other")), "class", FLAG_BITS))
-        beaten = stored(beaten.union(verified(rest, sets_of(rest, line_classes(docs, ids, text, flags)), num, den)).distinct())
-
-    place = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("print").alias("print"), F.col("line").alias("line"))
-    low = F.array_min(F.transform("lines", lambda x: F.struct(x["id"].isNull().alias("none"), x["id"].alias("id"), x["print"].alias("print"), x["line"].alias("line"))))
+        # All classes that these may match met another one and so have their sets here.
+        beaten = stored(beaten.union(further_beaten(classes, again, order, num, den)).distinct())
+
+    place, low = _place(), _least_place()
     firsts = classes.groupBy("class").agg(F.min(low).alias("first"), F.sum(F.size("lines")).alias("m")) \
         .join(beaten.withColumn("beaten", F.lit(True)), "class", "left").where("m > 1 or beaten").select("class", "first", "beaten")
     lines = classes.select("class", "lines").join(stored(firsts), "class").select("first", "beaten", F.explode("lines").alias("at")).select("first", "beaten", "at.*")
@@ -270,13 +269,67 @@ def removed_lines(docs: DataFrame, ids: str = "doc_id", text: str = "text", num:
     return gone
 
 
-def _token_flags(sets: DataFrame) -> np.ndarray:
-    def run(batches):
+def _place(of=F.col) -> Column:
+    """Order of lines: by id, nulls last, text and number."""
+    return F.struct(of("id").isNull().alias("none"), of("id").alias("id"), of("print").alias("print"), of("line").alias("line"))
+
+
+def _least_place() -> Column:
+    return F.array_min(F.transform("lines", lambda x: _place(lambda c: x[c])))
+
+
+def further_beaten(classes: DataFrame, again: DataFrame, order, num: int, den: int, rows: int = 128) -> DataFrame:
+    """The classes of ``again`` that an earlier class matches, searched without a bound on candidates.
+
+    A class is at home at the prefix token that most classes share with it. Wherever a class of ``again`` meets others
+    at a token, its home is compared with theirs, in blocks of rows of like size: pairs of homes and blocks are rows,
+    pairs of classes are cells of a product of incidence matrices.
+    """
+    def prefixes(batches):
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(value, np.int64))], names=["token"])
+            for klass, packed in zip(batch.column("class").to_pylist(), batch.column("set").to_pylist()):
+                token = np.frombuffer(packed, _U)
+                token = token[np.lexsort((token, order.value[(token & _U(len(order.value) - 1)).astype(np.int64)]))]
+                token = token[:len(token) - least_size(np.array([len(token)]), num, den)[0] + 1]
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array([klass] * len(token))], names=["token", "class"])
 
-    return flag_array(sets.select("set").mapInArrow(run, "token long"), "token", FLAG_BITS)
+    def matches(batches):
+        for batch in batches:
+            for left, right in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
+                sets = [[np.frombuffer(r["set"], _U) for r in side] for side in (left, right)]
+                tokens = np.unique(np.concatenate(sets[0]))
+                table = []
+                for side in sets:
+                    held = np.zeros((len(side), len(tokens)), np.float32)
+                    for k, one in enumerate(side):
+                        at = np.minimum(np.searchsorted(tokens, one), len(tokens) - 1)
+                        held[k, at[tokens[at] == one]] = 1
+                    table.append(held)
+                overlap = (table[0] @ table[1].T).astype(np.int64)
+                size = [np.array([len(x) for x in side]) for side in sets]
+                match = den * overlap >= num * (size[0][:, None] + size[1][None, :] - overlap)
+                key = [[tuple(r["comp"].values()) for r in side] for side in (left, right)]
+                hit = [left[i]["class"] for i in range(len(left)) if any(key[1][j] < key[0][i] for j in np.flatnonzero(match[i]).tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64())], names=["class"])
+
+    # Places compare as tuples, so their parts are made comparable: nulls come last through the first.
+    whole = classes.groupBy("class").agg(F.min(_least_place()).alias("f"), F.max("set").alias("set")).where("set is not null")
+    comp = F.struct("f.none", F.coalesce("f.id", F.lit(0)).alias("id"), F.col("f.print").alias("print"), F.col("f.line").alias("line"))
+    whole = stored(whole.select("class", comp.alias("comp"), "set", F.floor(F.octet_length("set") / 8).alias("n")))
+    posted = whole.select("class", "set").mapInArrow(prefixes, "token long, class long")
+    asked = posted.join(again, "class", "left_semi").select("token").distinct()
+    posted = stored(posted.join(asked, "token", "left_semi"))
+    counts = posted.groupBy("token").agg(F.count("*").alias("m"))
+    homes = stored(posted.join(counts, "token").groupBy("class").agg(F.max(F.struct("m", "token"))["token"].alias("home")))
+    at = posted.join(homes, "class")
+    mine = at.join(again, "class", "left_semi").select("token", F.col("home").alias("home2")).distinct()
+    pairs = stored(mine.join(at.select("token", "home").distinct(), "token").select("home2", "home").distinct())
+    full = whole.join(homes, "class")
+    right = size_blocks(full.join(pairs.select("home").distinct(), "home", "left_semi"), "home", rows).withColumnRenamed("rows", "right")
+    left = size_blocks(full.join(again, "class", "left_semi"), "home", rows) \
+        .select(F.col("home").alias("home2"), F.col("rows").alias("left"), F.col("least").alias("least2"), F.col("most").alias("most2"))
+    blocks = pairs.join(left, "home2").join(right, "home").where((den * F.col("most") >= num * F.col("least2")) & (den * F.col("most2") >= num * F.col("least")))
+    return blocks.select("left", "right").mapInArrow(matches, "class long").distinct()
 
 
 def dedup_lines(docs: DataFrame, ids: str = "doc_id", text: str = "text", num: int = 4, den: int = 5, cells: int = ORDER_CELLS, asks: int = ASKS) -> DataFrame:

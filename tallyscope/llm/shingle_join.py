@@ -253,7 +253,7 @@ def star_links(homes: DataFrame, sets: DataFrame, num: int, den: int, rows: int)
         .select("home", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(HEADS)]))).alias("class"))
     item = sets.select("class", "set", F.col("class").alias("comp"))
     right = heads.join(item, "class").groupBy("home").agg(F.collect_list(F.struct("class", "comp", "set")).alias("right"))
-    left = _blocks(homes.join(item, "class"), "home", rows).select("home", F.col("rows").alias("left"))
+    left = size_blocks(homes.join(item, "class"), "home", rows).select("home", F.col("rows").alias("left"))
     return _links(left.join(right, "home"), num, den)
 
 
@@ -275,14 +275,14 @@ def jaccard_links(postings: DataFrame, sets: DataFrame, num: int, den: int, rows
     pairs = minor.select("shingle", F.col("home").alias("home2")).distinct().join(meeting.select("shingle", "home").distinct(), "shingle").select("home2", "home").distinct()
     pairs = stored(pairs)
     full = known.join(sets.select("class", "set"), "class")
-    right = _blocks(full.join(pairs.select("home").distinct(), "home", "left_semi"), "home", rows).withColumnRenamed("rows", "right")
-    left = _blocks(full.join(minor.select("class").distinct(), "class", "left_semi"), "home", rows) \
+    right = size_blocks(full.join(pairs.select("home").distinct(), "home", "left_semi"), "home", rows).withColumnRenamed("rows", "right")
+    left = size_blocks(full.join(minor.select("class").distinct(), "class", "left_semi"), "home", rows) \
         .select(F.col("home").alias("home2"), F.col("rows").alias("left"), F.col("least").alias("least2"), F.col("most").alias("most2"))
     tiles = pairs.join(left, "home2").join(right, "home").where((den * F.col("most") >= num * F.col("least2")) & (den * F.col("most2") >= num * F.col("least")))
     return links.union(_links(tiles, num, den))
 
 
-def _blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+def size_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
     """Arrays of about ``size`` rows (class, comp, set) of a key that are near each other in size.
 
     A key's rows are dealt by size bands and, within a band, by a number that grows with the key's own count, so no
