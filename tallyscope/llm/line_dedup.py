@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyscope.llm.rarity import cell_scale, flag_array, flagged
 from tallyscope.llm.shingle_join import size_blocks
-from tallyscope.llm.words import fingerprints, mixed, split_words, text_pieces
+from tallyscope.llm.words import fingerprints, mixed, short_batches, split_words, text_pieces
 from tallyscope.session import stored
 
 ORDER_CELLS = 1 << 22
@@ -259,7 +259,9 @@ def removed_lines(docs: DataFrame, ids: str = "doc_id", text: str = "text", num:
     again = stored(found.groupBy("class").agg(F.max("more").alias("more")).where("more").join(beaten, "class", "left_anti").select("class"))
     if again.head() is not None:
         # All classes that these may match met another one and so have their sets here.
-        beaten = stored(beaten.union(further_beaten(classes, again, order, num, den)).distinct())
+        found = further_beaten(classes, again, order, num, den)
+        with short_batches(spark):
+            beaten = stored(beaten.union(found).distinct())
 
     place, low = _place(), _least_place()
     firsts = classes.groupBy("class").agg(F.min(low).alias("first"), F.sum(F.size("lines")).alias("m")) \

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyscope.llm.components import component_labels
 from tallyscope.llm.rarity import cell_scale, flag_array, flagged
-from tallyscope.llm.words import combined, fingerprints, mixed, shingle_sets, split_words, text_pieces
+from tallyscope.llm.words import combined, fingerprints, mixed, shingle_sets, short_batches, split_words, text_pieces
 from tallyscope.session import stored
 
 #: Counters for the order of shingles, and bits to tell classes that met another one; both of fixed size.
@@ -260,7 +260,8 @@ def star_links(homes: DataFrame, sets: DataFrame, num: int, den: int, rows: int)
 def jaccard_links(postings: DataFrame, sets: DataFrame, num: int, den: int, rows: int = TILE_ROWS) -> DataFrame:
     """Links that connect every two classes with Jaccard >= num / den; classes of one component need not be linked directly."""
     homes = stored(homes_of(postings, sets))
-    links = stored(star_links(homes, sets, num, den, rows))
+    with short_batches(postings.sparkSession):
+        links = stored(star_links(homes, sets, num, den, rows))
     labels = component_labels(links, 2).withColumnRenamed("id", "class")
     known = stored(homes.join(labels, "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label"))
 
@@ -279,18 +280,20 @@ def jaccard_links(postings: DataFrame, sets: DataFrame, num: int, den: int, rows
     left = size_blocks(full.join(minor.select("class").distinct(), "class", "left_semi"), "home", rows) \
         .select(F.col("home").alias("home2"), F.col("rows").alias("left"), F.col("least").alias("least2"), F.col("most").alias("most2"))
     tiles = pairs.join(left, "home2").join(right, "home").where((den * F.col("most") >= num * F.col("least2")) & (den * F.col("most2") >= num * F.col("least")))
-    return links.union(_links(tiles, num, den))
+    with short_batches(postings.sparkSession):
+        return stored(links.union(_links(tiles, num, den)))
 
 
 def size_blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """Arrays of about ``size`` rows (class, comp, set) of a key that are near each other in size.
+    """Arrays of about ``size`` rows (class, comp, set), or a megabyte of them, of a key, near each other in size.
 
     A key's rows are dealt by size bands and, within a band, by a number that grows with the key's own count, so no
     sort brings a key's rows to one task.
     """
     band = F.floor(F.log2(F.col("n").cast("double")) * 4).alias("band")
-    counts = rows.groupBy(key, band).agg(F.count("*").alias("m"))
-    dealt = rows.withColumn("band", band).join(counts, [key, "band"]).withColumn("part", F.pmod(F.xxhash64("class"), F.ceil(F.col("m") / size)))
+    counts = rows.groupBy(key, band).agg(F.count("*").alias("m"), F.max("n").alias("largest"))
+    room = F.greatest(F.least(F.lit(size), F.floor((1 << 17) / F.col("largest"))), F.lit(1))
+    dealt = rows.withColumn("band", band).join(counts, [key, "band"]).withColumn("part", F.pmod(F.xxhash64("class"), F.ceil(F.col("m") / room)))
     return dealt.groupBy(key, "band", "part").agg(F.collect_list(F.struct("class", "comp", "set")).alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyscope.llm.words import short_batches
 from tallyscope.session import stored
 
 PIVOTS, GROUPS, BLOCK = 64, 12, 1024
@@ -192,6 +193,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, ids: str = "vec_id",
     candidate = rows.mapInArrow(blocks, "group long, slice long, cid binary, c binary")
     query = marked.where("query").select("id", "v").mapInArrow(questions, "group long, slice long, qid binary, q binary")
     found = query.join(candidate, ["group", "slice"]).select("qid", "q", "cid", "c").mapInArrow(meet, "query_id long, vec_id long, score long")
+    with short_batches(spark):
+        found = stored(found)
     # At most k rows of each pair of blocks; the k best of a query are kept while they are gathered.
     ranked = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "vec_id"))), 1, k).alias("top"))
     return ranked.select("query_id", F.posexplode("top")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("col.vec_id").alias("vec_id"), (-F.col("col.low")).alias("score"))

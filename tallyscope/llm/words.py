@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -135,6 +136,18 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
 
 
+@contextmanager
+def short_batches(spark: SparkSession, rows: int = 4):
+    """Arrow batches of a few rows for jobs run inside, whose rows are blocks of a megabyte or so."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def ship_file(spark: SparkSession, payload: bytes, stem: str) -> str:
     """Write bytes of bounded size to the shared folder and let Spark hand the file to every executor; its name."""
     name = f"{stem}-{uuid.uuid4().hex}.bin"
