@@ -85,27 +85,46 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str, max_rows
     return left.join(side, cond, how).drop(*["_r_" + k for k in keys])
 
 
+def _approximate(df: DataFrame, value: Column) -> tuple[Column, Column]:
+    """A double that never falls where the value rises, and whether equal doubles mean equal values."""
+    kind = df.select(value.alias("v")).schema["v"].dataType.simpleString()
+    if kind in ("string", "binary"):
+        # The first six bytes as a number, in the order in which texts compare.
+        head = F.rpad(F.hex(F.substring(value.cast("binary"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double"), F.lit(False)
+    if kind in ("date", "timestamp", "timestamp_ntz", "boolean"):
+        number = {"date": F.unix_date, "timestamp": F.unix_micros}.get(kind, lambda v: v.cast("timestamp").cast("double") if kind == "timestamp_ntz" else v.cast("int"))(value)
+        return number.cast("double"), F.lit(kind in ("date", "boolean"))
+    exact = F.lit(kind in ("double", "float", "int", "smallint", "tinyint")) | (F.lit(kind == "bigint") & (F.abs(value) < 1 << 53) if kind == "bigint" else F.lit(False))
+    return value.cast("double"), exact
+
+
 def row_number(df: DataFrame, value: Column, tie: Column, groups: Sequence[str] = (),
                out: str = "rank", descending: bool = False, size: str | None = None,
                before: str | None = None, upto: str | None = None,
                buckets: int = BUCKETS, rows_per_task: int | None = None) -> DataFrame:
-    """Unique position 1..n per group by (value, tie); NULL values come last.
+    """Unique position 1..n per group by (value, tie) in their own types; NULL values come last.
 
-    ``tie`` must be numeric and unique within equal values. ``size``, ``before`` and
-    ``upto`` name optional columns for the group size, the rows with a strictly earlier
-    value, and the rows with an earlier or equal value.
+    ``tie`` must be unique within equal values. ``size``, ``before`` and ``upto`` name
+    optional columns for the group size, the rows with a strictly earlier value, and the
+    rows with an earlier or equal value. Doubles only tell the buckets of large groups.
     """
-    order = F.coalesce(-value.cast("double") if descending else value.cast("double"),
-                       F.lit(float("inf")))
-    keyed, names = _prepare(df, order, groups, tie)
+    rough, exact = _approximate(df, value)
+    rough_tie = _approximate(df, tie)[0]
+    order = F.coalesce(-rough if descending else rough, F.lit(float("inf")))
+    keyed, names = _prepare(df.withColumns({"_nv": value, "_nt": tie, "_exact": F.coalesce(exact, F.lit(False))}), order, groups, F.coalesce(rough_tie, F.lit(0.0)))
     large = _large_groups(keyed, names, buckets, rows_per_task or ROWS_PER_TASK, True)
     if large is None:
         single, offset, value_offset, value_count, group_size = F.lit(False), F.lit(0), F.lit(0), F.lit(None), F.lit(None)
         placed = keyed.withColumns({"_k": F.lit(0), "_s": F.lit(0)})
     else:
         keyed = _join(keyed, large, names, "left", MAX_GROUPS)
-        keyed = keyed.withColumn("_k", F.when(F.col("_b").isNull(), 0).otherwise(_locate(F.col("_v"), "_b")))
-        single = F.col("_k") % 2 == 1
+        # NULLs have the last bucket to themselves; one value fills an odd bucket if doubles tell its like apart.
+        nulls = 2 * buckets + 1
+        keyed = keyed.withColumn("_k", F.when(F.col("_b").isNull(), 0).when(F.col("_nv").isNull(), nulls).otherwise(_locate(F.col("_v"), "_b")))
+        single = (F.col("_k") == nulls) | ((F.col("_k") % 2 == 1) & F.col("_exact"))
+        keyed = keyed.withColumn("_single", single)
+        single = F.col("_single")
         keyed = keyed.withColumn("_s", F.when(single, _locate(F.col("_t"), "_tb")).otherwise(0))
         cells = keyed.where(F.col("_n").isNotNull()).groupBy(*names, "_k", "_s").agg(F.count(F.lit(1)).alias("_c"))
         line = Window.partitionBy(*names).orderBy("_k", "_s").rowsBetween(Window.unboundedPreceding, -1)
@@ -116,7 +135,8 @@ def row_number(df: DataFrame, value: Column, tie: Column, groups: Sequence[str]
         offset, value_offset = F.coalesce("_off", F.lit(0)), F.coalesce("_koff", F.lit(0))
         value_count, group_size = F.col("_kc"), F.col("_n")
     bucket = Window.partitionBy(*names, "_k", "_s")
-    inside, values = bucket.orderBy("_v", "_t"), bucket.orderBy("_v")
+    value_order = [F.col("_nv").isNull(), F.desc("_nv") if descending else F.asc("_nv")]
+    inside, values = bucket.orderBy(*value_order, "_nt"), bucket.orderBy(*value_order)
     added = {out: (offset + F.row_number().over(inside)).cast("long")}
     if before:
         added[before] = (value_offset + F.when(single, 0).otherwise(F.rank().over(values) - 1)).cast("long")
@@ -125,7 +145,7 @@ def row_number(df: DataFrame, value: Column, tie: Column, groups: Sequence[str]
         added[upto] = (value_offset + F.when(single, value_count).otherwise(local)).cast("long")
     if size:
         added[size] = F.coalesce(group_size, F.count(F.lit(1)).over(bucket)).cast("long")
-    return placed.withColumns(added).drop("_v", "_t", "_k", "_s", "_off", "_koff", "_kc", "_n", "_all")
+    return placed.withColumns(added).drop("_v", "_t", "_k", "_s", "_off", "_koff", "_kc", "_n", "_all", "_nv", "_nt", "_exact", "_single")
 
 
 def tie_counts(df: DataFrame, value: Column, groups: Sequence[str] = (),

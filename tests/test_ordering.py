@@ -68,3 +68,30 @@ def test_hinges_leave_the_middle_out(spark):
 def test_flat_cohort_has_no_scale(spark):
     df = spark.createDataFrame([(1, 3.0)] * 9, "c int, value double")
     assert peers.cohort_scales(df, ["c"]).first()["scale"] is None
+
+
+@pytest.mark.parametrize("limit", [10, 1 << 20])
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("kind", ["bigint", "string", "double", "decimal(38,0)", "date"])
+def test_row_number_keeps_types_apart(spark, kind, descending, limit):
+    rng = random.Random(3)
+    big = 9007199254740992
+    values = {"bigint": [big + rng.randrange(4) for _ in range(60)] + [None, -big, 5], "decimal(38,0)": [10 ** 30 + rng.randrange(3) for _ in range(60)] + [None, 5],
+              "string": ["abcdefgh" + rng.choice("xyz") for _ in range(60)] + [None, "", "é", "zz"], "double": [float("inf"), None, 1.5, float("-inf")] * 20,
+              "date": ["2020-01-0" + str(rng.randrange(1, 5)) for _ in range(60)] + [None]}[kind]
+    ties = {"bigint": "t", "string": "s"}
+    rows = [(None if v is None else str(v), big + i, f"key{i:03d}") for i, v in enumerate(values)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "v string, t long, s string").withColumn("v", F.col("v").cast(kind)).repartition(5)
+    for tie in ties.values():
+        got = O.row_number(df, F.col("v"), F.col(tie), [], descending=descending, before="b", upto="u", buckets=16, rows_per_task=limit).collect()
+        assert sorted(r["rank"] for r in got) == list(range(1, len(rows) + 1))
+        line = sorted(got, key=lambda r: r["rank"])
+        for a, b in zip(line, line[1:]):
+            if a["v"] == b["v"]:
+                assert a[tie] < b[tie]
+            else:
+                assert b["v"] is None or (a["v"] is not None and (a["v"] > b["v"] if descending else a["v"] < b["v"]))
+        for r in got:
+            same = [x["rank"] for x in got if x["v"] == r["v"]]
+            assert (r["b"], r["u"]) == (min(same) - 1, max(same))
