@@ -125,10 +125,6 @@ def distinct_pairs(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np
     return group[keep], value[keep]
 
 
-def binary_rows(chunks: list[np.ndarray]) -> pa.Array:
-    return pa.array([c.tobytes() for c in chunks], pa.binary())
-
-
 def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     """A list column from its flat values and the length of each list."""
     offsets = np.zeros(len(counts) + 1, np.int32)
