@@ -8,7 +8,6 @@ folder so that a replayed batch overwrites itself.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -17,13 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyscope.session import shared_folder
 from tallyscope.sources.sinks import new_rows
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder (a local one in tests)."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return os.path.join(base or tempfile.mkdtemp(prefix="tallyscope-stream-"), f"{name}-{uuid.uuid4().hex}")
+    """A fresh folder under the folder that driver and executors share."""
+    return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def read_table_stream(spark: SparkSession, folder: str, pattern: str, files_per_trigger: int = 1000) -> DataFrame:
