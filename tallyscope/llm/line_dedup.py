@@ -55,7 +55,7 @@ def sorted_lines(raw: list[bytes], rank: np.ndarray):
     words = split_words(raw)
     token = fingerprints(words.data, words.start, words.end)
     ends = np.flatnonzero(words.data == 10)
-    line = np.searchsorted(ends, words.start)
+    line = np.cumsum(words.data == 10, dtype=np.int32)[words.start].astype(np.int64)
     place = rank[(token & _U(len(rank) - 1)).astype(np.int64)].astype(_U)
     if len(ends) < 65536:
         key = line.astype(_U) << _U(48) | place << _U(40) | token >> _U(24)
@@ -81,13 +81,16 @@ def sorted_lines(raw: list[bytes], rank: np.ndarray):
     return line, token, at, n, key.view(np.int64), doc, number
 
 
-def bitmap(line: np.ndarray, token: np.ndarray, lines: int) -> np.ndarray:
-    """128 bits for each line, as two words."""
-    out = np.zeros(lines * 2, _U)
-    bit = token >> _U(57)
-    cell = line * 2 + (bit >> _U(6)).astype(np.int64)
-    np.bitwise_or.at(out, cell, _U(1) << (bit & _U(63)))
-    return out.reshape(-1, 2)
+def bitmap(token: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """128 bits for each line, as two words; a line's tokens stand together."""
+    out = np.zeros((len(n), 2), _U)
+    full = n > 0
+    if full.any():
+        bit = token >> _U(57)
+        one = _U(1) << (bit & _U(63))
+        for half in (0, 1):
+            out[full, half] = np.bitwise_or.reduceat(np.where(bit >> _U(6) == half, one, _U(0)), at[full])
+    return out
 
 
 def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int, asks: int) -> DataFrame:
@@ -113,7 +116,7 @@ def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int,
                 best.clear()
             place = np.arange(len(line)) - at[line]
             take = fresh[line] & (place < (n - least_size(n, num, den) + 1)[line])
-            bits = bitmap(line, token, len(n))
+            bits = bitmap(token, at, n)
             mine, token, place = line[take], token[take], np.minimum(place[take], 65535)
             bucket = (token >> _U(32)).astype(np.int64) % buckets
             by = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
