@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tallyscope.llm.words import fingerprints, mixed, split_words, text_pieces
 
-#: The sample for fitting: at most so many lines of each label, of at most so many bytes each, least hash first.
+#: The sample for fitting: at most so many lines of each label, least hash first; longer lines are cut into pieces of so many bytes.
 LINES_PER_LABEL, LINE_BYTES, PARTS = 800, 1500, 16
 #: Weights per label are 2 ** WEIGHT_BITS.
 WEIGHT_BITS, GRAMS = 18, 4
@@ -35,6 +35,8 @@ UNKNOWN = "und"
 
 #: 1 for bytes that belong to a word once the text is in lower case: a-z and all characters beyond ASCII.
 LETTERS = bytes(1 if 0x61 <= c <= 0x7A or c >= 0x80 else 0 for c in range(256))
+#: The same bytes and A-Z, before texts are in lower case.
+IN_WORDS = bytes(c for c in range(256) if chr(c).isascii() and chr(c).isalpha() or c >= 0x80)
 _U = np.uint64
 
 
@@ -128,8 +130,23 @@ def forward_backward(scores: np.ndarray, moves: np.ndarray, start: np.ndarray, o
 
 
 # --------------------------------------------------------------------------- fitting
+def line_pieces(line: bytes) -> list[bytes]:
+    """The line in pieces of at most LINE_BYTES, cut at word ends; a longer word is cut between characters."""
+    pieces, at = [], 0
+    while len(line) - at > LINE_BYTES:
+        end = at + LINE_BYTES
+        cut = min(end, at + len(line[at:end + 1].rstrip(IN_WORDS)))
+        if cut == at:
+            cut = end
+            while line[cut] & 0xC0 == 0x80:
+                cut -= 1
+        pieces.append(line[at:cut])
+        at = cut
+    return [*pieces, line[at:]]
+
+
 def sample_lines(docs: DataFrame, text: str, label: str, per_label: int = LINES_PER_LABEL) -> list[tuple[str, bytes]]:
-    """At most ``per_label`` distinct lines of each label over all rows, least hash first.
+    """At most ``per_label`` distinct lines, or pieces of long lines, of each label over all rows, least hash first.
 
     Tasks keep as many at most, and so do a fixed number of parts of each label, which the driver receives.
     """
@@ -138,8 +155,8 @@ def sample_lines(docs: DataFrame, text: str, label: str, per_label: int = LINES_
         for batch in batches:
             for name, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 heap, held = heaps.setdefault(name, ([], set()))
-                for line in value.encode().split(b"\n"):
-                    if 0 < len(line) <= LINE_BYTES:
+                for line in (piece for whole in value.encode().split(b"\n") for piece in line_pieces(whole)):
+                    if line:
                         item = (-zlib.crc32(line), line)
                         if (len(heap) < per_label or item > heap[0]) and line not in held:
                             held.add(line)

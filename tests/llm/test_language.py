@@ -66,3 +66,19 @@ def test_odd_texts(spark, small, odd_docs, odd_texts):
     empty = language_crf.fit(odd_docs.where("lang = 'zz'"))
     assert {r.lang_pred for r in language_crf.predict(odd_docs, empty).collect()} == {"und"}
     assert language_crf.predict(odd_docs.limit(0), model).count() == 0
+
+
+def test_long_lines_are_cut_not_dropped(spark):
+    for line in (b"a" * 5000, "é中😀".encode() * 900, b"Some words, " * 500, b"x" * 1500 + b" " + b"y" * 1500, b"", b"short"):
+        pieces = language_crf.line_pieces(line)
+        assert b"".join(pieces) == line and all(len(p) <= language_crf.LINE_BYTES for p in pieces)
+        assert all(p.decode() for p in pieces) or not line
+    assert all(p.endswith(b", ") or p.endswith(b",") for p in language_crf.line_pieces(b"Some words, " * 500)[:-1])
+
+    vowels = {"aa": "the house stands near water", "bb": "ein Haus steht dort am Wasser", "cc": "日本語の文章です"}
+    texts = {k: (("" if k == "cc" else " ").join([v] * 200)) for k, v in vowels.items()}
+    assert min(len(t.encode()) for t in texts.values()) > language_crf.LINE_BYTES
+    docs = spark.createDataFrame([(i, t, k) for k, t in texts.items() for i in range(3)], "doc_id long, text string, lang string")
+    model = language_crf.fit(docs)
+    assert model.labels == sorted(texts)
+    assert all(r.lang_pred == r.lang for r in language_crf.predict(docs, model).collect())
