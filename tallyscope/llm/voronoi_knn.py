@@ -5,8 +5,9 @@ sqrt(M^2 - |x|^2) more and a query q a zero, and then |q - x|^2 = |q|^2 + M^2 -
 query are its nearest neighbours, ties included.
 
 1. A fixed number of pivots, taken by hash over all candidates, divides both sides into Voronoi cells.
-2. Summaries of cells (greatest and least distance to the pivot; for candidates also the k + 1 least distances) bound
-   the distance of the k-th neighbour of any query of a cell, by the triangle inequality.
+2. Summaries of cells (greatest and least distance to the pivot; for candidates also the least distances of the k + 1
+   nearest ids, each id once, since all rows of the query's own id are excluded) bound the distance of the
+   k-th neighbour of any query of a cell, by the triangle inequality.
 3. A candidate is replicated to a group of query cells only if its distance to its own pivot lets it come as near as
    the group's bound. Groups of cells hold about as many queries as a block.
 4. Query blocks and candidate blocks of a group meet by (group, slice): candidates are dealt over slices by hash and
@@ -89,38 +90,52 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, ids: str = "vec_id",
         cell = d.argmin(1)
         return cell, d[np.arange(len(cell)), cell]
 
-    # Summaries, a row for each cell and task.
+    # Summaries, for each task a row for each near id of a cell and one for the queries of each cell.
     def summaries(batches):
-        least = [[] for _ in range(cells)]
+        least: list[dict[int, float]] = [{} for _ in range(cells)]
         reach, count = np.full(cells, -1.0), np.zeros(cells, np.int64)
         for batch, x in measured(batches):
+            own = batch.column("id").to_numpy()
             cell, d = near(lifted(x, most))
+            by = np.lexsort((d, own, cell))
+            by = by[np.r_[True, (own[by[1:]] != own[by[:-1]]) | (cell[by[1:]] != cell[by[:-1]])][:len(by)]]
+            by = by[np.lexsort((d[by], cell[by]))]
+            by = by[np.arange(len(by)) - np.searchsorted(cell[by], cell[by]) <= k]
+            for c, i, far in zip(cell[by].tolist(), own[by].tolist(), d[by].tolist()):
+                least[c][i] = min(far, least[c].get(i, far))
             for c in np.unique(cell).tolist():
-                least[c] = sorted([*least[c], *np.partition(d[cell == c], min(k, (cell == c).sum() - 1))[:k + 1].tolist()])[:k + 1]
+                least[c] = dict(sorted(least[c].items(), key=lambda e: (e[1], e[0]))[:k + 1])
             query = batch.column("query").to_numpy(zero_copy_only=False).astype(bool)
             if query.any():
                 cell, d = near(np.concatenate([x[query].astype(np.float64), np.zeros((query.sum(), 1))], 1))
                 np.maximum.at(reach, cell, d)
                 count += np.bincount(cell, minlength=cells)
-        used = [c for c in range(cells) if least[c] or count[c]]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([least[c] for c in used], pa.list_(pa.float64())), pa.array(reach[used]), pa.array(count[used])], names=["cell", "least", "reach", "n"])
+        out = [(c, i, far, -1.0, 0) for c in range(cells) for i, far in least[c].items()]
+        out += [(c, None, None, float(reach[c]), int(count[c])) for c in range(cells) if count[c]]
+        yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(list(zip(*out)) or [[]] * 5, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()))], names=["cell", "near", "far", "reach", "n"])
 
     marked = rows.withColumn("query", F.coalesce(is_query, F.lit(False)))
-    parts = marked.mapInArrow(summaries, "cell long, least array<double>, reach double, n long")
-    summary = parts.groupBy("cell").agg(F.slice(F.array_sort(F.flatten(F.collect_list("least"))), 1, k + 1).alias("least"), F.max("reach").alias("reach"), F.sum("n").alias("n")).collect()
-    reach, count, least = np.full(cells, -1.0), np.zeros(cells, np.int64), [[] for _ in range(cells)]
+    parts = marked.mapInArrow(summaries, "cell long, near long, far double, reach double, n long") \
+        .groupBy("cell", "near").agg(F.min("far").alias("far"), F.max("reach").alias("reach"), F.sum("n").alias("n"))
+    nearest = F.collect_list(F.when(F.col("near").isNotNull(), F.struct("far", "near")))
+    summary = parts.groupBy("cell").agg(F.slice(F.array_sort(nearest), 1, k + 1).alias("least"), F.max("reach").alias("reach"), F.sum("n").alias("n")).collect()
+    reach, count, least = np.full(cells, -1.0), np.zeros(cells, np.int64), []
     for row in summary:
-        reach[row.cell], count[row.cell], least[row.cell] = row.reach, row.n, row.least
+        reach[row.cell], count[row.cell] = row.reach, row.n
+        least += [(row.cell, e.near, e.far) for e in row.least]
     asked = np.flatnonzero(count)
     if not len(asked):
         return spark.createDataFrame([], schema)
 
-    # The k-th neighbour of a query of cell i is at most this far: k + 1 candidates, one of which may be itself.
+    # The k-th neighbour of a query of cell i is at most this far: k + 1 ids, one of which may be its own.
     bound = np.full(cells, np.inf)
+    at, known, far = (np.array(column) for column in zip(*least))
     for i in asked.tolist():
-        upper = np.sort(np.concatenate([reach[i] + between[i, j] + np.array(least[j]) for j in range(cells)]))
-        if len(upper) > k:
-            bound[i] = upper[k] + slack
+        upper = reach[i] + between[i, at] + far
+        by = np.argsort(upper, kind="stable")
+        first = np.sort(np.unique(known[by], return_index=True)[1])  # of each id the least
+        if len(first) > k:
+            bound[i] = upper[by[first[k]]] + slack
     # Groups of neighbouring cells, each with about the same number of queries.
     order = asked[np.argsort(between[asked[0], asked], kind="stable")]
     group = np.full(cells, -1)
@@ -188,6 +203,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, ids: str = "vec_id",
                 found, value = best(own, score)
                 there = value > lowest
                 row, column = np.nonzero(there)
+                # Rows of one query id answer together, so their k best suffice.
+                by = np.lexsort((found[row, column], -value[row, column], asking[row]))
+                by = by[np.arange(len(by)) - np.searchsorted(asking[row][by], asking[row][by]) < k]
+                row, column = row[by], column[by]
                 yield pa.RecordBatch.from_arrays([pa.array(asking[row]), pa.array(found[row, column]), pa.array(value[row, column])], names=["query_id", "vec_id", "score"])
 
     candidate = rows.mapInArrow(blocks, "group long, slice long, cid binary, c binary")

@@ -55,3 +55,21 @@ def test_query_equals_sql(spark, small):
     names = [d[0] for d in rel.description]
     want = sorted(rel.fetchall())
     assert sorted(map(tuple, LLM_QUERIES["op3_voronoi_knn"](spark, small).select(*names).collect())) == want
+
+
+def test_query_ids_on_many_rows(spark):
+    """Rows of a query's own id are near it but no neighbours of it; expected rows are the SQL's."""
+    pick = np.random.default_rng(3)
+    x = pick.choice([-1.0, 1.0], size=(60, 64))  # of one norm, and all of them pivots
+    of = {50: [59] * 10, 100: [10] * 30, 150: [20, 20, 21], 7: [5] * 20}
+    rows = [(n + 201, x[n].tolist()) for n in range(48) if n not in (10, 20, 21)] + [(i, x[n].tolist()) for i, at in of.items() for n in at]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings (vec_id BIGINT, embedding DOUBLE[])")
+    con.executemany("INSERT INTO embeddings VALUES (?, ?)", rows)
+    rel = con.execute(LLM_SQL["op3_voronoi_knn"])
+    names = [d[0] for d in rel.description]
+    want = sorted(rel.fetchall())
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for pivots, groups in ((64, 12), (200, 3), (1, 1)):
+        got = top_k(docs, F.col("id") % 50 == 0, pivots=pivots, groups=groups).select(*names)
+        assert sorted(map(tuple, got.collect())) == want
