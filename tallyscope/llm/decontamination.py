@@ -3,16 +3,22 @@
 Words are ``[^\x20\x09-\x0D]+`` with A-Z in lower case. An item of m words is found in a text if the best local
 alignment of their words (match 2, mismatch -1, gap -1) reaches ``least_score`` of the 2 m of a full copy.
 
-With e words of the item touched by edits, at least ``grams - width * e`` of its n-grams stand in the text unharmed.
-So the rarest ``width * e + 1`` grams of each item suffice as seeds, where e is the most edits the score allows; the
-more frequent ones are left out. Frequencies are counted over all texts. Seeds meet the texts in the tasks, in blocks
-of items of bounded size (a benchmark of any size is done, block by block), so no text is shuffled. Around the seed
-hits of an item, with room for all gaps the score allows, the words are aligned, many windows side by side.
+A match may lose ``lost`` = 2 m (1 - least_score) points. A pair of neighbouring item words that does not stand side
+by side in the text costs a point at least: an inserted word costs 1 and parts one pair, a substituted or left out
+word costs 3 and parts two, a word beyond the alignment's end costs 2 and parts one. So ``m - 1 - lost`` pairs or more
+stand unharmed, within ``m + lost`` words of the text. Where that is none, single words are the grams: an unmatched
+one costs 2 at least, so ``m - lost / 2`` stand. To ask for c unharmed grams, the most frequent grams of an item may
+be left out as long as c of those that must stand remain; c is half of the latter. Frequencies are counted over all
+texts. Seeds meet the texts in the tasks, in blocks of items of bounded size (a benchmark of any size is done, block
+by block), so no text is shuffled. Where c seed hits of an item are near each other, with room for all gaps the score
+allows, the words are aligned, many windows side by side.
+
+Items of fewer than ``least_words`` words are too short to be told from chance once edited; they may lose no point, so
+only exact runs of their words are found.
 
 Words and grams are 64-bit fingerprints.
 
-Cases: null or empty texts and items match nothing; items of fewer than ``least_words`` words are too short to be
-told from chance and are not searched; repeated rows and equal items are all reported; null ids are reported as
+Cases: null or empty texts and items match nothing; repeated rows and equal items are all reported; null ids are reported as
 null; extra columns are not read; empty tables give an empty result.
 """
 
@@ -32,6 +38,8 @@ LEAST_SCORE, LEAST_WORDS = 0.6, 8
 BLOCK_WORDS = 1_000_000
 MATCH, MISS, GAP = 2, -1, -1
 FILTER_BITS = 1 << 22
+#: Places of seed hits looked at together; a text's are not parted.
+PLACES = 1_000_000
 
 _U = np.uint64
 
@@ -40,6 +48,7 @@ class Block(NamedTuple):
     items: list  # item ids
     words: np.ndarray  # fingerprints of all items' words
     first: np.ndarray  # where each item's words begin, one more at the end
+    lost: np.ndarray  # points that a match of each item may lose
     gram: np.ndarray  # sorted distinct fingerprints of the grams
     head: np.ndarray  # for each gram the first of its places below, one more at the end
     item: np.ndarray  # places of grams: the item
@@ -47,24 +56,30 @@ class Block(NamedTuple):
     bits: np.ndarray  # flags of the grams, to drop most other grams at once
 
 
-def most_edits(m: np.ndarray, least_score: float) -> np.ndarray:
-    """Most words of an item that an alignment of the least score leaves unmatched (each costs its match at least)."""
-    return np.floor(m * (1 - least_score) * MATCH / (MATCH - max(MISS, GAP)) + 1e-9).astype(np.int64)
+def points_lost(m: np.ndarray, least_score: float, least_words: int) -> np.ndarray:
+    """Most points by which an alignment of the least score stays below a full copy; none for short items."""
+    return np.where(m >= least_words, np.floor(m * (1 - least_score) * MATCH + 1e-9), 0).astype(np.int64)
 
 
-def widths(m: np.ndarray) -> np.ndarray:
-    """Words of a gram: three where that leaves a whole gram in every match, else two."""
-    return np.where(m >= 15, 3, 2)
+def unharmed(m: np.ndarray, lost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a gram, and how many grams of an item stand in every match of it: pairs of words, or else single words."""
+    pairs = m - 1 - lost // -GAP
+    return np.where(pairs > 0, 2, 1), np.where(pairs > 0, pairs, np.maximum(m - lost // MATCH, 1))
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, text: str, least_words: int, block_words: int):
+def needed(block: Block) -> np.ndarray:
+    """Seed hits that every match of an item has."""
+    return (unharmed(np.diff(block.first), block.lost)[1] + 1) // 2
+
+
+def item_blocks(benchmark: DataFrame, item_id: str, text: str, least_score: float, least_words: int, block_words: int):
     """Blocks of items, read from a stored table of items a part at a time."""
     def cut(batches):
         for batch in batches:
             for part, raw in text_pieces([batch], text):
                 words = split_words(raw)
                 h = fingerprints(words.data, words.start, words.end)
-                rows = [h[a:b].tobytes() if b - a >= least_words else None for a, b in zip(words.first, words.first[1:])]
+                rows = [h[a:b].tobytes() if b > a else None for a, b in zip(words.first, words.first[1:])]
                 yield pa.RecordBatch.from_arrays([part.column(item_id), pa.array(rows, pa.binary())], names=["item", "words"])
 
     source = benchmark.select(item_id, text)
@@ -75,39 +90,41 @@ def item_blocks(benchmark: DataFrame, item_id: str, text: str, least_words: int,
         words.append(np.frombuffer(row.words, _U))
         size += len(words[-1])
         if size >= block_words:
-            yield _block(items, words)
+            yield _block(items, words, least_score, least_words)
             items, words, size = [], [], 0
     if items:
-        yield _block(items, words)
+        yield _block(items, words, least_score, least_words)
 
 
-def _block(items: list, words: list[np.ndarray]) -> Block:
+def _block(items: list, words: list[np.ndarray], least_score: float, least_words: int) -> Block:
     m = np.array([len(w) for w in words])
     first = np.r_[0, np.cumsum(m)]
     flat = np.concatenate(words)
+    lost = points_lost(m, least_score, least_words)
+    widths, _ = unharmed(m, lost)
     gram, item, offset = [], [], []
-    for width in (2, 3):
+    for width in (1, 2):
         runs = combined(flat, width)
         owner = np.repeat(np.arange(len(items)), m)[:len(runs)]
         at = np.arange(len(runs)) - first[owner]
-        ok = (widths(m)[owner] == width) & (at + width <= m[owner])
+        ok = (widths[owner] == width) & (at + width <= m[owner])
         gram.append(runs[ok]), item.append(owner[ok]), offset.append(at[ok])
-    return _indexed(items, flat, first, *map(np.concatenate, (gram, item, offset)))
+    return _indexed(items, flat, first, lost, *map(np.concatenate, (gram, item, offset)))
 
 
-def _indexed(items, flat, first, gram, item, offset) -> Block:
+def _indexed(items, flat, first, lost, gram, item, offset) -> Block:
     by = np.lexsort((offset, item, gram))
     gram, item, offset = gram[by], item[by], offset[by]
     head = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.zeros(0, np.int64)
     bits = np.zeros(FILTER_BITS, bool)
     bits[(gram & _U(FILTER_BITS - 1)).astype(np.int64)] = True
-    return Block(items, flat, first, gram[head], np.r_[head, len(gram)], item, offset, bits)
+    return Block(items, flat, first, lost, gram[head], np.r_[head, len(gram)], item, offset, bits)
 
 
 def gram_hits(block: Block, words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first word, gram number) of every gram of the block that stands in the texts."""
     at, number = [], []
-    for width in (2, 3):
+    for width in (1, 2):
         runs = combined(h, width)
         near = np.flatnonzero(block.bits[(runs & _U(FILTER_BITS - 1)).astype(np.int64)] & (words.doc[:len(runs)] == words.doc[width - 1:width - 1 + len(runs)]))
         if len(near) and len(block.gram):
@@ -136,16 +153,16 @@ def gram_counts(docs: DataFrame, text: str, shipped, grams: int) -> np.ndarray:
     return out
 
 
-def rare_seeds(block: Block, counts: np.ndarray, least_score: float) -> Block:
-    """The block with the rarest grams of each item that a match cannot miss."""
+def rare_seeds(block: Block, counts: np.ndarray) -> Block:
+    """The block with the rarest grams of each item, of which a match has as many as are needed."""
     per = np.diff(block.head)
     gram, n = np.repeat(np.arange(len(per)), per), np.repeat(counts, per)
     by = np.lexsort((block.offset, n, block.item))
     place = np.arange(len(by)) - np.searchsorted(block.item[by], block.item[by])
     m = np.diff(block.first)
-    need = (widths(m) * most_edits(m, least_score) + 1)[block.item[by]]
-    keep = by[place < need]
-    return _indexed(block.items, block.words, block.first, block.gram[gram[keep]], block.item[keep], block.offset[keep])
+    width, stand = unharmed(m, block.lost)
+    keep = by[place < (m - width + 1 - stand + needed(block))[block.item[by]]]
+    return _indexed(block.items, block.words, block.first, block.lost, block.gram[gram[keep]], block.item[keep], block.offset[keep])
 
 
 def aligned(window: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,16 +187,43 @@ def aligned(window: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, end
 
 
-def windows(block: Block, first: np.ndarray, doc: np.ndarray, at: np.ndarray, number: np.ndarray, least_score: float):
-    """(text, item, begin, end) of the stretches of words around the seed hits; near ones of an item are one stretch."""
+def windows(block: Block, first: np.ndarray, doc: np.ndarray, at: np.ndarray, number: np.ndarray):
+    """(text, item, begin, end) of the stretches of words around enough seed hits; near ones of an item are one stretch.
+
+    Texts are done some at a time, so that the places of their hits stay within some megabytes.
+    """
+    by = np.argsort(at, kind="stable")
+    at, number = at[by], number[by]
+    load = np.cumsum(block.head[number + 1] - block.head[number]) // PLACES
+    texts = doc[at]
+    begins = np.flatnonzero(np.r_[True, texts[1:] != texts[:-1]][:len(at)])
+    cuts = begins[np.r_[True, load[begins[1:]] != load[begins[:-1]]][:len(begins)]]
+    found = [_stretches(block, first, doc, at[a:b], number[a:b]) for a, b in zip(cuts, np.r_[cuts[1:], len(at)])]
+    return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64),) * 4
+
+
+def _stretches(block: Block, first: np.ndarray, doc: np.ndarray, at: np.ndarray, number: np.ndarray):
     per = block.head[number + 1] - block.head[number]
     place = np.repeat(block.head[number], per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    where, item = np.repeat(at, per), block.item[place]
-    m = np.diff(block.first)[item]
-    room = np.ceil(m * (1 - least_score) * MATCH / -GAP).astype(np.int64)
+    where, item, offset = np.repeat(at, per), block.item[place], block.offset[place]
     text = doc[where]
-    begin = np.maximum(where - block.offset[place] - room, first[text])
-    end = np.minimum(where - block.offset[place] + m + room, first[text + 1])
+    by = np.lexsort((where, item, text))
+    where, item, offset, text = where[by], item[by], offset[by], text[by]
+    # Hits at one word count once; a match has the needed ones within its longest stretch of text.
+    new = np.ones(len(by), bool)
+    new[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (where[1:] != where[:-1])
+    hit = np.flatnonzero(new)
+    last = np.arange(len(hit)) + needed(block)[item[hit]] - 1
+    final = hit[np.minimum(last, len(hit) - 1)]
+    size = np.diff(block.first)
+    near = (last < len(hit)) & (text[final] == text[hit]) & (item[final] == item[hit])
+    near &= where[final] - where[hit] <= (size + block.lost // -GAP)[item[hit]]
+    marks = np.bincount(np.flatnonzero(near), minlength=len(hit) + 1) - np.bincount(last[near] + 1, minlength=len(hit) + 1)
+    kept = (np.cumsum(marks) > 0)[np.cumsum(new) - 1]
+    where, item, offset, text = where[kept], item[kept], offset[kept], text[kept]
+    m, room = size[item], block.lost[item] // -GAP
+    begin = np.maximum(where - offset - room, first[text])
+    end = np.minimum(where - offset + m + room, first[text + 1])
     by = np.lexsort((begin, item, text))
     text, item, begin, end = text[by], item[by], begin[by], end[by]
     new = np.ones(len(by), bool)
@@ -200,21 +244,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, ids: str = "doc_id", tex
     source = docs.select(ids, text)
     schema = source.select(ids).join(benchmark.select(F.col(item_id).alias("_item"))).selectExpr(ids, f"_item AS {item_id}", "0D AS score", "0L AS last_word").schema
     out = spark.createDataFrame([], schema)
-    for block in item_blocks(benchmark, item_id, item_text, least_words, block_words):
+    for block in item_blocks(benchmark, item_id, item_text, least_score, least_words, block_words):
         all_grams = spark.sparkContext.broadcast(block)
-        seeds = spark.sparkContext.broadcast(rare_seeds(block, gram_counts(docs, text, all_grams, len(block.gram)), least_score))
-        out = out.union(source.mapInArrow(_matcher(seeds, ids, text, item_id, schema[item_id].dataType, least_score), schema))
+        seeds = spark.sparkContext.broadcast(rare_seeds(block, gram_counts(docs, text, all_grams, len(block.gram))))
+        out = out.union(source.mapInArrow(_matcher(seeds, ids, text, item_id, schema[item_id].dataType), schema))
     return out
 
 
-def _matcher(seeds, ids: str, text: str, item_id: str, item_type, least_score: float):
+def _matcher(seeds, ids: str, text: str, item_id: str, item_type):
     def run(batches):
         block = seeds.value
         size = np.diff(block.first)
         for part, raw in text_pieces(batches, text):
             words = split_words(raw)
             h = fingerprints(words.data, words.start, words.end)
-            doc, item, begin, end = windows(block, words.first, words.doc, *gram_hits(block, words, h), least_score)
+            doc, item, begin, end = windows(block, words.first, words.doc, *gram_hits(block, words, h))
             best: dict[tuple[int, int], tuple[float, int]] = {}
             # Windows and items of similar sizes go side by side.
             by = np.lexsort((end - begin, size[item]))
@@ -228,7 +272,7 @@ def _matcher(seeds, ids: str, text: str, item_id: str, item_type, least_score: f
                 target = np.where(j < block.first[item[some] + 1][:, None], block.words[np.minimum(j, len(block.words) - 1)], _U(1))
                 score, last = aligned(window, target)
                 share = score / (MATCH * size[item[some]])
-                for x in np.flatnonzero(share >= least_score - 1e-12).tolist():
+                for x in np.flatnonzero(score >= MATCH * size[item[some]] - block.lost[item[some]]).tolist():
                     key = (int(doc[some[x]]), int(item[some[x]]))
                     found = (float(share[x]), int(begin[some[x]] + last[x] - words.first[key[0]]))
                     if key not in best or (-found[0], found[1]) < (-best[key][0], best[key][1]):

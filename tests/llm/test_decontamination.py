@@ -83,3 +83,38 @@ def test_query_equals_alignment_of_all(spark, small):
     want = brute(docs, items)
     some = {i for i, _ in docs}
     assert [r for r in got(LLM_QUERIES["op10_decontamination"](spark, small)) if r[0] in some] == want and want
+
+
+def test_inserted_words_and_short_items(spark):
+    """Copies with words put in after every second one, or at random, and exact copies of items of few words."""
+    pick = random.Random(9)
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(m))) for k, m in enumerate([8, 9, 10, 11, 12, 13, 14, 15, 15, 15, 16, 20, 31, 45])]
+    docs, often = [], " ".join(x for _, x in items)
+    for k, x in items:
+        w = x.split()
+        for rate in (0.5, 0.7, 0.8):
+            for n in range(8):
+                out = [y for v in w for y in ([v, f"new{pick.random()}"] if pick.random() < rate else [v])]
+                docs.append((len(docs), "before it " + " ".join(out) + " and after"))
+        docs.append((len(docs), " ".join(v + (" z" if i % 2 else "") for i, v in enumerate(w))))
+    docs += [(1000 + i, often) for i in range(3)]  # frequent grams
+    long = got(D.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")))
+    assert long == brute(docs, items)
+
+    short = [(1, "Who wrote it?"), (2, "seven words make up this short item"), (3, "one"), (4, "a a")]
+    docs = [(1, "x who WROTE it? y"), (2, "who wrote it"), (3, "who then wrote it?"), (4, "seven words make up this short item"), (5, "one a b a"), (6, "b a\na one"), (7, "seven words make up this new short item")]
+    rows = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(short, "item_id long, text string")).collect()
+    assert sorted(map(tuple, rows)) == [(1, 1, 1.0, 3), (4, 2, 1.0, 6), (5, 3, 1.0, 0), (6, 3, 1.0, 3), (6, 4, 1.0, 2)]
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.6, 0.9])
+def test_other_least_scores(spark, least):
+    pick = random.Random(11)
+    items = [(k, " ".join(f"w{pick.randint(0, 40)}" for _ in range(pick.randint(8, 20)))) for k in range(8)]
+    docs = []
+    for i in range(60):
+        w = items[i % 8][1].split()
+        out = [y for v in w for y in (["new", v], [v], ["new"], [v])[pick.randint(0, 3)]]
+        docs.append((i, " ".join(out)))
+    found = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), least_score=least)
+    assert got(found) == brute(docs, items, least)
