@@ -13,18 +13,16 @@ from tallyscope.llm import bpe_lexicon, decontamination, language_crf, line_dedu
 from tallyscope.session import stored
 
 WORD_BPE = "word_bpe_49k.json"
-#: Documents whose language is less certain than this go, as do those without letters.
-LEAST_CERTAINTY = 0.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: documents without letters or without a language that most of their words have go.
+    """Operator 6: documents that have no language (no letters) go; those of several or of close languages stay.
 
     The model learns from the stage's own labelled rows; a held-out fold takes no part, as in the query.
     """
     model = language_crf.fit(docs.where(language_crf.fold("doc_id", 3) != 1))
     labelled = language_crf.predict(docs, model, spans=False)
-    return labelled.where((F.col("lang_pred") != language_crf.UNKNOWN) & (F.col("score") >= LEAST_CERTAINTY)).select(*docs.columns)
+    return labelled.where(F.col("lang_pred") != language_crf.UNKNOWN).select(*docs.columns)
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

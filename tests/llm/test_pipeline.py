@@ -55,3 +55,15 @@ def test_empty_table(spark, small):
     none = spark.read.parquet(f"{small}/documents.parquet").limit(0)
     for _, stage in P.STAGES:
         assert stage(spark, none, small).count() == 0
+
+
+def test_documents_of_several_languages_stay(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    words = {r.lang: r.text.split()[:40] for r in docs.where("n_chars > 400").orderBy("doc_id").collect()}
+    assert len(words) > 2
+    clean = " ".join(w for name in sorted(words) for w in words[name])
+    model = language_crf.fit(docs.where(language_crf.fold("doc_id", 3) != 1))
+    switched = spark.createDataFrame([(95001, clean, None, "s", len(clean)), (95002, "12 - 34", None, "s", 7)], docs.schema)
+    assert language_crf.predict(switched, model, spans=False).where("doc_id = 95001").first().score < 0.5
+    kept = {r.doc_id for r in P.identify_language(spark, docs.union(switched), small).collect()}
+    assert 95001 in kept and 95002 not in kept
