@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import bpe_lexicon, class_ngrams, decontamination, language_crf, license_scan, line_dedup, sentence_spans, shingle_join, token_counts, voronoi_knn
+from tallyscope.llm import bpe_lexicon, class_ngrams, collocations, decontamination, language_crf, license_scan, line_dedup, sentence_spans, shingle_join, token_counts, voronoi_knn
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -103,3 +103,12 @@ def op9_shingle_join(spark: SparkSession, folder: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontamination.contaminated(docs, table(spark, folder, "benchmark").select("item_id", "text"))
+
+
+@query
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    found = collocations.collocations(table(spark, folder, "documents").select("text", "lang"))
+    return collocations.best_phrases(found, 2000).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+LLM_SQL["op11_collocations"] = collocations.phrases_sql()
