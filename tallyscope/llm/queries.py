@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import bpe_lexicon, class_ngrams, collocations, decontamination, language_crf, license_scan, line_dedup, sentence_spans, shingle_join, token_counts, voronoi_knn
+from tallyscope.llm import bpe_lexicon, class_ngrams, collocations, decontamination, language_crf, license_scan, line_dedup, sentence_spans, shingle_join, source_divergence, token_counts, voronoi_knn
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -112,3 +112,11 @@ def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LLM_SQL["op11_collocations"] = collocations.phrases_sql()
+
+
+@query
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.divergences(table(spark, folder, "documents").select("text", "lang", "source"))
+
+
+LLM_SQL["op12_source_divergence"] = source_divergence.divergences_sql()

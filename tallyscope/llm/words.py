@@ -6,6 +6,7 @@ cutting at bytes never cuts a character: separators are ASCII and bytes of longe
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -13,7 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from tallyscope.session import shared_folder
 
@@ -66,6 +67,67 @@ def split_words(raw: list[bytes], table: bytes = SPACED, lower: bool = True) ->
     return Words(np.frombuffer(data, np.uint8), start, end, np.repeat(np.arange(len(raw)), np.diff(first)), first)
 
 
+class CodedWords(NamedTuple):
+    code: np.ndarray  # per word, its row in the vocabulary
+    vocabulary: pa.Array  # the distinct words, exactly told apart
+    prints: np.ndarray  # and their fingerprints
+    text: np.ndarray  # per word, the text it stands in
+    start: np.ndarray  # per word, its first byte in all texts joined by line ends
+    kind: np.ndarray  # per byte of those, what the table says
+
+
+def text_parts(batches: Iterable[pa.RecordBatch], limit: int, ends: re.Pattern[bytes]) -> Iterator[tuple[list[bytes], list[tuple], list[int], list[bool]]]:
+    """Texts of about ``limit`` bytes together, the other columns' values, running row numbers, and whether a text is a part.
+
+    The last column is the text; null is an empty text. Longer texts are cut behind the next match of ``ends``.
+    """
+    texts, heads, numbers, parted, size, number = [], [], [], [], 0, 0
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns[:-1]]
+        for i, text in enumerate(batch.columns[-1].cast(pa.binary()).to_pylist()):
+            text, begin, number = text or b"", 0, number + 1
+            while begin < len(text):
+                end = len(text)
+                if end - begin > limit:
+                    found = ends.search(text, begin + limit)
+                    end = found.end() if found else end
+                if size and size + end - begin > limit:
+                    yield texts, heads, numbers, parted
+                    texts, heads, numbers, parted, size = [], [], [], [], 0
+                texts.append(text[begin:end])
+                heads.append(tuple(c[i] for c in columns))
+                numbers.append(number)
+                parted.append(begin > 0 or end < len(text))
+                size += end - begin
+                begin = end
+    if texts:
+        yield texts, heads, numbers, parted
+
+
+def coded_words(texts: list[bytes], table: bytes) -> CodedWords:
+    """The words of some texts, A-Z in lower case: maximal runs of bytes that ``table`` gives 0."""
+    joined = (b"\n".join(texts) + b"\n").translate(LOWER)
+    data, kind = np.frombuffer(joined, np.uint8), np.frombuffer(joined.translate(table), np.uint8)
+    inside = kind == 0
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    offsets = np.zeros(len(start) + 1, np.int32)
+    np.cumsum(end - start, out=offsets[1:])
+    coded = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])]).dictionary_encode()
+    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
+    return CodedWords(coded.indices.to_numpy().astype(np.int64), coded.dictionary, word_prints(coded.dictionary), text, start, kind)
+
+
+def word_prints(words: pa.Array) -> np.ndarray:
+    """Fingerprints of an Arrow column of words without nulls."""
+    words = pa.concat_arrays([words.cast(pa.binary())])
+    if not len(words):
+        return np.zeros(0, _U)
+    bounds = np.frombuffer(words.buffers()[1], np.int32, len(words) + words.offset + 1)[words.offset:].astype(np.int64)
+    letters = np.frombuffer(words.buffers()[2], np.uint8) if words.buffers()[2] else np.zeros(0, np.uint8)
+    return fingerprints(letters, bounds[:-1], bounds[1:])
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)
@@ -144,6 +206,14 @@ def short_batches(spark: SparkSession, rows: int = 4):
         spark.conf.set(name, before)
 
 
+def free_name(frame: DataFrame, stem: str) -> str:
+    """A column name that ``frame`` does not have yet."""
+    taken = {c.lower() for c in frame.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def ship_file(spark: SparkSession, payload: bytes, stem: str) -> str:
     """Write bytes of bounded size to the shared folder and let Spark hand the file to every executor; its name."""
     name = f"{stem}-{uuid.uuid4().hex}.bin"
