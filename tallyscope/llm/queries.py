@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallyscope.llm import bpe_lexicon, class_ngrams, collocations, decontamination, language_crf, license_scan, line_dedup, sentence_spans, shingle_join, source_divergence, token_counts, voronoi_knn
+from tallyscope.llm import bpe_lexicon, class_ngrams, collocations, decontamination, language_crf, license_scan, line_dedup, merkle_prints, sentence_spans, shingle_join, source_divergence, token_counts, voronoi_knn
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_SQL: dict[str, str] = {}
@@ -120,3 +120,11 @@ def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LLM_SQL["op12_source_divergence"] = source_divergence.divergences_sql()
+
+
+@query
+def op13_merkle_prints(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle_prints.edited_fingerprints(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+LLM_SQL["op13_merkle_prints"] = merkle_prints.edited_fingerprints_sql()
