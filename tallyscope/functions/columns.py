@@ -31,15 +31,13 @@ def years_between(later: Column, earlier: Column) -> Column:
 
 
 def log_factorial(n: Column) -> Column:
-    """ln(n!) by Stirling's series eight steps up, where its error is below 1e-13, and back down."""
-    x = n.cast("double") + 1
-    y = x + 8
+    """ln(n!): from the exact product up to 20, by Stirling's series beyond, whose next term is below 1e-15 there."""
+    y = F.greatest(n.cast("double"), F.lit(20.0)) + 1
+    y2 = y * y
     series = ((y - 0.5) * F.log(y) - y + 0.5 * F.log(2 * F.pi())
-              + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y))
-    steps = x
-    for i in range(1, 8):
-        steps = steps * (x + i)
-    return series - F.log(steps)
+              + (F.lit(1 / 12) - (F.lit(1 / 360) - (F.lit(1 / 1260) - F.lit(1 / 1680) / y2) / y2) / y2) / y)
+    exact = F.log(F.factorial(F.least(F.greatest(n, F.lit(0)), F.lit(20)).cast("int")))
+    return F.when(n <= 20, exact).otherwise(series)
 
 
 def log_choose(n: Column, k: Column) -> Column:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyscope.operators.ordering import row_number
 from tallyscope.session import cut_lineage
 
 EVENT_COLUMNS = ["event_id", "family", "event_type", "parent_event_id", "registry_id", "event_date",
@@ -50,7 +51,8 @@ def timeline_order() -> list[Column]:
 def collapse_awards(rows: DataFrame, key: str, invariant: Sequence[str], report: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(events, violations): one event per award if its fields agree over all report rows.
 
-    Equality over a group is min = max, which combines before the shuffle.
+    Equality over a group is min = max, which combines before the shuffle. An event keeps its first and last report;
+    ``award_reports`` gives all of them as rows.
     """
     agg = rows.groupBy(key).agg(
         *[F.min(c).alias(c) for c in invariant],
@@ -60,6 +62,12 @@ def collapse_awards(rows: DataFrame, key: str, invariant: Sequence[str], report:
     return agg.where(F.size("varying") == 0).drop("varying"), agg.where(F.size("varying") > 0).select(key, "varying")
 
 
+def award_reports(rows: DataFrame, events: DataFrame, key: str, order: str, tie: str, report: Sequence[str]) -> DataFrame:
+    """The report rows of agreeing awards, numbered by ``order`` and ``tie``: an award with any number of reports stays a table."""
+    own = rows.join(events.select(key), key, "left_semi").select(key, order, tie, *report)
+    return row_number(own, F.col(order), F.col(tie), [key], "position")
+
+
 # --- ledger ------------------------------------------------------------------
 
 def fold_ledger(log: DataFrame) -> DataFrame:

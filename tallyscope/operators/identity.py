@@ -322,6 +322,15 @@ def three_of_four_pairs(old: DataFrame, new: DataFrame, scope: str, fields: Sequ
     return forward.join(back, ["old_key", "new_key"])
 
 
+def unique_identity_pairs(old: DataFrame, new: DataFrame, parts: Sequence[str], key: str) -> DataFrame:
+    """Old and new keys of one identity (institution and plate, say) that only one row on each side has."""
+    def single(d: DataFrame, out: str) -> DataFrame:
+        known = d.where(F.coalesce(*[F.when(F.col(c).isNull(), True) for c in parts], F.lit(False)) == F.lit(False))
+        return known.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n"), F.min(key).alias(out)).where(F.col("_n") == 1).drop("_n")
+
+    return single(old, "old_key").join(single(new, "new_key"), list(parts))
+
+
 # --- findings and registry ids ------------------------------------------------
 
 def findings_as_of(findings: DataFrame, crosswalk: DataFrame, as_of: str) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions import columns as C
 from tallyscope.functions import fixed
-from tallyscope.session import counted_side, cut_lineage
+from tallyscope.operators.postings import ranked_phrases
+from tallyscope.session import counted_side, cut_lineage, small_side
 
 
 # --- outgoing text -----------------------------------------------------------
@@ -36,12 +37,24 @@ def verdict_words(text: Column) -> Column:
 def verbatim_echo(texts: DataFrame, key: str, sources: DataFrame, width: int = fixed.ECHO_WIDTH) -> DataFrame:
     """First ``width``-character window of a text that also stands in a source.
 
-    Window equality is a semi join on distinct source windows; a text keeps only its first
-    hit, so the result is one row per text however many sources match.
+    Any shared run of ``width`` characters covers one whole block of half that width, so a text brings one row per
+    block, with what surrounds it; sources bring their windows of half and of full width. Only around blocks that some
+    source has are whole windows compared. A text keeps its first hit, so the result is one row per text.
     """
-    known = sources.select(F.explode(C.char_windows(C.squeeze(F.col("text")), width)).alias("chunk")).distinct()
-    cut = texts.select(key, F.posexplode(C.char_windows(C.squeeze(F.col("text")), width)).alias("pos", "chunk"))
-    return cut.join(counted_side(known), "chunk", "left_semi").groupBy(key).agg(F.min_by("chunk", "pos").alias("chunk"), F.min("pos").alias("pos"))
+    half = width // 2
+    known = sources.select(C.squeeze(F.col("text")).alias("_s"))
+    halves = known.select(F.explode(C.char_windows(F.col("_s"), half)).alias("_block")).distinct()
+    wholes = known.select(F.explode(C.char_windows(F.col("_s"), width)).alias("chunk")).distinct()
+    # A block and up to ``width - half`` characters on either side; the text is padded in front by as many.
+    side = width - half
+    around = F.regexp_extract_all(F.concat(F.lit(" " * side), C.squeeze(F.col("text"))), F.lit(r"(?s)(?=(.{%d,%d})).{%d}" % (side + half, 2 * side + half, half)), F.lit(1))
+    cut = texts.select(key, F.posexplode(around).alias("_n", "_around")).withColumn("_block", F.substring("_around", side + 1, half))
+    near = cut.join(counted_side(halves), "_block", "left_semi")
+    starts = F.explode(F.sequence(F.lit(0), F.lit(side)))
+    tried = near.select(key, "_around", (F.col("_n") * half - side).alias("_at"), starts.alias("_j")) \
+        .select(key, (F.col("_at") + F.col("_j")).cast("int").alias("pos"), F.substring("_around", F.col("_j") + 1, F.lit(width)).alias("chunk")) \
+        .where((F.col("pos") >= 0) & (F.length("chunk") == width))
+    return tried.join(counted_side(wholes), "chunk", "left_semi").groupBy(key).agg(F.min_by("chunk", "pos").alias("chunk"), F.min("pos").alias("pos"))
 
 
 # --- labels ------------------------------------------------------------------
@@ -84,54 +97,6 @@ def text_quality(docs: DataFrame, group: str) -> DataFrame:
 
 # --- phrase search -----------------------------------------------------------
 
-GRAM = 3
-
-
-def grams(text: Column) -> Column:
-    return C.char_windows(F.lower(text), GRAM)
-
-
-def postings(docs: DataFrame, key: str) -> DataFrame:
-    """Distinct (gram, document) rows: the table to keep, partitioned by gram."""
-    return docs.select(key, F.explode(F.array_distinct(grams(F.col("text")))).alias("gram"))
-
-
-def phrase_hits(docs: DataFrame, key: str, phrases: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """(phrase, document, occurrences), letter case aside; phrases under three characters find nothing.
-
-    With a kept postings ``index`` only documents holding every gram of a phrase are looked
-    at; without one the phrases meet the texts in one window join.
-    """
-    p = phrases.where(F.length(F.trim("phrase")) >= GRAM)
-    if index is None:
-        from tallyscope.operators.containment import contains_pairs
-        low = docs.select(key, F.lower("text").alias("_t"))
-        asked = p.select("phrase", F.lower("phrase").alias("_p"), F.xxhash64("phrase").alias("_pid"))
-        cand = contains_pairs(low, key, "_t", asked, "_pid", "_p").join(asked.select("_pid", "phrase"), "_pid").select("phrase", key)
-    else:
-        g = p.select("phrase", F.explode(F.array_distinct(grams(F.col("phrase")))).alias("gram"))
-        need = counted_side(g.groupBy("phrase").agg(F.count(F.lit(1)).alias("_need")))
-        cand = (index.join(counted_side(g), "gram").groupBy("phrase", key).agg(F.count(F.lit(1)).alias("_have"))
-                .join(need, "phrase").where(F.col("_have") == F.col("_need")).select("phrase", key))
-    d = cand.join(docs.select(key, "text"), key)
-    return d.select("phrase", key, C.occurrences(F.lower("text"), F.lower("phrase")).alias("tf")).where(F.col("tf") > 0)
-
-
-def bm25(hits: DataFrame, docs: DataFrame, key: str) -> DataFrame:
-    """BM25 of a phrase as one term: document length in grams, idf with a small floor."""
-    size = F.greatest(F.length("text").cast("long") - (GRAM - 1), F.lit(0).cast("long"))
-    lengths = docs.select(key, size.alias("_dl"))
-    totals = lengths.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("_dl").alias("avg")))
-    total = totals.scalar()
-    hits = cut_lineage(hits)
-    df = counted_side(hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("_df")))
-    d = hits.join(df, "phrase").join(lengths, key).withColumn("_t", total)
-    idf = F.greatest(F.log((F.col("_t.n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)), F.lit(1e-6))
-    norm = 1 - fixed.BM25_B + fixed.BM25_B * F.col("_dl") / F.col("_t.avg")
-    score = idf * (F.col("tf") * (fixed.BM25_K1 + 1)) / (F.col("tf") + fixed.BM25_K1 * norm)
-    return d.withColumn("score", score).drop("_t", "_df", "_dl")
-
-
 def snippet(text: Column, phrase: Column, around: int = 24) -> Column:
     """The first occurrence with its surroundings, marked."""
     start = F.position(F.lower(phrase), F.lower(text))
@@ -141,25 +106,43 @@ def snippet(text: Column, phrase: Column, around: int = 24) -> Column:
     return F.when(start > 0, F.concat(left, F.lit("⟦"), hit, F.lit("⟧"), right))
 
 
-def probe_terms(questions: DataFrame, corpus: DataFrame, sizes: Sequence[int] = range(10, 3, -1), limit: int = 4) -> DataFrame:
-    """Up to ``limit`` longest substrings of each question that occur in the corpus, none nested.
+def present_terms(terms: DataFrame, corpus: DataFrame, shortest: int, longest: int) -> DataFrame:
+    """The ``term`` rows of ``shortest`` to ``longest`` characters (at most 2 * ``shortest`` + 3) that stand in a corpus text.
+
+    The corpus brings one row per character: a window of ``shortest`` characters with what follows it. Only where that
+    window is asked for, longer prefixes of it are compared, and those of twice the length only where the second half is
+    asked for, too.
+    """
+    asked = cut_lineage(terms.select("term").distinct())
+    base = counted_side(asked.where(F.length("term") == shortest).withColumnRenamed("term", "_w"))
+    ahead = F.explode(F.regexp_extract_all("text", F.lit(r"(?s)(?=(.{%d,%d}))" % (shortest, longest)), F.lit(1))).alias("_a")
+    seen = corpus.select(ahead).withColumn("_w", F.substring("_a", 1, shortest)).join(base, "_w", "left_semi").select("_a", "_w").distinct()
+    twice = seen.withColumn("_h", F.substring("_a", shortest + 1, shortest)).join(base.select(F.col("_w").alias("_h"), F.lit(True).alias("_both")), "_h", "left")
+    most = F.when(F.col("_both"), F.least(F.length("_a"), F.lit(longest))).otherwise(F.least(F.length("_a"), F.lit(2 * shortest - 1)))
+    tried = twice.select("_a", F.explode(F.sequence(F.lit(shortest), most)).alias("_n")).select(F.left("_a", F.col("_n")).alias("term")).distinct()
+    return tried.join(small_side(asked), "term", "left_semi")
+
+
+def probe_terms(questions: DataFrame, corpus: DataFrame, sizes: Sequence[int] = range(10, 3, -1), limit: int = 4, budget: int = 240) -> DataFrame:
+    """Up to ``limit`` longest substrings of each question that occur in the corpus, none nested, of at most ``budget`` probes.
 
-    All substrings of the questions meet the corpus windows in one semi join; the greedy
-    choice is a fold over the few substrings that exist.
+    Substrings are tried from long to short, from left to right; one that nests with a found one is not a probe. All
+    substrings of all questions meet the corpus at once; the choice is a fold over a question's own substrings.
     """
-    cut = lambda c: F.concat(*[C.char_windows(c, s) for s in sizes])
     spans = F.concat(*[F.transform(C.char_windows(F.trim(F.col("question")), s),
                                    lambda w, i: F.struct((-F.length(w)).alias("size"), i.alias("start"), w.alias("term"))) for s in sizes])
     asked = questions.select("question_id", F.explode(spans).alias("_s")).select("question_id", "_s.*")
-    wanted = counted_side(asked.select("term").distinct())
-    present = corpus.select(F.explode(cut(F.col("text"))).alias("term")).join(wanted, "term", "left_semi").distinct()
-    found = asked.join(present, "term", "left_semi").groupBy("question_id").agg(
-        F.array_sort(F.collect_set(F.struct("size", "start", "term"))).alias("_c"))
-    picked = F.aggregate(
-        "_c", F.array().cast("array<string>"),
-        lambda acc, c: F.when((F.size(acc) >= limit) | F.exists(acc, lambda a: a.contains(c["term"]) | c["term"].contains(a)), acc)
-        .otherwise(F.concat(acc, F.array(c["term"]))))
-    return found.select("question_id", picked.alias("terms"))
+    present = present_terms(asked, corpus, min(sizes), max(sizes)).withColumn("known", F.lit(True))
+    found = asked.join(small_side(cut_lineage(present)), "term", "left").groupBy("question_id").agg(
+        F.array_sort(F.collect_list(F.struct("size", "start", "term", F.coalesce("known", F.lit(False)).alias("known")))).alias("_c"))
+    start = F.struct(F.lit(0).alias("probes"), F.array().cast("array<string>").alias("terms"))
+
+    def step(acc, c):
+        over = (acc["probes"] >= budget) | (F.size(acc["terms"]) >= limit) | F.exists(acc["terms"], lambda a: a.contains(c["term"]) | c["term"].contains(a))
+        return F.when(over, acc).otherwise(F.struct((acc["probes"] + 1).alias("probes"), F.when(c["known"], F.concat(acc["terms"], F.array(c["term"]))).otherwise(acc["terms"]).alias("terms")))
+
+    picked = found.select("question_id", F.aggregate("_c", start, step)["terms"].alias("terms"))
+    return picked.where(F.size("terms") > 0)
 
 
 def matching_fields(questions: DataFrame, labels: DataFrame, limit: int = 4) -> DataFrame:
@@ -195,25 +178,35 @@ def facts_with_citation(facts: DataFrame, docs: DataFrame, institution: str | No
     return d.withColumn("is_blank", F.col("value").isNull()).withColumn("citation", F.concat_ws(" ", F.element_at(F.split("path", "/"), -1), page))
 
 
-def retrieve(questions: DataFrame, passages: DataFrame, facts: DataFrame, coverage: DataFrame, limit: int = 12) -> DataFrame:
-    """Evidence rows per question: passages by its terms, facts by its field names.
+def retrieve(questions: DataFrame, passages: DataFrame, index: DataFrame, facts: DataFrame, coverage: DataFrame, limit: int = 12,
+             institution: str | None = None, year: int | None = None) -> DataFrame:
+    """Evidence rows per question: passages by its terms, facts by its field names, both within the filters.
 
-    A question without any hit gets the coverage rows instead, so that an empty answer says
-    what was searched. questions: question_id, question; passages: passage_id, text; facts:
-    fact_id, label; coverage: scope, covered, total
+    A question's terms are those of its substrings that the passages have, else the question itself. Passages come in
+    the order of their first term, then by score; each of them once, ``limit`` in all, and so facts. A question
+    without any hit gets a row that says what was searched, so that an empty answer is not taken for a clean record.
+    questions: question_id, question; passages: passage_id, text (institution, year); index: kept postings of
+    passages; facts: fact_id, label (institution, year); coverage: scope, covered, total
     """
-    from tallyscope.operators.ordering import row_number
+    def within(d: DataFrame) -> DataFrame:
+        d = d if institution is None else d.where(F.col("institution").contains(institution))
+        return d if year is None else d.where(F.col("year") == year)
+
     probed = probe_terms(questions, passages)
-    terms = questions.join(probed, "question_id", "left").select(
-        "question_id", F.explode(F.coalesce("terms", F.array("question"))).alias("phrase"))
-    hits = bm25(phrase_hits(passages, "passage_id", terms.select("phrase").distinct()), passages, "passage_id")
-    best = terms.join(hits, "phrase").groupBy("question_id", "passage_id").agg(F.max("score").alias("score"))
-    best = row_number(best, F.col("score"), F.col("passage_id"), ["question_id"], "position", descending=True).where(F.col("position") <= limit)
-    found = best.select("question_id", F.lit("passage").alias("kind"), F.col("passage_id").cast("string").alias("subject"), "score")
+    terms = cut_lineage(questions.join(probed, "question_id", "left").select("question_id", F.posexplode(F.coalesce("terms", F.array("question"))).alias("pos", "phrase")))
+    hits = ranked_phrases(index, terms.select("phrase").distinct(), fixed.BM25_K1, fixed.BM25_B).withColumnRenamed("key", "passage_id")
+    hits = hits.join(within(passages).select("passage_id"), "passage_id", "left_semi")
+    best = terms.join(hits, "phrase").groupBy("question_id", "passage_id").agg(F.min(F.struct("pos", (-F.col("score")).alias("less"))).alias("_b"))
+    by = Window.partitionBy("question_id").orderBy("_b.pos", F.round("_b.less", 9), "passage_id")
+    best = best.withColumn("position", F.row_number().over(by)).where(F.col("position") <= limit)
+    found = best.select("question_id", F.lit("passage").alias("kind"), F.col("passage_id").cast("string").alias("subject"), "position")
     core = F.trim(F.regexp_replace("label", "[（(].*$", ""))
-    fields = matching_fields(questions, facts.select("label"))
-    named = fields.join(facts.withColumn("core", core).groupBy("core").agg(F.count(F.lit(1)).alias("n")), "core")
-    found = found.unionByName(named.select("question_id", F.lit("fact").alias("kind"), F.col("core").alias("subject"), F.col("n").cast("double").alias("score")))
+    own = within(facts).withColumn("core", core)
+    named = matching_fields(questions, own.select("label")).join(own, "core")
+    by = Window.partitionBy("question_id").orderBy(F.length("core").desc(), "core", "fact_id")
+    named = named.withColumn("position", F.row_number().over(by)).where(F.col("position") <= limit)
+    found = found.unionByName(named.select("question_id", F.lit("fact").alias("kind"), F.col("fact_id").cast("string").alias("subject"), "position"))
+    found = cut_lineage(found)
     empty = questions.select("question_id").join(found.select("question_id").distinct(), "question_id", "left_anti")
     note = coverage.agg(F.concat_ws(", ", F.lit("searched"), F.sum("covered").cast("string"), F.sum("total").cast("string")).alias("c")).scalar()
-    return found.unionByName(empty.select("question_id", F.lit("coverage").alias("kind"), note.alias("subject"), F.lit(None).cast("double").alias("score")))
+    return found.unionByName(empty.select("question_id", F.lit("coverage").alias("kind"), note.alias("subject"), F.lit(1).alias("position")))

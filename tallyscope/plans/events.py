@@ -47,18 +47,32 @@ def event_problems(t: Tables) -> DataFrame:
     return E.event_problems(all_events(t), {"action": "notice"})
 
 
-@plan("D4", """SELECT o_custkey AS award, n_reports, o_orderstatus, first_year, last_year FROM (SELECT o_custkey, count(*) AS n_reports, min(o_orderstatus) AS o_orderstatus, max(o_orderstatus) AS m, min(year(o_orderdate)) AS first_year,
-    max(year(o_orderdate)) AS last_year FROM orders WHERE o_totalprice > 380000 GROUP BY 1) WHERE o_orderstatus = m""")
+AWARD = "o_custkey * 100 + month(o_orderdate)"
+
+
+def award_rows(t: Tables) -> DataFrame:
+    """Report rows of awards: a customer's orders of one calendar month, whatever the year."""
+    return t.orders.select((F.col("o_custkey") * 100 + F.month("o_orderdate")).alias("award"), "o_orderkey", "o_orderstatus", F.year("o_orderdate").cast("long").alias("year"))
+
+
+@plan("D4", f"""SELECT award, n_reports, o_orderstatus, first_year, last_year FROM (SELECT {AWARD} AS award, count(*) AS n_reports, min(o_orderstatus) AS o_orderstatus, max(o_orderstatus) AS m, min(year(o_orderdate)) AS first_year,
+    max(year(o_orderdate)) AS last_year FROM orders GROUP BY 1) WHERE o_orderstatus = m""")
 def collapsed_awards(t: Tables) -> DataFrame:
-    rows = t.orders.where(F.col("o_totalprice") > 380000).select(F.col("o_custkey").alias("award"), "o_orderstatus", F.year("o_orderdate").cast("long").alias("year"))
-    good, _ = E.collapse_awards(rows, "award", ["o_orderstatus"], ["year"])
+    good, _ = E.collapse_awards(award_rows(t), "award", ["o_orderstatus"], ["year"])
     return good.select("award", "n_reports", "o_orderstatus", F.col("first_report.year").alias("first_year"), F.col("last_report.year").alias("last_year"))
 
 
-@plan("D4", """SELECT o_custkey AS award, 'o_orderstatus' AS varying FROM orders WHERE o_totalprice > 380000 GROUP BY 1 HAVING min(o_orderstatus) <> max(o_orderstatus)""")
+@plan("D4", f"""SELECT {AWARD} AS award, 'o_orderstatus' AS varying FROM orders GROUP BY 1 HAVING min(o_orderstatus) <> max(o_orderstatus)""")
 def award_violations(t: Tables) -> DataFrame:
-    rows = t.orders.where(F.col("o_totalprice") > 380000).select(F.col("o_custkey").alias("award"), "o_orderstatus", F.year("o_orderdate").alias("year"))
-    return E.collapse_awards(rows, "award", ["o_orderstatus"], ["year"])[1].select("award", F.array_join("varying", ",").alias("varying"))
+    return E.collapse_awards(award_rows(t), "award", ["o_orderstatus"], ["year"])[1].select("award", F.array_join("varying", ",").alias("varying"))
+
+
+@plan("D4", f"""WITH r AS (SELECT {AWARD} AS award, o_orderkey, year(o_orderdate) AS year, o_orderstatus FROM orders)
+    SELECT award, o_orderkey, year, row_number() OVER (PARTITION BY award ORDER BY year, o_orderkey) AS position FROM r WHERE award IN (SELECT award FROM r GROUP BY 1 HAVING min(o_orderstatus) = max(o_orderstatus))""", wide="position")
+def award_reports(t: Tables) -> DataFrame:
+    rows = award_rows(t)
+    good, _ = E.collapse_awards(rows, "award", ["o_orderstatus"], ["year"])
+    return E.award_reports(rows, good, "award", "year", "o_orderkey", []).select("award", "o_orderkey", "year", "position")
 
 
 LEDGER = """lg AS (SELECT event_id AS entry, ts, CASE event_type WHEN 'signup' THEN 'reserve' WHEN 'purchase' THEN 'settle' WHEN 'error' THEN 'release' ELSE 'note' END AS kind,

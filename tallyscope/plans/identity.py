@@ -332,13 +332,13 @@ def sanction_records(t: Tables) -> DataFrame:
     return I.sanction_records(rows, ["id", "date", "punishment"], "law")
 
 
-@plan("J12", """WITH o AS (SELECT o_orderkey AS k, o_custkey AS s, CAST(year(o_orderdate) AS VARCHAR) AS a, o_orderpriority AS b, CAST(month(o_orderdate) AS VARCHAR) AS c, CAST(day(o_orderdate) AS VARCHAR) AS d FROM orders WHERE o_orderstatus = 'F'),
+@plan("J12", """WITH o AS (SELECT o_orderkey AS k, o_custkey AS s, CAST(year(o_orderdate) AS VARCHAR) AS a, o_orderpriority AS b, CAST(month(o_orderdate) AS VARCHAR) AS c, CAST(day(o_orderdate) AS VARCHAR) AS d FROM orders),
     n AS (SELECT o_orderkey + 1000000 AS k, o_custkey AS s, CAST(year(o_orderdate) AS VARCHAR) AS a, CASE WHEN o_totalprice > 250000 THEN o_orderpriority ELSE 'changed' END AS b, CAST(month(o_orderdate) AS VARCHAR) AS c,
-    CASE WHEN o_totalprice > 100000 THEN CAST(day(o_orderdate) AS VARCHAR) ELSE '0' END AS d FROM orders WHERE o_orderstatus = 'F' AND o_totalprice < 420000),
+    CASE WHEN o_totalprice > 100000 THEN CAST(day(o_orderdate) AS VARCHAR) ELSE '0' END AS d FROM orders WHERE o_totalprice < 420000),
     p AS (SELECT o.k AS old_key, n.k AS new_key FROM o JOIN n ON o.s = n.s WHERE CAST(o.a = n.a AS INT) + CAST(o.b = n.b AS INT) + CAST(o.c = n.c AS INT) + CAST(o.d = n.d AS INT) >= 3)
     SELECT old_key, new_key FROM (SELECT *, count(*) OVER (PARTITION BY old_key) AS x, count(*) OVER (PARTITION BY new_key) AS y FROM p) WHERE x = 1 AND y = 1""")
 def rekey_pairs(t: Tables) -> DataFrame:
-    base = t.orders.where(F.col("o_orderstatus") == "F")
+    base = t.orders
     y, m, d = (f("o_orderdate").cast("string") for f in (F.year, F.month, F.day))
     old = base.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("s"), y.alias("a"), F.col("o_orderpriority").alias("b"), m.alias("c"), d.alias("d"))
     price = F.col("o_totalprice")
@@ -348,6 +348,15 @@ def rekey_pairs(t: Tables) -> DataFrame:
     return I.three_of_four_pairs(old, new, "s", ["a", "b", "c", "d"], "k")
 
 
+@plan("J12", """WITH o AS (SELECT l_orderkey * 10 + l_linenumber AS k, l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_returnflag <> 'R'), n AS (SELECT -(l_orderkey * 10 + l_linenumber) AS k, l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_linestatus = 'O' OR l_returnflag = 'N')
+    SELECT o.k AS old_key, n.k AS new_key, o.s AS supplier FROM (SELECT s, p, min(k) AS k FROM o GROUP BY 1, 2 HAVING count(*) = 1) o JOIN (SELECT s, p, min(k) AS k FROM n GROUP BY 1, 2 HAVING count(*) = 1) n ON n.s = o.s AND n.p = o.p""")
+def rekey_by_plate(t: Tables) -> DataFrame:
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    old = t.lineitem.where(F.col("l_returnflag") != "R").select(key.alias("k"), F.col("l_suppkey").alias("supplier"), "l_partkey")
+    new = t.lineitem.where((F.col("l_linestatus") == "O") | (F.col("l_returnflag") == "N")).select((-key).alias("k"), F.col("l_suppkey").alias("supplier"), "l_partkey")
+    return I.unique_identity_pairs(old, new, ["supplier", "l_partkey"], "k").select("old_key", "new_key", "supplier")
+
+
 # --- two versions ------------------------------------------------------------
 
 @plan("J11", """WITH o AS (SELECT c_custkey AS id, c_name AS title, c_mktsegment AS kind, c_acctbal AS cap FROM customer WHERE c_acctbal < 9000),

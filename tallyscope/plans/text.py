@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions import columns as C
+from tallyscope.functions import fixed
+from tallyscope.operators import postings as P
 from tallyscope.operators import textual as X
 from tallyscope.plans import roles as R
 from tallyscope.plans.registry import Tables, plan
@@ -101,26 +105,37 @@ def phrases(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(p,) for p in PHRASES], "phrase string")
 
 
+def document_index(t: Tables) -> DataFrame:
+    """The kept postings of ``documents``: written by the first query that asks, read by all later ones."""
+    name = P.content_name(t.spark, os.path.join(t.folder, "documents.parquet"))
+    return P.kept_index(t.spread("documents", "doc_id"), "doc_id", "text", f"documents-{name}")
+
+
 @plan("T3", with_(more=SEARCH) + "SELECT phrase, doc_id, tf FROM hit")
 def trigram_search(t: Tables) -> DataFrame:
-    return X.phrase_hits(t.spread("documents", "doc_id"), "doc_id", phrases(t), X.postings(t.spread("documents", "doc_id"), "doc_id"))
+    return P.find_phrases(document_index(t), phrases(t)).select("phrase", F.col("key").alias("doc_id"), "tf")
 
 
 @plan("T3", with_(more=SEARCH + """, tot AS (SELECT count(*) AS n, avg(greatest(length(text) - 2, 0)) AS a FROM documents), f AS (SELECT phrase, count(*) AS df FROM hit GROUP BY 1)""") + """SELECT phrase, doc_id,
     round(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * greatest(length(text) - 2, 0) / a)), 6) AS score FROM hit JOIN f USING (phrase), tot""")
 def bm25_rank(t: Tables) -> DataFrame:
-    hits = X.phrase_hits(t.spread("documents", "doc_id"), "doc_id", phrases(t))
-    return X.bm25(hits, t.spread("documents", "doc_id"), "doc_id").select("phrase", "doc_id", F.round("score", 6).alias("score"))
+    hits = P.ranked_phrases(document_index(t), phrases(t), fixed.BM25_K1, fixed.BM25_B)
+    return hits.select("phrase", F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+def probe_step(k: int) -> str:
+    """Windows behind the k-th found term that do not nest with it, numbered on as probes; the next found one."""
+    held = ", ".join(f"t{i}" for i in range(1, k + 1))
+    return f"""b{k + 1} AS (SELECT w.item_id, w.o, w.term, w.have, p{k} + row_number() OVER (PARTITION BY w.item_id ORDER BY w.o) AS p, {held} FROM b{k} w JOIN r{k} r ON r.item_id = w.item_id
+        WHERE w.p > p{k} AND NOT contains(t{k}, w.term) AND NOT contains(w.term, t{k})), r{k + 1} AS (SELECT item_id, arg_min(term, p) AS t{k + 1}, min(p) AS p{k + 1} FROM b{k + 1} WHERE have AND p <= 240 GROUP BY 1)"""
 
 
 @plan("T4", f"""WITH q AS (SELECT item_id, string_split(trim(text), '') AS c FROM benchmark), co AS (SELECT string_split(text, '') AS c FROM conversations), sz AS (SELECT unnest(range(4, 11)) AS s),
     asked AS (SELECT item_id, s, unnest(range(1, len(c) - s + 2)) AS st, c FROM q, sz), a2 AS (SELECT item_id, s, st, array_to_string(c[st:st+s-1], '') AS term FROM asked),
     have AS (SELECT DISTINCT array_to_string(c[st:st+s-1], '') AS term FROM (SELECT s, c, unnest(range(1, len(c) - s + 2)) AS st FROM co, sz)),
-    k AS (SELECT * FROM a2 WHERE term IN (SELECT term FROM have)), r1 AS (SELECT item_id, arg_min(term, (-s, st)) AS t1 FROM k GROUP BY 1),
-    k2 AS (SELECT k.*, t1 FROM k JOIN r1 USING (item_id) WHERE NOT contains(t1, term) AND NOT contains(term, t1)), r2 AS (SELECT item_id, arg_min(term, (-s, st)) AS t2 FROM k2 GROUP BY 1),
-    k3 AS (SELECT k2.*, t2 FROM k2 JOIN r2 USING (item_id) WHERE NOT contains(t2, term) AND NOT contains(term, t2)), r3 AS (SELECT item_id, arg_min(term, (-s, st)) AS t3 FROM k3 GROUP BY 1),
-    k4 AS (SELECT k3.*, t3 FROM k3 JOIN r3 USING (item_id) WHERE NOT contains(t3, term) AND NOT contains(term, t3)), r4 AS (SELECT item_id, arg_min(term, (-s, st)) AS t4 FROM k4 GROUP BY 1)
-    SELECT item_id AS question_id, concat_ws('|', t1, t2, t3, t4) AS terms FROM r1 LEFT JOIN r2 USING (item_id) LEFT JOIN r3 USING (item_id) LEFT JOIN r4 USING (item_id)""")
+    b1 AS (SELECT item_id, term, term IN (SELECT term FROM have) AS have, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, st) AS o, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, st) AS p FROM a2),
+    r1 AS (SELECT item_id, arg_min(term, p) AS t1, min(p) AS p1 FROM b1 WHERE have AND p <= 240 GROUP BY 1), {probe_step(1)}, {probe_step(2).replace(", t1, t2", ", w.t1, t2")}, {probe_step(3).replace(", t1, t2, t3", ", w.t1, w.t2, t3")}
+    SELECT r1.item_id AS question_id, concat_ws('|', r1.t1, r2.t2, r3.t3, r4.t4) AS terms FROM r1 LEFT JOIN r2 USING (item_id) LEFT JOIN r3 USING (item_id) LEFT JOIN r4 USING (item_id)""")
 def term_probe(t: Tables) -> DataFrame:
     q = t.benchmark.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     return X.probe_terms(q, t.conversations.select("text")).select("question_id", F.array_join("terms", "|").alias("terms"))
@@ -191,7 +206,7 @@ def index_statistics(t: Tables) -> DataFrame:
 @plan("T7", with_(more=SEARCH + ",\n" + INDEX) + """SELECT 'passage' AS kind, phrase AS subject, count(*) AS found FROM hit GROUP BY 2 UNION ALL SELECT 'fact', field, count(*) FROM fa WHERE institution = 'src3' AND year = 2000 GROUP BY 2
     UNION ALL SELECT 'section', kind, count(*) FROM dc WHERE institution = 'src3' GROUP BY 2""")
 def retrieve_summary(t: Tables) -> DataFrame:
-    p = X.phrase_hits(t.spread("documents", "doc_id"), "doc_id", phrases(t)).select(F.lit("passage").alias("kind"), F.col("phrase").alias("subject"))
+    p = P.find_phrases(document_index(t), phrases(t)).select(F.lit("passage").alias("kind"), F.col("phrase").alias("subject"))
     f = index_facts(t).where((F.col("institution") == "src3") & (F.col("year") == 2000)).select(F.lit("fact").alias("kind"), F.col("field").alias("subject"))
     s = index_documents(t).where(F.col("institution") == "src3").select(F.lit("section").alias("kind"), F.col("kind").alias("subject"))
     return p.unionByName(f).unionByName(s).groupBy("kind", "subject").agg(F.count(F.lit(1)).alias("found"))

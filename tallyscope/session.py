@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def build_session(app: str = "tallyscope", master: str | None = None,
@@ -69,9 +70,21 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(kept: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """A materialised table as one side of a join: broadcast only when counted within the bound."""
-    return F.broadcast(kept) if kept.count() <= max_rows else kept.hint("merge")
+def row_bytes(schema: T.StructType) -> Column:
+    """About how many bytes a row takes: texts and binaries as long as they are, nested values as their JSON."""
+    width = F.lit(16 + 8 * len(schema.fields)).cast("long")
+    for f in schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0))
+    return width
+
+
+def small_side(kept: DataFrame, max_rows: int = 1_000_000, max_bytes: int = 128 << 20) -> DataFrame:
+    """A materialised table as one side of a join: broadcast only when rows and bytes are measured within the bounds."""
+    rows, size = kept.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(kept.schema)), F.lit(0))).first()
+    return F.broadcast(kept) if rows <= max_rows and size <= max_bytes else kept.hint("merge")
 
 
 def counted_side(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:

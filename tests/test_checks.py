@@ -91,3 +91,12 @@ def test_log_choose(spark):
     got = one(spark, C.log_choose(F.col("n"), F.col("k")), n=5000, k=37)
     assert got == pytest.approx(math.lgamma(5001) - math.lgamma(38) - math.lgamma(4964), rel=1e-10)
     assert one(spark, C.log_choose(F.col("n"), F.col("k")), n=5, k=0) == 0.0
+
+
+def test_log_factorial_against_lgamma(spark):
+    import math
+    values = [0, 1, 2, 3, 10, 19, 20, 21, 22, 50, 171, 1000, 10**6, 10**9]
+    got = spark.createDataFrame([(v,) for v in values], "n long").select("n", C.log_factorial(F.col("n")).alias("x")).collect()
+    for r in got:
+        want = math.lgamma(r.n + 1)
+        assert r.x == 0.0 if r.n <= 1 else abs(r.x - want) <= 1e-12 * want
