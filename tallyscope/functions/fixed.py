@@ -61,6 +61,11 @@ DOC_SINGLE = "教幼字第"
 FACILITY_WORDS = ["幼兒園", "幼稚園", "教保服務中心"]
 TITLE_NOISE = (r"新北市|私立|市立|公立|非營利|附設|幼兒園|教保服務中心|"
                r"股份有限公司|有限公司|財團法人|社團法人|學校財團法人|基金會|[（(].*?[)）]")
+DISTRICTS = ["板橋", "三重", "中和", "永和", "新莊", "新店", "樹林", "鶯歌", "三峽", "淡水", "汐止", "土城", "蘆洲", "五股", "泰山",
+             "林口", "深坑", "石碇", "坪林", "三芝", "石門", "八里", "平溪", "雙溪", "貢寮", "金山", "萬里", "烏來", "瑞芳"]
+OTHER_CITIES = ["臺北市", "台北市", "北市", "桃園", "臺中", "台中", "臺南", "台南", "高雄", "基隆", "新竹", "苗栗", "彰化", "南投", "雲林",
+                "嘉義", "屏東", "宜蘭", "花蓮", "臺東", "台東"]
+OWN_CITY = "新北市"
 INCIDENT_WORDS = ["不當對待", "虐童", "體罰", "裁罰", "開罰", "違反", "停辦", "廢止", "超收",
                   "退費", "申訴", "調查", "查處", "處分", "勒令", "食安", "受傷"]
 ROUTINE_WORDS = ["招生", "開學", "活動", "評鑑通過", "揭牌", "參訪", "捐贈", "表揚"]

@@ -207,37 +207,52 @@ def award_year_status(awards: DataFrame, reports: DataFrame) -> DataFrame:
 
 # --- attribution of texts ----------------------------------------------------
 
-def attribute_texts(texts: DataFrame, institutions: DataFrame, other_places: Sequence[str],
-                    own_city: str, districts: Sequence[str]) -> DataFrame:
+def distinctive_name(title: Column) -> Column:
+    """The identifying core of an official title: without what many titles share."""
+    return F.trim(F.regexp_replace(title, fixed.TITLE_NOISE, ""))
+
+
+def attribute_texts(texts: DataFrame, institutions: DataFrame, other_places: Sequence[str] = fixed.OTHER_CITIES,
+                    own_city: str = fixed.OWN_CITY, districts: Sequence[str] = fixed.DISTRICTS) -> DataFrame:
     """Institution named by each text, or the reason why none is given.
 
-    texts: text_id, text. institutions: id, title, core, town. A full title counts by itself; a
-    distinctive core only directly before a facility word or in quotes. More than one id, or
-    another city without the institution's town in the text, means no attribution.
+    texts: text_id, text, optionally is_anonymised (such a text is never attributed). institutions: id, title, town,
+    optionally core, else the title's distinctive name. A full title counts by itself; a core, unless it is a
+    district's name, only directly before a facility word or in quotes. More than one id, or another city without the
+    institution's town in the text, means no attribution.
 
-    Institutions are counted per name first, so a name that many share costs one row per text.
+    Titles and cores are one table of distinct names, each with a number of its own, so the texts are searched once;
+    institutions are counted per name first, so a name that many share costs one row per text.
     """
-    t = texts.select("text_id", F.trim(F.regexp_replace("text", fixed.PUBLISHER_TAIL, "")).alias("text"))
-    who = [F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.max("id").alias("_last"), F.min("town").alias("town")]
-    titles = institutions.where(F.coalesce("title", F.lit("")) != "").groupBy(F.col("title").alias("name")).agg(*who)
-    cores = institutions.where((F.length("core") >= 2) & ~F.col("core").isin(*districts)).groupBy(F.col("core").alias("name")).agg(*who)
-    titles, cores = (cut_lineage(d.withColumn("_nid", F.xxhash64("name"))) for d in (titles, cores))
-    full = contains_pairs(t, "text_id", "text", titles, "_nid", "name").join(small_side(titles), "_nid").withColumn("is_full", F.lit(1))
-    near = contains_pairs(t, "text_id", "text", cores, "_nid", "name").join(small_side(cores), "_nid").join(t, "text_id")
+    silent = F.coalesce(F.col("is_anonymised"), F.lit(False)) if "is_anonymised" in texts.columns else F.lit(False)
+    t = texts.select("text_id", F.trim(F.regexp_replace("text", fixed.PUBLISHER_TAIL, "")).alias("text"), silent.alias("_silent"))
+    core = F.col("core") if "core" in institutions.columns else distinctive_name(F.col("title"))
+    own = institutions.select("id", "town", F.explode(F.array(
+        F.struct(F.col("title").alias("name"), F.lit(1).alias("full")), F.struct(core.alias("name"), F.lit(0).alias("full")))).alias("_n")).select("id", "town", "_n.*")
+    usable = (F.col("full") == 1) & (F.col("name") != "") | (F.length("name") >= 2) & ~F.col("name").isin(*districts)
+    who = own.where(usable).groupBy("name", "full").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"), F.max("id").alias("last"), F.min("town").alias("town"))
+    # Numbers are given once and stored; a name that is a title and a core has one number.
+    names = cut_lineage(who.groupBy("name").agg(F.max(F.when(F.col("full") == 1, F.struct("n", "id", "last", "town"))).alias("as_title"),
+                                                F.max(F.when(F.col("full") == 0, F.struct("n", "id", "last", "town"))).alias("as_core"))
+                        .withColumn("_nid", F.monotonically_increasing_id()))
+    found = contains_pairs(t, "text_id", "text", names, "_nid", "name").join(small_side(names), "_nid").join(t.drop("_silent"), "text_id")
     quoted = F.concat(F.lit("\\Q"), F.col("name"), F.lit("\\E"))
     named = F.regexp_like(F.col("text"), F.concat(quoted, F.lit(r"\s*(?:" + "|".join(fixed.FACILITY_WORDS) + ")"))) | F.regexp_like(
         F.col("text"), F.concat(F.lit("[「『\"]"), quoted, F.lit("[」』\"]")))
-    near = near.where(named).drop("text").withColumn("is_full", F.lit(0))
-    per = full.unionByName(near).groupBy("text_id").agg(
-        ((F.max("n") > 1) | (F.min("id") != F.max("_last"))).alias("_many"), F.min("id").alias("_id"),
-        F.min("town").alias("_town"), F.max("is_full").alias("_full"))
+    uses = F.array_compact(F.array(F.when(F.col("as_title").isNotNull(), F.struct(F.lit(1).alias("full"), F.col("as_title").alias("who"))),
+                                   F.when(F.col("as_core").isNotNull() & named, F.struct(F.lit(0).alias("full"), F.col("as_core").alias("who")))))
+    hits = found.select("text_id", F.explode(uses).alias("_u")).select("text_id", "_u.full", "_u.who.*")
+    per = hits.groupBy("text_id").agg(
+        ((F.max("n") > 1) | (F.min("id") != F.max("last"))).alias("_many"), F.min("id").alias("_id"),
+        F.min("town").alias("_town"), F.max("full").alias("_full"))
     scanned = F.replace(F.col("text"), F.lit(own_city), F.lit(""))
     other = F.coalesce(*[F.when(scanned.contains(p), F.lit(p)) for p in other_places])
     d = t.join(per, "text_id", "left").withColumn("_other", other)
     town = F.replace(F.coalesce("_town", F.lit("")), F.lit("區"), F.lit(""))
     near_town = (town != "") & F.col("text").contains(town)
-    ok = F.coalesce(~F.col("_many"), F.lit(False)) & (F.col("_other").isNull() | near_town)
-    basis = (F.when(F.col("_many").isNull(), F.when(F.col("_other").isNotNull(), "other_city").otherwise("no_name"))
+    ok = ~F.col("_silent") & F.coalesce(~F.col("_many"), F.lit(False)) & (F.col("_other").isNull() | near_town)
+    basis = (F.when(F.col("_silent"), "anonymised")
+             .when(F.col("_many").isNull(), F.when(F.col("_other").isNotNull(), "other_city").otherwise("no_name"))
              .when(F.col("_many"), "ambiguous").when(~ok, "other_city_uncorroborated")
              .when(F.col("_full") == 1, "full_title").otherwise("distinctive_name"))
     return d.select("text_id", F.when(ok, F.col("_id")).alias("institution_id"), basis.alias("basis"),

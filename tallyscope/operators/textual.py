@@ -150,9 +150,9 @@ def matching_fields(questions: DataFrame, labels: DataFrame, limit: int = 4) ->
     from tallyscope.operators.containment import contains_pairs
     from tallyscope.operators.ordering import row_number
     core = F.trim(F.regexp_replace("label", "[（(].*$", ""))
-    names = labels.select(core.alias("core")).where(F.length("core") >= 2).distinct().withColumn("_cid", F.xxhash64("core"))
+    names = cut_lineage(labels.select(core.alias("core")).where(F.length("core") >= 2).distinct().withColumn("_cid", F.monotonically_increasing_id()))
     hits = contains_pairs(questions, "question_id", "question", names, "_cid", "core").join(names, "_cid")
-    ranked = row_number(hits, F.length("core"), F.col("_cid"), ["question_id"], "position", descending=True)
+    ranked = row_number(hits, F.length("core"), F.col("core"), ["question_id"], "position", descending=True)
     return ranked.where(F.col("position") <= limit).select("question_id", "core")
 
 

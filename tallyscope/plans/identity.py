@@ -274,6 +274,28 @@ def attribution(t: Tables) -> DataFrame:
     return I.attribute_texts(mentions(t), names(t), PLACES, "新北市", ["板橋"])
 
 
+OTHER_TITLE = "CASE WHEN id % 7 = 0 THEN '新北市立淡水幼兒園' ELSE '新北市私立' || core || '幼兒園(委託社團法人某協會辦理)' END"
+
+
+@plan("J15", with_(more=MENTION.replace("hi AS", "old AS")) + f""", n2 AS (SELECT id, town, core, {OTHER_TITLE} AS title, CASE WHEN id % 7 = 0 THEN '淡水' ELSE core END AS c2 FROM nm),
+    m2 AS (SELECT mt.text_id, CASE WHEN o_orderstatus = 'O' AND o_orderpriority LIKE '1%' THEN n2.title || '活動' ELSE mt.text END AS text, o_orderpriority LIKE '5%' AS anonymised
+        FROM mt JOIN orders ON o_orderkey = text_id JOIN part ON p_partkey = o_custkey JOIN n2 ON n2.core = p_name),
+    h2 AS (SELECT text_id, count(*) AS n, min(id) AS id, min(town) AS town, bool_or(contains(text, title)) AS full_ FROM m2, n2 WHERE contains(text, title) OR (c2 <> '淡水' AND
+        (contains(text, c2 || '幼兒園') OR contains(text, c2 || ' 幼兒園') OR contains(text, '「' || c2 || '」'))) GROUP BY 1)
+    SELECT m.text_id, CASE WHEN NOT anonymised AND n = 1 AND (NOT contains(m.text, '台北市') OR contains(m.text, replace(town, '區', ''))) THEN id END AS institution_id,
+    CASE WHEN anonymised THEN 'anonymised' WHEN n IS NULL THEN CASE WHEN contains(m.text, '台北市') THEN 'other_city' ELSE 'no_name' END WHEN n > 1 THEN 'ambiguous'
+    WHEN contains(m.text, '台北市') AND NOT contains(m.text, replace(town, '區', '')) THEN 'other_city_uncorroborated' WHEN full_ THEN 'full_title' ELSE 'distinctive_name' END AS basis,
+    coalesce(NOT anonymised AND n = 1 AND contains(m.text, replace(town, '區', '')), false) AS town_corroborated FROM m2 m LEFT JOIN h2 ON h2.text_id = m.text_id""")
+def attribution_by_title(t: Tables) -> DataFrame:
+    """Institutions known by their official titles only: cores are derived, all districts and cities are known."""
+    inst = names(t).withColumn("title", F.when(F.col("id") % 7 == 0, "新北市立淡水幼兒園").otherwise(F.concat(F.lit("新北市私立"), "core", F.lit("幼兒園(委託社團法人某協會辦理)"))))
+    keys = t.orders.join(t.part, F.col("p_partkey") == F.col("o_custkey")).join(inst.select(F.col("core").alias("p_name"), "title"), "p_name") \
+        .select(F.col("o_orderkey").alias("text_id"), "title", F.col("o_orderpriority").startswith("5").alias("is_anonymised"),
+                ((F.col("o_orderstatus") == "O") & F.col("o_orderpriority").startswith("1")).alias("titled"))
+    texts = mentions(t).join(keys, "text_id").select("text_id", F.when(F.col("titled"), F.concat("title", F.lit("活動"))).otherwise(F.col("text")).alias("text"), "is_anonymised")
+    return I.attribute_texts(texts, inst.drop("core"))
+
+
 @plan("J15", "SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def full_text_containment(t: Tables) -> DataFrame:
     return contains_pairs(t.spread("documents", "doc_id"), "doc_id", "text", t.benchmark.select("item_id", F.col("text").alias("name")), "item_id", "name")

@@ -31,6 +31,32 @@ def test_attribution_refusals(spark):
                    5: (None, "ambiguous"), 6: (None, "no_name"), 7: (3, "full_title"), 8: (None, "other_city")}
 
 
+def test_attribution_by_titles_with_the_full_lists(spark):
+    inst = spark.createDataFrame([
+        (1, "新北市私立吉尼爾幼兒園", "板橋區"), (2, "新北市安溪非營利幼兒園(委託社團法人桃園市教保服務人員協會辦理)", "三峽區"), (3, "新北市立林口幼兒園", "林口區"),
+        (4, "新北市私立何嘉仁幼兒園", "新店區"), (5, "新北市私立何嘉仁幼兒園附設分班", "三重區"), (6, None, "三重區"), (7, "新北市私立大樹幼兒園", "三重區"), (8, "新北市私立大樹幼兒園", "板橋區")], "id long, title string, town string")
+    texts = spark.createDataFrame([
+        (1, "吉尼爾幼兒園遭罰 - 吉尼爾新聞網", False), (2, "安溪 幼稚園招生", None), (3, "林口幼兒園招生", False), (4, "新北市立林口幼兒園招生", False), (5, "「大樹」又被抓", False),
+        (6, "「吉尼爾」與高雄", False), (7, "高雄與板橋的「吉尼爾」", False), (8, "吉尼爾幼兒園遭罰", True), (9, "新北市私立吉尼爾幼兒園", False), (10, "新北投吉尼爾很好", False), (11, None, False), (12, "何嘉仁幼兒園又被抓", False)],
+        "text_id long, text string, is_anonymised boolean")
+    got = {r["text_id"]: (r["institution_id"], r["basis"]) for r in I.attribute_texts(texts, inst).collect()}
+    assert got == {1: (1, "distinctive_name"), 2: (2, "distinctive_name"), 3: (None, "no_name"), 4: (3, "full_title"), 5: (None, "ambiguous"), 6: (None, "other_city_uncorroborated"),
+                   7: (1, "distinctive_name"), 8: (None, "anonymised"), 9: (1, "full_title"), 10: (None, "no_name"), 11: (None, "no_name"), 12: (4, "distinctive_name")}
+
+
+def test_attribution_with_one_name_in_most_texts(spark):
+    inst = spark.createDataFrame([(i, f"新北市私立名{i}號幼兒園", "板橋區") for i in range(50)] + [(100 + i, "新北市私立大樹幼兒園", "新店區") for i in range(30)], "id long, title string, town string")
+    texts = spark.createDataFrame([(i, "大樹幼兒園停辦" if i % 3 else f"「名{i % 50}號」停辦") for i in range(600)], "text_id long, text string")
+    got = {r["text_id"]: (r["institution_id"], r["basis"]) for r in I.attribute_texts(texts, inst).collect()}
+    assert got == {i: (None, "ambiguous") if i % 3 else (i % 50, "distinctive_name") for i in range(600)}
+
+
+def test_unique_identity_pairs(spark):
+    old = spark.createDataFrame([(1, "a", "p"), (2, "a", "q"), (3, "a", "q"), (4, "b", None), (5, "c", "r")], "k int, s string, p string")
+    new = spark.createDataFrame([(11, "a", "p"), (12, "a", "q"), (14, "b", None), (15, "c", "r"), (16, "c", "r")], "k int, s string, p string")
+    assert [(r.old_key, r.new_key) for r in I.unique_identity_pairs(old, new, ["s", "p"], "k").collect()] == [(1, 11)]
+
+
 def test_headline_and_tags(spark):
     d = spark.createDataFrame([("@someone\n\n 今天 #小樹_1 出事\n後文",), ("#tag",), ("",)], "t string")
     got = d.select(C.headline(F.col("t")).alias("h"), C.hashtags(F.col("t")).alias("g")).collect()
