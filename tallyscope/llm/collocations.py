@@ -24,7 +24,6 @@ gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -33,13 +32,13 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallyscope.llm.quotient_filter import by_bucket, counted, from_bytes, merged, permuted, restored, to_bytes
 from tallyscope.llm.rarity import bit_blocks, flagged
-from tallyscope.llm.words import LOWER, fingerprints, list_array, mixed
+from tallyscope.llm.words import coded_words, list_array, mixed, short_batches, text_parts, word_prints
 from tallyscope.session import small_side, stored
 
 #: What bytes are: 0 of a word, 1 between words, 2 between pieces.
 KIND = bytes(2 if c in b".,;:!?" or 0x0A <= c <= 0x0D else 1 if c in b"\x20\x09" else 0 for c in range(256))
 ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]")
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
 FLAG_BITS = 1 << 25
 #: Ids below this number are given to words whose ids clash.
 RESERVED = 1 << 20
@@ -47,7 +46,9 @@ RESERVED = 1 << 20
 NARROW_WORDS = 1 << 24
 #: Tokens of all filters of a bucket, about, and keys that a task holds before it sends its filters.
 BUCKET_TOKENS = 1 << 20
-HELD_KEYS = 3 << 20
+HELD_KEYS = 1 << 20
+#: Texts of an Arrow batch.
+ROWS = 64
 
 _U = np.uint64
 
@@ -61,59 +62,22 @@ class Tokens(NamedTuple):
     prints: np.ndarray  # their fingerprints
 
 
-def text_parts(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[list[bytes], list[str]]]:
-    """Texts (or parts of them, cut at piece ends) of about ``limit`` bytes together, and their languages."""
-    texts, langs, size = [], [], 0
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-            text, begin = text or b"", 0
-            while begin < len(text):
-                end = len(text)
-                if end - begin > limit:
-                    found = ENDS.search(text, begin + limit)
-                    end = found.end() if found else end
-                if size and size + end - begin > limit:
-                    yield texts, langs
-                    texts, langs, size = [], [], 0
-                texts.append(text[begin:end])
-                langs.append(lang)
-                size += end - begin
-                begin = end
-    if texts:
-        yield texts, langs
-
-
-def tokens(texts: list[bytes], langs: list[str]) -> Tokens:
-    joined = (b"\n".join(texts) + b"\n").translate(LOWER)
-    data, kind = np.frombuffer(joined, np.uint8), np.frombuffer(joined.translate(KIND), np.uint8)
-    inside = kind == 0
-    edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    offsets = np.zeros(len(start) + 1, np.int32)
-    np.cumsum(end - start, out=offsets[1:])
-    words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
-    coded = words.dictionary_encode()
-    vocabulary = coded.dictionary
-    bounds = np.frombuffer(vocabulary.buffers()[1], np.int32, len(vocabulary) + 1).astype(np.int64) if len(vocabulary) else np.zeros(1, np.int64)
-    letters = np.frombuffer(vocabulary.buffers()[2], np.uint8) if len(vocabulary) else np.zeros(0, np.uint8)
-    names = sorted(set(langs))
+def tokens(texts: list[bytes], heads: list[tuple]) -> Tokens:
+    w = coded_words(texts, KIND)
+    names = sorted({x[0] for x in heads})
     row = {name: i for i, name in enumerate(names)}
-    text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, side="right")
-    return Tokens(np.array([row[x] for x in langs], np.int64)[text], coded.indices.to_numpy().astype(np.int64), np.cumsum(kind == 2, dtype=np.int32)[start],
-                  names, vocabulary, fingerprints(letters, bounds[:-1], bounds[1:]))
+    return Tokens(np.array([row[x[0]] for x in heads], np.int64)[w.text], w.code, np.cumsum(w.kind == 2, dtype=np.int32)[w.start], names, w.vocabulary, w.prints)
 
 
 def lang_marks(langs: list[str]) -> np.ndarray:
-    raw = [x.encode() for x in langs]
-    ends = np.cumsum([len(x) for x in raw])
-    return fingerprints(np.frombuffer(b"".join(raw), np.uint8), ends - [len(x) for x in raw], ends)
+    return word_prints(pa.array(langs, pa.string()))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, word, n): occurrences of every word; word null: of all words of the language."""
     def run(batches):
-        for texts, langs in text_parts(batches, PART_BYTES):
-            t = tokens(texts, langs)
+        for texts, heads, *_ in text_parts(batches, PART_BYTES, ENDS):
+            t = tokens(texts, heads)
             key, n = np.unique(t.lang * max(len(t.vocabulary), 1) + t.code, return_counts=True)
             lang, code = np.divmod(key, max(len(t.vocabulary), 1))
             yield pa.RecordBatch.from_arrays([pa.array(t.langs).take(pa.array(lang)), t.vocabulary.take(pa.array(code)), pa.array(n)], names=["lang", "word", "n"])
@@ -215,11 +179,8 @@ def word_ids(counts: DataFrame, least: int) -> tuple[Ids, DataFrame]:
 
 def _prints(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of the words and of the languages of a batch."""
-    words = batch.column("word").to_pylist()
-    ends = np.cumsum([len(w) for w in words], dtype=np.int64)
-    prints = fingerprints(np.frombuffer(b"".join(words), np.uint8), ends - np.array([len(w) for w in words], np.int64), ends)
     langs = batch.column("lang").dictionary_encode()
-    return prints, lang_marks(langs.dictionary.to_pylist())[langs.indices.to_numpy()] if len(words) else prints
+    return word_prints(batch.column("word")), lang_marks(langs.dictionary.to_pylist())[langs.indices.to_numpy()]
 
 
 def frequent_phrases(docs: DataFrame, ids: Ids, sizes: range, least: int, n_tokens: int, pairs: np.ndarray | None = None) -> DataFrame:
@@ -251,8 +212,8 @@ def frequent_phrases(docs: DataFrame, ids: Ids, sizes: range, least: int, n_toke
             held.clear()
             size = 0
 
-        for texts, langs in text_parts(batches, PART_BYTES):
-            t = tokens(texts, langs)
+        for texts, heads, *_ in text_parts(batches, PART_BYTES, ENDS):
+            t = tokens(texts, heads)
             marks = lang_marks(t.langs)[t.lang]
             mine = ids.of(t.vocabulary, t.prints)[t.code]
             ok = ids.frequent(t.prints[t.code], marks) & (mine != 0)
@@ -312,7 +273,7 @@ def pair_bits(phrases: DataFrame, bits: int) -> np.ndarray:
         for batch in batches:
             langs = batch.column("lang").dictionary_encode()
             flat = batch.column("ids").flatten().to_numpy().view(_U).reshape(-1, 2)
-            marks = lang_marks(langs.dictionary.to_pylist())[langs.indices.to_numpy()] if len(flat) else np.zeros(0, _U)
+            marks = lang_marks(langs.dictionary.to_pylist())[langs.indices.to_numpy()]
             value = mark_of(permuted(packed([flat[:, 0], flat[:, 1]], bits)), marks)
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64))], names=["value"])
 
@@ -327,14 +288,17 @@ def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", least:
     (l + r)), exact.
     """
     texts = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
-    counts = stored(word_counts(texts))
+    spark = docs.sparkSession
+    with short_batches(spark, ROWS):
+        counts = stored(word_counts(texts))
     ids, vocabulary = word_ids(counts, least)
     totals = counts.where("word is null").select("lang", F.col("n").alias("total"))
     n_tokens = totals.agg(F.sum("total")).first()[0] or 0
-    phrases = stored(frequent_phrases(texts, ids, range(2, 3), least, n_tokens))
-    if longest > 2:
-        pairs = pair_bits(phrases, ids.bits)
-        phrases = phrases.union(stored(frequent_phrases(texts, ids, range(3, longest + 1), least, n_tokens, pairs)))
+    with short_batches(spark, ROWS):
+        phrases = stored(frequent_phrases(texts, ids, range(2, 3), least, n_tokens))
+        if longest > 2:
+            pairs = pair_bits(phrases, ids.bits)
+            phrases = phrases.union(stored(frequent_phrases(texts, ids, range(3, longest + 1), least, n_tokens, pairs)))
 
     known = phrases.union(vocabulary.select("lang", F.array("id").alias("ids"), "n"))
     size = F.size("ids")
