@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.ml import Pipeline
@@ -153,18 +154,38 @@ def percentile_interval(values: DataFrame, column: str, low: float = 0.025, high
         F.get("_p", F.lit(0)).alias("low"), F.get("_p", F.lit(1)).alias("high"))
 
 
+def keyed_position(number: Column, key: Column, n: int, rounds: int = 4, walk: int = 64) -> Column:
+    """Position of ``number`` in the ``key``-th pseudorandom permutation of 0 .. n-1, without making the others.
+
+    A balanced network over pairs of digits below ceil(sqrt(n)) permutes their a * a pairs; a result of n or more is
+    permuted again until it is below n, which few need. Whole-number arithmetic below 2^62 only.
+    """
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    prime = 2147483647
+
+    def mix(right: Column, i: Column) -> Column:
+        x = F.aggregate(F.array((right * 7919 + key.cast("long") * 104729 + i * 1299709 + 12345) % prime), F.lit(0).cast("long"), lambda _, v: v * v % prime)
+        return x * 48271 % prime
+
+    def once(value: Column) -> Column:
+        start = F.struct(F.floor(value / a).cast("long").alias("l"), (value % a).cast("long").alias("r"))
+        return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long")), start,
+                           lambda s, i: F.struct(s["r"].alias("l"), ((s["l"] + mix(s["r"], i)) % a).alias("r")), lambda s: s["l"] * a + s["r"])
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(walk)), number.cast("long"), lambda v, i: F.when((i == 1) | (v >= n), once(v)).otherwise(v))
+
+
 def cluster_permutation(ranked: DataFrame, group: str, label: str, k: int, permutations: int) -> DataFrame:
     """Share of group-label permutations that put at least as many hits in the first k rows.
 
-    Only the groups of the first k rows matter; in each permutation a group is marked when
-    its random position among all groups is within the number of marked groups.
+    Labels are shuffled between groups, not rows. Groups are numbered once, in their order; a group of the first k rows
+    is marked in a permutation when its position in it is below the number of marked groups. Only those groups are
+    copied per permutation, k at most, and none are sorted, so the result does not depend on partitions.
     """
     groups = ranked.groupBy(group).agg(F.max(label).alias("_y"), F.sum(F.when(F.col("rank") <= k, 1).otherwise(0)).alias("_top"))
-    groups = cut_lineage(groups)
-    marked = groups.agg(F.sum("_y").alias("m")).first()["m"] or 0
-    hit = groups.agg(F.sum(F.col("_top") * F.col("_y")).alias("h")).first()["h"] or 0
-    d = groups.select(group, "_top", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p"))
-    d = d.withColumn("_h", F.xxhash64(F.col(group), F.col("p")).cast("double"))
-    d = O.row_number(d, F.col("_h"), F.xxhash64(F.col(group)), ["p"], "_pos")
-    seen = d.groupBy("p").agg(F.sum(F.when(F.col("_pos") <= marked, F.col("_top")).otherwise(0)).alias("h"))
-    return seen.agg(F.lit(hit).alias("hits"), F.avg((F.col("h") >= hit).cast("int")).alias("p_value"))
+    groups = cut_lineage(O.row_number(groups, F.col(group), F.col(group), (), "_number"))
+    n, marked, hit = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("_y"), F.lit(0)), F.coalesce(F.sum(F.col("_top") * F.col("_y")), F.lit(0))).first()
+    d = groups.where("_top > 0").select("_number", "_top", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("p"))
+    d = d.withColumn("_pos", keyed_position(F.col("_number") - 1, F.col("p"), n))
+    seen = d.groupBy("p").agg(F.sum(F.when(F.col("_pos") < marked, F.col("_top")).otherwise(0)).alias("h"))
+    return seen.agg(F.lit(hit).cast("long").alias("hits"), F.avg((F.col("h") >= hit).cast("int")).alias("p_value"))

@@ -1,4 +1,4 @@
-"""Model, back-test and matching queries (no SQL equivalent: rows only, tested by brute force)."""
+"""Model, back-test and matching queries; fitted ones have no SQL equivalent and are tested by brute force."""
 
 from __future__ import annotations
 
@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions import fixed
 from tallyscope.operators import history as H
+from tallyscope.operators import identity as I
 from tallyscope.operators import matching as G
 from tallyscope.operators import models as M
 from tallyscope.operators import ordering as O
 from tallyscope.operators import ranking as K
 from tallyscope.plans import roles as R
 from tallyscope.plans.registry import Tables, plan
+from tallyscope.plans.roles import with_
 
 FEATURES = ["n_penalties_prior", "sum_severity_prior", "max_severity_prior", "n_severe_prior", "days_since_last_penalty",
             "capacity", "n_assets", "has_asset", "is_private"]
@@ -35,21 +37,43 @@ def walk_forward_ranking(t: Tables) -> DataFrame:
     return M.walk_forward(lambda y: frame_at(t, y), lambda d, a, b: labelled(t, d, a, b), [1999, 2000, 2001], FEATURES, 2, "2001-08-01", 2)
 
 
+#: Nested blocks: what each adds to the one before.
+BLOCKS = {"history": FEATURES[:5], "registry": ["capacity"], "operation": ["n_assets", "has_asset", "is_private"],
+          "evaluation": ["has_evaluation", "eval_partial", "n_partial_prior", "days_since_evaluation"],
+          "findings": ["has_cross_fail", "cross_fail", "cross_fail_high", "cross_rules_n"]}
+
+
+def wide_frame_at(t: Tables, year: int) -> DataFrame:
+    """The features of a date with evaluations, and with the findings that were observable by then."""
+    as_of = f"{year}-01-01"
+    d = H.build_features(R.institutions(t), R.sanctions(t), R.assets(t), R.evaluations(t), as_of, "1996-01-01", "O", "F")
+    price = F.col("o_totalprice")
+    found = t.orders.select(F.col("o_custkey").alias("code"), (F.year("o_orderdate") - 1911).alias("year"), F.when(F.col("o_orderstatus") == "F", "school").otherwise("fiscal").alias("kind"),
+                            F.col("o_orderpriority").alias("rule"), F.when(price > 300000, False).when(price > 200000, True).alias("passed"), F.when(price > 450000, "high").otherwise("medium").alias("severity"))
+    ids = found.select("code", "year").distinct().withColumn("ids_json", F.to_json(F.array(F.col("code").cast("string"))))
+    cross = I.findings_as_of(found, ids, as_of).withColumn("id", F.col("id").cast("long")).withColumn("has_cross_fail", F.lit(1))
+    d = d.join(cross, "id", "left").na.fill(0, BLOCKS["findings"])
+    return d.select("id", *FEATURES[:4], F.coalesce("days_since_last_penalty", F.lit(fixed.NEVER_DAYS)).alias("days_since_last_penalty"), *FEATURES[5:8],
+                    (F.col("kind") == "BUILDING").cast("int").alias("is_private"), *BLOCKS["evaluation"][:3],
+                    F.coalesce("days_since_evaluation", F.lit(fixed.NEVER_DAYS)).alias("days_since_evaluation"), *BLOCKS["findings"])
+
+
 @plan("M3 W2")
 def nested_baselines(t: Tables) -> DataFrame:
-    """Metrics of nested feature blocks under both classifiers, and of the cold-start subgroup."""
+    """Metrics of a random order, of five nested feature blocks, of trees on the third, and of institutions without history."""
     from tallyscope.session import cut_lineage
-    train, test = cut_lineage(labelled(t, frame_at(t, 1997), 1997, 1999)), cut_lineage(labelled(t, frame_at(t, 1999), 1999, 2001))
-    blocks = {"history": FEATURES[:5], "registry": FEATURES}
+    train, test = cut_lineage(labelled(t, wide_frame_at(t, 1997), 1997, 1999)), cut_lineage(labelled(t, wide_frame_at(t, 1999), 1999, 2001))
+    scored = {("none", "random", "all"): test.withColumn("score", F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003)}
+    features = []
+    for block, more in BLOCKS.items():
+        features = features + more
+        for kind in ("logistic", "trees") if block == "operation" else ("logistic",):
+            scored[block, kind, "all"] = cut_lineage(M.fit_ranking(train, "label", features, balanced=True, kind=kind)(test))
+    cold = scored["operation", "logistic", "all"].where(F.col("n_penalties_prior") == 0)
     out = None
-    for block, features in blocks.items():
-        for kind in ("logistic", "trees"):
-            scored = M.fit_ranking(train, "label", features, balanced=True, kind=kind)(test)
-            parts = {"all": scored, "cold_start": scored.where(F.col("n_severe_prior") == 0)} if (block, kind) == ("registry", "logistic") else {"all": scored}
-            for population, d in parts.items():
-                m = M.ranking_metrics(d, "label", F.col("id"), [50, 100]).select(
-                    F.lit(block).alias("block"), F.lit(kind).alias("model"), F.lit(population).alias("population"), "*")
-                out = m if out is None else out.unionByName(m)
+    for (block, kind, population), d in {**scored, ("operation", "logistic", "cold_start"): cold}.items():
+        m = M.ranking_metrics(d, "label", F.col("id"), [50, 100]).select(F.lit(block).alias("block"), F.lit(kind).alias("model"), F.lit(population).alias("population"), "*")
+        out = m if out is None else out.unionByName(m)
     return out
 
 
@@ -72,7 +96,30 @@ def group_fold_auc(t: Tables) -> DataFrame:
     return ci.withColumn("auc", auc.scalar())
 
 
-@plan("M9")
+def network_sql(v: str, p: str, a: str) -> str:
+    """The permutation network of ``keyed_position`` once, as an expression."""
+    def mix(r: str, i: int) -> str:
+        x = f"(({r} * 7919 + {p} * 104729 + {i * 1299709 + 12345}) % 2147483647)"
+        return f"(({x} * {x} % 2147483647) * 48271 % 2147483647)"
+    rounds = [("l0", f"{v} // {a}"), ("r0", f"{v} % {a}")]
+    inner = f"(SELECT *, {rounds[0][1]} AS l0, {rounds[1][1]} AS r0 FROM todo)"
+    for i in range(4):
+        inner = f"(SELECT *, r{i} AS l{i + 1}, (l{i} + {mix(f'r{i}', i)}) % {a} AS r{i + 1} FROM {inner})"
+    return inner
+
+
+LABELLED = """lb AS (SELECT i.id, i.operator, coalesce((SELECT sum(severity) FROM pen WHERE pen.id = i.id AND date < DATE '1999-01-01'), 0) AS severity,
+    CASE WHEN i.id IN (SELECT id FROM pen WHERE role = 'F' AND severity >= 5 AND date >= DATE '1999-01-01' AND date < DATE '2001-01-01') THEN 1 ELSE 0 END AS label FROM inst i)"""
+
+
+@plan("M9", "WITH RECURSIVE" + with_("inst", "pen", more=LABELLED)[4:] + f""", rk AS (SELECT *, row_number() OVER (ORDER BY severity DESC, id) AS rank FROM lb),
+    g AS (SELECT operator, max(label) AS y, count(*) FILTER (rank <= 50) AS top, row_number() OVER (ORDER BY operator) - 1 AS number FROM rk GROUP BY operator),
+    c AS (SELECT count(*) AS n, sum(y) AS marked, sum(top * y) AS hits, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS a FROM g),
+    todo AS (SELECT number, top, p, CAST(number AS BIGINT) AS v, 0 AS s, n, a FROM g, c, (SELECT unnest(range(1, 201)) AS p) WHERE top > 0
+      UNION ALL SELECT number, top, p, CAST(l4 * a + r4 AS BIGINT), s + 1, n, a FROM {network_sql("v", "p", "a")} WHERE s = 0 OR (v >= n AND s < 64)),
+    spot AS (SELECT p, number, any_value(top) AS top, arg_max(v, s) AS pos FROM todo GROUP BY p, number),
+    h AS (SELECT p, sum(CASE WHEN pos < marked THEN top ELSE 0 END) AS h FROM spot, c GROUP BY p)
+    SELECT CAST(any_value(hits) AS BIGINT) AS hits, avg(CASE WHEN h >= hits THEN 1 ELSE 0 END) AS p_value FROM h, c""")
 def top_k_permutation(t: Tables) -> DataFrame:
     d = labelled(t, frame_at(t, 1999), 1999, 2001).join(R.institutions(t).select("id", "operator"), "id")
     ranked = O.row_number(d, F.col("sum_severity_prior"), F.col("id"), (), "rank", descending=True)

@@ -119,3 +119,37 @@ def test_normal_tail_and_large_fisher(spark):
         term *= (m - x) * (k - x) / ((x + 1) * (n - m - k + x + 1))
         x += 1
     assert p == pytest.approx(want, rel=1e-6)
+
+
+def placed(number, key, n):
+    """The keyed permutation, step by step."""
+    a, v, prime = max(1, math.isqrt(max(n - 1, 0)) + 1), number, 2147483647
+    for step in range(64):
+        if step and v < n:
+            break
+        left, right = divmod(v, a)
+        for i in range(4):
+            x = (right * 7919 + key * 104729 + i * 1299709 + 12345) % prime
+            left, right = right, (left + x * x % prime * 48271 % prime) % a
+        v = left * a + right
+    return v
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 40, 1000])
+def test_keyed_positions_are_permutations(spark, n):
+    d = spark.range(n).select("id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(77))).alias("k"))
+    got = {(r.id, r.k): r.v for r in d.withColumn("v", M.keyed_position(F.col("id"), F.col("k"), n)).collect()}
+    assert got == {(i, k): placed(i, k, n) for i in range(n) for k in (1, 2, 77)}
+    for k in (1, 2, 77):
+        assert sorted(v for (_, q), v in got.items() if q == k) == list(range(n))
+
+
+def test_cluster_permutation_against_its_distribution(spark):
+    """With one group per row the count of hits is hypergeometric."""
+    rows = [(f"g{i:03}", i + 1, int(i % 5 == 0 or i < 4)) for i in range(60)]
+    got = M.cluster_permutation(spark.createDataFrame(rows, "g string, rank int, label int"), "g", "label", 10, 3000).first()
+    m, hit = sum(r[2] for r in rows), sum(r[2] for r in rows[:10])
+    tail = sum(math.comb(m, h) * math.comb(60 - m, 10 - h) for h in range(hit, 11)) / math.comb(60, 10)
+    assert got.hits == hit and got.p_value == pytest.approx(tail, abs=0.03)
+    spread = spark.createDataFrame(rows, "g string, rank int, label int").repartition(7)
+    assert M.cluster_permutation(spread, "g", "label", 10, 3000).first() == got
