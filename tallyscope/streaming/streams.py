@@ -111,44 +111,63 @@ def daily_totals(stream: DataFrame, key: str, time: str, value: str, delay: str)
 
 
 LEDGER_OUT = "reservation_id string, meter string, state string, usd double, entry long"
-LEDGER_STATE = "r_entry long, meter string, usd_max double, s_entry long, s_kind string, actual double"
-
-
-def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Latest reserve and latest settlement of one reservation; order of arrival is free."""
-    r_entry, meter, usd_max, s_entry, s_kind, actual = state.get if state.exists else (-1, None, 0.0, -1, None, 0.0)
-    for pdf in frames:
-        for kind, entry, m, cap, paid in zip(pdf["kind"], pdf["entry"], pdf["meter"], pdf["usd_max"], pdf["actual_usd"]):
-            if kind == "reserve" and entry > r_entry:
-                r_entry, meter, usd_max = int(entry), m, float(cap)
-            elif kind in ("settle", "release") and entry > s_entry:
-                s_entry, s_kind, actual = int(entry), kind, float(paid)
-    state.update((r_entry, meter, usd_max, s_entry, s_kind, actual))
-    if r_entry >= 0:
-        done = s_entry > r_entry
-        usd = usd_max if not done else (actual if s_kind == "settle" else 0.0)
-        yield pd.DataFrame([(key[0], meter, s_kind if done else "reserve", usd, max(r_entry, s_entry))],
-                           columns=["reservation_id", "meter", "state", "usd", "entry"])
-
-
-def ledger_state(stream: DataFrame) -> DataFrame:
+LEDGER_STATE = "r_entry long, meter string, usd_max double, s_entry long, s_kind string, actual double, seen long"
+
+
+def _fold(hold_ms: int | None) -> Callable:
+    """Latest reserve and latest settlement of one reservation; order of arrival is free.
+
+    With a hold the state goes once the watermark is that far behind the reservation's last entry.
+    """
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        r_entry, meter, usd_max, s_entry, s_kind, actual, seen = state.get if state.exists else (-1, None, 0.0, -1, None, 0.0, 0)
+        for pdf in frames:
+            opened, closed = pdf[pdf["kind"] == "reserve"], pdf[pdf["kind"] != "reserve"]
+            if len(opened) and opened["entry"].max() > r_entry:
+                last = opened.loc[opened["entry"].idxmax()]
+                r_entry, meter, usd_max = int(last["entry"]), last["meter"], float(last["usd_max"])
+            if len(closed) and closed["entry"].max() > s_entry:
+                last = closed.loc[closed["entry"].idxmax()]
+                s_entry, s_kind, actual = int(last["entry"]), last["kind"], float(last["actual_usd"])
+            if hold_ms is not None:
+                seen = max(seen, int(pdf["at_ms"].max()))
+        state.update((r_entry, meter, usd_max, s_entry, s_kind, actual, seen))
+        if hold_ms is not None:
+            state.setTimeoutTimestamp(max(seen + hold_ms, state.getCurrentWatermarkMs() + 1))
+        if r_entry >= 0:
+            done = s_entry > r_entry
+            usd = usd_max if not done else (actual if s_kind == "settle" else 0.0)
+            yield pd.DataFrame([(key[0], meter, s_kind if done else "reserve", usd, max(r_entry, s_entry))],
+                               columns=["reservation_id", "meter", "state", "usd", "entry"])
+    return fold
+
+
+def ledger_state(stream: DataFrame, time: str | None = None, delay: str = "0 seconds", hold_days: float | None = None) -> DataFrame:
     """Fold of reserve / settle / release entries kept as keyed state.
 
     A settlement that arrives before its reservation waits in the state, so late and
-    reordered entries give the batch result.
+    reordered entries give the batch result. With ``time`` and ``hold_days`` a reservation's
+    state ends when the watermark passes its last entry by that time; without, it stays.
     """
     d = stream.where(F.col("reservation_id").isNotNull() & F.col("kind").isin("reserve", "settle", "release"))
-    return d.select("reservation_id", "kind", "entry", "meter", "usd_max", "actual_usd").groupBy("reservation_id").applyInPandasWithState(
-        _fold, LEDGER_OUT, LEDGER_STATE, "update", GroupStateTimeout.NoTimeout)
+    columns = ["reservation_id", "kind", "entry", "meter", "usd_max", "actual_usd"]
+    if time is None or hold_days is None:
+        return d.select(*columns).groupBy("reservation_id").applyInPandasWithState(_fold(None), LEDGER_OUT, LEDGER_STATE, "update", GroupStateTimeout.NoTimeout)
+    timed = d.withWatermark(time, delay).select(*columns, time, F.unix_millis(time).alias("at_ms"))
+    return timed.groupBy("reservation_id").applyInPandasWithState(_fold(int(hold_days * 86_400_000)), LEDGER_OUT, LEDGER_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- X6 ------------------------------------------------------------------------
 
-def settle_within(reserves: DataFrame, settles: DataFrame, key: str, time: str, hold: str, delay: str) -> DataFrame:
+def settle_within(reserves: DataFrame, settles: DataFrame, key: str, time: str, hold: str, delay: str,
+                  of_reserve: Sequence[str] = (), of_settle: Sequence[str] = ()) -> DataFrame:
     """Reservations with their settlement inside ``hold``; unsettled ones come out at their upper bound
-    once the watermark passes."""
-    r = reserves.select(F.col(key).alias("r_key"), F.col(time).alias("r_time"), "usd_max").withWatermark("r_time", delay)
-    s = settles.select(F.col(key).alias("s_key"), F.col(time).alias("s_time"), "actual_usd").withWatermark("s_time", delay)
+    once the watermark passes. Further columns of either side may be named."""
+    r = reserves.select(F.col(key).alias("r_key"), F.col(time).alias("r_time"), "usd_max", *of_reserve).withWatermark("r_time", delay)
+    s = settles.select(F.col(key).alias("s_key"), F.col(time).alias("s_time"), "actual_usd", *of_settle).withWatermark("s_time", delay)
     cond = F.expr(f"r_key = s_key AND s_time >= r_time AND s_time <= r_time + INTERVAL {hold}")
     return r.join(s, cond, "left_outer").select(
-        F.col("r_key").alias(key), "r_time", "s_time", F.coalesce("actual_usd", "usd_max").alias("usd"), F.col("s_time").isNull().alias("unsettled"))
+        F.col("r_key").alias(key), "r_time", "s_time", F.coalesce("actual_usd", "usd_max").alias("usd"), F.col("s_time").isNull().alias("unsettled"), *of_reserve, *of_settle)

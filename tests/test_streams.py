@@ -31,6 +31,22 @@ def test_ledger_state_waits_for_late_reserves(spark, tmp_path):
     assert got == {"a": ("settle", 3.0), "b": ("release", 0.0), "d": ("reserve", 2.0)}
 
 
+def test_ledger_state_ends_behind_the_watermark(spark, tmp_path):
+    """Reservations of the first batches leave no state once the watermark is a hold behind their last entries."""
+    hour = lambda h: T0 + dt.timedelta(hours=h)
+    schema = "reservation_id string, kind string, entry long, meter string, usd_max double, actual_usd double, ts timestamp"
+    rows = [(f"a{i}", "reserve", i, "feed", 5.0, 0.0, hour(1)) for i in range(20)] + [(f"a{i}", "settle", 100 + i, "feed", 0.0, 2.0, hour(2)) for i in range(20)]
+    rows += [("late", "reserve", 300, "feed", 5.0, 0.0, hour(200))] + [("last", "reserve", 301 + i, "feed", 5.0, 0.0, hour(400 + i)) for i in range(39)]
+    stream = S.ledger_state(stream_of(spark, parts(spark, tmp_path, rows, schema, 4), schema), "ts", "1 hour", 2)
+    seen = []
+    query = stream.writeStream.outputMode("update").foreachBatch(lambda d, b: seen.extend(d.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(kept) >= 20 and kept[-1] <= 2
+    last = {r["reservation_id"]: (r["state"], r["usd"]) for r in seen}
+    assert all(last[f"a{i}"] == ("settle", 2.0) for i in range(20)) and last["last"] == ("reserve", 5.0)
+
+
 def test_duplicates_and_old_rows_are_refused(spark, tmp_path):
     day = lambda d: T0 + dt.timedelta(days=d)
     rows = [("x", day(0)), ("y", day(1)), ("x", day(2)), (None, day(1)), ("z", None), ("old", day(-9)), ("y", day(2)), ("w", day(3))]
