@@ -9,7 +9,8 @@ Lines with one token set form a class; all but its first line go, so only first
 1. Counters of fixed size over all texts put tokens into one global order, rare ones first.
 2. The first ``n - ceil(t n) + 1`` tokens of every class are shuffled in packed blocks, each line with its place, its
    size and a bitmap of its tokens. Classes that share a token meet if their sizes allow the similarity (length
-   filter), if the tokens left behind the shared one do (positional filter), and if the bitmaps' overlap does.
+   filter), if the tokens from the shared one on do (positional filter: at the first token that two lines share, none
+   before it counts, so a match is met there at the latest), and if the bitmaps' overlap does.
 3. A class needs one earlier match only. So it brings at most ``asks`` candidates from each shared token; candidates
    are verified on the whole sets. Classes that had more and matched none are asked again, then without that bound,
    among the sets of all classes that met any.
@@ -27,13 +28,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyscope.llm.rarity import cell_scale, flag_array, flagged
+from tallyscope.llm.rarity import bit_blocks, cell_scale, flagged
 from tallyscope.llm.shingle_join import size_blocks
-from tallyscope.llm.words import fingerprints, mixed, short_batches, split_words, text_pieces
+from tallyscope.llm.words import fingerprints, free_name, mixed, short_batches, split_words, text_pieces
 from tallyscope.session import stored
 
 ORDER_CELLS = 1 << 22
 FLAG_BITS = 1 << 23
+#: 64-bit words of a line's bitmap: with 192 bits, lines of sixty tokens still lose few to each other.
+MAP_WORDS = 3
+#: What the counters give a token that stands once; no other line can share it.
+ONCE = 6
+#: Texts of an Arrow batch.
+ROWS = 200
 #: Candidates that a class brings from one shared token in the first round.
 ASKS = 16
 LAST = np.iinfo(np.int64).max
@@ -45,6 +52,10 @@ def text_print(text: str) -> Column:
     return F.xxhash64(text)
 
 
+def source_rows(docs: DataFrame, ids: str, text: str) -> DataFrame:
+    return docs.select(F.col(ids).cast("long").alias("id"), F.col(text).alias("text"), text_print(text).alias("print"))
+
+
 def least_size(n: np.ndarray, num: int, den: int) -> np.ndarray:
     """ceil(n * num / den)."""
     return -((-n * num) // den)
@@ -82,14 +93,14 @@ def sorted_lines(raw: list[bytes], rank: np.ndarray):
 
 
 def bitmap(token: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """128 bits for each line, as two words; a line's tokens stand together."""
-    out = np.zeros((len(n), 2), _U)
+    """The bits of each line, as words; a line's tokens stand together."""
+    out = np.zeros((len(n), MAP_WORDS), _U)
     full = n > 0
     if full.any():
-        bit = token >> _U(57)
+        bit = (token >> _U(48)) % _U(64 * MAP_WORDS)
         one = _U(1) << (bit & _U(63))
-        for half in (0, 1):
-            out[full, half] = np.bitwise_or.reduceat(np.where(bit >> _U(6) == half, one, _U(0)), at[full])
+        for word in range(MAP_WORDS):
+            out[full, word] = np.bitwise_or.reduceat(np.where(bit >> _U(6) == word, one, _U(0)), at[full])
     return out
 
 
@@ -102,10 +113,10 @@ def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int,
 
     def post(batches):
         rank, best = order.value, {}
-        for part, raw in text_pieces(batches, text):
+        for part, raw in text_pieces(batches):
             line, token, at, n, key, doc, number = sorted_lines(raw, rank)
-            a = part.column(ids).fill_null(LAST).to_numpy()[doc] if len(doc) else np.zeros(0, np.int64)
-            h = part.column("_print").to_numpy()[doc]
+            a = part.column("id").fill_null(LAST).to_numpy()[doc] if len(doc) else np.zeros(0, np.int64)
+            h = part.column("print").to_numpy()[doc]
             fresh = np.zeros(len(n), bool)
             some = np.flatnonzero(n)
             for row, k, *where in zip(some.tolist(), key[some].tolist(), a[some].tolist(), h[some].tolist(), number[some].tolist()):
@@ -115,7 +126,7 @@ def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int,
             if len(best) > 200_000:
                 best.clear()
             place = np.arange(len(line)) - at[line]
-            take = fresh[line] & (place < (n - least_size(n, num, den) + 1)[line])
+            take = fresh[line] & (place < (n - least_size(n, num, den) + 1)[line]) & (rank[(token & _U(len(rank) - 1)).astype(np.int64)] != ONCE)
             bits = bitmap(token, at, n)
             mine, token, place = line[take], token[take], np.minimum(place[take], 65535)
             bucket = (token >> _U(32)).astype(np.int64) % buckets
@@ -141,7 +152,7 @@ def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int,
                     held = []
                 current = row[0]
                 token, place, slot, key, n, number, text_slot, texts, bits = (np.frombuffer(v, k) for v, k in zip(row[1:], KINDS))
-                texts, bits = texts.reshape(2, -1), bits.reshape(-1, 2)
+                texts, bits = texts.reshape(2, -1), bits.reshape(-1, MAP_WORDS)
                 a, h = texts[0][text_slot], texts[1][text_slot]
                 held.append((token, place, *(v[slot] for v in (key, n, number, a, h)), bits[slot]))
         if held:
@@ -176,7 +187,7 @@ def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int,
             more[later[~sure]] = met[low[~sure]] = met[high[~sure]] = True
             x, y, z = low[sure], high[sure], later[sure]
             need = n[x] + n[y]
-            fits = (num + den) * (np.minimum(n[x] - place[x], n[y] - place[y]) + np.minimum(place[x], place[y])) >= num * need
+            fits = (num + den) * np.minimum(n[x] - place[x], n[y] - place[y]) >= num * need
             x, y, z, need = x[fits], y[fits], z[fits], need[fits]
             overlap = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64) + np.minimum(lost[x], lost[y])
             fits = (num + den) * overlap >= num * need
@@ -187,8 +198,7 @@ def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int,
         left = np.flatnonzero(met)
         yield pa.RecordBatch.from_arrays([pa.array(key[left]), pa.array(key[left]), pa.array(more[left])], names=["class", "other", "more"])
 
-    source = docs.select(F.col(ids).cast("long").alias(ids), text, text_print(text).alias("_print"))
-    packed = source.mapInArrow(post, ", ".join(f"{f} {'long' if f == 'bucket' else 'binary'}" for f in FIELDS))
+    packed = source_rows(docs, ids, text).mapInArrow(post, ", ".join(f"{f} {'long' if f == 'bucket' else 'binary'}" for f in FIELDS))
     met = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "class long, other long, more boolean")
     return met.groupBy("class", "other").agg(F.max("more").alias("more"))
 
@@ -201,7 +211,7 @@ def line_classes(docs: DataFrame, ids: str, text: str, flags) -> DataFrame:
     """(class, n, lines, set): per class and piece the lines, and the sorted tokens if the class is flagged."""
     def run(batches):
         rank = np.zeros(1, np.uint8)
-        for part, raw in text_pieces(batches, text):
+        for part, raw in text_pieces(batches):
             line, token, at, n, key, doc, number = sorted_lines(raw, rank)
             by = np.argsort(key, kind="stable")
             by = by[n[by] > 0]
@@ -209,13 +219,12 @@ def line_classes(docs: DataFrame, ids: str, text: str, flags) -> DataFrame:
             heads = by[cut]
             wanted = flagged(flags.value, key[heads])
             rows = pa.array(doc[by])
-            struct = pa.StructArray.from_arrays([part.column(ids).take(rows), part.column("_print").take(rows), pa.array(number[by].astype(np.int32))], names=["id", "print", "line"])
+            struct = pa.StructArray.from_arrays([part.column("id").take(rows), part.column("print").take(rows), pa.array(number[by].astype(np.int32))], names=["id", "print", "line"])
             lines = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(by)], pa.int32()), struct)
             sets = [np.sort(token[at[x]:at[x] + n[x]]).tobytes() if w else None for x, w in zip(heads, wanted)]
             yield pa.RecordBatch.from_arrays([pa.array(key[heads]), lines, pa.array(sets, pa.binary())], names=["class", "lines", "set"])
 
-    source = docs.select(F.col(ids).cast("long").alias(ids), text, text_print(text).alias("_print"))
-    return source.mapInArrow(run, "class long, lines array<struct<id: long, print: long, line: int>>, set binary")
+    return source_rows(docs, ids, text).mapInArrow(run, "class long, lines array<struct<id: long, print: long, line: int>>, set binary")
 
 
 def verified(found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -254,10 +263,12 @@ def removed_lines(docs: DataFrame, ids: str = "doc_id", text: str = "text", num:
         wanted = pairs.select("class").union(pairs.select("other")).distinct()
         return stored(of.where("set is not null").groupBy("class").agg(F.first("set").alias("set")).join(wanted, "class", "left_semi"))
 
-    order = spark.sparkContext.broadcast(cell_scale(docs, text, cells, prints))
-    found = stored(candidates(docs, ids, text, order, num, den, asks))
-    flags = spark.sparkContext.broadcast(flag_array(found.select("class").union(found.select("other")), "class", FLAG_BITS))
-    classes = stored(line_classes(docs, ids, text, flags))
+    with short_batches(spark, ROWS):
+        order = spark.sparkContext.broadcast(cell_scale(docs, text, cells, prints))
+        found = stored(candidates(docs, ids, text, order, num, den, asks))
+    flags = spark.sparkContext.broadcast(bit_blocks(found.select("class").union(found.select("other")), FLAG_BITS))
+    with short_batches(spark, ROWS):
+        classes = stored(line_classes(docs, ids, text, flags))
     beaten = stored(verified(found, sets_of(found, classes), num, den))
     again = stored(found.groupBy("class").agg(F.max("more").alias("more")).where("more").join(beaten, "class", "left_anti").select("class"))
     if again.head() is not None:
@@ -290,13 +301,17 @@ def further_beaten(classes: DataFrame, again: DataFrame, order, num: int, den: i
     at a token, its home is compared with theirs, in blocks of rows of like size: pairs of homes and blocks are rows,
     pairs of classes are cells of a product of incidence matrices.
     """
-    def prefixes(batches):
-        for batch in batches:
-            for klass, packed in zip(batch.column("class").to_pylist(), batch.column("set").to_pylist()):
-                token = np.frombuffer(packed, _U)
-                token = token[np.lexsort((token, order.value[(token & _U(len(order.value) - 1)).astype(np.int64)]))]
-                token = token[:len(token) - least_size(np.array([len(token)]), num, den)[0] + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array([klass] * len(token))], names=["token", "class"])
+    def prefixes(bits):
+        def run(batches):
+            for batch in batches:
+                for klass, packed in zip(batch.column("class").to_pylist(), batch.column("set").to_pylist()):
+                    token = np.frombuffer(packed, _U)
+                    token = token[np.lexsort((token, order.value[(token & _U(len(order.value) - 1)).astype(np.int64)]))]
+                    token = token[:len(token) - least_size(np.array([len(token)]), num, den)[0] + 1]
+                    if bits is not None:
+                        token = token[flagged(bits.value, token)]
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array([klass] * len(token), pa.int64())], names=["token", "class"])
+        return run
 
     def matches(batches):
         for batch in batches:
@@ -317,13 +332,17 @@ def further_beaten(classes: DataFrame, again: DataFrame, order, num: int, den: i
                 hit = [left[i]["class"] for i in range(len(left)) if any(key[1][j] < key[0][i] for j in np.flatnonzero(match[i]).tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int64())], names=["class"])
 
+    spark = classes.sparkSession
     # Places compare as tuples, so their parts are made comparable: nulls come last through the first.
     whole = classes.groupBy("class").agg(F.min(_least_place()).alias("f"), F.max("set").alias("set")).where("set is not null")
     comp = F.struct("f.none", F.coalesce("f.id", F.lit(0)).alias("id"), F.col("f.print").alias("print"), F.col("f.line").alias("line"))
-    whole = stored(whole.select("class", comp.alias("comp"), "set", F.floor(F.octet_length("set") / 8).alias("n")))
-    posted = whole.select("class", "set").mapInArrow(prefixes, "token long, class long")
-    asked = posted.join(again, "class", "left_semi").select("token").distinct()
-    posted = stored(posted.join(asked, "token", "left_semi"))
+    whole = whole.select("class", comp.alias("comp"), "set", F.floor(F.octet_length("set") / 8).alias("n"))
+    flagged_sets = classes.where("set is not null").select("class", "set")
+    asked = stored(flagged_sets.join(again, "class", "left_semi").dropDuplicates(["class"]).mapInArrow(prefixes(None), "token long, class long").select("token").distinct())
+    # Only tokens of asking classes are posted, and only classes that meet one keep their sets.
+    bits = spark.sparkContext.broadcast(bit_blocks(asked, FLAG_BITS))
+    posted = stored(flagged_sets.mapInArrow(prefixes(bits), "token long, class long").join(asked, "token", "left_semi").distinct())
+    whole = stored(whole.join(posted.select("class").distinct(), "class", "left_semi"))
     counts = posted.groupBy("token").agg(F.count("*").alias("m"))
     homes = stored(posted.join(counts, "token").groupBy("class").agg(F.max(F.struct("m", "token"))["token"].alias("home")))
     at = posted.join(homes, "class")
@@ -339,14 +358,15 @@ def further_beaten(classes: DataFrame, again: DataFrame, order, num: int, den: i
 
 def dedup_lines(docs: DataFrame, ids: str = "doc_id", text: str = "text", num: int = 4, den: int = 5, cells: int = ORDER_CELLS, asks: int = ASKS) -> DataFrame:
     """``docs`` with the later of matching lines taken out of ``text``, and the long columns n_lines and n_removed."""
-    gone = stored(removed_lines(docs, ids, text, num, den, cells, asks)).select(F.col("id").alias("_id"), F.col("print").alias("_print"), F.col("lines").alias("_gone"))
     kept = docs.drop("n_lines", "n_removed")
-    names = [c for c in kept.columns]
-    joined = kept.join(gone, F.col(ids).cast("long").eqNullSafe(F.col("_id")) & (text_print(text) == F.col("_print")), "left").select(*[kept[c] for c in names], "_gone")
+    names = list(kept.columns)
+    own, print_, gone_ = (free_name(docs, stem) for stem in ("_id", "_print", "_gone"))
+    gone = stored(removed_lines(docs, ids, text, num, den, cells, asks)).select(F.col("id").alias(own), F.col("print").alias(print_), F.col("lines").alias(gone_))
+    joined = kept.join(gone, F.col(ids).cast("long").eqNullSafe(F.col(own)) & (text_print(text) == F.col(print_)), "left").select(*[kept[c] for c in names], gone_)
 
     def rewrite(batches):
         for batch in batches:
-            old, goes = batch.column(text).to_pylist(), batch.column("_gone").to_pylist()
+            old, goes = batch.column(text).to_pylist(), batch.column(gone_).to_pylist()
             new, n, out = [], [], []
             for value, lines in zip(old, goes):
                 split = [] if value is None else value.split("\n")

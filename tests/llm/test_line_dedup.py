@@ -66,6 +66,17 @@ def test_edited_and_repeated_lines(spark, asks):
     against(docs, cells=1 << 12, asks=asks)
 
 
+def test_one_token_in_every_line_and_clashing_columns(spark, monkeypatch):
+    """A frequent and a rare token stand in every line; helper names are on the input."""
+    pick = random.Random(4)
+    rows = []
+    for i in range(160):
+        base = ["hot", "rare"] + [f"w{k}" for k in range(pick.choice([2, 6, 12]))]
+        rows.append((i, "\n".join(" ".join(w if pick.random() < 0.85 else f"z{pick.randint(0, 30)}" for w in base) for _ in range(3)), 1, "p", 2, 3.0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id int, _print string, _gone int, _PRINT_ double").repartition(3)
+    against(docs, cells=1 << 12, asks=2)
+
+
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
