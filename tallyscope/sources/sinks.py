@@ -27,10 +27,15 @@ def new_rows(existing: DataFrame | None, incoming: DataFrame, key: str, order: S
 
 
 def append_new(df: DataFrame, path: str, key: str, order: Sequence[str]) -> None:
-    """Append rows with new keys to the store; a folder without files is an empty store, any other failure is an error."""
+    """Append rows with new keys to the store; a folder without files, at any depth, is an empty store, any other failure is an error."""
     spark = df.sparkSession
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "*.parquet"))
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = False
+    if system.exists(folder):
+        found = system.listFiles(folder, True)
+        while found.hasNext() and not files:
+            files = found.next().getPath().getName().endswith(".parquet")
     existing = spark.read.parquet(path) if files else None
     new_rows(existing, df, key, order).write.mode("append").parquet(path)
 

@@ -76,6 +76,13 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 10
 
 
+def test_a_store_in_partition_folders_is_not_empty(spark, tmp_path):
+    d = spark.range(10).withColumn("g", F.col("id") % 3)
+    d.write.partitionBy("g").parquet(str(tmp_path / "s"))
+    W.append_new(d.select("id", "g"), str(tmp_path / "s"), "id", ["g"])
+    assert spark.read.option("basePath", str(tmp_path / "s")).parquet(*[str(tmp_path / "s" / f"g={k}") for k in range(3)]).count() == 10
+
+
 def test_nan_becomes_null(spark):
     d = D.nan_to_null(spark.createDataFrame([(float("nan"), 1)], "a double, b int")).first()
     assert d["a"] is None and d["b"] == 1
