@@ -130,17 +130,51 @@ def probe_step(k: int) -> str:
         WHERE w.p > p{k} AND NOT contains(t{k}, w.term) AND NOT contains(w.term, t{k})), r{k + 1} AS (SELECT item_id, arg_min(term, p) AS t{k + 1}, min(p) AS p{k + 1} FROM b{k + 1} WHERE have AND p <= 240 GROUP BY 1)"""
 
 
-@plan("T4", f"""WITH q AS (SELECT item_id, string_split(trim(text), '') AS c FROM benchmark), co AS (SELECT string_split(text, '') AS c FROM conversations), sz AS (SELECT unnest(range(4, 11)) AS s),
+def probe_sql(questions: str) -> str:
+    """Table expressions from the questions (item_id, question) to r1 .. r4 with up to four terms."""
+    return f"""q AS (SELECT item_id, string_split(trim(question), '') AS c FROM {questions}), co AS (SELECT string_split(text, '') AS c FROM conversations), sz AS (SELECT unnest(range(4, 11)) AS s),
     asked AS (SELECT item_id, s, unnest(range(1, len(c) - s + 2)) AS st, c FROM q, sz), a2 AS (SELECT item_id, s, st, array_to_string(c[st:st+s-1], '') AS term FROM asked),
     have AS (SELECT DISTINCT array_to_string(c[st:st+s-1], '') AS term FROM (SELECT s, c, unnest(range(1, len(c) - s + 2)) AS st FROM co, sz)),
     b1 AS (SELECT item_id, term, term IN (SELECT term FROM have) AS have, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, st) AS o, row_number() OVER (PARTITION BY item_id ORDER BY s DESC, st) AS p FROM a2),
-    r1 AS (SELECT item_id, arg_min(term, p) AS t1, min(p) AS p1 FROM b1 WHERE have AND p <= 240 GROUP BY 1), {probe_step(1)}, {probe_step(2).replace(", t1, t2", ", w.t1, t2")}, {probe_step(3).replace(", t1, t2, t3", ", w.t1, w.t2, t3")}
+    r1 AS (SELECT item_id, arg_min(term, p) AS t1, min(p) AS p1 FROM b1 WHERE have AND p <= 240 GROUP BY 1), {probe_step(1)}, {probe_step(2).replace(", t1, t2", ", w.t1, t2")}, {probe_step(3).replace(", t1, t2, t3", ", w.t1, w.t2, t3")}"""
+
+
+@plan("T4", f"""WITH {probe_sql("(SELECT item_id, text AS question FROM benchmark)")}
     SELECT r1.item_id AS question_id, concat_ws('|', r1.t1, r2.t2, r3.t3, r4.t4) AS terms FROM r1 LEFT JOIN r2 USING (item_id) LEFT JOIN r3 USING (item_id) LEFT JOIN r4 USING (item_id)""")
 def term_probe(t: Tables) -> DataFrame:
     q = t.benchmark.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
     return X.probe_terms(q, t.conversations.select("text")).select("question_id", F.array_join("terms", "|").alias("terms"))
 
 
+QUESTIONS = """qs AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN p_name || ' ' || text WHEN item_id % 7 = 3 THEN '〇〇〇〇' ELSE text END AS question FROM benchmark JOIN part ON p_partkey = item_id + 1)"""
+
+
+@plan("T7 J26 T2", f"""WITH {QUESTIONS}, {probe_sql("qs")},
+    tm AS (SELECT item_id, 0 AS pos, t1 AS phrase FROM r1 UNION ALL SELECT item_id, 1, t2 FROM r2 UNION ALL SELECT item_id, 2, t3 FROM r3 UNION ALL SELECT item_id, 3, t4 FROM r4
+        UNION ALL SELECT item_id, 0, question FROM qs WHERE item_id NOT IN (SELECT item_id FROM r1)),
+    ps AS (SELECT conv_id * 100 + turn AS passage_id, role, text FROM conversations), tot AS (SELECT count(*) AS n, avg(greatest(length(text) - 2, 0)) AS a FROM ps),
+    hit AS (SELECT phrase, passage_id, role, (length(lower(text)) - length(replace(lower(text), lower(phrase), ''))) // length(phrase) AS tf, greatest(length(text) - 2, 0) AS dl
+        FROM (SELECT DISTINCT phrase FROM tm), ps WHERE contains(lower(text), lower(phrase))),
+    f AS (SELECT phrase, count(*) AS df FROM hit GROUP BY 1),
+    sc AS (SELECT phrase, passage_id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * dl / a)) AS score FROM hit JOIN f USING (phrase), tot WHERE role = 'assistant'),
+    bp AS (SELECT item_id, passage_id, pos, round(-score, 9) AS less FROM tm JOIN sc USING (phrase) QUALIFY row_number() OVER (PARTITION BY item_id, passage_id ORDER BY pos, -score) = 1),
+    fp AS (SELECT item_id AS question_id, 'passage' AS kind, CAST(passage_id AS VARCHAR) AS subject, row_number() OVER (PARTITION BY item_id ORDER BY pos, less, passage_id) AS position FROM bp QUALIFY position <= 12),
+    nf AS (SELECT item_id, p_partkey, p_name FROM qs JOIN part ON contains(question, p_name) WHERE p_name IN (SELECT p_name FROM part WHERE p_size > 10) AND p_size > 10),
+    ff AS (SELECT item_id AS question_id, 'fact' AS kind, CAST(p_partkey AS VARCHAR) AS subject, row_number() OVER (PARTITION BY item_id ORDER BY length(p_name) DESC, p_name, p_partkey) AS position FROM nf QUALIFY position <= 12),
+    al AS (SELECT * FROM fp UNION ALL SELECT * FROM ff)
+    SELECT * FROM al UNION ALL SELECT item_id, 'coverage', 'searched, ' || (SELECT count(*) FROM labels) || ', ' || (SELECT count(*) FROM documents), 1 FROM qs WHERE item_id NOT IN (SELECT question_id FROM al)""", wide="position")
+def retrieve_evidence(t: Tables) -> DataFrame:
+    """Questions answered with passages (the assistant's turns), facts and, where nothing is found, what was searched."""
+    text = F.when(F.col("item_id") % 2 == 0, F.concat("p_name", F.lit(" "), "text")).when(F.col("item_id") % 7 == 3, "〇〇〇〇").otherwise(F.col("text"))
+    q = t.benchmark.join(t.part, F.col("p_partkey") == F.col("item_id") + 1).select(F.col("item_id").alias("question_id"), text.alias("question"))
+    passages = t.conversations.select((F.col("conv_id") * 100 + F.col("turn")).alias("passage_id"), "text", F.col("role").alias("institution"))
+    name = P.content_name(t.spark, os.path.join(t.folder, "conversations.parquet"))
+    index = P.kept_index(passages, "passage_id", "text", f"conversations-{name}")
+    facts = t.part.where(F.col("p_size") > 10).select(F.col("p_partkey").alias("fact_id"), F.concat("p_name", F.lit(" （unit）")).alias("label"), F.lit("assistant").alias("institution"))
+    cover = t.documents.select("doc_id").join(t.labels.select("doc_id", F.lit(1).alias("c")), "doc_id", "left").agg(F.count("c").alias("covered"), F.count(F.lit(1)).alias("total"))
+    return X.retrieve(q, passages, index, facts, cover, institution="assistant")
+
+
 @plan("T5", """WITH n AS (SELECT DISTINCT p_name AS core FROM part), q AS (SELECT o_orderkey AS question_id, 'what about ' || a.p_name || ' and ' || b.p_name || '?' AS question FROM orders JOIN part a ON a.p_partkey = o_custkey JOIN part b ON b.p_partkey = o_custkey + 1)
     SELECT question_id, core FROM q JOIN n ON contains(question, core)""")
 def field_matches(t: Tables) -> DataFrame:
