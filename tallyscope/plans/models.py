@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions import fixed
+from tallyscope.operators import forest as W
 from tallyscope.operators import history as H
 from tallyscope.operators import identity as I
 from tallyscope.operators import matching as G
@@ -85,10 +86,17 @@ def decile_hit_rates(t: Tables) -> DataFrame:
     return d.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("hit_rate"))
 
 
+@plan("M8")
+def isolation_scores(t: Tables) -> DataFrame:
+    """Every entity and year of the panel by the number of random cuts that part it from the others."""
+    d = R.panel_ratios(t).withColumn("key", F.concat_ws("/", "entity", "year"))
+    return W.isolation_scores(d, W.fit_forest(d, "key", R.FEATURES), R.FEATURES).select("entity", "year", F.round("isolation", 6).alias("isolation"))
+
+
 @plan("M8")
 def group_fold_auc(t: Tables) -> DataFrame:
     d = labelled(t, frame_at(t, 1999), 1999, 2001).join(R.institutions(t).select("id", "operator"), "id")
-    oof = M.group_folds(d, "operator", "label", FEATURES, 3, 0.1)
+    oof = M.group_folds(d, "operator", "label", FEATURES, 5, 0.1)
     from tallyscope.session import cut_lineage
     oof = cut_lineage(oof.select("id", "operator", "label", "score"))
     auc = K.rank_auc(oof, F.col("score"), "label").select("auc")
