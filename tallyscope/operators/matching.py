@@ -8,6 +8,7 @@ overlap, and every group is solved by itself. Groups, not strata, go to tasks.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,13 +37,35 @@ def merge_intervals(df: DataFrame, key: str, lo: str, hi: str, block: int = 4096
 
 
 def _greedy(cases: pd.DataFrame, controls: pd.DataFrame) -> list[tuple[int, int]]:
-    free = list(zip(controls["cap"], controls["j"], controls["cid"]))
+    """The sequential rule on sorted cases and controls, near-linear: taken controls are deleted from two lists of links.
+
+    ``after[i]`` leads to the first free control at or behind i, ``before[i]`` to the last free one ahead of i; links are
+    shortened on the way (union-find), so each deletion is followed a few times only.
+    """
+    caps, ids = controls["cap"].to_numpy(), controls["cid"].to_numpy()
+    n = len(caps)
+    first = np.searchsorted(caps, caps)  # of equal capacities the first one goes first
+    after, before = list(range(n + 1)), list(range(n + 1))
+
+    def follow(links: list[int], i: int) -> int:
+        end = i
+        while links[end] != end:
+            end = links[end]
+        while links[i] != end:
+            links[i], i = end, links[i]
+        return end
+
     out = []
-    for cid, cap in zip(cases["cid"], cases["cap"]):
-        if not free:
+    for cid, cap, at in zip(cases["cid"], cases["cap"], np.searchsorted(caps, cases["cap"].to_numpy()).tolist()):
+        high, low = follow(after, at), follow(before, at) - 1
+        if low < 0 and high == n:
             break
-        best = min(range(len(free)), key=lambda i: (abs(free[i][0] - cap), free[i][1]))
-        out.append((cid, free.pop(best)[2]))
+        if low >= 0:
+            low = follow(after, int(first[low]))
+        best = low if high == n or low >= 0 and cap - caps[low] <= caps[high] - cap else high
+        out.append((cid, ids[best]))
+        after[best] = best + 1
+        before[best + 1] = best
     return out
 
 
