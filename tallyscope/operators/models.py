@@ -85,8 +85,9 @@ def backtest_point(train: DataFrame, test: DataFrame, label: str, features: Sequ
 
 
 def walk_forward(frame_at: Callable[[int], DataFrame], label_of: Callable[[DataFrame, int, int], DataFrame],
-                 years: Sequence[int], features: Sequence[str], lag: int, data_end: str, label_years: int) -> DataFrame:
-    """Rankings of every year, each trained ``lag`` years earlier on its own labels.
+                 years: Sequence[int], features: Sequence[str], lag: int, data_end: str, label_years: int,
+                 scorer: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Rankings of every year, each trained ``lag`` years earlier on its own labels, or scored by ``scorer`` (train, test).
 
     The loop over years stays on the driver and is as short as the list; each year is a
     set of jobs over whole tables. A year whose label window reaches past the data is
@@ -96,7 +97,7 @@ def walk_forward(frame_at: Callable[[int], DataFrame], label_of: Callable[[DataF
     for year in years:
         train = label_of(frame_at(year - lag), year - lag, year)
         test = label_of(frame_at(year), year, year + label_years)
-        scored, _ = backtest_point(train, test, "label", features)
+        scored = scorer(train, test) if scorer else backtest_point(train, test, "label", features)[0]
         start, end = F.lit(f"{year}-01-01").cast("date"), F.lit(f"{year + label_years}-01-01").cast("date")
         seen = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.datediff(F.lit(data_end).cast("date"), start) / F.datediff(end, start)))
         ranked = O.row_number(cut_lineage(scored.select("id", "score", "label", "n_penalties_prior")), F.col("score"), F.col("id"), (), "rank", descending=True)

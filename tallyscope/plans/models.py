@@ -38,6 +38,18 @@ def walk_forward_ranking(t: Tables) -> DataFrame:
     return M.walk_forward(lambda y: frame_at(t, y), lambda d, a, b: labelled(t, d, a, b), [1999, 2000, 2001], FEATURES, 2, "2001-08-01", 2)
 
 
+@plan("M4 M1", with_("inst", "pen") + """, ys AS (SELECT unnest([1999, 2000, 2001]) AS year),
+    f AS (SELECT year, i.id, coalesce(sum(p.severity), 0) AS score, count(p.rec) AS prior FROM ys CROSS JOIN inst i LEFT JOIN pen p ON p.id = i.id AND p.date < make_date(year, 1, 1) GROUP BY 1, 2),
+    h AS (SELECT DISTINCT year, id, 1 AS hit FROM ys JOIN pen ON role = 'F' AND severity >= 5 AND date >= make_date(year, 1, 1) AND date < make_date(year + 2, 1, 1)),
+    s AS (SELECT year, least(1.0, greatest(0.0, date_diff('day', make_date(year, 1, 1), DATE '2001-08-01') / date_diff('day', make_date(year, 1, 1), make_date(year + 2, 1, 1)))) AS seen FROM ys)
+    SELECT year, year - 2 AS train_year, id, row_number() OVER (PARTITION BY year ORDER BY score DESC, id) AS rank, CAST(score AS DOUBLE) AS score, CASE WHEN seen > 0 THEN coalesce(hit, 0) END AS hit, prior,
+    seen >= 0.999 AS label_complete, round(seen, 3) AS observed_fraction FROM f LEFT JOIN h USING (year, id) JOIN s USING (year)""".lstrip(), wide="year train_year hit")
+def walk_forward_by_history(t: Tables) -> DataFrame:
+    """The back-test's dates, labels, censoring and ranks with the severity of past sanctions as the score."""
+    return M.walk_forward(lambda y: frame_at(t, y), lambda d, a, b: labelled(t, d, a, b), [1999, 2000, 2001], FEATURES, 2, "2001-08-01", 2,
+                          lambda train, test: test.withColumn("score", F.col("sum_severity_prior").cast("double")))
+
+
 #: Nested blocks: what each adds to the one before.
 BLOCKS = {"history": FEATURES[:5], "registry": ["capacity"], "operation": ["n_assets", "has_asset", "is_private"],
           "evaluation": ["has_evaluation", "eval_partial", "n_partial_prior", "days_since_evaluation"],
