@@ -156,9 +156,10 @@ def sanction_records(rows: DataFrame, key: Sequence[str], law: str) -> DataFrame
     """Canonical sanction records with their group: one row per key and canonical law text.
 
     Rows of one key are one penalty; the laws it cites are its records, numbered in order. ``law_variants`` counts the
-    texts that became the record, ``source_row_count`` the rows behind it.
+    texts that became the record, ``law_texts`` names them, ``source_row_count`` counts the rows behind it.
     """
-    records = merge_short_laws(rows, key, law).select(*key, F.col("target").alias(law), F.col("variants").alias("law_variants"), F.col("source_rows").alias("source_row_count"))
+    records = merge_short_laws(rows, key, law).select(*key, F.col("target").alias(law), F.col("variants").alias("law_variants"), F.array_join("texts", "|").alias("law_texts"),
+                                                      F.col("source_rows").alias("source_row_count"))
     group = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in key]))
     # A penalty cites a handful of laws, so its window is short.
     one = Window.partitionBy(*key)
@@ -308,7 +309,8 @@ def merge_short_laws(rows: DataFrame, key: Sequence[str], law: str) -> DataFrame
     d = texts.join(longer, [*key, "_law"], "left")
     d = d.withColumn("target", F.when(F.col("_c") == 1, F.col("_long")).otherwise(F.col("_law")))
     out = d.groupBy(*key, "target").agg(F.sum("_rows").alias("source_rows"), F.count(F.lit(1)).alias("variants"),
-                                        F.max_by("_law", F.struct(F.length("_law"), F.col("_law"))).alias("law"))
+                                        F.max_by("_law", F.struct(F.length("_law"), F.col("_law"))).alias("law"),
+                                        F.array_sort(F.collect_set("_law")).alias("texts"))
     return out.withColumn("records", F.when(F.col("variants") == 1, F.col("source_rows")).otherwise(F.lit(1).cast("long")))
 
 

@@ -338,20 +338,28 @@ def threads(t: Tables) -> DataFrame:
 def sanction_groups(t: Tables) -> DataFrame:
     law = F.when(F.col("o_orderstatus") == "F", "第8條").when(F.col("o_orderstatus") == "O", "第8條第1項").otherwise("第8條第2項")
     rows = t.orders.select(F.col("o_custkey").alias("id"), F.year("o_orderdate").alias("year"), law.alias("law"))
-    return I.merge_short_laws(rows, ["id", "year"], "law")
+    return I.merge_short_laws(rows, ["id", "year"], "law").drop("texts")
 
 
-@plan("D2", """WITH b AS (SELECT o_custkey AS id, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, o_orderpriority AS punishment, CASE o_orderstatus WHEN 'F' THEN '第8條' WHEN 'O' THEN '第8條第1項' ELSE '第8條第2項' END AS law FROM orders),
-    x AS (SELECT id, date, punishment, law, count(*) AS c FROM b GROUP BY ALL),
-    l AS (SELECT a.id, a.date, a.punishment, a.law, count(*) AS n, min(b.law) AS long FROM x a JOIN x b ON a.id = b.id AND a.date = b.date AND a.punishment = b.punishment AND length(b.law) > length(a.law) AND starts_with(b.law, a.law) GROUP BY ALL),
-    g AS (SELECT x.id, x.date, x.punishment, CASE WHEN l.n = 1 THEN l.long ELSE x.law END AS target, x.c FROM x LEFT JOIN l ON x.id = l.id AND x.date = l.date AND x.punishment = l.punishment AND x.law = l.law),
-    r AS (SELECT id, date, punishment, target AS law, count(*) AS law_variants, CAST(sum(c) AS BIGINT) AS source_row_count FROM g GROUP BY ALL)
-    SELECT *, md5(id || '|' || date || '|' || punishment) AS penalty_group_id, row_number() OVER (PARTITION BY id, date, punishment ORDER BY law) AS group_record_index,
-    count(*) OVER (PARTITION BY id, date, punishment) AS group_record_count FROM r""")
+D2_KEY = "id, date, article, paragraph, punishment, role, actor"
+
+
+@plan("D2", f"""WITH b AS (SELECT o_custkey AS id, CAST(date_trunc('month', o_orderdate) AS DATE) AS date, '8' AS article, CASE o_orderstatus WHEN 'P' THEN '2' ELSE '1' END AS paragraph, o_orderpriority AS punishment,
+        CASE WHEN o_totalprice > 300000 THEN 'responsible' ELSE 'individual' END AS role, 'a' || (o_orderkey % 2) AS actor,
+        CASE o_orderstatus WHEN 'F' THEN '第8條第1項' WHEN 'O' THEN '第8條第1項第3款' ELSE '第8條第2項' END AS law FROM orders),
+    x AS (SELECT {D2_KEY}, law, count(*) AS c FROM b GROUP BY ALL),
+    l AS (SELECT {", ".join("a." + k.strip() for k in D2_KEY.split(","))}, a.law, count(*) AS n, min(b.law) AS long FROM x a JOIN x b USING ({D2_KEY}) WHERE length(b.law) > length(a.law) AND starts_with(b.law, a.law) GROUP BY ALL),
+    g AS (SELECT {D2_KEY}, CASE WHEN l.n = 1 THEN l.long ELSE law END AS target, law AS one, x.c FROM x LEFT JOIN l USING ({D2_KEY}, law)),
+    r AS (SELECT {D2_KEY}, target AS law, count(*) AS law_variants, string_agg(one, '|' ORDER BY one) AS law_texts, CAST(sum(c) AS BIGINT) AS source_row_count FROM g GROUP BY {D2_KEY}, target)
+    SELECT *, md5(concat_ws('|', {D2_KEY})) AS penalty_group_id, row_number() OVER (PARTITION BY {D2_KEY} ORDER BY law) AS group_record_index, count(*) OVER (PARTITION BY {D2_KEY}) AS group_record_count FROM r""")
 def sanction_records(t: Tables) -> DataFrame:
-    law = F.when(F.col("o_orderstatus") == "F", "第8條").when(F.col("o_orderstatus") == "O", "第8條第1項").otherwise("第8條第2項")
-    rows = t.orders.select(F.col("o_custkey").alias("id"), F.trunc("o_orderdate", "month").alias("date"), F.col("o_orderpriority").alias("punishment"), law.alias("law"))
-    return I.sanction_records(rows, ["id", "date", "punishment"], "law")
+    """Records of one institution, date, article, paragraph, punishment, role and name, with all their law texts."""
+    s = F.col("o_orderstatus")
+    law = F.when(s == "F", "第8條第1項").when(s == "O", "第8條第1項第3款").otherwise("第8條第2項")
+    rows = t.orders.select(F.col("o_custkey").alias("id"), F.trunc("o_orderdate", "month").alias("date"), F.lit("8").alias("article"), F.when(s == "P", "2").otherwise("1").alias("paragraph"),
+                           F.col("o_orderpriority").alias("punishment"), F.when(F.col("o_totalprice") > 300000, "responsible").otherwise("individual").alias("role"),
+                           F.concat(F.lit("a"), (F.col("o_orderkey") % 2).cast("string")).alias("actor"), law.alias("law"))
+    return I.sanction_records(rows, [k.strip() for k in D2_KEY.split(",")], "law")
 
 
 @plan("J12", """WITH o AS (SELECT o_orderkey AS k, o_custkey AS s, CAST(year(o_orderdate) AS VARCHAR) AS a, o_orderpriority AS b, CAST(month(o_orderdate) AS VARCHAR) AS c, CAST(day(o_orderdate) AS VARCHAR) AS d FROM orders),
