@@ -2,8 +2,8 @@
 
 A sentence ends after ``.``, ``!`` or ``?`` before white space, at a line feed, or with the text; its words are
 ``[^\x20\x09-\x0D]+`` with A-Z in lower case, and pieces without words are no sentences. Every run of ``span``
-consecutive sentences with ``least_words`` words or more is hashed. So is a shorter run of ``span * least_words`` words
-or more that no shorter one at its ends reaches, and a whole text of fewer sentences with ``least_words`` words. All
+consecutive sentences with ``least_words`` words or more is hashed. So is every shorter run of
+``span * least_words`` words or more, and a whole text of fewer sentences with ``least_words`` words. All
 runs of all texts meet by their hash. The first place of a run, in the order of (id, text fingerprint, sentence), nulls
 last, stays; the sentences that any other place covers go.
 
@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallyscope.llm.rarity import flag_array, flagged
-from tallyscope.llm.words import fingerprints, mixed, split_words, text_pieces
+from tallyscope.llm.rarity import bit_blocks, flagged
+from tallyscope.llm.words import fingerprints, free_name, mixed, split_words, text_pieces
 from tallyscope.session import stored
 
 #: Sentences of a run and the words it needs at least, which keeps chance repeats of short sentences.
@@ -58,8 +58,8 @@ def sentences(raw: list[bytes]):
 def spans_of(doc: np.ndarray, n: np.ndarray, prints: np.ndarray, span: int, least_words: int):
     """(first sentence, sentences, fingerprint) of the runs: ``span`` sentences, or fewer that have the words alone.
 
-    A run of fewer sentences is taken where it has ``least_words`` * ``span`` words, so that long sentences, which no
-    chance repeats, are found even beside changed neighbours; and where a text has no more sentences.
+    A run of fewer sentences is taken where it has ``least_words`` * ``span`` words, so that passages of long
+    sentences, which no chance repeats, go whole even beside changed neighbours; and where a text has no more sentences.
     """
     first, length, out = [], [], []
     total = len(doc)
@@ -73,10 +73,7 @@ def spans_of(doc: np.ndarray, n: np.ndarray, prints: np.ndarray, span: int, leas
         run[at] = mixed(run[at] * _U(0xC2B2AE3D27D4EB4F) + prints[at + k - 1])
         words[at] += n[at + k - 1]
         if k < span:
-            wide = words[at] >= least_words * span
-            if k > 1:
-                wide &= (words[at] - n[at] < least_words * span) & (words[at] - n[at + k - 1] < least_words * span)
-            at = at[wide | ((per_text[at] == k) & (words[at] >= least_words))]
+            at = at[(words[at] >= least_words * span) | ((per_text[at] == k) & (words[at] >= least_words))]
         else:
             at = at[words[at] >= least_words]
         first.append(at), length.append(np.full(len(at), k)), out.append(mixed(run[at] + words[at].astype(_U)))
@@ -121,10 +118,10 @@ def repeated_runs(docs: DataFrame, text: str, span: int, least_words: int) -> Da
 def repeated_sentences(docs: DataFrame, ids: str, text: str, span: int, least_words: int) -> DataFrame:
     """(id, print, first, length) of all places of runs but the first of each."""
     repeats = stored(repeated_runs(docs, text, span, least_words))
-    flags = docs.sparkSession.sparkContext.broadcast(flag_array(repeats, "run", FLAG_BITS))
+    flags = docs.sparkSession.sparkContext.broadcast(bit_blocks(repeats, FLAG_BITS))
 
     def places(batches):
-        for part, raw in text_pieces(batches, text):
+        for part, raw in text_pieces(batches):
             doc, _, _, n, prints, _ = sentences(raw)
             first, length, run = spans_of(doc, n, prints, span, least_words)
             keep = flagged(flags.value, run)
@@ -133,13 +130,13 @@ def repeated_sentences(docs: DataFrame, ids: str, text: str, span: int, least_wo
             by = np.argsort(run, kind="stable")
             cut = np.flatnonzero(np.r_[True, run[by][1:] != run[by][:-1]]) if len(by) else np.zeros(0, np.int64)
             rows = pa.array(doc[first[by]])
-            own = part.column(ids).take(rows)
-            found = pa.StructArray.from_arrays([own.is_null(), own, part.column("_print").take(rows), pa.array(number[by].astype(np.int32)), pa.array(length[by].astype(np.int32))],
+            own = part.column("id").take(rows)
+            found = pa.StructArray.from_arrays([own.is_null(), own, part.column("print").take(rows), pa.array(number[by].astype(np.int32)), pa.array(length[by].astype(np.int32))],
                                                names=["none", "id", "print", "first", "length"])
             yield pa.RecordBatch.from_arrays([pa.array(run[by[cut]].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.r_[cut, len(by)], pa.int32()), found)], names=["run", "places"])
 
     place = "none: boolean, id: long, print: long, first: int, length: int"
-    source = docs.select(F.col(ids).cast("long").alias(ids), text, F.xxhash64(text).alias("_print"))
+    source = docs.select(F.col(ids).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("print"))
     packed = stored(source.mapInArrow(places, f"run long, places array<struct<{place}>>"))
     # A row for each run and piece: even the most frequent run has few.
     firsts = packed.groupBy("run").agg(F.sum(F.size("places")).alias("m"), F.min(F.array_min("places")).alias("least")).where("m > 1").select("run", "least")
@@ -153,18 +150,19 @@ def dedup_spans(docs: DataFrame, ids: str = "doc_id", text: str = "text", span:
 
     Removed sentences leave with the white space before them; what else stands between sentences stays.
     """
-    gone = repeated_sentences(docs, ids, text, span, least_words).groupBy("id", "print").agg(F.collect_set(F.struct("first", "length")).alias("_gone"))
-    gone = stored(gone).select(F.col("id").alias("_id"), F.col("print").alias("_print"), "_gone")
+    gone = repeated_sentences(docs, ids, text, span, least_words).groupBy("id", "print").agg(F.collect_set(F.struct("first", "length")).alias("gone"))
+    own, print_, gone_ = (free_name(docs, stem) for stem in ("_id", "_print", "_gone"))
+    gone = stored(gone).select(F.col("id").alias(own), F.col("print").alias(print_), F.col("gone").alias(gone_))
     kept = docs.drop("n_sentences", "n_removed")
     names = kept.columns
-    joined = kept.join(gone, F.col(ids).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_print")), "left").select(*[kept[c] for c in names], "_gone")
+    joined = kept.join(gone, F.col(ids).cast("long").eqNullSafe(F.col(own)) & (F.xxhash64(text) == F.col(print_)), "left").select(*[kept[c] for c in names], gone_)
 
     def rewrite(batches):
         for part, raw in text_pieces(batches, text):
             doc, begin, end, _, _, _ = sentences(raw)
             cut = np.searchsorted(doc, np.arange(len(raw) + 1))
             valid, new, removed = part.column(text).is_valid().to_pylist(), [], []
-            for row, goes in enumerate(part.column("_gone").to_pylist()):
+            for row, goes in enumerate(part.column(gone_).to_pylist()):
                 value, out = raw[row], set()
                 for g in goes or ():
                     out.update(range(g["first"], g["first"] + g["length"]))
