@@ -18,11 +18,13 @@ def plain(text):
     w = words(text)
     places = [(i, label) for p, label in L.BASE for i in range(len(w)) if w[i:i + len(words(p))] == words(p)]
     labels, score = {k for _, k in places}, 0.0
-    for block in (text or "").split("\n"):
-        b = set(words(block))
-        for label, wording in L.TEMPLATES:
-            t = set(words(wording))
-            if 5 * len(t & b) >= 4 * len(t):
+    for label, wording, must in L.TEMPLATES:
+        t, wide = set(words(wording)), len(words(wording))
+        if not set(words(must)) <= set(w):
+            continue
+        for i in range(len(w)):
+            b = set(w[i:i + wide])
+            if 5 * len(t & b) >= 4 * len(t) and set(words(must)) <= b:
                 labels.add(label)
                 score = max(score, len(t & b) / len(t))
     at = [i for i, _ in places]
@@ -37,7 +39,7 @@ TEXTS = [
 
 
 def test_odd_texts(spark):
-    texts = TEXTS + [w for _, w in L.TEMPLATES] + [" ".join(reversed(w.split()[1:])) for _, w in L.TEMPLATES]
+    texts = TEXTS + [w for _, w, _ in L.TEMPLATES] + [" ".join(reversed(w.split()[1:])) for _, w, _ in L.TEMPLATES]
     rows = [(i if i % 7 else None, t, 1.5) for i, t in enumerate(texts)]
     got = L.scan(spark.createDataFrame(rows + rows[:3], "doc_id long, text string, score double").repartition(3))
     assert got.columns == ["doc_id", "text", *L.RESULT]
@@ -48,6 +50,22 @@ def test_odd_texts(spark):
     assert L.scan(got.limit(0)).count() == 0
 
 
+WRAPPED = [
+    ("Copyright (c) 1999 X\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that", "bsd"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\n * purpose with or without fee is hereby granted, provided", "isc"),
+    ("// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy", "mpl-2.0"),
+    ("Released under the GPL License", ""), ("Licensed under CC BY-SA 4.0", "cc-by,cc-by-sa-4.0"), ("Licensed under the Mozilla Public License, Version 2.0", ""),
+    ("Licensed under the Apache License, Version 3.0", ""), ("Licensed under the Apache License,\nVersion 2.0 (the License)", "apache-2.0"),
+    ("Redistribution of " + "many " * 30 + "source and binary forms, with or without modification, are permitted", ""),
+]
+
+
+def test_wrapped_headers_and_like_wordings(spark):
+    """Wordings broken over lines are found, those that only share most words with a template are not."""
+    got = L.scan(spark.createDataFrame(list(enumerate(t for t, _ in WRAPPED)), "doc_id int, text string"))
+    assert {r.doc_id: r.labels for r in got.collect()} == {i: label for i, (_, label) in enumerate(WRAPPED)}
+
+
 def test_query_equals_sql(spark, small):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
