@@ -48,7 +48,7 @@ NARROW_WORDS = 1 << 24
 BUCKET_TOKENS = 1 << 20
 HELD_KEYS = 1 << 20
 #: Texts of an Arrow batch.
-ROWS = 64
+ROWS = 500
 
 _U = np.uint64
 
