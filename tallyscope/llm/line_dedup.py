@@ -304,13 +304,17 @@ def further_beaten(classes: DataFrame, again: DataFrame, order, num: int, den: i
     def prefixes(bits):
         def run(batches):
             for batch in batches:
+                tokens, classes_ = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
                 for klass, packed in zip(batch.column("class").to_pylist(), batch.column("set").to_pylist()):
                     token = np.frombuffer(packed, _U)
                     token = token[np.lexsort((token, order.value[(token & _U(len(order.value) - 1)).astype(np.int64)]))]
                     token = token[:len(token) - least_size(np.array([len(token)]), num, den)[0] + 1]
                     if bits is not None:
                         token = token[flagged(bits.value, token)]
-                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array([klass] * len(token), pa.int64())], names=["token", "class"])
+                    if len(token):
+                        tokens.append(token)
+                        classes_.append(np.full(len(token), klass))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes_))], names=["token", "class"])
         return run
 
     def matches(batches):
