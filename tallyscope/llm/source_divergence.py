@@ -36,12 +36,14 @@ from tallyscope.session import small_side, stored
 #: 0 for bytes of terms (a-z after lower-casing, and all beyond ASCII).
 TERM = bytes(0 if 0x61 <= c <= 0x7A or c >= 0x80 else 1 for c in range(256))
 ENDS = re.compile(rb"[\x00-\x40]")
-PART_BYTES = 4 << 20
+PART_BYTES = 2 << 20
+#: Texts of an Arrow batch.
+ROWS = 64
 FLAG_BITS = 1 << 25
 BLOCK_TERMS = 2048
 TILE_GROUPS = 64
 #: Counts that a task, or a block being merged, holds before they are added up.
-HELD = 2 << 20
+HELD = 1 << 20
 #: Columns that give the order of a block's terms.
 ORDER_COLUMNS = 16
 
@@ -301,14 +303,14 @@ def divergences(docs: DataFrame, text: str = "text", lang: str = "lang", source:
     """(lang, source, part, item, value, rank): for every group, part ``pair`` has all other sources of its language, by
     distance, and part ``term`` its ``top`` typical terms."""
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    kept = stored(document_counts(texts).where(F.col("n") >= least).select("lang", "term"))
+    with short_batches(docs.sparkSession, ROWS):
+        kept = stored(document_counts(texts).where(F.col("n") >= least).select("lang", "term"))
     groups = stored(texts.select("lang", "source").distinct())
     sizes = stored(kept.groupBy("lang").agg(F.count("*").alias("v")))
     tiles = stored(groups.groupBy("lang").agg(F.ceil(F.count("*") / TILE_GROUPS).cast("int").alias("tiles")))
     blocks = max(1, -(-(sizes.agg(F.max("v")).first()[0] or 0) // BLOCK_TERMS))
-    columns = count_blocks(texts, kept, tiles, blocks)
-    with short_batches(docs.sparkSession):
-        columns = stored(columns)
+    with short_batches(docs.sparkSession, ROWS):
+        columns = stored(count_blocks(texts, kept, tiles, blocks))
 
     totals = columns.select("lang", F.explode(F.arrays_zip("sources", "totals")).alias("at")).groupBy("lang", F.col("at.sources").alias("source")).agg(F.sum("at.totals").alias("n"))
     named = groups.join(totals, ["lang", "source"], "left").join(small_side(tiles), "lang") \
