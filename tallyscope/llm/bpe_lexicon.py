@@ -26,17 +26,18 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from tokenizers import Tokenizer
 
-from tallyscope.llm.words import list_array, ship_file
+from tallyscope.llm.words import list_array, released, ship_file
+from tallyscope.session import stored
 
 #: Most words in a lexicon, and the number of times a word has to occur to be worth a place.
 LEXICON_WORDS = 40_000
 LEXICON_COUNT = 8
 #: Words remembered by a task, and words counted by it before it hands partial counts on.
-MEMO = 350_000
-PARTIAL = 200_000
+MEMO = 250_000
+PARTIAL = 100_000
 
 
 #: Ids are below 2 ** SHIFT; NEVER is above every rank.
@@ -233,6 +234,7 @@ def compile_lexicon(docs: DataFrame, tokenizer_path: str, text: str = "text", mo
     shipped = docs.sparkSession.sparkContext.broadcast(source)
 
     def partial(batches):
+        released()
         rules, seen = Rules(shipped.value), Counter()
 
         def rows():
@@ -240,7 +242,7 @@ def compile_lexicon(docs: DataFrame, tokenizer_path: str, text: str = "text", mo
 
         for batch in batches:
             for value in batch.column(0).to_pylist():
-                if value and not rules.strange.search(value):
+                if value:
                     seen.update(rules.words(value))
                     if len(seen) > PARTIAL:
                         yield rows()
@@ -248,8 +250,16 @@ def compile_lexicon(docs: DataFrame, tokenizer_path: str, text: str = "text", mo
         yield rows()
 
     counts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(partial, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    frequent = counts.where(F.col("n") >= least_count).orderBy(F.desc("n"), "word").limit(most).collect()
-    words = [r.word.encode() for r in frequent]
+    # Whole classes of like counts, the most frequent first, as far as they fit: the driver gets a short histogram and no
+    # more than ``most`` words, whatever the number of tasks.
+    frequent = stored(counts.where(F.col("n") >= least_count).withColumn("level", F.floor(F.log2(F.col("n").cast("double")) * 16)))
+    room, lowest = most, None
+    for level, n in sorted(((r.level, r.m) for r in frequent.groupBy("level").agg(F.count("*").alias("m")).collect()), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        lowest = level
+    words = [] if lowest is None else sorted(r.word.encode() for r in frequent.where(F.col("level") >= lowest).select("word").collect())
     return ship_file(docs.sparkSession, compile_transducer([(w, ids.tolist()) for w, ids in zip(words, Rules(source).merged(words))]), "lexicon")
 
 
@@ -296,13 +306,14 @@ class Encoder(dict):
         return np.frombuffer(b"".join(joined), np.int32), [len(j) // 4 for j in joined]
 
 
-def encode(docs: DataFrame, lexicon: str, tokenizer_path: str, text: str = "text", ids: str = "ids", rows: int = 512) -> DataFrame:
-    """``docs`` with the token ids of every whole text as the array column ``ids``."""
+def _encoding(docs: DataFrame, lexicon: str, tokenizer_path: str, text: str, ids: str, rows: int):
+    """What encodes batches of the returned columns of ``docs``, and the schema it gives."""
     shipped = docs.sparkSession.sparkContext.broadcast(open(tokenizer_path, encoding="utf-8").read())
     kept = docs.drop(ids)
     names = kept.columns
 
     def run(batches):
+        released()
         encoder = Encoder(Rules(shipped.value), Transducer(SparkFiles.get(lexicon)))
         for batch in batches:
             for begin in range(0, batch.num_rows, rows):
@@ -310,22 +321,22 @@ def encode(docs: DataFrame, lexicon: str, tokenizer_path: str, text: str = "text
                 flat, counts = encoder.texts(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, list_array(flat, np.array(counts), pa.int32())], names=[*names, ids])
 
-    schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    return kept.mapInArrow(run, schema)
+    return kept, run, T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
 
-def decode(encoded: DataFrame, tokenizer_path: str, ids: str = "ids", out: str = "decoded", rows: int = 128) -> DataFrame:
-    """``encoded`` with the text that the ids decode to as the string column ``out``: the tokens, joined by spaces."""
+def _decoding(spark: SparkSession, schema: T.StructType, tokenizer_path: str, ids: str, out: str, rows: int):
+    """What decodes batches of the schema's columns but ``out``, and the schema it gives."""
     spec = json.loads(open(tokenizer_path, encoding="utf-8").read())
     table = dict(spec["model"]["vocab"]) | {t["content"]: t["id"] for t in spec["added_tokens"]}
     tokens = [""] * (max(table.values()) + 1)
     for token, n in table.items():
         tokens[n] = token
-    shipped = encoded.sparkSession.sparkContext.broadcast(tokens)
-    kept = encoded.drop(out)
-    names = kept.columns
+    shipped = spark.sparkContext.broadcast(tokens)
+    fields = [f for f in schema.fields if f.name.lower() != out.lower()]
+    names = [f.name for f in fields]
 
     def run(batches):
+        released()
         lookup = pa.array(shipped.value, pa.string())
         for batch in batches:
             for begin in range(0, batch.num_rows, rows):
@@ -333,7 +344,25 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids: str = "ids", out: str =
                 lists = part.column(ids)
                 flat, counts = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0)
                 spelled = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts.to_numpy(zero_copy_only=False))]), pa.int32()), lookup.take(flat))
-                yield pa.RecordBatch.from_arrays([*part.columns, pc.binary_join(spelled, " ")], names=[*names, out])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), pc.binary_join(spelled, " ")], names=[*names, out])
+
+    return run, T.StructType([*fields, T.StructField(out, T.StringType())])
+
 
-    schema = T.StructType([*kept.schema.fields, T.StructField(out, T.StringType())])
+def encode(docs: DataFrame, lexicon: str, tokenizer_path: str, text: str = "text", ids: str = "ids", rows: int = 512) -> DataFrame:
+    """``docs`` with the token ids of every whole text as the array column ``ids``."""
+    kept, run, schema = _encoding(docs, lexicon, tokenizer_path, text, ids, rows)
     return kept.mapInArrow(run, schema)
+
+
+def decode(encoded: DataFrame, tokenizer_path: str, ids: str = "ids", out: str = "decoded", rows: int = 128) -> DataFrame:
+    """``encoded`` with the text that the ids decode to as the string column ``out``: the tokens, joined by spaces."""
+    run, schema = _decoding(encoded.sparkSession, encoded.schema, tokenizer_path, ids, out, rows)
+    return encoded.drop(out).mapInArrow(run, schema)
+
+
+def encode_and_decode(docs: DataFrame, lexicon: str, tokenizer_path: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``decode`` of ``encode``, in one pass of one worker a task instead of two."""
+    kept, first, middle = _encoding(docs, lexicon, tokenizer_path, text, ids, 512)
+    second, schema = _decoding(docs.sparkSession, middle, tokenizer_path, ids, out, 128)
+    return kept.mapInArrow(lambda batches: second(first(batches)), schema)

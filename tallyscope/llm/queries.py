@@ -33,8 +33,7 @@ def op2_bpe_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     path = public_tokenizers.path("word_bpe_49k.json")
     lexicon = bpe_lexicon.compile_lexicon(docs, path)
-    encoded = bpe_lexicon.encode(docs, lexicon, path).select("doc_id", "ids")
-    both = bpe_lexicon.decode(encoded, path)
+    both = bpe_lexicon.encode_and_decode(docs, lexicon, path)
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
