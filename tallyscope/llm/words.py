@@ -6,6 +6,8 @@ cutting at bytes never cuts a character: separators are ASCII and bytes of longe
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -37,11 +39,21 @@ class Words(NamedTuple):
     first: np.ndarray  # first[d]:first[d + 1] are the words of text d
 
 
+def released() -> None:
+    """Give back to the system what earlier tasks of this worker left free; workers outlive tasks and keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def text_pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with about ``limit`` bytes of text each, and their texts; null is an empty text.
 
     A text is never cut: one that is longer than the limit makes a slice of its own.
     """
+    released()
     for batch in batches:
         raw = [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
         begin = size = 0
@@ -81,6 +93,7 @@ def text_parts(batches: Iterable[pa.RecordBatch], limit: int, ends: re.Pattern[b
 
     The last column is the text; null is an empty text. Longer texts are cut behind the next match of ``ends``.
     """
+    released()
     texts, heads, numbers, parted, size, number = [], [], [], [], 0, 0
     for batch in batches:
         columns = [c.to_pylist() for c in batch.columns[:-1]]
