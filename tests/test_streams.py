@@ -47,6 +47,24 @@ def test_ledger_state_ends_behind_the_watermark(spark, tmp_path):
     assert all(last[f"a{i}"] == ("settle", 2.0) for i in range(20)) and last["last"] == ("reserve", 5.0)
 
 
+def test_ledger_calls_go_by_buckets(spark, tmp_path, monkeypatch):
+    """Reservations share a few state rows; each of them still ends by its own last entry."""
+    monkeypatch.setattr(S, "LEDGER_BUCKETS", 3)
+    hour = lambda h: T0 + dt.timedelta(hours=h)
+    schema = "reservation_id string, kind string, entry long, meter string, usd_max double, actual_usd double, ts timestamp"
+    rows = [(f"a{i}", "reserve", i, "feed", 5.0, 0.0, hour(1 if i % 2 else 300)) for i in range(20)] + [(f"b{i}", "reserve", 100 + i, "feed", 7.0, 0.0, hour(300)) for i in range(20)]
+    rows += [(f"c{i}", "reserve", 200 + i, None, 1.0, 0.0, hour(301)) for i in range(20)] + [(f"a{i}", "settle", 300 + i, None, 0.0, 2.0, hour(302)) for i in range(20)]
+    stream = S.ledger_state(stream_of(spark, parts(spark, tmp_path, rows, schema, 4), schema), "ts", "1 hour", 2)
+    seen = []
+    query = stream.writeStream.outputMode("update").foreachBatch(lambda d, b: seen.extend(d.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 3
+    last = {r["reservation_id"]: (r["state"], r["usd"], r["meter"]) for r in seen}
+    # The odd ones ended behind the watermark, so their settlements find no reservation.
+    assert all(last[f"a{i}"] == (("reserve", 5.0, "feed") if i % 2 else ("settle", 2.0, "feed")) for i in range(20))
+    assert all(last[f"b{i}"] == ("reserve", 7.0, "feed") and last[f"c{i}"] == ("reserve", 1.0, None) for i in range(20))
+
+
 def test_duplicates_and_old_rows_are_refused(spark, tmp_path):
     day = lambda d: T0 + dt.timedelta(days=d)
     rows = [("x", day(0)), ("y", day(1)), ("x", day(2)), (None, day(1)), ("z", None), ("old", day(-9)), ("y", day(2)), ("w", day(3))]
