@@ -67,11 +67,19 @@ def page_facts(tables: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataF
 
 def wide_facts(facts: DataFrame, key: Sequence[str], wanted: Sequence[str], position: Column,
                section: str = "section") -> DataFrame:
-    """First value per wanted item, and the number of sections that gave any fact."""
-    hit = lambda i: F.col("item") == i
-    return facts.groupBy(*key).agg(
-        F.count_distinct(section).alias("n_sections"),
-        *[F.min_by(F.when(hit(i), F.col("value")), F.when(hit(i), position)).alias(i) for i in wanted])
+    """First value per wanted item, and the number of sections that gave any fact.
+
+    Positions are structs, so the aggregate of values sorts its input. Only the wanted items go there, as narrow rows dealt
+    by key in partitions of bounded size, a key of many rows in several of them: each sorts in memory and leaves about a
+    row a key. Sections are counted by hash.
+    """
+    item = F.array_position(F.array(*[F.lit(i) for i in wanted]), F.col("item")).cast("byte")
+    slim = facts.where(F.col("item").isin(*wanted)).select(*key, item.alias("_i"), F.col("value").alias("_v"), position.alias("_p"))
+    hit = lambda i: F.col("_i") == wanted.index(i) + 1
+    values = slim.hint("rebalance", *key).groupBy(*key).agg(*[F.min_by(F.when(hit(i), F.col("_v")), F.when(hit(i), F.col("_p"))).alias(i) for i in wanted])
+    sections = facts.groupBy(*key).agg(F.count_distinct(section).alias("n_sections"))
+    both = sections.unionByName(values, allowMissingColumns=True)
+    return both.groupBy(*key).agg(F.max("n_sections").alias("n_sections"), *[F.max(i).alias(i) for i in wanted])
 
 
 def fee_checksum(lines: DataFrame, key: Sequence[str]) -> DataFrame:

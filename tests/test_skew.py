@@ -1,15 +1,18 @@
 """Queries stay exact when one key holds a third of all rows and groups are cut into buckets."""
 
 import os
+import random
 import shutil
 import sys
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from tallyscope.operators import ordering  # noqa: E402
+from tallyscope.operators import statements as S  # noqa: E402
 from tallyscope.plans.catalogue import PLANS  # noqa: E402
 from tallyscope.plans.registry import TABLES  # noqa: E402
 from verify import rows_of  # noqa: E402
@@ -49,3 +52,17 @@ def test_hot_keys(spark, hot, name, monkeypatch):
     rel = con.execute(PLANS[name].sql)
     cols = [d[0] for d in rel.description]
     assert rows_of(df.columns, df.collect()) == rows_of(cols, rel.fetchall())
+
+
+def test_wide_facts_sort_dealt_partitions(spark):
+    """Facts are dealt by key in bounded partitions before the aggregate that sorts them; a hot key keeps its first values."""
+    rng = random.Random(5)
+    rows = [(1 if rng.random() < 0.6 else rng.randint(2, 40), rng.choice("ANR"), rng.choice(["qty", "tax", "price"]), rng.choice([0.0, 1.5, 2.5]), i, rng.random()) for i in rng.sample(range(9000), 3000)]
+    d = S.wide_facts(spark.createDataFrame(rows, "k int, section string, item string, value double, a int, b double"), ["k"], ["qty", "tax", "none"], F.struct("a", "b"))
+    want = {}
+    for k, section, item, value, a, b in sorted(rows, key=lambda r: r[4:]):
+        one = want.setdefault(k, (set(), {}))
+        one[0].add(section)
+        one[1].setdefault(item, value)
+    assert {(r.k, r.n_sections, r.qty, r.tax, r.none) for r in d.collect()} == {(k, len(s), v.get("qty"), v.get("tax"), None) for k, (s, v) in want.items()}
+    assert "REBALANCE_PARTITIONS_BY_COL" in d._jdf.queryExecution().executedPlan().toString()
