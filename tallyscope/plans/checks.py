@@ -74,7 +74,7 @@ def statements(t: Tables) -> DataFrame:
         of(flag == "A", price).alias("personnel_budget"), of(flag == "A", price * (1 - disc)).alias("personnel_actual"),
         F.sum(price).alias("total_budget"), F.sum(price * (1 - disc)).alias("total_actual"),
         F.max("l_quantity").alias("disclosed"), F.when(F.count(F.lit(1)) > 1, F.min("l_quantity")).alias("payable"))
-    pairs = K.equal_amount_pairs(lines(t), "code", F.col("side"), "amount", "label", F.col("pos")).groupBy("code").agg(
+    pairs = K.equal_amount_pairs(lines(t), "code", F.col("side"), "amount", "label", F.col("pos"), labels=False).groupBy("code").agg(
         F.count(F.lit(1)).alias("n_equal_pairs"))
     o = t.orders.select(F.col("o_orderkey").alias("code"), F.year("o_orderdate").alias("year"),
                         (F.month("o_orderdate") <= 3).alias("opening"), F.col("o_totalprice").alias("revenue"))
@@ -104,7 +104,7 @@ def rule_tally(t: Tables) -> DataFrame:
 def compliance_summary(t: Tables) -> DataFrame:
     o = t.orders.select(F.col("o_orderkey").alias("code"), F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("id"), (F.col("o_orderstatus") != "P").alias("matched"))
     targets = o.unionByName(o.select("code", "year", (-1 - F.col("id")).alias("id"), F.lit(False).alias("matched")))
-    return K.compliance_summary(policy_checks(t), targets).withColumn("latest_year", F.col("latest_year").cast("long"))
+    return K.compliance_summary(policy_checks(t), targets, rules=[r.name for r in K.policy_rules()]).withColumn("latest_year", F.col("latest_year").cast("long"))
 
 
 @plan("W9", with_("panel", more="""g AS (SELECT entity, year, open_qty * 100 AS asset, CASE WHEN n_lines > 90 THEN NULL ELSE qty * 50 END AS liability FROM panel),

@@ -165,7 +165,7 @@ def audit_priority_list(t: Tables) -> DataFrame:
     from tallyscope.plans.checks import policy_checks
     scored, _ = M.backtest_point(labelled(t, frame_at(t, 1997), 1997, 1999), labelled(t, frame_at(t, 1999), 1999, 2001), "label", FEATURES)
     o = t.orders.select(F.col("o_orderkey").alias("code"), F.year("o_orderdate").alias("year"), F.col("o_custkey").alias("id"), F.lit(True).alias("matched"))
-    compliance = C.compliance_summary(policy_checks(t).where(F.col("year") < 1999), o)
+    compliance = C.compliance_summary(policy_checks(t).where(F.col("year") < 1999), o, rules=[r.name for r in C.policy_rules()])
     events = H.event_summary(R.sanctions(t).withColumn("type", F.col("role")), "1999-01-01", ["F", "P"])
     ev = H.latest_evaluation(R.evaluations(t), "1999-01-01")
     recent = ev.select("id", "eval_date", ((F.col("eval_partial") == 1) & (F.col("days_since_evaluation") <= 730)).cast("int").alias("recent_partial"))

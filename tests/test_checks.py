@@ -100,3 +100,28 @@ def test_log_factorial_against_lgamma(spark):
     for r in got:
         want = math.lgamma(r.n + 1)
         assert r.x == 0.0 if r.n <= 1 else abs(r.x - want) <= 1e-12 * want
+
+
+def test_equal_amounts_without_labels_are_the_same_pairs(spark):
+    """Positions decide where labels are missing; marks of fixed size are aggregated by hash."""
+    rows = [(1, 5.0, "A", "r", 1), (1, 5.0, "B", "e", 2), (1, 6.0, "A", "r", 1), (2, 7.0, None, "r", 1), (2, 7.0, "A", "r", 2), (2, 7.0, "B", "e", 3),
+            (3, 7.0, "A", "r", 1), (3, 7.0, None, "r", 2), (3, 7.0, "B", "e", 3), (4, 0.0, "A", "r", 1), (4, 0.0, "B", "e", 2), (5, None, "A", "r", 1),
+            (None, 8.0, "A", "r", 1), (None, 8.0, "B", "e", 1), (None, 9.0, None, "e", 2), (None, 9.0, "A", "r", 3), (None, 9.0, "B", "e", 4), (1, 5.0, "A", "r", 1)]
+    d = spark.createDataFrame(rows, "code long, amount double, label string, s string, pos int")
+    side = F.when(F.col("s") == "e", "expense").otherwise("revenue")
+    for some in (d, d.where("label is not null")):
+        want = K.equal_amount_pairs(some, "code", side, "amount", "label", F.struct("pos")).select("code", "amount")
+        got = K.equal_amount_pairs(some, "code", side, "amount", "label", F.struct("pos"), labels=False)
+        assert got.columns == ["code", "amount"] and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_numbered_rules_quote_the_same_finding(spark):
+    rows = [(c, 1990 + c % 3, r, p, s) for c in range(12) for r, p, s in (
+        ("b", [True, False, None][c % 3], "high"), ("a", c % 2 == 0, "medium"), ("ä", c % 4 == 0, "medium"), ("B", c % 5 == 0, None), ("c", c % 7 != 1, "low"))] + [(3, None, "a", False, "high")]
+    checks = spark.createDataFrame(rows, "code long, year int, rule string, passed boolean, severity string")
+    targets = checks.select("code", "year", (F.col("code") % 4).alias("id"), (F.col("code") % 3 != 0).alias("matched")).distinct()
+    want = K.compliance_summary(checks, targets)
+    got = K.compliance_summary(checks, targets, rules=["c", "b", "a", "ä", "B"])
+    assert got.columns == want.columns and sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
