@@ -104,6 +104,36 @@ def bitmap(token: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+def ranked(key: np.ndarray) -> np.ndarray:
+    """The place of each value among the distinct ones."""
+    by = np.argsort(key)
+    out = np.empty(len(key), _U)
+    out[by] = np.cumsum(np.diff(key[by], prepend=key[by[:1]]) != 0)
+    return out
+
+
+def ordered(main: np.ndarray, second: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Rows in the order of three keys, the last below 2^32; plain sorts of 64-bit numbers, much faster than stable ones."""
+    rank = ranked(ranked(main) << _U(32) | ranked(second))
+    return np.argsort(rank << _U(32) | last.astype(_U))
+
+
+def packed_blocks(values: np.ndarray, cut: np.ndarray, kind: type) -> pa.Array:
+    """A binary column with the values from each cut to the next, stored as ``kind``."""
+    values = np.ascontiguousarray(values, kind)
+    offsets = (np.r_[cut, len(values)] * (values.nbytes // len(values))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cut), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def unpacked(column: pa.Array, begin: int, end: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The values of neighbouring blocks in one array, and how many each block has."""
+    column = column.slice(begin, end - begin).cast(pa.binary())
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset).astype(np.int64)
+    width = np.dtype(kind).itemsize
+    return np.frombuffer(data, kind, (bounds[-1] - bounds[0]) // width, bounds[0]), np.diff(bounds) // width
+
+
 def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int, asks: int) -> DataFrame:
     """(class, other, more): an earlier class that may match; ``more``: the class may have further ones at that token.
 
@@ -119,7 +149,7 @@ def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int,
             h = part.column("print").to_numpy()[doc]
             fresh = np.zeros(len(n), bool)
             some = np.flatnonzero(n)
-            for row, k, *where in zip(some.tolist(), key[some].tolist(), a[some].tolist(), h[some].tolist(), number[some].tolist()):
+            for row, k, where in zip(some.tolist(), key[some].tolist(), zip(a[some].tolist(), h[some].tolist(), number[some].tolist())):
                 if k not in best or where < best[k]:  # a class is posted again only from an earlier place
                     best[k] = where
                     fresh[row] = True
@@ -132,28 +162,37 @@ def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int,
             bucket = (token >> _U(32)).astype(np.int64) % buckets
             by = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
             mine, token, place, bucket = mine[by], token[by], place[by], bucket[by]
-            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            columns: list[list] = [[] for _ in range(10)]
-            for x, y in zip(cut, [*cut[1:], len(mine)]):
-                rows, slot = np.unique(mine[x:y], return_inverse=True)
-                texts, text_slot = np.unique(doc[rows], return_inverse=True)
-                values = (int(bucket[x]), token[x:y].astype(np.uint32), place[x:y].astype(np.uint16), slot.astype(np.uint32), key[rows], n[rows].astype(np.uint32),
-                          number[rows].astype(np.uint32), text_slot.astype(np.uint32), np.stack([a[rows], h[rows]])[:, np.unique(text_slot, return_index=True)[1]], bits[rows])
-                for column, v in zip(columns, values):
-                    column.append(v if isinstance(v, int) else np.ascontiguousarray(v).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=FIELDS)
+            if not len(mine):
+                continue
+            # A block per bucket: its tokens, their lines and the lines' texts stand together and are numbered within it.
+            opens = np.diff(bucket, prepend=-1) != 0
+            cut, line_opens = np.flatnonzero(opens), opens | (np.diff(mine, prepend=-1) != 0)
+            rows, row = mine[line_opens], np.cumsum(line_opens) - 1
+            text_opens = opens[line_opens] | (np.diff(doc[rows], prepend=-1) != 0)
+            texts, text = rows[text_opens], np.cumsum(text_opens) - 1
+            line_cut = row[cut]
+            text_cut = text[line_cut]
+            slot = row - np.repeat(line_cut, np.diff(np.r_[cut, len(mine)]))
+            text_slot = text - np.repeat(text_cut, np.diff(np.r_[line_cut, len(rows)]))
+            columns = [(token, cut), (place, cut), (slot, cut), (key[rows], line_cut), (n[rows], line_cut), (number[rows], line_cut), (text_slot, line_cut),
+                       (np.stack([a[texts], h[texts]], 1), text_cut), (bits[rows], line_cut)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut]), *(packed_blocks(v, at, kind) for (v, at), kind in zip(columns, KINDS))], names=FIELDS)
 
     def meet(batches):
         current, held = None, []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] != current and held:
+            bucket = batch.column(0).to_numpy()
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+            for x, y in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)]):
+                if bucket[x] != current and held:
                     yield from pairs(held)
                     held = []
-                current = row[0]
-                token, place, slot, key, n, number, text_slot, texts, bits = (np.frombuffer(v, k) for v, k in zip(row[1:], KINDS))
-                texts, bits = texts.reshape(2, -1), bits.reshape(-1, MAP_WORDS)
-                a, h = texts[0][text_slot], texts[1][text_slot]
+                current = bucket[x]
+                (token, place, slot, key, n, number, text_slot, texts, bits), (_, _, tokens, lines, *_, spans, _) = zip(*(unpacked(c, x, y, k) for c, k in zip(batch.columns[1:], KINDS)))
+                slot = slot + np.repeat(np.cumsum(lines) - lines, tokens)
+                text_slot = text_slot + np.repeat(np.cumsum(spans // 2) - spans // 2, lines)
+                texts, bits = texts.reshape(-1, 2), bits.reshape(-1, MAP_WORDS)
+                a, h = texts[text_slot].T
                 held.append((token, place, *(v[slot] for v in (key, n, number, a, h)), bits[slot]))
         if held:
             yield from pairs(held)
@@ -161,10 +200,10 @@ def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int,
     def pairs(held):
         token, place, key, n, number, a, h, bits = (np.concatenate(v) for v in zip(*held))
         # Order of the lines, then one row per token and class: its first line.
-        by = np.lexsort((number, h, a))
+        by = ordered(a, h, number)
         first = np.empty(len(by), np.int64)
         first[by] = np.arange(len(by))
-        by = np.lexsort((first, key, n, token))
+        by = ordered(token.astype(_U) << _U(32) | n, key, first)
         new = np.ones(len(by), bool)
         new[1:] = (token[by][1:] != token[by][:-1]) | (key[by][1:] != key[by][:-1])
         by = by[new]

@@ -3,6 +3,8 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,17 @@ def test_query_equals_all_pairs(spark, small):
     rows = [(r.doc_id, r.h, r.text) for r in docs.select("doc_id", line_dedup.text_print("text").alias("h"), "text").collect()]
     got = LLM_QUERIES["op5_line_dedup"](spark, small)
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.withColumn("text", F.col("text")).collect()), key=repr) == brute(rows)
+
+
+def test_rows_are_ordered_and_packed_without_a_step_per_block():
+    pick = np.random.default_rng(5)
+    main, second, last = pick.integers(-3, 3, 500), pick.integers(-1 << 62, 1 << 62, 20)[pick.integers(0, 20, 500)], pick.permutation(500)
+    assert (line_dedup.ordered(main, second, last) == np.lexsort((last, second, main))).all()
+    assert not len(line_dedup.ordered(main[:0], second[:0], last[:0]))
+    cut = np.array([0, 1, 40, 499])
+    for kind, values in ((np.uint16, last), (np.int64, np.stack([main, second], 1))):
+        blocks = line_dedup.packed_blocks(values, cut, kind)
+        assert blocks.to_pylist() == [v.astype(kind).tobytes() for v in np.split(values, cut[1:])]
+        got, n = line_dedup.unpacked(pa.concat_arrays([blocks, blocks]).slice(1), 1, 5, kind)
+        assert (got == np.concatenate([values[40:], values[:40]]).astype(kind).ravel()).all()
+        assert (n == np.array([459, 1, 1, 39]) * (len(got) // 500)).all()
