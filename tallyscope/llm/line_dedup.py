@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyscope.llm.rarity import bit_blocks, cell_scale, flagged
@@ -61,25 +62,34 @@ def least_size(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return -((-n * num) // den)
 
 
+def globally_ordered(line: np.ndarray, scale: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of lines in the global order, line by line, and which of them so ordered equal the one before."""
+    same = np.zeros(len(token), bool)
+    if len(token) and line.max() < 65536:
+        key = line.astype(_U) << _U(48)
+        key |= scale.astype(_U) << _U(40)
+        key |= token >> _U(24)
+        by = np.argsort(key)
+        key, token_ = key[by], token[by]
+        same[1:] = key[1:] == key[:-1]
+        tie = np.flatnonzero(same)
+        if (token_[tie] == token_[tie - 1]).all():
+            return by, same
+    by = np.lexsort((token, scale, line))
+    same[1:] = (line[by][1:] == line[by][:-1]) & (token[by][1:] == token[by][:-1])
+    return by, same
+
+
 def sorted_lines(raw: list[bytes], rank: np.ndarray):
-    """Distinct tokens of every line in the global order: (line, token) sorted, and per line its text and number, size and class."""
+    """Distinct tokens of every line in the global order: (line, token, scale) sorted, and per line its text and number, size and class."""
     words = split_words(raw)
     token = fingerprints(words.data, words.start, words.end)
     ends = np.flatnonzero(words.data == 10)
-    line = np.cumsum(words.data == 10, dtype=np.int32)[words.start].astype(np.int64)
-    place = rank[(token & _U(len(rank) - 1)).astype(np.int64)].astype(_U)
-    if len(ends) < 65536:
-        key = line.astype(_U) << _U(48) | place << _U(40) | token >> _U(24)
-        by = np.argsort(key)
-        tie = key[by][1:] == key[by][:-1]
-        if (token[by][1:][tie] != token[by][:-1][tie]).any():
-            by = np.lexsort((token, place, line))
-    else:
-        by = np.lexsort((token, place, line))
-    line, token = line[by], token[by]
-    new = np.ones(len(by), bool)
-    new[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
-    line, token = line[new], token[new]
+    line = np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(words.start, ends), prepend=0))
+    scale = rank[(token & _U(len(rank) - 1)).view(np.int64)]
+    by, same = globally_ordered(line, scale, token)
+    by = by[~same]
+    line, token, scale = line[by], token[by], scale[by]
     n = np.bincount(line, minlength=len(ends))
     at = np.cumsum(n) - n
     key = np.zeros(len(ends), _U)
@@ -89,19 +99,14 @@ def sorted_lines(raw: list[bytes], rank: np.ndarray):
     text_end = np.cumsum([len(r) + 1 for r in raw]) - 1
     doc = np.searchsorted(text_end, ends)
     number = np.arange(len(ends)) - np.searchsorted(doc, doc)
-    return line, token, at, n, key.view(np.int64), doc, number
+    return line, token, scale, at, n, key.view(np.int64), doc, number
 
 
-def bitmap(token: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The bits of each line, as words; a line's tokens stand together."""
-    out = np.zeros((len(n), MAP_WORDS), _U)
-    full = n > 0
-    if full.any():
-        bit = (token >> _U(48)) % _U(64 * MAP_WORDS)
-        one = _U(1) << (bit & _U(63))
-        for word in range(MAP_WORDS):
-            out[full, word] = np.bitwise_or.reduceat(np.where(bit >> _U(6) == word, one, _U(0)), at[full])
-    return out
+def bitmap(line: np.ndarray, token: np.ndarray, lines: int) -> np.ndarray:
+    """The bits of each line, as words."""
+    held = np.zeros((lines, 64 * MAP_WORDS), bool)
+    held[line, ((token >> _U(48)) * _U(64 * MAP_WORDS) >> _U(16)).view(np.int64)] = True
+    return np.packbits(held, axis=1, bitorder="little").view(_U)
 
 
 def ranked(key: np.ndarray) -> np.ndarray:
@@ -144,7 +149,7 @@ def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int,
     def post(batches):
         rank, best = order.value, {}
         for part, raw in text_pieces(batches):
-            line, token, at, n, key, doc, number = sorted_lines(raw, rank)
+            line, token, scale, at, n, key, doc, number = sorted_lines(raw, rank)
             a = part.column("id").fill_null(LAST).to_numpy()[doc] if len(doc) else np.zeros(0, np.int64)
             h = part.column("print").to_numpy()[doc]
             fresh = np.zeros(len(n), bool)
@@ -155,13 +160,17 @@ def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int,
                     fresh[row] = True
             if len(best) > 200_000:
                 best.clear()
-            place = np.arange(len(line)) - at[line]
-            take = fresh[line] & (place < (n - least_size(n, num, den) + 1)[line]) & (rank[(token & _U(len(rank) - 1)).astype(np.int64)] != ONCE)
-            bits = bitmap(token, at, n)
-            mine, token, place = line[take], token[take], np.minimum(place[take], 65535)
-            bucket = (token >> _U(32)).astype(np.int64) % buckets
+            # The prefixes of these lines, without tokens that stand once.
+            rows = np.flatnonzero(fresh)
+            sizes = (n - least_size(n, num, den) + 1)[rows]
+            place, mine = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(rows, sizes)
+            take = at[mine] + place
+            shared = np.flatnonzero(scale[take] != ONCE)
+            mine, place, prefix = mine[shared], np.minimum(place[shared], 65535), token[take[shared]]
+            bits = bitmap(line, token, len(n))
+            bucket = (prefix >> _U(32)).astype(np.int64) % buckets
             by = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
-            mine, token, place, bucket = mine[by], token[by], place[by], bucket[by]
+            mine, token, place, bucket = mine[by], prefix[by], place[by], bucket[by]
             if not len(mine):
                 continue
             # A block per bucket: its tokens, their lines and the lines' texts stand together and are numbered within it.
@@ -207,33 +216,37 @@ def candidates(docs: DataFrame, ids: str, text: str, order, num: int, den: int,
         new = np.ones(len(by), bool)
         new[1:] = (token[by][1:] != token[by][:-1]) | (key[by][1:] != key[by][:-1])
         by = by[new]
-        token, place, key, n, first, bits = token[by], place[by].astype(np.int64), key[by], n[by].astype(np.int64), first[by], bits[by]
-        lost = n - np.bitwise_count(bits).sum(1, dtype=np.int64)
+        token, place, key, n, first, bits = token[by], place[by].astype(np.int64), key[by], n[by].astype(np.int64), first[by], bits[by].T.copy()
+        lost = n - np.bitwise_count(bits).sum(0, dtype=np.int64)
         brought, more, met = np.zeros(len(key), np.int64), np.zeros(len(key), bool), np.zeros(len(key), bool)
-        low = np.arange(len(key))
+        # The largest partner that a line's tokens from here on leave room for; the length filter follows, as none stand before the first.
+        most = (num + den) * (n - place) // num - n
+        low = np.flatnonzero((token[1:] == token[:-1]) & (n[1:] <= most[:-1]))
+        # Sorted by token and size: partners stand together, up to the token's last line of that size.
+        last = np.searchsorted(token.astype(_U) << _U(32) | n.astype(_U), token[low].astype(_U) << _U(32) | np.minimum(most[low], 0xFFFFFFFF).astype(_U), side="right") - 1
         step = 0
         while True:
             step += 1
-            # Sorted by token and size: once a partner is another token's or too large, so are all further ones.
-            low = low[low + step < len(key)]
-            high = low + step
-            low = low[(token[low] == token[high]) & (den * n[low] >= num * n[high])]
-            if not len(low):
+            keep = np.flatnonzero(last - low >= step)
+            if not len(keep):
                 break
-            high = low + step
-            later = np.where(first[low] > first[high], low, high)
-            sure = brought[later] < asks
-            more[later[~sure]] = met[low[~sure]] = met[high[~sure]] = True
-            x, y, z = low[sure], high[sure], later[sure]
-            need = n[x] + n[y]
-            fits = (num + den) * np.minimum(n[x] - place[x], n[y] - place[y]) >= num * need
-            x, y, z, need = x[fits], y[fits], z[fits], need[fits]
-            overlap = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64) + np.minimum(lost[x], lost[y])
-            fits = (num + den) * overlap >= num * need
-            z, other = z[fits], np.where(z[fits] == x[fits], y[fits], x[fits])
-            if len(z):
-                brought += np.bincount(z, minlength=len(key))
-                yield pa.RecordBatch.from_arrays([pa.array(key[z]), pa.array(key[other]), pa.array(np.zeros(len(z), bool))], names=["class", "other", "more"])
+            if len(keep) < len(low):
+                low, last = low[keep], last[keep]
+            x = low[n[low] <= most[low + step]]
+            y = x + step
+            overlap = np.minimum(lost[x], lost[y])
+            for word in bits:
+                overlap += np.bitwise_count(word[x] & word[y])
+            fits = np.flatnonzero((num + den) * overlap >= num * (n[x] + n[y]))
+            if not len(fits):
+                continue
+            x, y = x[fits], y[fits]
+            z = np.where(first[x] > first[y], x, y)
+            sure = brought[z] < asks
+            more[z[~sure]] = met[x[~sure]] = met[y[~sure]] = True
+            x, y, z = x[sure], y[sure], z[sure]
+            np.add.at(brought, z, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(key[z]), pa.array(key[np.where(z == x, y, x)]), pa.array(np.zeros(len(z), bool))], names=["class", "other", "more"])
         left = np.flatnonzero(met)
         yield pa.RecordBatch.from_arrays([pa.array(key[left]), pa.array(key[left]), pa.array(more[left])], names=["class", "other", "more"])
 
@@ -247,13 +260,17 @@ KINDS = [np.uint32, np.uint16, np.uint32, np.int64, np.uint32, np.uint32, np.uin
 
 
 def line_classes(docs: DataFrame, ids: str, text: str, flags) -> DataFrame:
-    """(class, n, lines, set): per class and piece the lines, and the sorted tokens if the class is flagged."""
+    """(class, lines, set): per class and piece the lines in their order, and the sorted tokens if the class is flagged."""
     def run(batches):
         rank = np.zeros(1, np.uint8)
         for part, raw in text_pieces(batches):
-            line, token, at, n, key, doc, number = sorted_lines(raw, rank)
-            by = np.argsort(key, kind="stable")
+            _, token, _, at, n, key, doc, number = sorted_lines(raw, rank)
+            texts = np.lexsort((part.column("print").to_numpy(), part.column("id").fill_null(LAST).to_numpy(), part.column("id").is_null().to_numpy(False)))
+            rank_of = np.empty(len(texts), np.int64)
+            rank_of[texts] = np.arange(len(texts))
+            by = np.argsort(rank_of[doc], kind="stable")
             by = by[n[by] > 0]
+            by = by[np.argsort(key[by], kind="stable")]
             cut = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]]) if len(by) else np.zeros(0, np.int64)
             heads = by[cut]
             wanted = flagged(flags.value, key[heads])
@@ -270,20 +287,19 @@ def verified(found: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     """The classes of ``found`` whose sets really match the other's."""
     def run(batches):
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2048):
-                part = batch.slice(begin, 2048)
-                klass = part.column("class").to_numpy()
-                sides = [part.column(c).to_pylist() for c in ("x", "y")]
-                size = [np.array([len(v) // 8 for v in side]) for side in sides]
+            hits = []
+            for begin in range(0, batch.num_rows, 256):
+                end = min(begin + 256, batch.num_rows)
+                (x, n), (y, m) = (unpacked(batch.column(c), begin, end, _U) for c in ("x", "y"))
                 # All pairs side by side: a token that both sets of a pair have is there twice.
-                pair = np.concatenate([np.repeat(np.arange(len(klass)), n) for n in size])
-                token = np.frombuffer(b"".join(v for side in sides for v in side), _U)
-                mark = mixed(token ^ mixed(pair.astype(_U) + _U(0x1B873593)))
+                pair = np.concatenate([np.repeat(np.arange(end - begin), k) for k in (n, m)])
+                mark = np.concatenate([x, y]) ^ mixed(np.arange(end - begin, dtype=_U) + _U(0x1B873593))[pair]
                 by = np.argsort(mark)
-                twice = mark[by][1:] == mark[by][:-1]
-                overlap = np.bincount(pair[by][1:][twice], minlength=len(klass))
-                hit = den * overlap >= num * (size[0] + size[1] - overlap)
-                yield pa.RecordBatch.from_arrays([pa.array(klass[hit])], names=["class"])
+                mark = mark[by]
+                overlap = np.bincount(pair[by[1:][mark[1:] == mark[:-1]]], minlength=end - begin)
+                hits.append(begin + np.flatnonzero(den * overlap >= num * (n + m - overlap)))
+            if hits:
+                yield pa.RecordBatch.from_arrays([pa.array(batch.column("class").to_numpy()[np.concatenate(hits)])], names=["class"])
 
     pairs = found.where("class != other").select("class", "other").join(sets.select("class", F.col("set").alias("x")), "class") \
         .join(sets.select(F.col("class").alias("other"), F.col("set").alias("y")), "other")
@@ -316,10 +332,12 @@ def removed_lines(docs: DataFrame, ids: str = "doc_id", text: str = "text", num:
         with short_batches(spark):
             beaten = stored(beaten.union(found).distinct())
 
-    place, low = _place(), _least_place()
-    firsts = classes.groupBy("class").agg(F.min(low).alias("first"), F.sum(F.size("lines")).alias("m")) \
-        .join(beaten.withColumn("beaten", F.lit(True)), "class", "left").where("m > 1 or beaten").select("class", "first", "beaten")
-    lines = classes.select("class", "lines").join(stored(firsts), "class").select("first", "beaten", F.explode("lines").alias("at")).select("first", "beaten", "at.*")
+    # Most classes are one line and stay; they drop out before any places are compared.
+    heads = stored(classes.groupBy("class").agg(F.sum(F.size("lines")).alias("m")).join(beaten.withColumn("beaten", F.lit(True)), "class", "left")
+                   .where("m > 1 or beaten").select("class", "beaten"))
+    losing = stored(classes.select("class", "lines").join(heads, "class"))
+    place, firsts = _place(), losing.groupBy("class").agg(F.min(_least_place()).alias("first"))
+    lines = losing.join(firsts, "class").select("first", "beaten", F.explode("lines").alias("at")).select("first", "beaten", "at.*")
     gone = lines.where(F.col("beaten").isNotNull() | (place != F.col("first"))).groupBy("id", "print").agg(F.collect_set("line").alias("lines"))
     return gone
 
@@ -330,7 +348,7 @@ def _place(of=F.col) -> Column:
 
 
 def _least_place() -> Column:
-    return F.array_min(F.transform("lines", lambda x: _place(lambda c: x[c])))
+    return _place(lambda c: F.col("lines")[0][c])
 
 
 def further_beaten(classes: DataFrame, again: DataFrame, order, num: int, den: int, rows: int = 128) -> DataFrame:
@@ -342,18 +360,19 @@ def further_beaten(classes: DataFrame, again: DataFrame, order, num: int, den: i
     """
     def prefixes(bits):
         def run(batches):
+            rank = order.value
             for batch in batches:
-                tokens, classes_ = [np.zeros(0, _U)], [np.zeros(0, np.int64)]
-                for klass, packed in zip(batch.column("class").to_pylist(), batch.column("set").to_pylist()):
-                    token = np.frombuffer(packed, _U)
-                    token = token[np.lexsort((token, order.value[(token & _U(len(order.value) - 1)).astype(np.int64)]))]
-                    token = token[:len(token) - least_size(np.array([len(token)]), num, den)[0] + 1]
+                for begin in range(0, batch.num_rows, 1024):
+                    end = min(begin + 1024, batch.num_rows)
+                    token, n = unpacked(batch.column("set"), begin, end, _U)
+                    row, place = np.repeat(np.arange(end - begin), n), np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+                    token = token[globally_ordered(row, rank[(token & _U(len(rank) - 1)).view(np.int64)], token)[0]]
+                    keep = place < np.repeat(n - least_size(n, num, den) + 1, n)
+                    token, row = token[keep], row[keep]
                     if bits is not None:
-                        token = token[flagged(bits.value, token)]
-                    if len(token):
-                        tokens.append(token)
-                        classes_.append(np.full(len(token), klass))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(classes_))], names=["token", "class"])
+                        keep = flagged(bits.value, token)
+                        token, row = token[keep], row[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(batch.column("class").to_numpy()[begin:end][row])], names=["token", "class"])
         return run
 
     def matches(batches):
@@ -377,7 +396,7 @@ def further_beaten(classes: DataFrame, again: DataFrame, order, num: int, den: i
 
     spark = classes.sparkSession
     # Places compare as tuples, so their parts are made comparable: nulls come last through the first.
-    whole = classes.groupBy("class").agg(F.min(_least_place()).alias("f"), F.max("set").alias("set")).where("set is not null")
+    whole = classes.where("set is not null").groupBy("class").agg(F.min(_least_place()).alias("f"), F.max("set").alias("set"))
     comp = F.struct("f.none", F.coalesce("f.id", F.lit(0)).alias("id"), F.col("f.print").alias("print"), F.col("f.line").alias("line"))
     whole = whole.select("class", comp.alias("comp"), "set", F.floor(F.octet_length("set") / 8).alias("n"))
     flagged_sets = classes.where("set is not null").select("class", "set")
@@ -409,17 +428,15 @@ def dedup_lines(docs: DataFrame, ids: str = "doc_id", text: str = "text", num: i
 
     def rewrite(batches):
         for batch in batches:
-            old, goes = batch.column(text).to_pylist(), batch.column(gone_).to_pylist()
-            new, n, out = [], [], []
-            for value, lines in zip(old, goes):
-                split = [] if value is None else value.split("\n")
-                if lines:
-                    drop = set(lines)
-                    value = "\n".join(x for i, x in enumerate(split) if i not in drop)
-                new.append(value)
-                n.append(len(split))
-                out.append(len(lines or ()))
-            columns = [pa.array(new, pa.string()) if c == text else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64()), pa.array(out, pa.int64())], names=[*names, "n_lines", "n_removed"])
+            old, goes = batch.column(text), batch.column(gone_)
+            n = pc.fill_null(pc.add(pc.count_substring(old, "\n"), 1), 0).cast(pa.int64())
+            out = pc.fill_null(pc.list_value_length(goes), 0).cast(pa.int64())
+            loses = goes.is_valid()
+            new = []
+            for value, lines in zip(old.filter(loses).to_pylist(), goes.filter(loses).to_pylist()):
+                drop = set(lines)
+                new.append("\n".join(x for i, x in enumerate(value.split("\n")) if i not in drop))
+            changed = pc.replace_with_mask(old, loses, pa.array(new, old.type)) if new else old
+            yield pa.RecordBatch.from_arrays([*(changed if c == text else batch.column(c) for c in names), n, out], names=[*names, "n_lines", "n_removed"])
 
     return joined.mapInArrow(rewrite, kept.selectExpr("*", "0L AS n_lines", "0L AS n_removed").schema)

@@ -23,19 +23,22 @@ def cell_scale(docs: DataFrame, text: str, cells: int, prints: Callable[[list[by
     def count(batches):
         total, held, size = np.zeros(cells, np.int64), [], 0
         for _, raw in text_pieces(batches, text):
-            held.append((prints(raw) & _U(cells - 1)).astype(np.int64))
+            held.append((prints(raw) & _U(cells - 1)).view(np.int64))
             size += len(held[-1])
             if size > cells:
                 total += np.bincount(np.concatenate(held), minlength=cells)
                 held, size = [], 0
         if held:
             total += np.bincount(np.concatenate(held), minlength=cells)
-        rows = total.reshape(-1, BLOCK)
-        for block in np.flatnonzero(rows.any(1)).tolist():
-            # A byte a cell; the few larger counts follow with their cells.
-            large = np.flatnonzero(rows[block] > 255)
-            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([np.minimum(rows[block], 255).astype(np.uint8).tobytes()], pa.binary()),
-                                              pa.array([large.tobytes() + (rows[block][large] - 255).tobytes()], pa.binary())], names=["block", "n", "rest"])
+        # A byte a cell; the few larger counts follow with their cells.
+        small, large = np.minimum(total, 255).astype(np.uint8).reshape(-1, BLOCK), np.flatnonzero(total > 255)
+        more, cut = total[large] - 255, np.searchsorted(large, np.arange(len(small) + 1) * BLOCK).tolist()
+        blocks = np.flatnonzero(small.any(1)).tolist()
+        for begin in range(0, len(blocks), 256):
+            some = blocks[begin:begin + 256]
+            rest = [(large[cut[b]:cut[b + 1]] - b * BLOCK).tobytes() + more[cut[b]:cut[b + 1]].tobytes() for b in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([small[b].tobytes() for b in some], pa.binary()), pa.array(rest, pa.binary())],
+                                             names=["block", "n", "rest"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}

@@ -8,9 +8,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyscope.llm import line_dedup
+from tallyscope.llm import line_dedup, rarity
 from tallyscope.llm.line_dedup import dedup_lines
 from tallyscope.llm.queries import LLM_QUERIES
+from tallyscope.llm.words import fingerprints, split_words
 
 
 def tokens(line):
@@ -102,3 +103,84 @@ def test_rows_are_ordered_and_packed_without_a_step_per_block():
         got, n = line_dedup.unpacked(pa.concat_arrays([blocks, blocks]).slice(1), 1, 5, kind)
         assert (got == np.concatenate([values[40:], values[:40]]).astype(kind).ravel()).all()
         assert (n == np.array([459, 1, 1, 39]) * (len(got) // 500)).all()
+
+
+class Steps:
+    """Stands for frame, session and settings; keeps the functions that ``mapInArrow`` is given."""
+
+    def __init__(self):
+        self.kept = []
+
+    def mapInArrow(self, step, schema):
+        self.kept.append(step)
+        return self
+
+    def collect(self):
+        return []
+
+    def __getattr__(self, name):
+        return lambda *a, **k: self
+
+
+def test_counters_leave_a_task_in_few_batches():
+    """Before, every block of 4096 cells was a batch."""
+    texts, steps, cells = [f"w{k} " * 300 for k in range(400)], Steps(), 1 << 20
+    rarity.cell_scale(steps, "text", cells, lambda raw: np.repeat(np.arange(len(raw), dtype=np.uint64) * np.uint64(2500), 300))
+    batches = list(steps.kept[0](iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])])))
+    assert len(batches) <= 4
+    total = np.zeros(cells, np.int64)
+    for block, n, rest in (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))):
+        cell, more = np.frombuffer(rest, np.int64).reshape(2, -1)
+        total[block * rarity.BLOCK:(block + 1) * rarity.BLOCK] = np.frombuffer(n, np.uint8)
+        total[block * rarity.BLOCK + cell] += more
+    assert (total == np.bincount(np.arange(400) * 2500, minlength=cells) * 300).all()
+
+
+def test_lines_of_a_class_come_in_the_order_of_places(spark):
+    """Before, a class's least line was searched among all its lines for every use."""
+    rows = [(None, "a b\nx"), (7, "q\nA  b\na b"), (3, "a b"), (3, "z\na b"), (-2, "b a")]
+    docs = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    flags = spark.sparkContext.broadcast(np.full(8, 255, np.uint8))
+    classes = line_dedup.line_classes(docs, "id", "text", flags).collect()
+    assert sorted(len(r["lines"]) for r in classes) == [1, 1, 1, 6]
+    for r in classes:
+        places = [(x.id is None, x.id or 0, x.print, x.line) for x in r["lines"]]
+        assert places == sorted(places)
+
+
+def test_tokens_of_lines_in_the_global_order():
+    pick = np.random.default_rng(3)
+    for lines in (40, 70000):
+        token = pick.integers(0, 5, 3000).astype(np.uint64) << np.uint64(20)  # differ only below the bits of the short key
+        line, scale = np.sort(pick.integers(0, lines, 3000)), (token >> np.uint64(21)).astype(np.uint8)
+        line[-1] = lines - 1
+        by, same = line_dedup.globally_ordered(line, scale, token)
+        rows = list(zip(line[by].tolist(), scale[by].tolist(), token[by].tolist()))
+        assert rows == sorted(zip(line.tolist(), scale.tolist(), token.tolist()))
+        assert same.tolist() == [False, *(a == b for a, b in zip(rows[1:], rows[:-1]))]
+    assert not len(line_dedup.globally_ordered(line[:0], scale[:0], token[:0])[0])
+
+
+def test_fingerprints_and_words_byte_by_byte():
+    top = (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & top
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & top
+        return h ^ h >> 31
+
+    def plain(word):
+        h = mixed(len(word) + 0x9E3779B97F4A7C15 & top)
+        for k in range(0, max(len(word), 1), 8):
+            h = mixed(h ^ int.from_bytes(word[k:k + 8], "little")) + 0x632BE59BD9B4E019 & top
+        return mixed(h)
+
+    pick = random.Random(6)
+    raw = [b"x", b"", b" a", b"b ", b"\n\nQ", b"y" * 255 + b" " + b"z" * 256 + b" " + b"u" * 3001]
+    raw += [b" ".join(bytes(pick.choice(b"abc\xc3\xbc") for _ in range(pick.randint(1, 20))) for _ in range(9000))]
+    words = split_words(raw)
+    found = [bytes(words.data[a:b]) for a, b in zip(words.start.tolist(), words.end.tolist())]
+    assert found == [w for t in raw for w in re.findall(rb"[^\x20\x09-\x0D]+", t.lower())]
+    assert [int(h) for h in fingerprints(words.data, words.start, words.end)] == [plain(w) for w in found]
+    assert not len(split_words([]).start) and not len(fingerprints(words.data, words.start[:0], words.end[:0]))
+    assert int(fingerprints(words.data, words.start[:1], words.start[:1])[0]) == plain(b"")
