@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tallyscope.session import stored
+from tallyscope.session import stored, swept
 
 
 def _hung_on_least(edges: DataFrame, larger: bool) -> DataFrame:
@@ -41,4 +41,5 @@ def component_labels(links: DataFrame, rounds: int | None = None) -> DataFrame:
             return edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
         state, turn = now, turn + 1
         edges = stored(_hung_on_least(_hung_on_least(edges, True), False))
+        swept(links.sparkSession)
     return edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label"))

@@ -147,9 +147,14 @@ def gram_counts(docs: DataFrame, text: str, shipped, grams: int) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
 
+    def pack(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([c.to_numpy().tobytes()], pa.binary()) for c in batch.columns], names=["gram", "n"])
+
     out = np.zeros(grams, np.int64)
-    for row in docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[row.gram] = row.n
+    sums = docs.select(text).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    for row in sums.mapInArrow(pack, "gram binary, n binary").collect():  # in one job, however many partitions
+        out[np.frombuffer(row.gram, np.int64)] = np.frombuffer(row.n, np.int64)
     return out
 
 

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tallyscope.llm.rarity import bit_blocks, cell_scale, flagged
 from tallyscope.llm.shingle_join import size_blocks
 from tallyscope.llm.words import fingerprints, free_name, mixed, short_batches, split_words, text_pieces
-from tallyscope.session import stored
+from tallyscope.session import stored, swept
 
 ORDER_CELLS = 1 << 22
 FLAG_BITS = 1 << 23
@@ -326,11 +326,13 @@ def removed_lines(docs: DataFrame, ids: str = "doc_id", text: str = "text", num:
         classes = stored(line_classes(docs, ids, text, flags))
     beaten = stored(verified(found, sets_of(found, classes), num, den))
     again = stored(found.groupBy("class").agg(F.max("more").alias("more")).where("more").join(beaten, "class", "left_anti").select("class"))
+    swept(spark)
     if again.head() is not None:
         # All classes that these may match met another one and so have their sets here.
         found = further_beaten(classes, again, order, num, den)
         with short_batches(spark):
             beaten = stored(beaten.union(found).distinct())
+        swept(spark)
 
     # Most classes are one line and stay; they drop out before any places are compared.
     heads = stored(classes.groupBy("class").agg(F.sum(F.size("lines")).alias("m")).join(beaten.withColumn("beaten", F.lit(True)), "class", "left")
@@ -414,6 +416,7 @@ def further_beaten(classes: DataFrame, again: DataFrame, order, num: int, den: i
     right = size_blocks(full.join(pairs.select("home").distinct(), "home", "left_semi"), "home", rows).withColumnRenamed("rows", "right")
     left = size_blocks(full.join(again, "class", "left_semi"), "home", rows) \
         .select(F.col("home").alias("home2"), F.col("rows").alias("left"), F.col("least").alias("least2"), F.col("most").alias("most2"))
+    swept(spark)
     blocks = pairs.join(left, "home2").join(right, "home").where((den * F.col("most") >= num * F.col("least2")) & (den * F.col("most2") >= num * F.col("least")))
     return blocks.select("left", "right").mapInArrow(matches, "class long").distinct()
 

@@ -59,29 +59,16 @@ def cell_scale(docs: DataFrame, text: str, cells: int, prints: Callable[[list[by
     return scale.ravel()
 
 
-def flag_array(frame: DataFrame, column: str, bits: int) -> np.ndarray:
-    """One bit for the values of a long column that fall on it; fixed size, for scans that may pass a few rows too many."""
-    def run(batches):
-        out = np.zeros(bits, bool)
-        for batch in batches:
-            out[(batch.column(0).to_numpy().view(_U) % _U(bits)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out, bitorder="little").tobytes()], pa.binary())], names=["bits"])
-
-    total = np.zeros(bits // 8, np.uint8)
-    for row in frame.select(column).mapInArrow(run, "bits binary").toLocalIterator():
-        total |= np.frombuffer(row.bits, np.uint8)
-    return total
-
-
 def flagged(flags: np.ndarray, value: np.ndarray) -> np.ndarray:
     bit = (value.view(_U) % _U(len(flags) * 8)).astype(np.int64)
     return (flags[bit >> 3] >> (bit & 7) & 1).astype(bool)
 
 
 def bit_blocks(frame: DataFrame, bits: int) -> np.ndarray:
-    """``flag_array`` of a frame's first column in one job: tasks add their bits up by block, and only blocks are collected.
+    """One bit for the values of a frame's first (long) column that fall on it; fixed size, for scans that may pass a few rows too many.
 
-    The driver receives ``bits`` / 8 bytes, whatever the number of rows or partitions.
+    Tasks add their bits up by block in one job, and only blocks are collected: the driver receives ``bits`` / 8 bytes,
+    whatever the number of rows or partitions.
     """
     size = BLOCK * 8
 

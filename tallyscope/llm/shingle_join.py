@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tallyscope.llm.components import component_labels
-from tallyscope.llm.rarity import cell_scale, flag_array, flagged
+from tallyscope.llm.rarity import bit_blocks, cell_scale, flagged
 from tallyscope.llm.words import combined, fingerprints, mixed, shingle_sets, short_batches, split_words, text_pieces
-from tallyscope.session import stored
+from tallyscope.session import stored, swept
 
 #: Counters for the order of shingles, and bits to tell classes that met another one; both of fixed size.
 ORDER_CELLS = 1 << 21
@@ -262,6 +262,7 @@ def jaccard_links(postings: DataFrame, sets: DataFrame, num: int, den: int, rows
     homes = stored(homes_of(postings, sets))
     with short_batches(postings.sparkSession):
         links = stored(star_links(homes, sets, num, den, rows))
+    swept(postings.sparkSession)
     labels = component_labels(links, 2).withColumnRenamed("id", "class")
     known = stored(homes.join(labels, "class", "left").withColumn("comp", F.coalesce("label", "class")).drop("label"))
 
@@ -275,6 +276,7 @@ def jaccard_links(postings: DataFrame, sets: DataFrame, num: int, den: int, rows
     # Their homes against all homes there: a pair of homes once, however many shingles and classes they share.
     pairs = minor.select("shingle", F.col("home").alias("home2")).distinct().join(meeting.select("shingle", "home").distinct(), "shingle").select("home2", "home").distinct()
     pairs = stored(pairs)
+    swept(postings.sparkSession)
     full = known.join(sets.select("class", "set"), "class")
     right = size_blocks(full.join(pairs.select("home").distinct(), "home", "left_semi"), "home", rows).withColumnRenamed("rows", "right")
     left = size_blocks(full.join(minor.select("class").distinct(), "class", "left_semi"), "home", rows) \
@@ -306,10 +308,11 @@ def jaccard_components(docs: DataFrame, ids: str = "doc_id", text: str = "text",
     spark = docs.sparkSession
     postings = stored(meeting_classes(stored(prefix_postings(docs, text, width, num, den, cells)), num, den))
 
-    met = flag_array(postings, "class", MET_BITS)
+    met = bit_blocks(postings.select("class"), MET_BITS)
     rows_of_classes = stored(class_rows(docs, ids, text, width, met))
     sets = rows_of_classes.where("set is not null").groupBy("class", "n").agg(F.first("set").alias("set"))
     sets = stored(sets.join(postings.select("class").distinct(), "class", "left_semi"))
+    swept(spark)
     labels = component_labels(jaccard_links(postings, sets, num, den, rows))
 
     members = rows_of_classes.select("class", "n", "ids").join(labels.withColumnRenamed("id", "class"), "class", "left") \

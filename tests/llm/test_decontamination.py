@@ -118,3 +118,24 @@ def test_other_least_scores(spark, least):
         docs.append((i, " ".join(out)))
     found = D.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), least_score=least)
     assert got(found) == brute(docs, items, least)
+
+
+def test_gram_counts_come_in_one_job(spark):
+    """Not one for every partition: each leaves its own jobs and stages with the driver."""
+    items = [[f"w{i}" for i in range(k, k + 12)] for k in range(0, 60, 12)]
+    docs = spark.createDataFrame([(i, " ".join(items[i % 5])) for i in range(40)], "doc_id long, text string").repartition(4)
+    held = [D.fingerprints(w.data, w.start, w.end) for w in (D.split_words([" ".join(item).encode()]) for item in items)]
+    block = D._block(list(range(5)), held, 0.6, 8)
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    spark.sparkContext.setJobGroup("gram counts", "")
+    try:
+        counts = D.gram_counts(docs, "text", spark.sparkContext.broadcast(block), len(block.gram))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert (counts == 8).all() and len(counts)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("gram counts")) <= 2

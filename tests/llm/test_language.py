@@ -1,6 +1,7 @@
 """The language model: exact marginals, held-out accuracy, odd texts."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -82,3 +83,19 @@ def test_long_lines_are_cut_not_dropped(spark):
     model = language_crf.fit(docs)
     assert model.labels == sorted(texts)
     assert all(r.lang_pred == r.lang for r in language_crf.predict(docs, model).collect())
+
+
+def test_driver_holds_the_model_only(spark, small):
+    """Training takes many times the model's memory, so a task does it."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    tracemalloc.start()
+    try:
+        model = language_crf.fit(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.weights.any() and peak < 4 * model.weights.nbytes
+
+    lines = language_crf.least_lines([tuple(r) for r in language_crf.sample_rows(docs, "text", "lang").collect()], language_crf.LINES_PER_LABEL)
+    here = language_crf.trained(lines)
+    assert here.labels == model.labels and all((a == b).all() for a, b in zip(here[1:], model[1:]))
